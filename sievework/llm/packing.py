@@ -2,37 +2,87 @@
 
 from __future__ import annotations
 
+import gc
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, pieces
+from .shared import materialize, pieces, word_arrays
 
-#: Entries that a worker's table of words keeps before it starts afresh.
-_MOST_WORDS = 300_000
+#: Entries that a worker's tables of words and of their parts keep before they start afresh.
+_MOST_WORDS, _MOST_PARTS = 300_000, 700_000
+#: Words of which the tokenizer's own splitting rule can be followed here: ASCII and Latin-1 letters, no special token.
+_PLAIN = re.compile(r"(?!.*<\|)[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
-class _Words(dict):
-    """Token ids, as little-endian unsigned 32-bit bytes, of each word between white space; tokenizers makes those not yet known."""
+class _Words:
+    """Token ids, as little-endian unsigned 32-bit bytes, of words between white space: looked up, or made by tokenizers.
+
+    A tokenizer that lower-cases, splits words into parts by _PARTS and ends each part's last token with </w> is asked for new
+    parts only, many at once; any other one, and words that aren't plain, for whole words.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_parts = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\") and spec["model"].get("end_of_word_suffix") == "</w>"
+        self.by_parts &= "Lowercase" in json.dumps(spec["normalizer"])
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 2000):
+            some = parts[at : at + 2000]
+            ids = self._encode(" ".join(some))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):
+                cuts = [0, *ends.tolist()]
+                self.parts.update((p, ids[a:z].tobytes()) for p, a, z in zip(some, cuts, cuts[1:], strict=False))
+            else:
+                self.parts.update((p, self._encode(p).tobytes()) for p in some)
+
+    def ids(self, keys: list[bytes]) -> list[bytes]:
+        new = [k for k in keys if k not in self.words]
+        if len(self.words) + len(new) > _MOST_WORDS:
+            self.words, new = {}, keys
+        if len(self.parts) > _MOST_PARTS:
+            self.parts = {}
+        split: dict[bytes, list[str]] = {}
+        for k in new:
+            word = k.decode()
+            if self.by_parts and _PLAIN.fullmatch(word):
+                split[k] = _PARTS.findall(word.lower())
+            else:
+                self.words[k] = self._encode(word).tobytes()
+        self._learn(list({p: None for parts in split.values() for p in parts if p not in self.parts}))
+        known = self.parts
+        for k, parts in split.items():
+            self.words[k] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+        own = self.words
+        return [own[k] for k in keys]
+
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= _MOST_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
+@cache
+def _words(path: str) -> _Words:
+    """A worker process keeps its table from task to task."""
+    return _Words(path)
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -45,13 +95,24 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(tokenizer_path)
-        for batch in pieces(batches, "_text"):
+        words = _words(tokenizer_path)
+        for batch in pieces(batches, "_text", 8 << 20):
+            starts, codes, distinct = word_arrays(batch.column("_text"))
+            gc.disable()  # many small objects and no cycles among them
+            ids = words.ids(distinct.cast(pa.large_binary()).to_pylist())
+            gc.enable()
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            first = np.cumsum(lens) - lens
+            n = lens[codes]
+            ends = np.cumsum(n)
+            own = flat[np.repeat(first[codes] - (ends - n), n) + np.arange(int(n.sum()))]
+            bounds = np.concatenate(([0], ends))[starts].tolist()
             row, piece, start, length, crc = [], [], [], [], []
-            for r, text in enumerate(pc.fill_null(batch.column("_text"), "").cast(pa.binary()).to_pylist()):
-                ids = b"".join(map(words.__getitem__, text.split())) + end
-                for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
+            for r, (a, z) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                ids_of_row = own[a:z].tobytes() + end
+                for p, at in enumerate(range(0, len(ids_of_row), 4 * capacity)):
+                    part = ids_of_row[at : at + 4 * capacity]
                     row.append(r)
                     piece.append(p)
                     start.append(at // 4)
