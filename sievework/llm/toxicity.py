@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,14 +42,14 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 2e-4,
     m, v = np.zeros(len(w) + len(theta)), np.zeros(len(w) + len(theta))
     for step in range(1, steps + 1):
         cut = np.cumsum(np.concatenate((theta[:1], np.exp(theta[1:]))))
-        above = np.column_stack((np.ones(len(grade)), _sigmoid((x @ w)[:, None] - cut), np.zeros(len(grade))))
+        above = np.column_stack((np.ones(len(grade)), _sigmoid((x @ w.astype(np.float32)).astype(float)[:, None] - cut), np.zeros(len(grade))))
         p = np.maximum(above[n, grade] - above[n, grade + 1], 1e-9)
         slope = above * (1 - above)
         d_lower, d_upper = slope[n, grade] / p, slope[n, grade + 1] / p
         g_score = -(d_lower - d_upper) / len(grade)
         g_cut = np.array([(d_lower[grade == k + 1].sum() - d_upper[grade == k].sum()) / len(grade) for k in range(grades - 1)])
         g_theta = np.concatenate(([g_cut.sum()], [g_cut[k:].sum() * np.exp(theta[k]) for k in range(1, grades - 1)]))
-        g = np.concatenate((x.T @ g_score + 2 * l2 * w, g_theta))
+        g = np.concatenate((x.T @ g_score.astype(np.float32) + 2 * l2 * w, g_theta))
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         move = rate * (1 - 0.9 * step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
@@ -58,36 +57,33 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 2e-4,
     return w, np.cumsum(np.concatenate((theta[:1], np.exp(theta[1:]))))
 
 
-def train(rows: list[tuple[list[str], int]], features: int = 3000, least: int = 3) -> Ordinal | None:
-    """From (distinct words, toxic 0 or 1). Toxic rows get grade 1 or, with more of the words that mark toxic rows than the
-    median toxic row, grade 2. Features: the words in least rows or more whose log-odds between toxic and clean stand out most."""
-    labels = np.array([y for _, y in rows])
+def train(words: pa.ListArray, labels: np.ndarray, features: int = 2000, least: int = 3) -> Ordinal | None:
+    """From each row's distinct words and whether it is toxic, 0 or 1. Toxic rows get grade 1 or, with more of the words that
+    mark toxic rows than the median toxic row, grade 2. Features: the words in least rows or more whose log-odds between toxic
+    and clean stand out most."""
     if len(set(labels.tolist())) < 2:
         return None
-    toxic, clean = Counter(), Counter()
-    for words, y in rows:
-        (toxic if y else clean).update(words)
+    coded = pc.dictionary_encode(words.flatten())
+    code, names = coded.indices.to_numpy(), coded.dictionary
+    row = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy())
     n_toxic, n_clean = int(labels.sum()), int((1 - labels).sum())
-    scored = []
-    for word in toxic.keys() | clean.keys():
-        a, c = toxic[word], clean[word]
-        if a + c >= least:
-            odds = np.log((a + 0.5) / (n_toxic - a + 0.5)) - np.log((c + 0.5) / (n_clean - c + 0.5))
-            spread = (1 / (a + 0.5) + 1 / (n_toxic - a + 0.5) + 1 / (c + 0.5) + 1 / (n_clean - c + 0.5)) ** 0.5
-            scored.append((-abs(odds / spread), word, odds / spread))
-    scored.sort()
-    chosen = scored[:features]
-    index = {word: i for i, (_, word, _) in enumerate(chosen)}
-    marks = {word for _, word, z in chosen if z > 2.5}
-    x = np.zeros((len(rows), len(index)), np.float32)
-    for r, (words, _) in enumerate(rows):
-        x[r, [index[word] for word in words if word in index]] = 1
-    strength = np.array([len(marks.intersection(words)) for words, _ in rows])
+    a = np.bincount(code[labels[row] == 1], minlength=len(names))
+    c = np.bincount(code[labels[row] == 0], minlength=len(names))
+    odds = np.log((a + 0.5) / (n_toxic - a + 0.5)) - np.log((c + 0.5) / (n_clean - c + 0.5))
+    z = odds / np.sqrt(1 / (a + 0.5) + 1 / (n_toxic - a + 0.5) + 1 / (c + 0.5) + 1 / (n_clean - c + 0.5))
+    often = np.flatnonzero(a + c >= least)
+    chosen = sorted((-abs(float(z[i])), names[int(i)].as_py(), int(i)) for i in often[np.argsort(-np.abs(z[often]), kind="stable")[: 2 * features]])[:features]
+    place = np.full(len(names), -1)
+    place[[i for _, _, i in chosen]] = np.arange(len(chosen))
+    known = place[code] >= 0
+    x = np.zeros((len(words), len(chosen)), np.float32)
+    x[row[known], place[code[known]]] = 1
+    strength = np.bincount(row[z[code] > 2.5], minlength=len(words))
     middle = np.median(strength[labels == 1])
     grade = labels * (1 + (strength > middle))
     grades = int(grade.max()) + 1
     w, cut = fit_ordinal(x, grade, grades)
-    return Ordinal({word: float(w[i]) for word, i in index.items()}, cut.tolist())
+    return Ordinal({word: float(w[k]) for k, (_, word, _) in enumerate(chosen)}, cut.tolist())
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 2500) -> Ordinal | None:
@@ -104,8 +100,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), pa.array(words, pa.list_(pa.string())), batch.column("_y").cast(pa.int32())], ["id", "words", "y"])
 
     got = chosen.select("_id", "_text", "_y").mapInArrow(run, "id string, words array<string>, y int").toArrow()
-    rows = sorted(zip(got["id"].to_pylist(), got["words"].to_pylist(), got["y"].to_pylist(), strict=True))
-    return train([(w, y) for _, w, y in rows])
+    got = got.sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
+    return train(got["words"].chunk(0), got["y"].to_numpy().astype(np.int64)) if got.num_rows else None
 
 
 def predict(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
