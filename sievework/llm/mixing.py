@@ -74,15 +74,15 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")).withColumn("place", hashed)
     rows = rows.withColumn("shard", F.conv(F.substring("place", 1, 12), 16, 10).cast("long") % (1 << depth)).withColumn("blocks", F.ceil(F.col("size") / block).cast("long"))
     rows = materialize(rows, "sizes")
-    leaves = materialize(rows.groupBy("source", "shard").agg(F.sum("blocks").alias("blocks"), F.sum("size").alias("size")), "shards")
+    leaves = materialize(rows.groupBy("source", "shard").agg(F.sum("blocks").alias("blocks"), F.sum("size").alias("size")), "shards", few_files=True)
     sources = leaves.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("blocks").alias("n"))
     plan = targets(sources.select("source", "source_size"))
     plan = plan.join(sources.select(F.col("source").alias("_s"), "n"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     plan = plan.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     rest = F.col("target") - F.col("passes") * F.col("source_size")
-    plan = materialize(plan.withColumn("quota", F.when(F.col("source_size") > 0, F.floor(F.col("n") * rest / F.col("source_size") + 0.5)).otherwise(0).cast("long")), "plan")
+    plan = materialize(plan.withColumn("quota", F.when(F.col("source_size") > 0, F.floor(F.col("n") * rest / F.col("source_size") + 0.5)).otherwise(0).cast("long")), "plan", few_files=True)
     quotas = shard_quotas(leaves, plan, depth, seed).toDF("_s", "_shard", "quota")
-    quotas = materialize(quotas.join(plan.drop("quota", "n"), F.col("_s").eqNullSafe(F.col("source"))).drop("source"), "quotas")
+    quotas = materialize(quotas.join(plan.drop("quota", "n"), F.col("_s").eqNullSafe(F.col("source"))).drop("source"), "quotas", few_files=True)
     out = rows.join(quotas, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_shard")))
     before = F.sum("blocks").over(Window.partitionBy("source", "shard").orderBy("place", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("blocks")
     out = out.withColumn("partial_blocks", F.greatest(F.lit(0), F.least(F.col("blocks"), F.col("quota") - before)).cast("long"))
@@ -99,7 +99,7 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     columns = docs.columns
     taken = mixed(docs, id_col, text_col, source_col, depth, block, seed)
     last = F.when(F.col("partial_blocks") > 0, F.struct("place", "partial_blocks"))
-    cuts = materialize(taken.groupBy(F.col("source").alias("_s"), F.col("shard").alias("_c")).agg(F.first("passes").alias("_passes"), F.max(last).alias("_last")), "cuts")
+    cuts = materialize(taken.groupBy(F.col("source").alias("_s"), F.col("shard").alias("_c")).agg(F.first("passes").alias("_passes"), F.max(last).alias("_last")), "cuts", few_files=True)
     place = F.sha2(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("\0"))), 256)
     rows = docs.withColumn("_place", place).withColumn("_shard", F.conv(F.substring("_place", 1, 12), 16, 10).cast("long") % (1 << depth))
     rows = rows.join(cuts, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_c")))

@@ -33,10 +33,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read again: cuts lineage, and outlives lost executors."""
+def materialize(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
+    """df, written as a table in the shared folder and read again: cuts lineage, and outlives lost executors. few_files: as one
+    file for each core of the cluster, for tables of narrow rows that rounds of a loop write again and again."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)) if few_files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -129,22 +130,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     shared folder. A node's many edges meet in partial aggregates and skew-split joins, never in one task or the driver.
     """
     spark = edges.sparkSession
-    live = materialize(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct(), "edges")
+    live = materialize(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct(), "edges", few_files=True)
     labels = None
     while not live.isEmpty():
         both = live.union(live.select("v", "u")).toDF("n", "m")
         up = both.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("p"))
-        up = materialize(up, "hooks")
+        up = materialize(up, "hooks", few_files=True)
         for _ in range(2):
             higher = up.toDF("p", "pp")
             up = up.join(higher, "p", "left").select("n", F.coalesce("pp", "p").alias("p"))
-        up = materialize(up, "hooks")
+        up = materialize(up, "hooks", few_files=True)
         if labels is None:
             labels = up.toDF("node", "label")
         else:
-            labels = materialize(labels.join(up.toDF("label", "p"), "label", "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
+            labels = materialize(labels.join(up.toDF("label", "p"), "label", "left").select("node", F.coalesce("p", "label").alias("label")), "labels", few_files=True)
         live = materialize(
-            live.join(up.toDF("u", "pu"), "u").join(up.toDF("v", "pv"), "v").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).where("u < v").distinct(), "edges"
+            live.join(up.toDF("u", "pu"), "u").join(up.toDF("v", "pv"), "v").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).where("u < v").distinct(), "edges", few_files=True
         )
     if labels is None:
         kind = edges.schema[a].dataType

@@ -184,7 +184,7 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                     yield pa.RecordBatch.from_arrays([pa.array(node[got]), pa.array(links[got]), pa.array(node[root[got]])], ["node", "links", "root"])
 
     ordered = spread.select("bucket", "key", "own", "node", "copies", "codes", "_v").repartition("bucket").sortWithinPartitions("bucket")
-    found = materialize(ordered.mapInArrow(search, "node long, links long, root long"), "links")
+    found = materialize(ordered.mapInArrow(search, "node long, links long, root long"), "links", few_files=True)
     totals = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = classes.select("_v", "node", "copies").join(totals, "node", "left").join(labels.toDF("node", "label"), "node", "left")
