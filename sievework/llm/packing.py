@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, pieces, word_arrays
 
 #: Entries that a worker's tables of words and of their parts keep before they start afresh.
-_MOST_WORDS, _MOST_PARTS = 300_000, 700_000
+_MOST_WORDS, _MOST_PARTS = 120_000, 250_000
 #: Words of which the tokenizer's own splitting rule can be followed here: ASCII and Latin-1 letters, no special token.
 _PLAIN = re.compile(r"(?!.*<\|)[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -96,7 +96,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(tokenizer_path)
-        for batch in pieces(batches, "_text", 8 << 20):
+        for batch in pieces(batches, "_text", 4 << 20):
             starts, codes, distinct = word_arrays(batch.column("_text"))
             gc.disable()  # many small objects and no cycles among them
             ids = words.ids(distinct.cast(pa.large_binary()).to_pylist())
