@@ -2,51 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from ..operators.graph import components
+from ..tables import discard, materialize, new_path, shared_folder
+
+__all__ = ["components", "discard", "materialize", "new_path", "shared_folder", "pieces", "word_arrays", "word_hashes", "rows_of", "mixed", "grouped", "hook"]
 
 #: The characters between words: space, and tab to carriage return. bytes.split() and Arrow's ASCII split part at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
-_own_folder: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (one machine)."""
-    global _own_folder
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_folder is None:
-        _own_folder = "file://" + tempfile.mkdtemp(prefix="sievework-")
-    return _own_folder
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
-    """df, written as a table in the shared folder and read again: cuts lineage, and outlives lost executors. few_files: as one
-    file for each core of the cluster, for tables of narrow rows that rounds of a loop write again and again."""
-    path = new_path(df.sparkSession, name)
-    (df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)) if few_files else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files of a table that materialize() made, once nothing reads it again."""
-    spark = df.sparkSession
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _give_back() -> None:
+    """Return freed memory to the system at a task's end, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -58,6 +33,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if hi > lo:
                 yield batch.slice(lo, hi - lo)
+    _give_back()
 
 
 def word_arrays(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -121,33 +97,3 @@ def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(root, hi, lo)
         while (root != root[root]).any():
             root[:] = root[root]
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, label: the smallest node reachable over edges, for every node that has an edge to another.
-
-    Rounds of hooking to the smallest neighbour and pointer jumping; edges shrink to edges between groups, as tables in the
-    shared folder. A node's many edges meet in partial aggregates and skew-split joins, never in one task or the driver.
-    """
-    spark = edges.sparkSession
-    live = materialize(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct(), "edges", few_files=True)
-    labels = None
-    while not live.isEmpty():
-        both = live.union(live.select("v", "u")).toDF("n", "m")
-        up = both.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("p"))
-        up = materialize(up, "hooks", few_files=True)
-        for _ in range(2):
-            higher = up.toDF("p", "pp")
-            up = up.join(higher, "p", "left").select("n", F.coalesce("pp", "p").alias("p"))
-        up = materialize(up, "hooks", few_files=True)
-        if labels is None:
-            labels = up.toDF("node", "label")
-        else:
-            labels = materialize(labels.join(up.toDF("label", "p"), "label", "left").select("node", F.coalesce("p", "label").alias("label")), "labels", few_files=True)
-        live = materialize(
-            live.join(up.toDF("u", "pu"), "u").join(up.toDF("v", "pv"), "v").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).where("u < v").distinct(), "edges", few_files=True
-        )
-    if labels is None:
-        kind = edges.schema[a].dataType
-        return spark.createDataFrame([], "node long, label long").select(F.col("node").cast(kind), F.col("label").cast(kind))
-    return labels
