@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .shared import pieces
 
 _TOKEN = re.compile(r"[^\W_]+")
+#: Letters of beginnings.
+_STEMS = (4, 5)
 
 
 @dataclass
@@ -26,14 +28,16 @@ class Ordinal:
 
 
 def tokens(text: str) -> set[str]:
-    return set(_TOKEN.findall(text.lower()))
+    """A text's distinct words, and the beginnings that longer ones share with their other forms."""
+    words = set(_TOKEN.findall(text.lower()))
+    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in _STEMS))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 2e-4, steps: int = 400, rate: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 5e-5, steps: int = 400, rate: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
     """(weights, rising thresholds) of least mean negative log-likelihood plus l2 |w|^2, by Adam. x: rows by features, 0 or 1."""
     w = np.zeros(x.shape[1])
     # theta: the first threshold, then logs of the steps to the next ones, so that they stay in order.
