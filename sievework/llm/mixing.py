@@ -93,7 +93,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", depth: int = 8, block: int = 16, seed: str = "mix") -> DataFrame:
     """The mix itself, with docs' columns: a row for each whole pass over a document, and one with its partial draw's words.
 
-    A partial draw of all blocks is the whole text; else the drawn blocks' words, in order, joined by spaces. Texts meet
+    A partial draw of all blocks is the whole text; else the drawn blocks' words, in order, joined by spaces; the last block, as
+    it may be short, is drawn last. Texts meet
     their shard's cut by (source, shard), of which there are 2^depth for a hot source.
     """
     columns = docs.columns
@@ -106,7 +107,7 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     n_blocks = F.ceil(size_of(F.col(text_col)) / block).cast("int")
     own = F.when(F.col("_place") < F.col("_last.place"), n_blocks).when(F.col("_place") == F.col("_last.place"), F.col("_last.partial_blocks").cast("int")).otherwise(0)
     rows = rows.withColumn("_n", n_blocks).withColumn("_own", F.coalesce(own, F.lit(0)))
-    ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda b: F.struct(F.xxhash64(F.lit(seed), F.col("_place"), b).alias("h"), b.alias("b"))))
+    ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda b: F.struct((b == F.col("_n") - 1).alias("end"), F.xxhash64(F.lit(seed), F.col("_place"), b).alias("h"), b.alias("b"))))
     chosen = F.array_sort(F.transform(F.slice(ranked, 1, F.col("_own")), lambda x: x.b))
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform(chosen, lambda b: F.slice(words, b * block + 1, F.lit(block)))), " ")

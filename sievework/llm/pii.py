@@ -82,12 +82,10 @@ def _card(key: bytes, m: re.Match) -> str | None:
     digits = re.sub(r"\D", "", m[0])
     if not 13 <= len(digits) <= 19 or len(set(digits)) == 1:
         return None
-    if luhn(digits[:-1]) == int(digits[-1]):
-        body = _by_places(key, "card", digits[:-1], [_DIGITS] * (len(digits) - 1))
-        return _digits_in(m[0], body + str(luhn(body)))
-    # Any other number in a card's form: its own permutation, among those that don't pass either.
-    body = _by_places(key, "number", digits[:-1], [_DIGITS] * (len(digits) - 1))
-    return _digits_in(m[0], body + str((luhn(body) + int(digits[-1]) - luhn(digits[:-1])) % 10))
+    if luhn(digits[:-1]) != int(digits[-1]):
+        return None
+    body = _by_places(key, "card", digits[:-1], [_DIGITS] * (len(digits) - 1))
+    return _digits_in(m[0], body + str(luhn(body)))
 
 
 def _phone(key: bytes, m: re.Match) -> str | None:
