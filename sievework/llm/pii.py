@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import ipaddress
+import math
 import re
 from collections.abc import Iterator
 from datetime import date
@@ -24,9 +25,7 @@ def _noise(key: bytes, tweak: str, i: int, x: int) -> int:
 
 def permute(key: bytes, tweak: str, x: int, size: int, back: bool = False) -> int:
     """A keyed permutation of range(size), by a Feistel network over about square halves and cycle walking."""
-    b = max(1, int(size**0.5))
-    while b * b < size:
-        b += 1
+    b = max(1, math.isqrt(size - 1) + 1)
     a = -(-size // b)
     while True:
         left, right = divmod(x, b)
