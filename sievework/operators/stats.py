@@ -91,15 +91,15 @@ def pooled_effect(df: DataFrame, keys: Sequence[str], value: str, standard_error
     w = F.when(se > 0, 1 / (se * se))
     rows = best.select(*keys, v.alias("_v"), F.log1p(v).alias("_y"), w.alias("_w"), F.greatest(F.coalesce(weight, F.lit(1.0)), F.lit(1.0)).alias("_n"), F.col(source).alias("_s"))
     first = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count("_w").alias("k"), F.sum("_w").alias("sw"), F.sum(F.col("_w") * F.col("_y")).alias("swy"), F.sum(F.col("_w") ** 2).alias("sw2"),
+        F.count(F.lit(1)).alias("n"), F.count("_w").alias("_k"), F.sum("_w").alias("_sw"), F.sum(F.col("_w") * F.col("_y")).alias("_swy"), F.sum(F.col("_w") ** 2).alias("_sw2"),
         F.countDistinct("_s").alias("sources"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.avg("_v").alias("mean"), F.median("_v").alias("median"),
     )
-    mean = F.col("swy") / F.col("sw")
-    second = rows.join(first, list(keys)).groupBy(*keys).agg(F.sum(F.col("_w") * (F.col("_y") - mean) ** 2).alias("q"))
+    mean = F.col("_swy") / F.col("_sw")
+    second = rows.join(first, list(keys)).groupBy(*keys).agg(F.sum(F.col("_w") * (F.col("_y") - mean) ** 2).alias("_q"))
     stats = first.join(second, list(keys))
-    c = F.col("sw") - F.col("sw2") / F.col("sw")
-    tau2 = F.when(c > 0, F.greatest(F.lit(0.0), (F.col("q") - (F.col("k") - 1)) / c)).otherwise(0.0)
-    i2 = F.when((F.col("k") >= 2) & (F.col("n") > 1), F.when(F.col("q") > 0, F.greatest(F.lit(0.0), (F.col("q") - (F.col("k") - 1)) / F.col("q"))).otherwise(0.0))
+    c = F.col("_sw") - F.col("_sw2") / F.col("_sw")
+    tau2 = F.when(c > 0, F.greatest(F.lit(0.0), (F.col("_q") - (F.col("_k") - 1)) / c)).otherwise(0.0)
+    i2 = F.when((F.col("_k") >= 2) & (F.col("n") > 1), F.when(F.col("_q") > 0, F.greatest(F.lit(0.0), (F.col("_q") - (F.col("_k") - 1)) / F.col("_q"))).otherwise(0.0))
     stats = stats.withColumn("_tau2", tau2).withColumn("i2", i2)
     random = 1 / (1 / F.col("_w") + F.col("_tau2"))
     third = rows.join(stats.select(*keys, "_tau2"), list(keys)).groupBy(*keys).agg((F.sum(random * F.col("_y")) / F.sum(random)).alias("_center"))
@@ -108,8 +108,8 @@ def pooled_effect(df: DataFrame, keys: Sequence[str], value: str, standard_error
     ratio = F.when(F.col("low") > 0, F.col("high") / F.col("low"))
     conflict = (F.col("sources") >= 2) & (F.col("low") == 0) & (F.col("high") > 0)
     review = (F.col("n") > 1) & (F.coalesce(F.col("i2") > 0.75, F.lit(False)) | F.coalesce((F.col("sources") >= 2) & (ratio > 3), F.lit(False)) | conflict)
-    center = F.when(F.col("n") == 1, F.col("low")).otherwise(F.expm1(F.when(F.col("k") >= 2, F.col("_center")).otherwise(F.col("_middle"))))
-    method = F.when(F.col("n") == 1, "single_record").when(F.col("k") >= 2, "random_effects").otherwise("weighted_median")
+    center = F.when(F.col("n") == 1, F.col("low")).otherwise(F.expm1(F.when(F.col("_k") >= 2, F.col("_center")).otherwise(F.col("_middle"))))
+    method = F.when(F.col("n") == 1, "single_record").when(F.col("_k") >= 2, "random_effects").otherwise("weighted_median")
     return out.select(*keys, F.when(~review, center).alias("value"), F.when(review, "review").otherwise("accepted").alias("status"), method.alias("method"), "n", "sources", "mean", "median", "low", "high", "i2", ratio.alias("ratio"), conflict.alias("zero_conflict"))
 
 

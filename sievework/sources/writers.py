@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..tables import materialize
 from .readers import artifacts
 
 
@@ -53,8 +54,6 @@ def numbered_shards(df: DataFrame, order: Column, size: int = 1500) -> DataFrame
     """df with shard: `size` rows in a row of the order each. Global places come from counts by range partition, not from one
     sorted task."""
     rows = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    from ..tables import materialize
-
     rows = materialize(rows, "ranged")
     before = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
     before = before.withColumn("_before", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n"))
@@ -63,8 +62,8 @@ def numbered_shards(df: DataFrame, order: Column, size: int = 1500) -> DataFrame
 
 
 def snapshot(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """What protected inputs were, to be held against later by changed()."""
-    return artifacts(spark, path, pattern)
+    """What protected inputs are now, as a table of its own, to be held against later by changed()."""
+    return materialize(artifacts(spark, path, pattern), "snapshot", few_files=True)
 
 
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:
