@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, pii, quality, simhash, substrings, toxicity, urls, vectors
+from . import language_id, mixing, oracles, packing, pii, quality, simhash, substrings, toxicity, urls, vectors
 
 #: The key of the pseudonyms that the queries make. A deployment gives its own.
 SECRET = "sievework"
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_urls": urls.SQL}
+    return {"op3_vectors": oracles.VECTORS, "op4_mixing": oracles.mixing(), "op5_substrings": oracles.SUBSTRINGS, "op8_quality": oracles.QUALITY, "op9_urls": urls.SQL}
