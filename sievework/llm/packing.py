@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, pieces, word_arrays
 
 #: Entries that a worker's tables of words and of their parts keep before they start afresh.
-_MOST_WORDS, _MOST_PARTS = 120_000, 250_000
+_MOST_WORDS, _MOST_PARTS = 150_000, 400_000
 #: Words of which the tokenizer's own splitting rule can be followed here: ASCII and Latin-1 letters, no special token.
 _PLAIN = re.compile(r"(?!.*<\|)[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
