@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stats import average_rank
 
@@ -78,3 +82,37 @@ def group_mean_predictions(train: DataFrame, asked: DataFrame, group: str, axis:
     own = train.groupBy(group, axis).agg(F.avg(value).alias("_g"))
     every = train.groupBy(axis).agg(F.avg(value).alias("_a"))
     return asked.join(own, [group, axis], "left").join(every, axis, "left").withColumn("predicted", F.coalesce("_g", "_a")).drop("_g", "_a")
+
+
+@F.pandas_udf(T.DoubleType())
+def _chance_of_less(n: pd.Series, plus: pd.Series, center: pd.Series, spread: pd.Series, exact: pd.Series) -> pd.Series:
+    def one(n: int, plus: float, center: float, spread: float, exact: bool) -> float:
+        if exact:
+            ways = np.ones(1)
+            for rank in range(1, int(n) + 1):
+                ways = np.concatenate([ways, np.zeros(rank)]) + np.concatenate([np.zeros(rank), ways])
+            return float(ways[: int(plus) + 1].sum() / ways.sum())
+        return 0.5 * math.erfc((center - plus) / spread / math.sqrt(2)) if spread > 0 else 1.0
+
+    return pd.Series([one(*row) for row in zip(n, plus, center, spread, exact)])
+
+
+def signed_rank(df: DataFrame, keys: Sequence[str], difference: str, least: int = 10, most_exact: int = 50) -> DataFrame:
+    """By key: n, r_plus (the rank sum of differences above zero), mean_difference and p, one-sided, that differences lie below zero.
+
+    Zeros are ranked and then left out. Up to most_exact differences without zeros or ties the distribution is exact, else normal with
+    corrections for both. p is 1 for fewer than least pairs and where no difference exceeds 1e-8. Differences are one per cluster.
+    """
+    rows = df.where(F.col(difference).isNotNull()).withColumn("_a", F.abs(F.col(difference))).withColumn("_r", average_rank("_a", keys))
+    d, zero = F.col(difference), F.col("_a") == 0
+    tied = rows.where(~zero).groupBy(*keys, "_a").agg(F.count(F.lit(1)).alias("_t")).groupBy(*keys).agg(F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).cast("double").alias("_ties"))
+    found = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(zero).alias("_z"), F.sum(F.when(d > 0, F.col("_r")).otherwise(0.0)).alias("r_plus"), F.avg(d).alias("mean_difference"), F.max("_a").alias("_max"),
+    )
+    out = found.join(tied, list(keys), "left").fillna(0.0, ["_ties"])
+    ranks = lambda c: F.col(c).cast("double") * (F.col(c) + 1)
+    center = (ranks("n") - ranks("_z")) / 4
+    spread = F.sqrt((ranks("n") * (2 * F.col("n") + 1) - ranks("_z") * (2 * F.col("_z") + 1) - F.col("_ties") / 2) / 24)
+    exact = (F.col("n") <= most_exact) & (F.col("_z") == 0) & (F.col("_ties") == 0)
+    p = F.when((F.col("n") < least) | (F.col("_max") <= 1e-8), 1.0).otherwise(_chance_of_less("n", "r_plus", center, spread, exact))
+    return out.select(*keys, "n", "r_plus", "mean_difference", p.alias("p"))

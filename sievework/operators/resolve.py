@@ -71,6 +71,43 @@ def nearest(queries: DataFrame, base: DataFrame, id_col: str, vector: str, k: in
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k).select("query", "neighbour", "similarity", "rank")
 
 
+def name_grams(key: Column, low: int = 3, high: int = 5) -> Column:
+    """The low- to high-grams of each word of a key, the word between two spaces, repeats included."""
+    words = F.transform(F.filter(F.split(key, " "), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    of_size = lambda w, n: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substr(w, i, n))
+    return F.flatten(F.transform(words, lambda w: F.flatten(F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length(w))), lambda n: of_size(w, n)))))
+
+
+def similar_names(names: DataFrame, id_col: str, key: str, least: float = 0.78, overlap: float = 0.5, k: int = 6) -> DataFrame:
+    """(a, b, similarity, word_overlap), a < b: pairs of which one is among the other's k most similar, ties by id, by the cosine of
+    their grams' weights, least or more, and whose words overlap enough. Ids are unique; blank keys match nothing.
+
+    Exact: a gram's weight is its count times ln((1 + names) / (1 + names with it)) + 1, scaled to length one. Ordered from the
+    rarest gram on, two names of a cosine of least or more share a gram that comes, in both, before what remains is shorter than
+    least. So only these few rare grams are joined on, and frequent ones never meet.
+    """
+    rows = names.select(F.col(id_col).alias("id"), key).where(F.trim(key) != "")
+    tf = rows.select("id", F.explode(name_grams(F.col(key))).alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"))))
+    weight = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
+    vectors = tf.join(df, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "gram", weight.alias("w")))).alias("g"))
+    square = lambda g: F.aggregate(g, F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
+    vectors = vectors.withColumn("g", F.transform("g", lambda x: F.struct(x["gram"].alias("gram"), (x["w"] / F.sqrt(square(F.col("g")))).alias("w"))))
+    # the rest's squared length before each gram, most first; a gram counts while that isn't below least squared
+    rest = F.aggregate("g", F.struct(F.lit(1.0).alias("left"), F.array().cast("array<string>").alias("kept")), lambda s, x: F.struct(
+        (s["left"] - x["w"] * x["w"]).alias("left"), F.when(s["left"] >= least * least - 1e-9, F.array_append(s["kept"], x["gram"])).otherwise(s["kept"]).alias("kept")))
+    vectors = vectors.join(rows, "id").select("id", key, F.map_from_entries("g").alias("g"), rest["kept"].alias("front"))
+    fronts = vectors.select("id", F.explode("front").alias("gram"))
+    met = fronts.withColumnRenamed("id", "a").join(fronts.withColumnRenamed("id", "b"), "gram").where("a < b").select("a", "b").distinct()
+    full = met.join(vectors.select(F.col("id").alias("a"), F.col("g").alias("_g"), F.col(key).alias("_x")), "a").join(vectors.select(F.col("id").alias("b"), F.col("g").alias("_h"), F.col(key).alias("_y")), "b")
+    dot = F.aggregate(F.map_entries("_g"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("_h", e["key"]), F.lit(0.0)))
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
+    scored = full.select("a", "b", F.round(dot, 9).alias("similarity"), jaccard(words(F.col("_x")), words(F.col("_y"))).alias("word_overlap")).where(F.col("similarity") >= least)
+    best = Window.partitionBy("query").orderBy(F.desc("similarity"), "other")
+    both = scored.withColumn("_s", F.explode(F.array(F.struct(F.col("a").alias("query"), F.col("b").alias("other")), F.struct(F.col("b").alias("query"), F.col("a").alias("other"))))).select("a", "b", "similarity", "word_overlap", "_s.*")
+    return both.withColumn("_rn", F.row_number().over(best)).where((F.col("_rn") <= k) & (F.col("word_overlap") >= overlap)).select("a", "b", "similarity", "word_overlap").distinct()
+
+
 def agreement(pairs: DataFrame, values: DataFrame, item: str, axis: str, value: str, tolerance: float = 0.05) -> DataFrame:
     """a, b, shared axes and those whose values are within tolerance of each other, relative to the larger."""
     l = values.select(F.col(item).alias("a"), axis, F.col(value).alias("_x"))
