@@ -116,3 +116,97 @@ def named_features(spark, sf):
     df = measurements(spark, sf).withColumn("own_name", F.when(F.col("axis_id") == "NO", " axis_0 "))
     names = table(spark, sf, "supplier").where("s_suppkey % 3 > 0").selectExpr("s_suppkey AS profile_id", "concat('Axis ', s_suppkey % 5) AS name")
     return features.features(df, "food_id", "profile_id", "value", names, "x_", 20, "own_name").withColumn("value", F.round("value", 6))
+
+
+def _support(spark, sf):
+    df = measurements(spark, sf).join(table(spark, sf, "part").selectExpr("p_partkey AS food_id", "concat(p_brand, '/', p_size) AS block"), "food_id")
+    return df.withColumn("axis", F.concat_ws("/", "axis_id", F.col("sample_count").cast("string"))).withColumn("partition", F.when(F.col("food_id") % 20 == 0, "validation").otherwise("train"))
+
+
+_SUPPORT = """+ c AS (SELECT food_id, concat_ws('/', axis_id, sample_count) AS axis, concat(p_brand, '/', p_size) AS block, CASE WHEN food_id % 20 = 0 THEN 'validation' ELSE 'train' END AS partition, quality_tier IN ('A', 'B') AS strict FROM m JOIN part ON p_partkey = food_id),
+l AS (SELECT axis, count(DISTINCT food_id) FILTER (partition = 'train') AS train, count(DISTINCT food_id) FILTER (partition = 'validation') AS validation, count(DISTINCT food_id) FILTER (partition = 'train' AND strict) AS strict_train, count(DISTINCT block) FILTER (partition = 'train') AS train_blocks FROM c GROUP BY 1),
+d AS (SELECT *, greatest(0, 30 - validation) AS deficit, train - greatest(0, 30 - validation) AS train_after FROM l)"""
+
+
+@query(m(f"{_SUPPORT} SELECT *, train_after >= 100 AND strict_train >= deficit AS feasible FROM d"))
+def support_ledger(spark, sf):
+    from ..operators import allocate
+
+    return allocate.ledger(_support(spark, sf), "food_id", "axis", "partition", F.col("quality_tier").isin("A", "B"), "block")
+
+
+@query(m(f"""{_SUPPORT}, r AS (SELECT *, CASE WHEN partition = 'train' AND block LIKE '%3/1%' THEN 'validation' ELSE partition END AS candidate FROM c), n AS (SELECT axis, count(DISTINCT food_id) FILTER (candidate = 'train') AS proposed_train, count(DISTINCT food_id) FILTER (candidate = 'validation') AS proposed_validation FROM r WHERE candidate = 'train' OR strict GROUP BY 1),
+e AS (SELECT d.*, coalesce(proposed_train, 0) AS proposed_train, coalesce(proposed_validation, 0) AS proposed_validation FROM d LEFT JOIN n USING (axis))
+SELECT axis, proposed_train, proposed_validation, CASE WHEN train < 100 THEN 'insufficient_training_support_review' WHEN train_after < 100 THEN 'insufficient_total_support_review' WHEN strict_train < deficit THEN 'validation_evidence_insufficient_not_fixed_by_split'
+WHEN proposed_train < 100 OR proposed_validation < 30 THEN 'family_block_or_joint_allocation_infeasible_review' WHEN deficit > 0 THEN 'coverage_restored_by_training_transfer' ELSE 'counts_already_sufficient' END AS decision FROM e"""))
+def support_recheck(spark, sf):
+    from ..operators import allocate
+
+    cells = _support(spark, sf)
+    out, _ = allocate.rechecked(cells, "food_id", "axis", "partition", F.col("quality_tier").isin("A", "B"), "block", cells.where("block LIKE '%3/1%'").select("block"))
+    return out.select("axis", "proposed_train", "proposed_validation", "decision")
+
+
+@query("""SELECT o_custkey AS source, sum(CASE WHEN o_orderstatus = 'F' THEN w ELSE 0 END)::BIGINT AS score, sum(CASE WHEN o_orderstatus = 'F' THEN w ELSE 0 END) >= 30 AS passed FROM orders JOIN (SELECT DISTINCT o_orderpriority, 10 * ascii(o_orderpriority) - 480 AS w FROM orders) USING (o_orderpriority) GROUP BY 1""")
+def source_screening(spark, sf):
+    from ..operators import allocate
+
+    orders = table(spark, sf, "orders")
+    weights = orders.select("o_orderpriority").distinct().selectExpr("o_orderpriority", "bigint(10 * ascii(o_orderpriority) - 480) AS w")
+    answers = orders.selectExpr("o_custkey AS source", "o_orderpriority", "CASE WHEN o_orderstatus = 'F' THEN 'yes' ELSE 'no' END AS answer")
+    return allocate.screened(answers, "source", "o_orderpriority", "answer", weights, "w", 30)
+
+
+@query()
+def block_allocation(spark, sf):
+    """Brands to move whole to validation so that each return flag has eight parts there."""
+    from ..operators import allocate
+
+    df = measurements(spark, sf).join(table(spark, sf, "part").selectExpr("p_partkey AS food_id", "p_brand AS block"), "food_id").withColumn("partition", F.expr("CASE WHEN food_id <= 3 THEN 'validation' ELSE 'train' END"))
+    return allocate.allocated(df, "food_id", "axis_id", "partition", F.col("quality_tier").isin("A", "B"), "block", F.col("axis_id").startswith("N"), 20, 8)
+
+
+@query("""WITH a AS (SELECT p_brand AS source, p_partkey AS axis, upper(CASE WHEN p_size % 3 = 0 THEN concat('c', p_size, p_name) ELSE '' END) AS code, lower(p_name || ' ' || p_type) AS name FROM part),
+c AS (SELECT 'official_code' AS basis, code AS key, count(DISTINCT source) AS sources, string_agg(DISTINCT axis::VARCHAR, ';' ORDER BY axis::VARCHAR) AS axes FROM a WHERE code <> '' GROUP BY code HAVING count(DISTINCT source) > 1)
+SELECT * FROM c UNION ALL SELECT 'name_candidate', name, count(DISTINCT source), string_agg(DISTINCT axis::VARCHAR, ';' ORDER BY axis::VARCHAR) FROM a WHERE code NOT IN (SELECT key FROM c) GROUP BY name HAVING count(DISTINCT source) > 1""")
+def shared_axes(spark, sf):
+    from ..functions import text
+    from ..operators import overlap
+
+    a = table(spark, sf, "part").selectExpr("p_brand AS source", "p_partkey AS axis", "CASE WHEN p_size % 3 = 0 THEN concat('c', p_size, p_name) ELSE '' END AS code", "concat(p_name, ' ', p_type) AS name")
+    return overlap.shared_axes(a, "source", "code", text.ascii_label_key(F.col("name")), "axis")
+
+
+@query("WITH n AS (SELECT DISTINCT p_brand, lower(p_name) AS k FROM part) SELECT x.p_brand AS a, y.p_brand AS b, count(*) AS shared FROM n x JOIN n y ON x.k = y.k AND x.p_brand < y.p_brand GROUP BY ALL")
+def source_name_overlap(spark, sf):
+    from ..functions import text
+    from ..operators import overlap
+
+    return overlap.name_overlap(table(spark, sf, "part"), "p_brand", text.ascii_label_key(F.col("p_name")))
+
+
+@query(m("""+ f AS (SELECT axis_id, CASE WHEN axis_id = 'NO' THEN 'mg' WHEN sample_count > 3 AND axis_id <> 'AF' THEN 'IU' WHEN axis_id = 'AF' THEN 'kcal' ELSE 'g' END AS unit FROM m), r AS (SELECT axis_id, count(*) AS rows, string_agg(DISTINCT unit, ';' ORDER BY unit) AS units, count(*) FILTER (unit IN ('g', 'mg')) AS convertible FROM f GROUP BY 1)
+SELECT *, CASE WHEN convertible = rows THEN 'all_exact_mass' WHEN convertible = 0 THEN 'no_exact_mass' ELSE 'mixed_units_review' END AS status FROM r"""))
+def unit_compatibility(spark, sf):
+    from ..operators import overlap
+
+    df = measurements(spark, sf).withColumn("unit", F.expr("CASE WHEN axis_id = 'NO' THEN 'mg' WHEN sample_count > 3 AND axis_id <> 'AF' THEN 'IU' WHEN axis_id = 'AF' THEN 'kcal' ELSE 'g' END"))
+    return overlap.unit_compatibility(df, "axis_id", "unit")
+
+
+@query(m("""+ c AS (SELECT axis_id, source_key, food_id, max(value) - min(value) <= 0.05 * max(value) AS ok FROM m GROUP BY ALL), k AS (SELECT axis_id, count(DISTINCT food_id) FILTER (ok) AS items, count(*) FILTER (NOT ok) AS conflicting, count(DISTINCT source_key) FILTER (ok) AS sources FROM c GROUP BY 1),
+j AS (SELECT a AS axis_id, coalesce(items, 0) AS items, coalesce(conflicting, 0) AS conflicting, coalesce(sources, 0) AS sources FROM (VALUES ('AF'), ('NF'), ('NO'), ('ZZ')) v(a) LEFT JOIN k ON axis_id = a)
+SELECT *, CASE WHEN items = 0 THEN 'not_reported' WHEN items < 100 THEN 'insufficient_items' WHEN sources = 1 THEN 'single_source' ELSE 'covered' END AS status FROM j"""))
+def core_coverage(spark, sf):
+    from ..operators import overlap
+
+    return overlap.core_coverage(measurements(spark, sf), "food_id", "axis_id", "source_key", "value", ["AF", "NF", "NO", "ZZ"])
+
+
+@query(m("""+ o AS (SELECT axis_id, food_id, max(ratio > 0) AS p, max(ratio = 0) AS z, max(source_key NOT IN ('s1', 's4')) AS o, max(source_key IN ('s1', 's4')) AS i, avg(ratio) AS v FROM m GROUP BY ALL),
+r AS (SELECT axis_id, count(*) AS items, count(*) FILTER (p) AS positive, count(*) FILTER (z) AS zero, stddev_pop(ln(1 + v)) AS s, count(*) FILTER (o) AS remaining, count(*) FILTER (i) AS tested FROM o GROUP BY 1)
+SELECT axis_id, items, positive, zero, remaining, tested, round(s, 9) AS spread, CASE WHEN s <= 1e-8 THEN 'constant' WHEN remaining < 100 THEN 'context_only' WHEN tested < 80 THEN 'train_only' ELSE 'train_and_test' END AS role FROM r"""))
+def axis_roles(spark, sf):
+    from ..operators import overlap
+
+    return overlap.axis_roles(measurements(spark, sf), "axis_id", "food_id", "source_key", "ratio", ["s1", "s4"], 100, 80).withColumn("spread", F.round("spread", 9))
