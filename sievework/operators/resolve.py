@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
+from ..tables import materialize
 
 
 def name_groups(df: DataFrame, key: Column, item: str) -> DataFrame:
@@ -78,27 +79,31 @@ def name_grams(key: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(words, lambda w: F.flatten(F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length(w))), lambda n: of_size(w, n)))))
 
 
-def similar_names(names: DataFrame, id_col: str, key: str, least: float = 0.78, overlap: float = 0.5, k: int = 6) -> DataFrame:
+def similar_names(names: DataFrame, id_col: str, key: str, least: float = 0.78, overlap: float = 0.5, k: int = 6, bare: float = 0.4) -> DataFrame:
     """(a, b, similarity, word_overlap), a < b: pairs of which one is among the other's k most similar, ties by id, by the cosine of
     their grams' weights, least or more, and whose words overlap enough. Ids are unique; blank keys match nothing.
 
-    Exact: a gram's weight is its count times ln((1 + names) / (1 + names with it)) + 1, scaled to length one. Ordered from the
-    rarest gram on, two names of a cosine of least or more share a gram that comes, in both, before what remains is shorter than
-    least. So only these few rare grams are joined on, and frequent ones never meet.
+    Exact: a gram's weight is its count times ln((1 + names) / (1 + names with it)) + 1, scaled to length one. A name's front is its
+    grams from the rarest on, until what remains is shorter than bare (at most least). Two names of a cosine of least or more share
+    a gram of their fronts, so only these are joined on, and the most frequent grams never meet. The front's part of the cosine
+    and the longer rest bound the whole; only pairs that may still reach least are scored in full.
     """
     rows = names.select(F.col(id_col).alias("id"), key).where(F.trim(key) != "")
     tf = rows.select("id", F.explode(name_grams(F.col(key))).alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"))))
     weight = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    vectors = tf.join(df, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "gram", weight.alias("w")))).alias("g"))
-    square = lambda g: F.aggregate(g, F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
-    vectors = vectors.withColumn("g", F.transform("g", lambda x: F.struct(x["gram"].alias("gram"), (x["w"] / F.sqrt(square(F.col("g")))).alias("w"))))
-    # the rest's squared length before each gram, most first; a gram counts while that isn't below least squared
-    rest = F.aggregate("g", F.struct(F.lit(1.0).alias("left"), F.array().cast("array<string>").alias("kept")), lambda s, x: F.struct(
-        (s["left"] - x["w"] * x["w"]).alias("left"), F.when(s["left"] >= least * least - 1e-9, F.array_append(s["kept"], x["gram"])).otherwise(s["kept"]).alias("kept")))
-    vectors = vectors.join(rows, "id").select("id", key, F.map_from_entries("g").alias("g"), rest["kept"].alias("front"))
-    fronts = vectors.select("id", F.explode("front").alias("gram"))
-    met = fronts.withColumnRenamed("id", "a").join(fronts.withColumnRenamed("id", "b"), "gram").where("a < b").select("a", "b").distinct()
+    weighed = tf.join(df, "gram").withColumn("w", weight)
+    vectors = weighed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "w"))).alias("g"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    vectors = vectors.withColumn("g", F.transform("g", lambda x: F.struct(x["gram"].alias("gram"), (x["w"] / F.col("_norm")).alias("w")))).drop("_norm")
+    # the squared length of what is left before each gram; grams are in front while that isn't below bare squared
+    rest = F.aggregate("g", F.struct(F.lit(1.0).alias("left"), F.lit(0).alias("n")), lambda s, x: F.struct(
+        F.when(s["left"] >= bare * bare, s["left"] - x["w"] * x["w"]).otherwise(s["left"]).alias("left"), F.when(s["left"] >= bare * bare, s["n"] + 1).otherwise(s["n"]).alias("n")))
+    vectors = materialize(materialize(vectors, "names").withColumn("_r", rest).join(rows, "id"), "fronts")
+    fronts = vectors.select("id", F.sqrt(F.greatest(F.lit(0.0), F.col("_r.left"))).alias("rest"), F.explode(F.slice("g", F.lit(1), F.col("_r.n"))).alias("x")).select("id", "rest", "x.gram", "x.w")
+    vectors = vectors.select("id", key, F.map_from_entries("g").alias("g"))
+    a, b = (fronts.select("gram", *(F.col(c).alias(c + side) for c in ("id", "rest", "w"))) for side in "ab")
+    met = a.join(b, "gram").where("ida < idb").groupBy(F.col("ida").alias("a"), F.col("idb").alias("b")).agg(F.sum(F.col("wa") * F.col("wb")).alias("_front"), F.first(F.greatest("resta", "restb")).alias("_rest"))
+    met = materialize(met.where(F.col("_front") + F.col("_rest") >= least - 1e-6).select("a", "b"), "pairs")
     full = met.join(vectors.select(F.col("id").alias("a"), F.col("g").alias("_g"), F.col(key).alias("_x")), "a").join(vectors.select(F.col("id").alias("b"), F.col("g").alias("_h"), F.col(key).alias("_y")), "b")
     dot = F.aggregate(F.map_entries("_g"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("_h", e["key"]), F.lit(0.0)))
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
