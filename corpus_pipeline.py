@@ -35,8 +35,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of the mix's documents, with its sequence and its place there."""
-    return packing.packed(packing.tokenized(docs, tokenizer_path()))
+    """A row for each piece of the mix's documents, with its token ids, its sequence and its place there."""
+    out = packing.packed(packing.tokenized(docs, tokenizer_path()))
+    return out.select("doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("personal_data", hide_personal_data), ("mixing", mix_sources), ("packing", pack)]

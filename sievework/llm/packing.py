@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import json
 import re
-import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
@@ -86,17 +85,17 @@ def _words(path: str) -> _Words:
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """id_col, piece, start, length, ids_crc32: a row for each piece of at most capacity ids; each document ends with end_id.
+    """id_col, piece, start, length, ids: a row for each piece of at most capacity ids; each document ends with end_id.
 
-    Words between ASCII white space are tokenized one by one and remembered: for a tokenizer that never joins across white
-    space this gives the ids of the whole text. A null text is an empty one.
+    ids are little-endian unsigned 32-bit integers, 4 * length bytes: np.frombuffer(ids, "<u4"). Words between ASCII white space
+    are tokenized one by one and remembered: for a tokenizer that never joins across white space this gives the ids of the whole
+    text. A null text is an empty one.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(tokenizer_path)
-        for batch in pieces(batches, "_text", 4 << 20):
+        for batch in pieces(batches, "_text", 2 << 20):
             starts, codes, distinct = word_arrays(batch.column("_text"))
             gc.disable()  # many small objects and no cycles among them
             ids = words.ids(distinct.cast(pa.large_binary()).to_pylist())
@@ -107,23 +106,23 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
             n = lens[codes]
             ends = np.cumsum(n)
             own = flat[np.repeat(first[codes] - (ends - n), n) + np.arange(int(n.sum()))]
-            bounds = np.concatenate(([0], ends))[starts].tolist()
-            row, piece, start, length, crc = [], [], [], [], []
-            for r, (a, z) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                ids_of_row = own[a:z].tobytes() + end
-                for p, at in enumerate(range(0, len(ids_of_row), 4 * capacity)):
-                    part = ids_of_row[at : at + 4 * capacity]
-                    row.append(r)
-                    piece.append(p)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["_id", "piece", "start", "length", "ids_crc32"]
-            )
+            bounds = np.concatenate(([0], ends))[starts]
+            own = np.insert(own, bounds[1:], end_id)
+            sizes = np.diff(bounds) + 1
+            parts = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(sizes)), parts)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+            length = np.minimum(capacity, sizes[row] - piece * capacity)
+            at = np.concatenate(([0], np.cumsum(length)))
+            for lo in range(0, len(row), 1024):
+                hi = min(lo + 1024, len(row))
+                values = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((4 * (at[lo : hi + 1] - at[lo])).astype(np.int32)), pa.py_buffer(own[at[lo] : at[hi]].astype("<u4"))])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_id").take(pa.array(row[lo:hi])), pa.array(piece[lo:hi].astype(np.int32)), pa.array(piece[lo:hi] * capacity), pa.array(length[lo:hi]), values], ["_id", "piece", "start", "length", "ids"]
+                )
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"_id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, f"_id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("_id", id_col)
 
 
 def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
@@ -267,14 +266,17 @@ def solve(histogram: dict[int, int], capacity: int = 4096, groups: int = 48, sma
 
 
 def packed(rows: DataFrame, id_col: str = "doc_id", capacity: int = 4096, per_bucket: int = 20_000) -> DataFrame:
-    """rows (id_col, piece, length, ...) with sequence_id and offset: which sequence holds each piece, and where.
+    """rows (id_col, piece, length, ids, ...) with sequence_id and offset: which sequence holds each piece, and where. A sequence is
+    the ids of its pieces by offset.
 
     Only the histogram of lengths comes to the driver (at most capacity rows), and only placements by length go back (their
     number is bounded by the lengths too, so they are broadcast). A piece finds its place by its rank among those of its
     length: by its place in a bucket of about per_bucket pieces, plus the sizes of the buckets before, so that a very common
-    length is many tasks' work. Repeated rows are pieces of their own.
+    length is many tasks' work. Repeated rows are pieces of their own. Ranks are found without the ids, which move once, to
+    meet their place by a number that no two rows share.
     """
-    rows = materialize(rows, "pieces")
+    columns = rows.columns
+    rows = materialize(rows.withColumn("_crc", F.crc32("ids")).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     spark = rows.sparkSession
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     placements, _ = solve(histogram, capacity)
@@ -283,13 +285,13 @@ def packed(rows: DataFrame, id_col: str = "doc_id", capacity: int = 4096, per_bu
         by_length.setdefault(p[0], []).append(p[1:])
     table = spark.createDataFrame([(k, sorted(v)) for k, v in by_length.items()], "length long, at array<struct<lo long, hi long, seq long, off long, per long>>")
     buckets = max(1, -(-sum(histogram.values()) // per_bucket))
-    keyed = rows.withColumn("_b", F.pmod(F.xxhash64(F.col(id_col).cast("string"), "piece"), F.lit(buckets)))
+    keyed = rows.select("_row", id_col, "piece", "length", "_crc").withColumn("_b", F.pmod(F.xxhash64(F.col(id_col).cast("string"), "piece"), F.lit(buckets)))
     ahead = keyed.groupBy(F.col("length").alias("_l"), F.col("_b").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
     ahead = ahead.withColumn("_ahead", F.sum("_n").over(Window.partitionBy("_l").orderBy("_c").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n"))
-    rank = F.row_number().over(Window.partitionBy("length", "_b").orderBy(F.col(id_col), "piece", "ids_crc32")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "_b").orderBy(F.col(id_col), "piece", "_crc")) - 1
     ranked = keyed.withColumn("_r", rank).join(ahead.drop("_n"), (F.col("length") == F.col("_l")) & (F.col("_b") == F.col("_c"))).withColumn("_r", F.col("_r") + F.col("_ahead"))
     found = ranked.join(F.broadcast(table), "length").withColumn("_p", F.filter("at", lambda p: (p.lo <= F.col("_r")) & (F.col("_r") < p.hi))[0])
     k = F.col("_r") - F.col("_p.lo")
     seq = F.col("_p.seq") + F.floor(k / F.col("_p.per")).cast("long")
     off = F.col("_p.off") + (k % F.col("_p.per")) * F.col("length")
-    return found.select(*rows.columns, seq.alias("sequence_id"), off.alias("offset"))
+    return rows.drop("_crc").join(found.select("_row", seq.alias("sequence_id"), off.alias("offset")), "_row").select(*columns, "sequence_id", "offset")

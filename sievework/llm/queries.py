@@ -67,7 +67,8 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(packing.tokenized(_table(spark, sf_dir, "documents"), tokenizer_path()))
+    out = packing.packed(packing.tokenized(_table(spark, sf_dir, "documents"), tokenizer_path()))
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
