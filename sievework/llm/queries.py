@@ -58,7 +58,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(_table(spark, sf_dir, "documents"), "source")
+    return quality.cleaned(_table(spark, sf_dir, "documents"), "source").drop("text")
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 
 import corpus_pipeline
+from sievework.llm import quality
 from sievework.llm.queries import tokenizer_path
 
 
@@ -31,3 +32,14 @@ def test_sequences_hold_the_ids_of_their_documents(spark, sf_dir):
     assert sorted(held) == sorted(x for ids in want for x in ids)
     cut = sorted((i, ids[at : at + 4096]) for (i, _), ids in zip(texts, want, strict=True) for at in range(0, len(ids), 4096))
     assert sorted((r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in rows) == cut
+
+
+def test_lines_above_the_limit_are_cut_out(spark):
+    own = [f"own line {'abcdefgh'[i % 8] * (i // 8 + 1)} of words " + " ".join(f"w{j}" for j in range(60)) for i in range(40)]
+    rows = [(i, f"Menu  home 1{i % 10}\n\n{own[i]}\nmenu HOME 99", "h") for i in range(40)]
+    # The same line on another host, and an id and text twice, one of them there.
+    rows += [(50, "menu home 11\nx", "other"), (0, rows[0][1], "h"), (0, rows[0][1], "other"), (60, None, "h"), (None, "menu home 00", "h"), (61, "menu home 22\n", None)]
+    got = quality.cleaned(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), "source").collect()
+    want = [(i, "\n" + own[i], 6) for i in range(40)] + [(50, rows[40][1], 0), (0, "\n" + own[0], 6), (0, rows[0][1], 0), (60, None, 0), (None, "", 3), (61, "menu home 22\n", 0)]
+    assert sorted(map(repr, ((r["doc_id"], r["text"], r["n_removed"]) for r in got))) == sorted(map(repr, want))
+    assert [r["kept"] for r in got if r["doc_id"] == 5] == [True]
