@@ -134,17 +134,41 @@ def _iban(key: bytes, m: re.Match) -> str | None:
     return "".join(c if c == " " else next(it) for c in m[0])
 
 
+def _ibans(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
+    """Matches that pass their check, each the longest of those that end where the whole match or a group of it ends: a word or
+    number that follows an IBAN may look like its last group. What a match leaves over is read again."""
+    at = 0
+    while m := pattern.search(text, at):
+        at = m.start() + 1
+        for end in (m.end(), *(m.start() + i for i in range(len(m[0]) - 1, 14, -1) if m[0][i] == " ")):
+            plain = text[m.start() : end].replace(" ", "")
+            if 15 <= len(plain) <= 34 and _iban_check(plain[:2], plain[4:]) == plain[2:4] and (own := pattern.fullmatch(text, m.start(), end)):
+                yield own
+                at = end
+                break
+
+
 def _email(key: bytes, m: re.Match) -> str:
     labels = m["domain"].split(".")
     new = [_by_places(key, "domain", x, [_alphabet(c) for c in x]) for x in labels[:-1]]
     return _by_places(key, "mailbox", m["local"], [_alphabet(c) for c in m["local"]]) + "@" + ".".join([*new, labels[-1]])
 
 
+#: Characters permuted at once: so few that the noise of a round (256 bits) reaches all of a half.
+_CHUNK = 64
+
+
 def _secret(key: bytes, m: re.Match) -> str:
     value = m["secret"]
     hexes = "0123456789abcdef"
     places = [hexes] * len(value) if set(value) <= set(hexes) else [_alphabet(c) for c in value]
-    return m[0][: m.start("secret") - m.start()] + _by_places(key, "secret", value, places)
+    out, tweak = m[0][: m.start("secret") - m.start()], "secret"
+    # What is over _CHUNK characters is permuted in chunks, each by a permutation that the texts before it choose.
+    for at in range(0, len(value), _CHUNK):
+        part = value[at : at + _CHUNK]
+        out += _by_places(key, tweak, part, places[at : at + _CHUNK])
+        tweak = "secret|" + hmac.digest(key, f"{tweak}|{part}".encode(), "sha256").hex()
+    return out
 
 
 #: Days that a date is permuted among: 1900-01-01 to 2099-12-31.
@@ -177,7 +201,7 @@ def _date(key: bytes, m: re.Match) -> str | None:
 #: In order; what one has replaced isn't seen by the next.
 _KINDS = [
     ("email", re.compile(r"(?P<local>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63})@(?P<domain>(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})"), _email),
-    ("secret", re.compile(r"(?i:\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9_+/=-]{8,512})"), _secret),
+    ("secret", re.compile(r"(?i:\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9_+/=-]{8,})"), _secret),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?P<secret>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?![A-Za-z0-9])"), _secret),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), _iban),
     ("date", re.compile(r"(?<![\w.+-])(?:\d{4}(?P<sep>[-/.])\d{1,2}(?P=sep)\d{1,2})(?![\w-]|\.\d)"), _date),
@@ -189,16 +213,18 @@ _KINDS = [
     ("phone", re.compile(r"(?<![\w.+-])(?P<code>)(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w)"), _phone),
 ]
 _MARKS = (*_DIGITS, "@")
+#: The kinds of which a text without marks may hold one.
+_UNMARKED = [pattern for kind, pattern, _ in _KINDS if kind == "secret"]
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, int]:
     """text with each validated value replaced, and how many were. Equal values of a kind have equal pseudonyms under one key."""
-    if not any(c in text for c in _MARKS) and not re.search(r"(?i)(?:token|secret|passw|pwd|key)[\"']?\s*[=:]", text):
+    if not any(c in text for c in _MARKS) and not any(p.search(text) for p in _UNMARKED):
         return text, 0
     done: list[tuple[int, int, str]] = []
     used = bytearray(len(text))
-    for _, pattern, replace in _KINDS:
-        for m in pattern.finditer(text):
+    for kind, pattern, replace in _KINDS:
+        for m in _ibans(pattern, text) if kind == "iban" else pattern.finditer(text):
             s, e = m.span()
             if not any(used[s:e]) and (new := replace(key, m)) is not None:
                 done.append((s, e, new))

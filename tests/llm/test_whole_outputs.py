@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 
 import corpus_pipeline
-from sievework.llm import quality
+from sievework.llm import pii, quality
 from sievework.llm.queries import tokenizer_path
 
 
@@ -43,3 +43,32 @@ def test_lines_above_the_limit_are_cut_out(spark):
     want = [(i, "\n" + own[i], 6) for i in range(40)] + [(50, rows[40][1], 0), (0, "\n" + own[0], 6), (0, rows[0][1], 0), (60, None, 0), (None, "", 3), (61, "menu home 22\n", 0)]
     assert sorted(map(repr, ((r["doc_id"], r["text"], r["n_removed"]) for r in got))) == sorted(map(repr, want))
     assert [r["kept"] for r in got if r["doc_id"] == 5] == [True]
+
+
+def test_secrets_of_letters_only_are_replaced():
+    for text in ("password: swordfishes", "passwd=hunterabcd", "pwd = correcthorse", "AKIA" + "ABCDEFGH" * 2, "ghp_" + "abcdEFGH" * 4 + "abcd"):
+        new, n = pii.pseudonymise(text, b"k" * 32)
+        assert n == 1 and new != text and len(new) == len(text)
+    assert pii.pseudonymise("a word to pass on: keys and tokens", b"k" * 32) == ("a word to pass on: keys and tokens", 0)
+
+
+def test_long_secrets_are_replaced_to_their_end():
+    key, body = b"k" * 32, "aZ3x" * 400
+    new, n = pii.pseudonymise(f"api_key={body} end", key)
+    value = new.removeprefix("api_key=").removesuffix(" end")
+    assert n == 1 and len(value) == len(body)
+    assert all(value[i : i + 16] != body[i : i + 16] for i in range(0, len(body), 16))
+    # Equal chunks after different ones are replaced differently, and the first 64 characters as they are alone.
+    assert value[64:128] != value[:64] == pii.pseudonymise(f"api_key={body[:64]} end", key)[0][8:72]
+
+
+def test_ibans_before_other_words():
+    key, ibans = b"k" * 32, ["AT61 1904 3002 3457 3201", "ES9121000418450200051332", "SE45 5000 0000 0583 9825 7466"]
+    for iban in ibans:
+        alone = pii.pseudonymise(iban, key)[0]
+        assert alone != iban
+        for after in ("", " EUR", " 2024", ", EUR", " EUR 20"):
+            assert pii.pseudonymise(f"to {iban}{after}", key) == (f"to {alone}{after}", 1)
+    both = pii.pseudonymise(" ".join(ibans), key)
+    assert both == (" ".join(pii.pseudonymise(i, key)[0] for i in ibans), 3)
+    assert pii.pseudonymise("ES9221000418450200051332 EUR", key)[1] == 0
