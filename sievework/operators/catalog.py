@@ -41,7 +41,7 @@ def requirement_evidence(requirements: DataFrame, key: str, listed: str, evidenc
 
 def gap_grid(requirements: DataFrame, key: str, sources: DataFrame, source: str, seen: DataFrame) -> DataFrame:
     """key, source, n for every pair, zeros among them."""
-    return requirements.select(key).crossJoin(F.broadcast(sources.select(source).distinct().limit(1000))).join(seen, [key, source], "left").fillna(0, ["n"])
+    return requirements.select(key).crossJoin(sources.select(source).distinct()).join(seen, [key, source], "left").fillna(0, ["n"])
 
 
 def new_targets(catalogue: DataFrame, key: str, seeds: DataFrame, order: str) -> DataFrame:

@@ -53,7 +53,7 @@ def apply_value_and_unit(spark, sf):
     raw = _raw(spark, sf)
     factors = raw.select("unit").distinct().select("unit", units.normalize_unit(F.col("unit")).factor.alias("factor"))
     x = values.bounded_mass(values.parse_value(F.col("raw")).numeric_value * F.col("factor"))
-    return raw.join(F.broadcast(factors.limit(10_000)), "unit").select("id", F.round(x, 12).alias("g_per_100g"), F.coalesce(x.between(0, 100), F.lit(False)).alias("eligible"))
+    return raw.join(factors, "unit").select("id", F.round(x, 12).alias("g_per_100g"), F.coalesce(x.between(0, 100), F.lit(False)).alias("eligible"))
 
 
 @query("SELECT p_partkey, name AS column_name, v AS raw_value FROM (UNPIVOT (SELECT p_partkey, p_size::DOUBLE AS p_size, p_retailprice FROM part) ON p_size, p_retailprice INTO NAME name VALUE v)")
