@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import materialize
+from ..tables import discard, materialize
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,18 +23,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not live.isEmpty():
         both = live.union(live.select("v", "u")).toDF("n", "m")
         up = both.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("p"))
-        up = materialize(up, "hooks", few_files=True)
+        hooks = materialize(up, "hooks", few_files=True)
+        up = hooks
         for _ in range(2):
             higher = up.toDF("p", "pp")
             up = up.join(higher, "p", "left").select("n", F.coalesce("pp", "p").alias("p"))
         up = materialize(up, "hooks", few_files=True)
+        old_live, old_labels = live, labels
+        live = materialize(
+            live.join(up.toDF("u", "pu"), "u").join(up.toDF("v", "pv"), "v").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).where("u < v").distinct(), "edges", few_files=True
+        )
         if labels is None:
             labels = up.toDF("node", "label")
         else:
             labels = materialize(labels.join(up.toDF("label", "p"), "label", "left").select("node", F.coalesce("p", "label").alias("label")), "labels", few_files=True)
-        live = materialize(
-            live.join(up.toDF("u", "pu"), "u").join(up.toDF("v", "pv"), "v").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).where("u < v").distinct(), "edges", few_files=True
-        )
+            discard(old_labels)
+            discard(up)
+        discard(old_live)
+        discard(hooks)
+    discard(live)
     if labels is None:
         kind = edges.schema[a].dataType
         return spark.createDataFrame([], "node long, label long").select(F.col("node").cast(kind), F.col("label").cast(kind))

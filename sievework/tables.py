@@ -11,11 +11,14 @@ _own_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one
+    machine. On a cluster without one, an error: its executors would each write to their own disk."""
     global _own_folder
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="sievework-")
     return _own_folder
