@@ -10,13 +10,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..operators.graph import components
 from ..tables import discard, materialize, new_path, shared_folder
 
-__all__ = ["components", "discard", "materialize", "new_path", "shared_folder", "pieces", "word_arrays", "word_hashes", "rows_of", "mixed", "grouped", "hook"]
+__all__ = ["components", "discard", "materialize", "new_path", "shared_folder", "pieces", "word_arrays", "word_hashes", "rows_of", "mixed", "grouped", "hook", "component_ids", "buckets", "dealt", "tiled", "tiles"]
 
 #: The characters between words: space, and tab to carriage return. bytes.split() and Arrow's ASCII split part at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
+
+
 def _give_back() -> None:
     """Return freed memory to the system at a task's end, as workers live on between tasks."""
     pa.default_memory_pool().release_unused()
@@ -97,3 +102,52 @@ def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(root, hi, lo)
         while (root != root[root]).any():
             root[:] = root[root]
+
+
+def component_ids(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label, component_id for every row of classes (node, real): the smallest node that links (a, b) between nodes reach,
+    and the smallest real, null if all those are null."""
+    labels = components(links).toDF("node", "label")
+    known = classes.select("node", "real").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = known.groupBy("label").agg(F.min("real").alias("component_id"))
+    return known.join(least, "label").select("node", "label", "component_id")
+
+
+def tiled(spread: DataFrame, tile: int) -> DataFrame:
+    """Rows (key, node, ...) dealt out by key and sorted, for tiles(): with lo, hi and own. A key of over `tile` rows is dealt to
+    tiles, and each of its rows goes to every pair of tiles with its own one in it, so that no task gets a hot key whole, all
+    pairs of a key's rows still meet, and each once. The keys over `tile` are a table of at most rows / tile entries, whose size
+    Spark knows when it chooses the join."""
+    sizes = materialize(spread.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tile), "large", few_files=True)
+    rows = spread.join(sizes, "key", "left").withColumn("_tiles", F.coalesce(F.ceil(F.col("_n") / tile), F.lit(1)).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "_tiles").cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    rows = rows.withColumn("lo", F.least("own", "_b")).withColumn("hi", F.greatest("own", "_b")).drop("_n", "_tiles", "_b")
+    return dealt(rows)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+
+def buckets(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(first row, rows, (left, right)) of each key and pair of tiles in a table of dealt rows; left and right count from its
+    first row: they are the same array, or the rows of two tiles."""
+    key, lo, hi, own = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "own"))
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
+    size = np.diff(np.append(first, len(key)))
+    sides = []
+    for a, n in zip(first.tolist(), size.tolist(), strict=True):
+        at = np.arange(n) if n > 1 else _ONE
+        sides.append((at, at) if lo[a] == hi[a] else (np.flatnonzero(own[a : a + n] == lo[a]), np.flatnonzero(own[a : a + n] == hi[a])))
+    return first, size, sides
+
+
+_ONE = np.zeros(1, np.int64)
+
+
+def tiles(batches: Iterator[pa.RecordBatch], most_rows: int = 1 << 17) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(rows, left, right) of each key and pair of tiles with two rows or more."""
+    for table in grouped(batches, "key", most_rows):
+        for a, n, (left, right) in zip(*buckets(table), strict=True):
+            if n > 1:
+                yield table.slice(a, n), left, right

@@ -7,28 +7,38 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, grouped, hook, materialize
+from .shared import component_ids, dealt, discard, hook, materialize, tiled, tiles
 
-#: Pairs looked at at once.
-_PAIRS = 1 << 19
+#: Bits of a table's key, and coordinates that a sketch keeps, in steps of 1 / _STEPS.
+_BITS, _KEPT, _STEPS = 16, 8, 63
+#: Vectors compared with others at once.
+_BLOCK = 1024
 
 
 @dataclass
 class Quantiser:
-    """64-bit codes: the signs of (unit vector - mean) @ turn, for each of the turns."""
+    """64-bit codes, the signs of (unit vector - mean) @ turn for each of the turns, and a sketch: the first principal
+    coordinates as bytes, whose distance is at most that of the vectors but for rounding."""
 
     mean: np.ndarray
+    axes: np.ndarray
     turns: list[np.ndarray]
 
-    def codes(self, unit: np.ndarray) -> list[np.ndarray]:
+    def codes(self, unit: np.ndarray) -> np.ndarray:
         out = []
         for turn in self.turns:
             bits = ((unit - self.mean) @ turn > 0).astype(np.uint8)
-            out.append(np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view("<u8")[:, 0])
-        return out
+            out.append(np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view("<i8")[:, 0])
+        return np.column_stack(out)
+
+    def sketch(self, unit: np.ndarray) -> np.ndarray:
+        parts = np.zeros((len(unit), _KEPT), np.int8)
+        own = (unit - self.mean) @ self.axes[:, :_KEPT]
+        parts[:, : own.shape[1]] = np.clip(np.rint(own * _STEPS), -127, 127)
+        return parts.view("<i8")[:, 0]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -37,7 +47,7 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def learn(sample: np.ndarray, rotations: int = 2, rounds: int = 30, seed: int = 3) -> Quantiser:
+def learn(sample: np.ndarray, rotations: int, rounds: int = 30, seed: int = 3) -> Quantiser:
     """Rotate the principal axes so that signs lose least (alternating signs and an orthogonal Procrustes step). With fewer
     than 64 axes, several rotations' bits make up a code."""
     mean = sample.mean(axis=0)
@@ -55,140 +65,123 @@ def learn(sample: np.ndarray, rotations: int = 2, rounds: int = 30, seed: int =
                 r = (u @ w).T
             parts.append(axes @ r)
         turns.append(np.hstack(parts)[:, :64])
-    return Quantiser(mean, turns)
+    return Quantiser(mean, axes, turns)
 
 
-def _valid(v: Column, width: int | None = None) -> Column:
+def _valid(v: Column) -> Column:
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return F.coalesce(fine if width is None else fine & (F.size(v) == width), F.lit(False))
-
-
-def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
-    return flat.to_numpy(zero_copy_only=False).reshape(-1, width)
-
-
-def _meets(codes: list[np.ndarray], i: np.ndarray, j: np.ndarray, s: int, until: int) -> np.ndarray:
-    """Whether pairs meet in one of the first `until` buckets kinds (substring, half): the half is equal, the other differs in a bit at most."""
-    out, half = np.zeros(len(i), bool), np.uint64(s // 2)
-    mask = np.uint64((1 << (s // 2)) - 1)
-    per = 64 // s
-    for kind in range(until):
-        sub, upper = divmod(kind, 2)
-        differ = codes[sub // per][i] ^ codes[sub // per][j]
-        differ = differ >> np.uint64(s * (sub % per))
-        low, high = differ & mask, (differ >> half) & mask
-        same, other = (high, low) if upper else (low, high)
-        out |= (same == 0) & (np.bitwise_count(other) <= 1)
-    return out
-
-
-def _pairs(other: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) from left and right whose `other` differs in a bit at most, in blocks; each pair once where left and right are the same."""
-    same = left is right
-    order = right[np.argsort(other[right], kind="stable")]
-    keys = other[order]
-    for mask in [0, *(1 << b for b in range(bits))]:
-        want = other[left] ^ np.uint64(mask)
-        lo, hi = np.searchsorted(keys, want), np.searchsorted(keys, want, "right")
-        ends = np.cumsum(hi - lo)
-        at = 0
-        while at < len(left):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS)))
-            n = (hi - lo)[at:to]
-            i = np.repeat(left[at:to], n)
-            j = order[np.repeat(lo[at:to] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            if same:
-                once = i < j
-                i, j = i[once], j[once]
-            if len(i):
-                yield i, j
-            at = to
-
-
-def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, rotations: int = 2, substring: int = 16, most_bits: int = 44, tile: int = 20_000, sample: int = 4096) -> DataFrame:
+    return F.coalesce(fine, F.lit(False))
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of one length as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _near_sketch(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.RecordBatch]:
+    """The rows of each bucket whose sketch is within `most` of another's: all rows that have a near vector there, and a few more."""
+    names = ["key", "lo", "hi", "own", "node"]
+    for table, left, right in tiles(batches):
+        s = np.ascontiguousarray(table.column("sketch").to_numpy()).view(np.int8).reshape(-1, _KEPT).astype(np.float32)
+        length = (s * s).sum(axis=1)
+        near = np.zeros(len(s), bool)
+        for at in range(0, len(left), _BLOCK):
+            i = left[at : at + _BLOCK]
+            close = length[i, None] + length[right] - 2 * (s[i] @ s[right].T) <= (most * _STEPS) ** 2
+            close &= i[:, None] != right
+            near[i] |= close.any(axis=1)
+            near[right] |= close.any(axis=0)
+        if near.any():
+            yield from table.select(names).filter(pa.array(near)).combine_chunks().to_batches()
+
+
+def _near(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """node, links, root of each vector that a bucket links: how many vectors it finds there that no earlier table's bucket holds
+    too, and one that it is connected with."""
+    for table, left, right in tiles(batches, 1 << 13):
+        v, codes = unit(_matrix(table.column("_v"))), _matrix(table.column("codes"))
+        keys = np.ascontiguousarray(codes).view(np.uint16).reshape(len(v), -1)
+        node, copies = (table.column(c).to_numpy() for c in ("node", "copies"))
+        earlier = (int(table.column("key")[0].as_py()) >> 32) & 0xFFFF
+        links, root = np.zeros(len(v), np.int64), np.arange(len(v))
+        for at in range(0, len(left), _BLOCK):
+            i = left[at : at + _BLOCK]
+            a, b = np.nonzero(v[i] @ v[right].T >= least)
+            a, b = i[a], right[b]
+            if left is right:
+                a, b = a[a < b], b[a < b]
+            for lo in range(0, len(a), 1 << 17):
+                x, y = a[lo : lo + (1 << 17)], b[lo : lo + (1 << 17)]
+                new = ~(keys[x, :earlier] == keys[y, :earlier]).any(axis=1)
+                x, y = x[new], y[new]
+                np.add.at(links, x, copies[y])
+                np.add.at(links, y, copies[x])
+                hook(root, x, y)
+        got = np.flatnonzero(links)
+        if len(got):
+            yield pa.RecordBatch.from_arrays([pa.array(node[got]), pa.array(links[got]), pa.array(node[root[got]])], ["node", "links", "root"])
+
+
+def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, rotations: int = 6, tile: int = 20_000, sample: int = 4096, most_lengths: int = 64) -> DataFrame:
     """id_col (long), n_links, component_id, kept for every row.
 
-    Rows whose vector is null, zero, has null or non-finite components, or another length than most of the sample, link with
-    nothing. Equal vectors are one class, with its number of copies. Codes are fitted on `sample` vectors of least id hash, and
-    every vector is indexed: two meet in a table if one of their codes' substrings differs in a bit at most. To meet, vectors
-    go to a bucket for each half of each substring; pairs that meet in several are taken in the first alone. Those whose codes
-    differ in at most most_bits bits are verified by the cosine. A bucket returns a row for each linked vector (how many it
-    found, and one that it is connected with), not the pairs; one of over `tile` vectors is dealt to pairs of tiles.
+    Rows whose vector is null, zero, or has null or non-finite components link with nothing; vectors of different lengths don't
+    link. Equal vectors are one class, with its number of copies. Rows of null or repeated ids are vectors like others; a
+    component's id is its smallest id, null if it has none. kept: the id is the component's, and where it has none, all rows.
+    An empty table gives an empty result; further columns are not read.
+
+    For each length, codes are fitted on about `sample` vectors of least hash, and every vector is indexed: two meet if 16 bits
+    that stand together in a code are equal, in 4 tables for each rotation. Tables are shuffled without vectors, with a sketch
+    of 8 bytes, whose distance is a bound of the true one, so that what it leaves out is never a link. Only vectors with a
+    near sketch in a bucket are fetched there, and their cosines taken in double precision. A bucket returns a row for each
+    linked vector (how many it found first, and one that it is connected with), not the pairs; one of over `tile` vectors is
+    dealt to pairs of tiles. More than most_lengths lengths are an error.
     """
-    spark = vectors.sparkSession
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
-    drawn = rows.where(_valid(F.col("_v"))).select(F.xxhash64("_id").alias("h"), "_id", "_v").orderBy("h", "_id").limit(sample).select("_v").toArrow()["_v"].to_pylist()
-    if not drawn:
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    v = F.col(vector_col).cast(f"array<{kind}>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.when(_valid(v), v).alias("_v"))
+    rows = rows.withColumn("_a", F.when(F.col("_v").isNotNull(), F.xxhash64(F.lit(1), "_v"))).withColumn("_b", F.when(F.col("_v").isNotNull(), F.xxhash64(F.lit(2), "_v")))
+    good = rows.where(F.col("_v").isNotNull())
+    lengths = {r["n"]: r["m"] for r in good.groupBy(F.size("_v").alias("n")).agg(F.count(F.lit(1)).alias("m")).limit(most_lengths + 1).collect()}
+    if len(lengths) > most_lengths:
+        raise ValueError(f"vectors of over {most_lengths} lengths")
+    if not lengths:
         return rows.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
-    lengths = [len(v) for v in drawn]
-    width = max(sorted(set(lengths)), key=lengths.count)
-    quantiser = learn(unit(np.array([v for v in drawn if len(v) == width])), rotations)
-    kinds, half = range(2 * rotations * (64 // substring)), substring // 2
+    # Of each length, so many by hash that about 4 x sample are left to be ranked.
+    share = F.lit(0)
+    for n, m in lengths.items():
+        share = F.when(F.size("_v") == n, min(1 << 20, 4 * sample * (1 << 20) // m + 1)).otherwise(share)
+    some = good.withColumn("_h", F.xxhash64("_a", "_id")).where(F.pmod("_h", F.lit(1 << 20)) < share)
+    drawn = some.withColumn("_r", F.row_number().over(Window.partitionBy(F.size("_v")).orderBy("_h", "_a"))).where(F.col("_r") <= sample).select("_v").toArrow()["_v"].to_pylist()
+    quantisers = {n: learn(unit(np.array([x for x in drawn if len(x) == n])), rotations) for n in lengths}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = quantiser.codes(unit(_matrix(batch.column("_v"), width))) if batch.num_rows else [np.empty(0, np.uint64)] * rotations
-            lists = np.column_stack(codes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(lists), pa.list_(pa.int64()))], ["_v", "node", "copies", "codes"])
-
-    classes = materialize(rows.where(_valid(F.col("_v"), width)).groupBy("_v").agg(F.min("_id").alias("node"), F.count(F.lit(1)).alias("copies")).mapInArrow(encode, "_v array<double>, node long, copies long, codes array<long>"), "vectors")
-    per = 64 // substring
-    keys = [f"{k}L * {1 << 40}L + (shiftrightunsigned(codes[{k // 2 // per}], {substring * (k // 2 % per) + half * (k % 2)}) & {(1 << half) - 1}L)" for k in kinds]
-    spread = classes.select("*", F.explode(F.array(*map(F.expr, keys))).alias("key"))
-    # A row for each kind and value of a half: kinds x 2^half at most.
-    sizes = classes.select(F.explode(F.array(*map(F.expr, keys))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
-    spread = spread.join(F.broadcast(sizes), "key", "left").withColumn("tiles", F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int"))
-    spread = spread.withColumn("own", F.pmod(F.xxhash64("node"), "tiles").cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    spread = spread.withColumn("bucket", F.concat_ws(",", "key", F.least("own", "b"), F.greatest("own", "b")))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64((1 << half) - 1)
-        for table in grouped(batches, "bucket", 1 << 13):
-            bucket = table.column("bucket").to_numpy()
-            edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if hi - lo < 2:
-                    continue
-                part = table.slice(lo, hi - lo)
-                v = unit(_matrix(part.column("_v"), width))
-                c = _matrix(part.column("codes"), rotations).view(np.uint64)
-                codes = [np.ascontiguousarray(c[:, r]) for r in range(rotations)]
-                node, copies, own = (part.column(x).to_numpy() for x in ("node", "copies", "own"))
-                kind = int(part.column("key")[0].as_py()) >> 40
-                sub, upper = divmod(kind, 2)
-                other = (codes[sub // per] >> np.uint64(substring * (sub % per) + half * (1 - upper))) & mask
-                tiles = np.unique(own)
-                name = bucket[lo].split(",")
-                if name[1] != name[2] and len(tiles) == 2:
-                    left, right = np.flatnonzero(own == tiles[0]), np.flatnonzero(own == tiles[1])
-                elif name[1] == name[2]:
-                    left = right = np.arange(hi - lo)
-                else:
-                    continue
-                links, root = np.zeros(hi - lo, np.int64), np.arange(hi - lo)
-                for i, j in _pairs(other, left, right, half):
-                    near = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in codes) <= most_bits
-                    i, j = i[near], j[near]
-                    new = ~_meets(codes, i, j, substring, kind)
-                    i, j = i[new], j[new]
-                    for at in range(0, len(i), 1 << 15):
-                        a, b = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-                        close = np.einsum("ij,ij->i", v[a], v[b]) >= least
-                        a, b = a[close], b[close]
-                        np.add.at(links, a, copies[b])
-                        np.add.at(links, b, copies[a])
-                        hook(root, a, b)
-                got = np.flatnonzero(links)
-                if len(got):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[got]), pa.array(links[got]), pa.array(node[root[got]])], ["node", "links", "root"])
-
-    ordered = spread.select("bucket", "key", "own", "node", "copies", "codes", "_v").repartition("bucket").sortWithinPartitions("bucket")
-    found = materialize(ordered.mapInArrow(search, "node long, links long, root long"), "links", few_files=True)
+            own = np.diff(batch.column("_v").offsets.to_numpy())
+            for n in np.unique(own):
+                part = batch.filter(pa.array(own == n))
+                u = unit(_matrix(part.column("_v")))
+                codes = pa.array(list(quantisers[int(n)].codes(u)), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, codes, pa.array(quantisers[int(n)].sketch(u))], [*part.schema.names, "codes", "sketch"])
+
+    grouped = good.groupBy("_a", "_b").agg(F.min("_id").alias("real"), F.count(F.lit(1)).alias("copies"), F.first("_v").alias("_v")).withColumn("node", F.monotonically_increasing_id())
+    classes = materialize(grouped.mapInArrow(encode, f"_a long, _b long, real long, copies long, _v array<{kind}>, node long, codes array<long>, sketch long"), "vectors")
+    per, length = 64 // _BITS, F.size("_v").cast("long") * F.lit(1 << 48)
+    keys = [F.expr(f"{t}L * {1 << 32}L + (shiftrightunsigned(codes[{t // per}], {_BITS * (t % per)}) & {(1 << _BITS) - 1}L)") + length for t in range(per * rotations)]
+    spread = classes.select("node", "sketch", F.explode(F.array(*keys)).alias("key"))
+    # The rounding of two sketches adds at most sqrt(8) steps.
+    bound = (2 - 2 * least) ** 0.5 + _KEPT**0.5 / _STEPS + 1e-9
+    flagged = tiled(spread, tile).mapInArrow(lambda b: _near_sketch(b, bound), "key long, lo int, hi int, own int, node long")
+    flagged = materialize(flagged, "flagged", few_files=True)
+    fetched = flagged.join(classes.select("node", "copies", "codes", "_v"), "node").select("key", "lo", "hi", "own", "node", "copies", "codes", "_v")
+    found = materialize(dealt(fetched).mapInArrow(lambda b: _near(b, least), "node long, links long, root long"), "links", few_files=True)
+    discard(flagged)
     totals = found.groupBy("node").agg(F.sum("links").alias("links"))
-    labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = classes.select("_v", "node", "copies").join(totals, "node", "left").join(labels.toDF("node", "label"), "node", "left")
-    known = known.select(F.col("_v").alias("_w"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("label", "node").alias("c"))
-    out = rows.join(known, F.col("_v") == F.col("_w"), "left")
-    component = F.coalesce("c", "_id")
-    return out.select(F.col("_id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("_id")).alias("kept"))
+    labels = component_ids(classes, found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    known = classes.select("_a", "_b", "node", "copies").join(totals, "node", "left").join(labels, "node")
+    known = known.select(F.col("_a").alias("_c"), F.col("_b").alias("_d"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.lit(True).alias("_known"), "component_id")
+    out = rows.drop("_v").join(known, (F.col("_a") == F.col("_c")) & (F.col("_b") == F.col("_d")), "left")
+    component = F.when(F.col("_known"), F.col("component_id")).otherwise(F.col("_id"))
+    kept = F.coalesce(component == F.col("_id"), component.isNull())
+    return out.select(F.col("_id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"))
