@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import hmac
 import ipaddress
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import date
 
 import pyarrow as pa
@@ -45,17 +46,21 @@ def pseudonym(key: bytes, tweak: str, x: int, size: int) -> int:
     return permute(key, tweak, (permute(key, tweak, x, size) + 1) % size, size, back=True)
 
 
-def _by_places(key: bytes, tweak: str, text: str, alphabets: list[str]) -> str:
-    """text, each character of which stands in its place's alphabet, permuted among all such texts."""
-    x = size = 0
-    size = 1
+def _by_places(key: bytes, tweak: str, text: str, alphabets: list[str], member: Callable[[str], bool] | None = None) -> str:
+    """text, each character of which stands in its place's alphabet, permuted among all such texts; with member, among those of
+    them that it holds true, by walking on along the cycle until the next one."""
+    x, size = 0, 1
     for c, letters in zip(text, alphabets, strict=True):
         x, size = x * len(letters) + letters.index(c), size * len(letters)
-    x, out = pseudonym(key, f"{tweak}|{len(text)}|{size}", x, size), []
-    for letters in reversed(alphabets):
-        x, i = divmod(x, len(letters))
-        out.append(letters[i])
-    return "".join(reversed(out))
+    while True:
+        x = rest = pseudonym(key, f"{tweak}|{len(text)}|{size}", x, size)
+        out = []
+        for letters in reversed(alphabets):
+            rest, i = divmod(rest, len(letters))
+            out.append(letters[i])
+        new = "".join(reversed(out))
+        if member is None or member(new):
+            return new
 
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -87,17 +92,19 @@ def _card(key: bytes, m: re.Match) -> str | None:
     return _digits_in(m[0], body + str(luhn(body)))
 
 
+def _dialled(digits: str) -> bool:
+    """Whether ten digits can be an area and exchange code of the North American plan with a number."""
+    return digits[0] in "23456789" and digits[3] in "23456789"
+
+
 def _phone(key: bytes, m: re.Match) -> str | None:
     code, rest = m["code"] or "", m[0][len(m["code"] or "") :]
     digits = re.sub(r"\D", "", rest)
     if not 7 <= len(digits) <= 12:
         return None
-    places = [_DIGITS] * len(digits)
-    if len(digits) == 10:
-        places[0] = places[3] = "23456789"
-    if any(c not in p for c, p in zip(digits, places, strict=True)):
-        places = [_DIGITS] * len(digits)
-    return code + _digits_in(rest, _by_places(key, "phone", digits, places))
+    # Ten digits that can be dialled and those that cannot are permuted apart, so that no two get one pseudonym.
+    own = None if len(digits) != 10 else _dialled if _dialled(digits) else lambda x: not _dialled(x)
+    return code + _digits_in(rest, _by_places(key, "phone", digits, [_DIGITS] * len(digits), own))
 
 
 def _ssn(key: bytes, m: re.Match) -> str | None:
@@ -121,6 +128,32 @@ def _ip(key: bytes, m: re.Match) -> str | None:
     return str(ipaddress.IPv4Address(pseudonym(key, "ip", x, 1 << 32)))
 
 
+_HEX = "0123456789abcdef"
+
+
+def _ip6(key: bytes, m: re.Match) -> str | None:
+    """Groups that are zero stay so; the others are permuted together among groups of as many digits."""
+    try:
+        value = ipaddress.IPv6Address(m[0])
+    except ValueError:
+        return None
+    groups = value.exploded.split(":")
+    plain = [g.lstrip("0") for g in groups]
+    if sum(map(bool, plain)) < 3:
+        return None
+    text = "".join(plain)
+    places = [_HEX[1:] if i == 0 else _HEX for g in plain for i in range(len(g))]
+    new = iter(_by_places(key, "ip6" + ",".join(str(len(g)) for g in plain), text, places))
+    names = {g: "".join(next(new) for _ in p) for g, p in enumerate(plain)}
+    head, double, tail = m[0].partition("::")
+    left, right = (part.split(":") if part else [] for part in (head, tail))
+    at = [*range(len(left)), *range(8 - len(right), 8)]
+    out = [names[g].rjust(len(old), "0") for g, old in zip(at, left + right, strict=True)]
+    if m[0] != m[0].lower():
+        out = [g.upper() for g in out]
+    return ":".join(out[: len(left)]) + double + ":".join(out[len(left) :])
+
+
 def _iban_check(country: str, bban: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in bban + country + '00')) % 97:02d}"
 
@@ -160,8 +193,7 @@ _CHUNK = 64
 
 def _secret(key: bytes, m: re.Match) -> str:
     value = m["secret"]
-    hexes = "0123456789abcdef"
-    places = [hexes] * len(value) if set(value) <= set(hexes) else [_alphabet(c) for c in value]
+    places = [_HEX] * len(value) if set(value) <= set(_HEX) else [_alphabet(c) for c in value]
     out, tweak = m[0][: m.start("secret") - m.start()], "secret"
     # What is over _CHUNK characters is permuted in chunks, each by a permutation that the texts before it choose.
     for at in range(0, len(value), _CHUNK):
@@ -171,31 +203,44 @@ def _secret(key: bytes, m: re.Match) -> str:
     return out
 
 
-#: Days that a date is permuted among: 1900-01-01 to 2099-12-31.
-_FIRST_DAY, _DAYS = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal() - date(1900, 1, 1).toordinal() + 1
+def _ranges(month: int, day: int) -> tuple[int, int, int, int]:
+    """(first month, months, first day, days) of a date's class: what keeps its month and day as long, written without zeros,
+    and keeps a day of over 12 one, so that the order of day and month can still be read off."""
+    m0, months = (1, 9) if month < 10 else (10, 3)
+    d0, days = (1, 9) if day < 10 else (10, 3) if day < 13 else (13, 19)
+    return m0, months, d0, days
+
+
+def _new_date(key: bytes, old: date) -> date:
+    """Permuted within its class, and among the years 1900 to 2099 or those outside of them."""
+    m0, months, d0, days = _ranges(old.month, old.day)
+    near = 1900 <= old.year <= 2099
+    years = 200 if near else 9799
+    year = old.year - 1900 if near else old.year - 1 if old.year < 1900 else old.year - 201
+    x = (year * months + old.month - m0) * days + old.day - d0
+    while True:
+        x = pseudonym(key, f"date|{near}|{m0}|{d0}", x, years * months * days)
+        rest, day = divmod(x, days)
+        year, month = divmod(rest, months)
+        year = year + 1900 if near else year + 1 if year < 1899 else year + 201
+        with contextlib.suppress(ValueError):  # a month's days run out: the next along the cycle
+            return date(year, month + m0, day + d0)
 
 
 def _date(key: bytes, m: re.Match) -> str | None:
+    """Equal dates have equal pseudonyms however they are written; a.b.year is read day first, a/b/year and a-b-year month first
+    unless a is over 12."""
     sep = m["sep"]
-    a, b, c = (int(x) for x in m[0].split(sep))
-    year_first = a > 31
+    parts = m[0].split(sep)
+    a, b, c = map(int, parts)
+    year_first = len(parts[0]) == 4
     day_first = not year_first and (sep == "." or a > 12)
-    y, mo, d = (a, b, c) if year_first else (c, b, a) if day_first else (c, a, b)
     try:
-        x = date(y, mo, d).toordinal() - _FIRST_DAY
+        new = _new_date(key, date(a, b, c) if year_first else date(c, b, a) if day_first else date(c, a, b))
     except ValueError:
         return None
-    if not 0 <= x < _DAYS:
-        return None
-    # A day of over 12 comes back as one, so that the order of day and month can still be read off.
-    def fits(z: date) -> bool:
-        return year_first or sep == "." or (z.day > 12) == (d > 12)
-
-    new = date.fromordinal(_FIRST_DAY + pseudonym(key, "date", x, _DAYS))
-    while not fits(new):
-        new = date.fromordinal(_FIRST_DAY + pseudonym(key, "date", new.toordinal() - _FIRST_DAY, _DAYS))
     order = (new.year, new.month, new.day) if year_first else (new.day, new.month, new.year) if day_first else (new.month, new.day, new.year)
-    return sep.join(f"{x:04d}" if x > 31 else f"{x:02d}" for x in order)
+    return sep.join(str(x).rjust(len(old), "0") for x, old in zip(order, parts, strict=True))
 
 
 #: In order; what one has replaced isn't seen by the next.
@@ -208,6 +253,7 @@ _KINDS = [
     ("date", re.compile(r"(?<![\w.+-])(?:\d{1,2}(?P<sep>[-/.])\d{1,2}(?P=sep)\d{4})(?![\w-]|\.\d)"), _date),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn),
     ("ip", re.compile(r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"), _ip),
+    ("ip6", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,7}(?::|[0-9A-Fa-f]{1,4})(?::?[0-9A-Fa-f]{1,4}){0,6}(?![\w:]|\.\d)"), _ip6),
     ("card", re.compile(r"(?<![\w+])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\w)"), _card),
     ("phone", re.compile(r"(?<![\w.+-])(?P<code>\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"), _phone),
     ("phone", re.compile(r"(?<![\w.+-])(?P<code>)(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w)"), _phone),
@@ -239,7 +285,8 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, int]:
 
 def pseudonymised(docs: DataFrame, secret: str, text_col: str = "text", count_col: str = "n_pii") -> DataFrame:
     """docs with text_col rewritten, and count_col (long; replaces a column of that name). Null texts stay null and count 0;
-    all other columns and every row stay as they are. One pass over whole texts without a shuffle."""
+    all other columns, whatever their names, and every row stay as they are, repeated rows alike and an empty table empty. Equal
+    values get equal pseudonyms across all texts under one secret. One pass over whole texts, however long, without a shuffle."""
     key = hashlib.sha256(secret.encode()).digest()
     rows = docs.drop(count_col).withColumn(count_col, F.lit(0).cast("long"))
     names = rows.columns
