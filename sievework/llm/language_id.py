@@ -161,21 +161,39 @@ def document_probabilities(net: Network, texts: list[bytes], width: int = 256) -
     return sums / np.maximum(1, [[len(t)] for t in texts])
 
 
-def learn(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 160, chars: int = 400, **options) -> Network | None:
-    """Train on per_lang passages for each language, of chars characters each: the rows of least hash among those allowed, the
-    passage at a place that the hash picks too. None if no row is labelled."""
-    h = F.xxhash64(F.col(id_col).cast("string"))
-    at = F.pmod(h, F.greatest(F.length(text_col) - chars, F.lit(0)) + 1) + 1
-    rows = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(lang_col).alias("_lang"), h.alias("_h"), F.col(id_col).cast("string").alias("_id"), F.substring(F.col(text_col), at, F.lit(chars)).alias("_cut")
-    )
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id", "_cut"))).where(F.col("_n") <= per_lang)
-    samples = [(r["_lang"], r["_cut"].encode()) for r in first.select("_lang", "_cut").orderBy("_lang", "_cut").collect()]
+def windows_of(text: bytes, n: int, width: int, seed: int) -> list[bytes]:
+    """n windows of width bytes, one from each n-th of the whole text at a place that the seed picks; a shorter text itself."""
+    if len(text) <= width:
+        return [text]
+    room = len(text) - width + 1
+    places = np.random.default_rng(seed).random(min(n, room))
+    return [text[at : at + width] for at in ((np.arange(len(places)) + places) * room / len(places)).astype(np.int64).tolist()]
+
+
+def learn(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 160, windows: int = 24, width: int = 128, **options) -> Network | None:
+    """Train on per_lang rows for each language, those of least hash among the ones allowed, the labelled rows' number being all
+    that is bounded: each gives `windows` windows of width bytes, drawn over its whole text where it lies, so no more than these
+    come to the driver. Of rows equal in id and text one is learned from. None if no row is labelled."""
+    keys = [F.xxhash64(F.col(id_col).cast("string")).alias("_h"), F.xxhash64(F.lit(1), id_col, text_col).alias("_t")]
+    rows = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("_lang"), *keys, F.col(text_col).alias("_text"))
+    first = rows.select("_lang", "_h", "_t").withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_t"))).where(F.col("_n") <= per_lang)
+    picked = docs.sparkSession.createDataFrame(first.select("_lang", "_h", "_t").distinct().collect(), "_lang string, _h long, _t long")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [windows_of(t.encode(), windows, width, h & 0xFFFFFFFF) for t, h in zip(batch.column("_text").to_pylist(), batch.column("_t").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("_lang"), batch.column("_t"), pa.array(found, pa.list_(pa.binary()))], ["_lang", "_t", "cuts"])
+
+    # The rows picked are few (a row limit for each language), so they are broadcast and texts don't move.
+    cuts = rows.join(F.broadcast(picked), ["_lang", "_h", "_t"]).select("_lang", "_t", "_text").mapInArrow(cut, "_lang string, _t long, cuts array<binary>")
+    got = cuts.dropDuplicates(["_lang", "_t"]).orderBy("_lang", "_t").collect()
+    samples = [(r["_lang"], bytes(c)) for r in got for c in r["cuts"]]
     return train(samples, **options) if any(t for _, t in samples) else None
 
 
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, lang_pred, score for every row: `und` and 0.0 where the text is null or has no letter, or nothing was learned."""
+    """id_col, lang_pred, score for every row, repeated rows alike: `und` and 0.0 where the text is null or has no letter, or
+    nothing was learned. Whole texts, however long, are read in windows; of other columns none is read."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
