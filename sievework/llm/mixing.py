@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .laws import hypergeometric
 from .shared import WORD, materialize
 
 
@@ -32,87 +33,138 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), total: float
     return full.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def _uniform(*parts: Column | str) -> Column:
-    """In (0, 1), from a hash of the parts; the same in any engine."""
-    text = F.concat_ws("|", *(F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("\0")) for p in parts))
-    return (F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-
-
 def shard_quotas(leaves: DataFrame, quotas: DataFrame, depth: int, seed: str) -> DataFrame:
     """source, shard, quota: quotas' blocks of each source (source, quota), dealt to its shards (source, shard, blocks).
 
-    A binary tree over shard numbers: a node with N blocks, L of them on its left, passes q quota blocks on by a draw of the
-    number that fall left when q of N are taken without replacement, and the rest right, so that quotas stay whole. The draw
-    is from the hypergeometric law's mean and variance (normal, rounded, within its bounds), by a hash of the node.
+    A binary tree over shard numbers: a node with N blocks, L of them on its left, passes on to the left as many of its q quota
+    blocks as fall there when q of N are taken without replacement, an exact hypergeometric draw by a hash of the node, and the
+    rest to the right. So the leaves' quotas are one multivariate hypergeometric draw, and stay whole. Each leaf walks down from
+    the root on its own, making its path's draws again, which are the same for all leaves below: one pass, no round a level.
     """
-    node = quotas.select("source", F.lit(0).cast("long").alias("node"), F.col("quota").cast("long").alias("quota"))
-    for level in range(depth):
-        step = 1 << (depth - level - 1)
-        inner = leaves.groupBy("source", F.floor(F.col("shard") / (2 * step)).cast("long").alias("node")).agg(
-            F.sum("blocks").alias("n"), F.sum(F.when(F.floor(F.col("shard") / step) % 2 == 0, F.col("blocks")).otherwise(0)).alias("left")
-        )
-        q, n, left = F.col("quota"), F.col("n"), F.col("left")
-        at = [F.col("source"), F.lit(level), F.col("node")]
-        normal = F.sqrt(-2 * F.log(_uniform(seed, "a", *at))) * F.cos(2 * F.lit(3.141592653589793) * _uniform(seed, "b", *at))
-        spread = F.when(n > 1, F.sqrt(q * (left / n) * (1 - left / n) * (n - q) / (n - 1))).otherwise(0.0)
-        drawn = F.greatest(F.lit(0), q - (n - left), F.least(q, left, F.floor(q * (left / n) + spread * normal + 0.5)))
-        both = node.join(inner, node.source.eqNullSafe(inner.source) & (node.node == inner.node)).select(node.source, node.node, "quota", "n", "left").withColumn("drawn", F.when(n > 0, drawn).otherwise(0).cast("long"))
-        node = both.select("source", F.explode(F.array(F.struct((2 * F.col("node")).alias("node"), F.col("drawn").alias("quota")), F.struct((2 * F.col("node") + 1).alias("node"), (q - F.col("drawn")).alias("quota")))).alias("c")).select("source", "c.node", "c.quota")
-    return node.select("source", F.col("node").alias("shard"), "quota")
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", depth: int = 8, block: int = 16, seed: str = "mix") -> DataFrame:
-    """id_col, source, size, source_size, target, taken, passes, partial_blocks, shard, place: what the mix takes of each row.
-
-    Each source gives `passes` whole passes over its documents, and blocks of `block` words for the rest of its target: the
-    rest's blocks are split among 2^depth output shards (a document's shard is a hash of its id), and in each shard drawn from
-    its documents in permuted order, without replacement. place orders a shard's documents at random. Null ids are documents
-    like others (all in one shard), as are repeated rows; null sources are a source. A source's hot shards hold at most its
-    rows / 2^depth, sorted by (id, size) alone; nothing else of a row moves.
+    paths = leaves.select("source", "shard", "blocks", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level"))
+    paths = paths.withColumn("node", F.expr(f"shiftright(shard, {depth} - level)")).withColumn("on_left", F.expr(f"shiftright(shard, {depth} - 1 - level) % 2 = 0"))
+    nodes = paths.groupBy(F.col("source").alias("_s"), F.col("level").alias("_level"), F.col("node").alias("_node")).agg(F.sum("blocks").alias("n"), F.sum(F.when(F.col("on_left"), F.col("blocks")).otherwise(0)).alias("left"))
+    met = paths.join(nodes, F.col("source").eqNullSafe(F.col("_s")) & (F.col("level") == F.col("_level")) & (F.col("node") == F.col("_node")))
+    name = F.concat_ws("|", F.lit(seed), F.coalesce("source", F.lit(_NONE)), F.col("level").cast("string"), F.col("node").cast("string"))
+    steps = met.groupBy("source", "shard").agg(F.array_sort(F.collect_list(F.struct("level", "n", "left", "on_left", name.alias("name")))).alias("path"))
+
+    def step(q: Column, e: Column) -> Column:
+        return F.transform(F.array(hypergeometric(e["n"], e["left"], q, e["name"])), lambda d: F.when(e["on_left"], d).otherwise(q - d))[0]
+
+    dealt = steps.join(quotas.select(F.col("source").alias("_s"), "quota"), F.col("source").eqNullSafe(F.col("_s")))
+    whole = F.filter("path", lambda e: e["n"] > 0)
+    return dealt.select("source", "shard", F.aggregate(whole, F.col("quota"), step).alias("quota"))
+
+
+#: What stands for a null in hashes.
+_NONE = "(none)"
+
+
+def _number(text: Column, digits: int) -> Column:
+    """The number that the first hexadecimal digits of a SHA-256 stand for; the same in any engine."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, digits), 16, 10).cast("long")
+
+
+def _depth(docs: DataFrame, depth: int | None) -> int:
+    if depth is None:
+        rows, depth = docs.count(), 8
+        while rows >> depth > _PER_SHARD:
+            depth += 1
+    return depth
+
+
+def _shard(depth: int) -> Column:
+    return F.conv(F.substring("h", 1, 12), 16, 10).cast("long") % (1 << depth)
+
+
+#: Rows of a shard at most, on average, before there are more shards.
+_PER_SHARD = 1 << 14
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """row, id, source, size, h (a hash of id, source and text) and more, for each of docs; row is a number that no other row has,
+    once this is written."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit(_NONE)) for c in (id_col, source_col, text_col)]
+    h = F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 24)
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), h.alias("h"), *more)
+
+
+def _planned(rows: DataFrame, depth: int, block: int, seed: str) -> tuple[DataFrame, Column]:
+    """(cuts, the blocks of a row that are drawn, as a column over rows joined with their cut).
+
+    cuts: source, shard, source_size, target, passes, and last: the place of the last block drawn in the shard's permutation.
     """
-    hashed = F.sha2(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit("\0"))), 256)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")).withColumn("place", hashed)
-    rows = rows.withColumn("shard", F.conv(F.substring("place", 1, 12), 16, 10).cast("long") % (1 << depth)).withColumn("blocks", F.ceil(F.col("size") / block).cast("long"))
-    rows = materialize(rows, "sizes")
-    leaves = materialize(rows.groupBy("source", "shard").agg(F.sum("blocks").alias("blocks"), F.sum("size").alias("size")), "shards", few_files=True)
+    shard = _shard(depth)
+    n = F.ceil(F.col("size") / block).cast("int")
+    leaves = materialize(rows.groupBy("source", shard.alias("shard")).agg(F.sum(n.cast("long")).alias("blocks"), F.sum("size").alias("size")), "shards", few_files=True)
     sources = leaves.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("blocks").alias("n"))
     plan = targets(sources.select("source", "source_size"))
     plan = plan.join(sources.select(F.col("source").alias("_s"), "n"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     plan = plan.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     rest = F.col("target") - F.col("passes") * F.col("source_size")
     plan = materialize(plan.withColumn("quota", F.when(F.col("source_size") > 0, F.floor(F.col("n") * rest / F.col("source_size") + 0.5)).otherwise(0).cast("long")), "plan", few_files=True)
-    quotas = shard_quotas(leaves, plan, depth, seed).toDF("_s", "_shard", "quota")
-    quotas = materialize(quotas.join(plan.drop("quota", "n"), F.col("_s").eqNullSafe(F.col("source"))).drop("source"), "quotas", few_files=True)
-    out = rows.join(quotas, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_shard")))
-    before = F.sum("blocks").over(Window.partitionBy("source", "shard").orderBy("place", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("blocks")
-    out = out.withColumn("partial_blocks", F.greatest(F.lit(0), F.least(F.col("blocks"), F.col("quota") - before)).cast("long"))
-    taken = F.col("passes") * F.col("size") + F.least("size", F.col("partial_blocks") * block)
-    return out.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "passes", "partial_blocks", "shard", "place")
+    quotas = materialize(shard_quotas(leaves, plan.select("source", "quota"), depth, seed).toDF("_s", "_shard", "quota"), "quotas", few_files=True)
+
+    def place(b: Column) -> Column:
+        """Of a block in its shard's permutation: a hash of it, so blocks of equal rows tie and are told apart by their row."""
+        return F.struct(_number(F.concat_ws("|", F.lit(seed), "h", b.cast("string")), 15).alias("p"), F.col("row").alias("r"), b.alias("b"))
+
+    blocks = F.transform(F.sequence(F.lit(0), n - 1), place)
+    spread = rows.where("size > 0").select("source", shard.alias("shard"), F.explode(blocks).alias("at"))
+    ranked = spread.withColumn("k", F.row_number().over(Window.partitionBy("source", "shard").orderBy("at")))
+    met = ranked.join(quotas, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_shard"))).where(F.col("k") <= F.col("quota"))
+    last = materialize(met.groupBy("_s", "_shard").agg(F.max("at").alias("last")), "last", few_files=True)
+    cuts = quotas.select("_s", "_shard").join(last.toDF("_t", "_u", "last"), F.col("_s").eqNullSafe(F.col("_t")) & (F.col("_shard") == F.col("_u")), "left")
+    cuts = cuts.join(plan.select("source", "source_size", "target", "passes"), F.col("_s").eqNullSafe(F.col("source"))).select("_s", "_shard", "source_size", "target", "passes", "last")
+    chosen = F.when((F.col("size") > 0) & F.col("last").isNotNull(), F.transform(F.filter(blocks, lambda x: x <= F.col("last")), lambda x: x.b)).otherwise(F.array().cast("array<int>"))
+    return materialize(cuts, "cuts", few_files=True), chosen
+
+
+def _met(rows: DataFrame, cuts: DataFrame, depth: int) -> DataFrame:
+    return rows.withColumn("shard", _shard(depth)).join(cuts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_shard")))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", depth: int | None = None, block: int = 16, seed: str = "mix") -> DataFrame:
+    """id_col, source, size, source_size, target, taken, passes, partial_blocks, shard: what the mix takes of each row.
+
+    Each source gives `passes` whole passes over its documents, and blocks of `block` words for the rest of its target (a
+    document's last block may be shorter). The rest's blocks are split among 2^depth output shards by shard_quotas(); a
+    document's shard is a hash of it. In each shard its quota's blocks are the first of a random permutation of the blocks of
+    all its documents, so no block is drawn twice. Without depth, there are 256 shards or more, of about 16,000 rows at most.
+
+    Null and repeated ids are documents like others, null texts are of size 0, null sources are a source; rows equal in id,
+    source and text are drawn from apart. An empty table gives an empty result; other columns are not read. A hot source is
+    dealt to all shards, and nothing but numbers of a row and its blocks moves.
+    """
+    rows = materialize(_numbered(docs, id_col, text_col, source_col), "sizes")
+    depth = _depth(rows, depth)
+    cuts, chosen = _planned(rows, depth, block, seed)
+    out = _met(rows, cuts, depth).withColumn("chosen", chosen)
+    drawn = F.aggregate("chosen", F.lit(0).cast("long"), lambda s, b: s + F.least(F.lit(block), F.col("size") - b * block))
+    taken = F.col("passes") * F.col("size") + drawn
+    return out.select(F.col("id").alias(id_col), F.col("source").alias("source"), "size", "source_size", "target", taken.alias("taken"), "passes", F.size("chosen").alias("partial_blocks"), "shard")
 
 
-def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", depth: int = 8, block: int = 16, seed: str = "mix") -> DataFrame:
-    """The mix itself, with docs' columns: a row for each whole pass over a document, and one with its partial draw's words.
+def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", depth: int | None = None, block: int = 16, seed: str = "mix") -> DataFrame:
+    """The mix itself, with docs' columns, whatever their names: a row for each whole pass over a document, and one with its
+    partial draw's words; what mixed() says of each row. n_chars, where there is one, follows the text.
 
-    A partial draw of all blocks is the whole text; else the drawn blocks' words, in order, joined by spaces; the last block, as
-    it may be short, is drawn last. Texts meet
-    their shard's cut by (source, shard), of which there are 2^depth for a hot source.
+    A partial draw of all blocks is the whole text; else the drawn blocks' words, in order, joined by spaces. Rows lie by output
+    shard, shuffled within it: texts are written once by shard, and rows of a shard put in an order by hash after they are cut.
     """
     columns = docs.columns
-    taken = mixed(docs, id_col, text_col, source_col, depth, block, seed)
-    last = F.when(F.col("partial_blocks") > 0, F.struct("place", "partial_blocks"))
-    cuts = materialize(taken.groupBy(F.col("source").alias("_s"), F.col("shard").alias("_c")).agg(F.first("passes").alias("_passes"), F.max(last).alias("_last")), "cuts", few_files=True)
-    place = F.sha2(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("\0"))), 256)
-    rows = docs.withColumn("_place", place).withColumn("_shard", F.conv(F.substring("_place", 1, 12), 16, 10).cast("long") % (1 << depth))
-    rows = rows.join(cuts, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_c")))
-    n_blocks = F.ceil(size_of(F.col(text_col)) / block).cast("int")
-    own = F.when(F.col("_place") < F.col("_last.place"), n_blocks).when(F.col("_place") == F.col("_last.place"), F.col("_last.partial_blocks").cast("int")).otherwise(0)
-    rows = rows.withColumn("_n", n_blocks).withColumn("_own", F.coalesce(own, F.lit(0)))
-    ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda b: F.struct((b == F.col("_n") - 1).alias("end"), F.xxhash64(F.lit(seed), F.col("_place"), b).alias("h"), b.alias("b"))))
-    chosen = F.array_sort(F.transform(F.slice(ranked, 1, F.col("_own")), lambda x: x.b))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform(chosen, lambda b: F.slice(words, b * block + 1, F.lit(block)))), " ")
-    whole = F.array_repeat(F.col(text_col), F.col("_passes").cast("int"))
-    partial = F.when(F.col("_own") <= 0, F.array().cast("array<string>")).when(F.col("_own") >= F.col("_n"), F.array(F.col(text_col))).otherwise(F.array(cut))
-    out = rows.withColumn("_drawn", F.explode(F.concat(whole, partial)))
-    new = {text_col: F.col("_drawn")} | ({"n_chars": F.length("_drawn").cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {})
-    return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in columns))
+    doc = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc")
+    depth = _depth(docs, depth)
+    rows = _numbered(docs, id_col, text_col, source_col, doc).drop("row").repartition(_shard(depth))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    cuts, chosen = _planned(rows.select("row", "source", "size", "h"), depth, block, seed)
+    text = F.col(f"doc.`{text_col}`")
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    cut = F.array_join(F.flatten(F.transform("chosen", lambda b: F.slice(words, b * block + 1, F.lit(block)))), " ")
+    whole = F.array_repeat(text, F.col("passes").cast("int"))
+    part = F.when(F.size("chosen") == 0, F.array().cast("array<string>")).when(F.size("chosen") * block >= F.col("size"), F.array(text)).otherwise(F.array(cut))
+    met = _met(rows, cuts, depth).withColumn("chosen", chosen)
+    out = met.select("doc", "shard", "h", F.posexplode(F.concat(whole, part)).alias("pass", "text"))
+    out = out.sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "h", "pass"), "text")
+    new = {text_col: F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {})
+    return out.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in columns))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .laws import hypergeometric_sql
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 VECTORS = """
@@ -37,32 +39,31 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NO
 """
 
 
-def _uniform(kind: str, level: int) -> str:
-    return f"((concat('0x', sha256(concat_ws('|', 'mix', '{kind}', source, {level}, node))[1:12])::BIGINT + 0.5) / 281474976710656.0::DOUBLE)"
-
-
 def mixing(depth: int = 8, block: int = 16) -> str:
-    """The splitting tree as a chain of common tables, a level each."""
+    """The splitting tree as a chain of common tables, a level each, and each shard's blocks in their permuted order."""
+    none = "'(none)'"
     levels = ["n0 AS (SELECT source, 0::BIGINT AS node, quota FROM plan)"]
     for level in range(depth):
         step = 1 << (depth - level - 1)
+        drawn = hypergeometric_sql("n", "l", "quota", f"concat_ws('|', 'mix', coalesce(source, {none}), {level}, node)")
         levels.append(
             f"""i{level} AS (SELECT source, shard // {2 * step} AS node, sum(blocks)::BIGINT AS n, sum(CASE WHEN (shard // {step}) % 2 = 0 THEN blocks ELSE 0 END)::BIGINT AS l FROM leaves GROUP BY ALL),
-b{level} AS (SELECT source, node, quota, CASE WHEN n > 0 THEN greatest(0, quota - (n - l), least(quota, l, floor(quota * (l / n) + CASE WHEN n > 1 THEN sqrt(quota * (l / n) * (1 - l / n) * (n - quota) / (n - 1)) ELSE 0.0 END
-  * sqrt(-2 * ln({_uniform('a', level)})) * cos(2 * 3.141592653589793::DOUBLE * {_uniform('b', level)}) + 0.5)))::BIGINT ELSE 0 END AS drawn FROM n{level} JOIN i{level} USING (source, node)),
+b{level} AS MATERIALIZED (SELECT a.source, a.node, quota, CASE WHEN n > 0 THEN {drawn.replace('source', 'a.source').replace(', node)', ', a.node)')} ELSE 0 END AS drawn FROM n{level} a JOIN i{level} b ON a.source IS NOT DISTINCT FROM b.source AND a.node = b.node),
 n{level + 1} AS (SELECT source, 2 * node AS node, drawn AS quota FROM b{level} UNION ALL SELECT source, 2 * node + 1, quota - drawn FROM b{level})"""
         )
     return f"""
-WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, sha256('mix|' || doc_id) AS place FROM documents),
-r AS (SELECT *, concat('0x', place[1:12])::BIGINT % {1 << depth} AS shard, ceil(size / {block})::BIGINT AS blocks FROM d),
-leaves AS (SELECT source, shard, sum(blocks)::BIGINT AS blocks FROM r GROUP BY ALL),
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, sha256(concat_ws('|', coalesce(doc_id::VARCHAR, {none}), coalesce(source, {none}), coalesce(text, {none})))[1:24] AS h FROM documents),
+r AS MATERIALIZED (SELECT *, concat('0x', h[1:12])::BIGINT % {1 << depth} AS shard, ceil(size / {block})::BIGINT AS blocks FROM d),
+leaves AS MATERIALIZED (SELECT source, shard, sum(blocks)::BIGINT AS blocks FROM r GROUP BY ALL),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, sum(blocks)::BIGINT AS n FROM r GROUP BY 1),
-k AS (SELECT *, [3.0, 1.0, 2.0][1 + (i % 3)]::DOUBLE AS w, 2.0 * source_size AS cap FROM (SELECT *, row_number() OVER (ORDER BY source) - 1 AS i FROM s)),
+k AS (SELECT *, [3.0, 1.0, 2.0][1 + (i % 3)]::DOUBLE AS w, 2.0 * source_size AS cap FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM s)),
 o AS (SELECT *, row_number() OVER (ORDER BY cap / w, i) AS j, coalesce(sum(cap) OVER (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cb, coalesce(sum(w) OVER (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wb FROM k),
 e AS (SELECT *, (1.5 * (SELECT sum(source_size) FROM s)::DOUBLE - cb) / ((SELECT sum(w) FROM k) - wb) AS level FROM o),
 t AS (SELECT source, source_size, n, least(cap, coalesce((SELECT min_by(level, j) FROM e WHERE level * w <= cap) * w, cap))::DOUBLE AS target FROM e),
-plan AS (SELECT *, floor(target / source_size)::BIGINT AS passes, floor(n * (target - floor(target / source_size) * source_size) / source_size + 0.5)::BIGINT AS quota FROM t WHERE source_size > 0),
+plan AS MATERIALIZED (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS passes, CASE WHEN source_size > 0 THEN floor(n * (target - floor(target / source_size) * source_size) / source_size + 0.5) ELSE 0 END::BIGINT AS quota FROM t),
 {','.join(levels)},
-p AS (SELECT r.*, n{depth}.quota, (sum(blocks) OVER (PARTITION BY r.source, r.shard ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - blocks)::BIGINT AS before FROM r JOIN n{depth} ON r.source = n{depth}.source AND r.shard = n{depth}.node)
-SELECT doc_id, size, plan.source_size, target, (passes * size + least(size, {block} * greatest(0, least(blocks, p.quota - before))))::BIGINT AS taken, shard FROM p JOIN plan USING (source)
+x AS (SELECT doc_id, h, source, shard, size, b, row_number() OVER (PARTITION BY source, shard ORDER BY concat('0x', sha256(concat_ws('|', 'mix', h, b))[1:15])::BIGINT, doc_id, b) AS k
+  FROM (SELECT *, unnest(generate_series(0, blocks - 1)) AS b FROM r WHERE size > 0)),
+p AS (SELECT doc_id, h, sum(least({block}, size - b * {block}))::BIGINT AS words FROM x JOIN n{depth} q ON x.source IS NOT DISTINCT FROM q.source AND x.shard = q.node WHERE k <= q.quota GROUP BY ALL)
+SELECT r.doc_id, size, plan.source_size, target, (passes * size + coalesce(words, 0))::BIGINT AS taken, shard FROM r JOIN plan ON r.source IS NOT DISTINCT FROM plan.source LEFT JOIN p ON r.doc_id = p.doc_id AND r.h = p.h
 """
