@@ -54,7 +54,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +62,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
-    return urls.filtered(_table(spark, sf_dir, "pages"), outcomes, urls.RULES)
+    """Outcomes are the pages' own: a page is bad that quality's base rule would find too short."""
+    return urls.filtered(_table(spark, sf_dir, "pages"), urls.thin(F.col("html")), urls.RULES)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
