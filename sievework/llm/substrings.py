@@ -8,15 +8,17 @@ comparison takes the anchor's 64 bits and the 64 of another hash together.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize, mixed, pieces, rows_of, word_arrays, word_hashes
+from .shared import discard, materialize, mixed, new_path, pieces, rows_of, word_arrays, word_hashes
 
 _ANCHOR, _SPAN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SPAN_BACK = np.uint64(pow(int(_SPAN), -1, 1 << 64))
@@ -116,42 +118,63 @@ def entries(rows: DataFrame, width: int, k: int) -> DataFrame:
     return rows.select("_k", "_j", "_text").mapInArrow(run, f"{_KEY}, start int, windows int, fp long, span long, tied boolean")
 
 
-class FingerprintIndex:
-    """Runs of (fp, span, n, tied, known), each sorted by fp, written once and never changed; append() merges a batch with the
-    runs so far, and compact() makes one run of all. Equal entries are one row, however many documents hold them."""
+_RUN = "fp long, span long, n long, tied boolean"
+
 
-    def __init__(self, spark: SparkSession, most_runs: int = 8):
-        self.spark, self.most_runs, self.runs = spark, most_runs, []
+class FingerprintIndex:
+    """Runs of (fp, span, n, tied): immutable tables sorted by fp and span in a folder, which append() adds to and compact()
+    merges into one. Equal entries are one row of a run, however many documents hold them. A log of the runs that count, a table
+    of numbered states in the same folder, is what makes a run part of the index: one half written is never read, and an index is
+    opened again by the path of its folder."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, most_runs: int = 8):
+        self.spark, self.most_runs = spark, most_runs
+        self.path = path or new_path(spark, "index")
+        try:
+            states = spark.read.schema("state long, runs array<string>").parquet(f"{self.path}/log").orderBy(F.col("state").desc()).limit(1).collect()
+        except AnalysisException:  # a new folder
+            states = []
+        self.state, self.names = (states[0]["state"], list(states[0]["runs"])) if states else (0, [])
+
+    def _log(self, names: list[str]) -> None:
+        self.state, self.names = self.state + 1, names
+        self.spark.createDataFrame([(self.state, names)], "state long, runs array<string>").coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+
+    def _write(self, counts: DataFrame) -> str:
+        name = f"run-{uuid.uuid4().hex}"
+        counts.sortWithinPartitions("fp", "span").write.parquet(f"{self.path}/{name}")
+        return name
+
+    def entries(self) -> DataFrame:
+        """fp, span, n, tied of all runs, an entry at most once in each run."""
+        if not self.names:
+            return self.spark.createDataFrame([], _RUN)
+        return self.spark.read.schema(_RUN).parquet(*(f"{self.path}/{name}" for name in self.names))
 
     def append(self, batch: DataFrame) -> DataFrame:
-        """Index a batch's entries (fp, span, tied) as a new run, which is returned; known: the same fp and span are in an
-        earlier run, verified by both hashes, so the batch's windows there repeat older ones."""
-        counts = batch.groupBy("fp", "span").agg(F.count(F.lit(1)).alias("n"), F.max("tied").alias("tied"))
-        if self.runs:
-            old = self._all().select("fp", "span").distinct().withColumn("known", F.lit(True))
-            counts = counts.join(old, ["fp", "span"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
-        else:
-            counts = counts.withColumn("known", F.lit(False))
-        self.runs.append(materialize(counts.sortWithinPartitions("fp", "span"), "run"))
-        if len(self.runs) > self.most_runs:
+        """Merge a batch's entries (fp, span, tied) with the runs so far, and add them as a new run. Returns fp, the anchors of
+        the batch at which windows may be repeated: those that an earlier run holds too, and those that the batch holds more than
+        once or in a run of windows that may repeat itself. Over all batches, these are all such anchors of the index."""
+        name = self._write(batch.groupBy("fp", "span").agg(F.count(F.lit(1)).alias("n"), F.max("tied").alias("tied")))
+        new = self.spark.read.schema(_RUN).parquet(f"{self.path}/{name}")
+        own = new.groupBy("fp").agg(F.sum("n").alias("t"), F.max("tied").alias("any"))
+        older = self.entries().select("fp").distinct().withColumn("known", F.lit(True))
+        touched = own.join(older, "fp", "left").where("t > 1 or any or known").select("fp")
+        touched = materialize(touched, "touched")
+        self._log([*self.names, name])
+        if len(self.names) > self.most_runs:
             self.compact()
-        return self.runs[-1]
-
-    def _all(self) -> DataFrame:
-        out = self.runs[0]
-        for r in self.runs[1:]:
-            out = out.unionByName(r)
-        return out
+        return touched
 
-    def compact(self) -> DataFrame:
-        """One run in place of all: counts of equal entries are added up."""
-        old = self.runs
-        if len(old) > 1:
-            merged = self._all().groupBy("fp", "span").agg(F.sum("n").alias("n"), F.max("tied").alias("tied"), F.lit(True).alias("known"))
-            self.runs = [materialize(merged.sortWithinPartitions("fp", "span"), "run")]
-            for r in old:
-                discard(r)
-        return self.runs[0]
+    def compact(self) -> None:
+        """One run in place of all: counts of equal entries are added up. The old runs are removed once the log is written."""
+        old = self.names
+        if len(old) < 2:
+            return
+        gone = [self.spark.read.schema(_RUN).parquet(f"{self.path}/{name}") for name in old]
+        self._log([self._write(self.entries().groupBy("fp", "span").agg(F.sum("n").alias("n"), F.max("tied").alias("tied")))])
+        for run in gone:
+            discard(run)
 
 
 def _windows(rows: DataFrame, width: int) -> DataFrame:
@@ -177,35 +200,58 @@ def _windows(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"{_KEY}, pos int, fp long, window long, weight int")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, k: int = 8, batches: int = 2) -> DataFrame:
+#: Parts that rows of a hot window are dealt to.
+_SALTS = 32
+
+
+def _repeated(windows: DataFrame) -> DataFrame:
+    """The rows of weight 1 whose (fp, window) is there more than once. Rows are told of others in their own part of a key first;
+    only those that are alone in theirs, a few for each key however hot, meet the count of the whole key."""
+    salted = windows.withColumn("salt", F.pmod(F.xxhash64("_k", "_j", "pos"), F.lit(_SALTS)))
+    own = materialize(salted.withColumn("own", F.sum("weight").over(Window.partitionBy("fp", "window", "salt"))), "windows")
+    alone = own.where("own = 1")
+    # A key's parts, each a row: more than one, or one with more than a window in it.
+    seen = own.groupBy("fp", "window").agg(F.min("salt").alias("a"), F.max("salt").alias("z"), F.max("own").alias("most")).where("a < z or most > 1").select("fp", "window")
+    return own.where("own > 1").drop("own").unionByName(alone.join(seen, ["fp", "window"]).drop("own")).where("weight = 1")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, k: int = 8, batches: int = 2, index: FingerprintIndex | None = None) -> DataFrame:
     """id_col, n_words, n_removed, kept: for each row, its words that no window covers which also starts anywhere else, joined
     by spaces. Windows are `width` words in a row of one text, compared as they are; null texts have none.
 
-    The rows come to the index in `batches` by a hash, as days of a crawl would; the result doesn't depend on how. A passage
-    that a third of all documents hold is one row of each task before any shuffle by content; where rows meet their entries
-    again, the join's large partitions can be split.
+    The rows come to the index in `batches` by a hash, as days of a crawl would; the result doesn't depend on how. Only anchors
+    that the merges found are looked up in it, and only texts that hold them are looked at again. With an index of earlier
+    documents, which are not among docs, stretches of windows that they hold too are repeated; only where a shared passage begins
+    and ends, windows under one anchor of which the earlier text has more or fewer are compared among docs alone. Null and repeated ids are rows like others, and rows equal in id and text
+    repeat each other; an empty table gives an empty result; other columns are not read. A passage that a third of all documents
+    hold is one row of each task before any shuffle by content; where rows meet their entries again, the join's large partitions
+    can be split, and hot windows are dealt to parts. Two windows are taken as equal where two independent 64-bit hashes of
+    theirs are, one of eight words and one of all of their words: for 10^12 windows a false match has a probability of 10^-14.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = _keyed(docs, id_col, text_col)
-    index = FingerprintIndex(spark)
-    for b in range(batches):
-        index.append(entries(rows.where(F.pmod("_j", F.lit(batches)) == b), width, k).select("fp", "span", "tied"))
-    run = index.compact()
-    anchors = run.groupBy("fp").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("spans"), F.max("tied").alias("any_tied")).where("t > 1 or any_tied")
-    known = materialize(run.select("fp", "span", "n").join(anchors, "fp").selectExpr("fp", "span", "n > 1 as whole", "spans > 1 or any_tied as open"), "repeated")
-    discard(run)
-    hits = materialize(entries(rows, width, k).drop("tied").join(known, ["fp", "span"]), "hits")
-    discard(known)
+    index = index or FingerprintIndex(spark)
+    found = materialize(entries(rows, width, k), "entries")
+    touched = [index.append(found.where(F.pmod("_j", F.lit(batches)) == b).select("fp", "span", "tied")) for b in range(batches)]
+    every = touched[0]
+    for t in touched[1:]:
+        every = every.union(t)
+    at = index.entries().join(every.distinct(), "fp").groupBy("fp", "span").agg(F.sum("n").alias("n"), F.max("tied").alias("tied"))
+    at = materialize(at, "at")
+    anchors = at.groupBy("fp").agg(F.count(F.lit(1)).alias("spans"), F.max("tied").alias("any_tied"))
+    known = materialize(at.join(anchors, "fp").selectExpr("fp", "span", "n > 1 as whole", "spans > 1 or any_tied as open").where("whole or open"), "repeated")
+    hits = materialize(found.drop("tied").join(known, ["fp", "span"]), "hits")
+    for t in (*touched, at, known, found):
+        discard(t)
     single = hits.where("open and not whole").select("_k", "_j", F.struct("start", "windows", "fp", F.lit(1).alias("weight")).alias("p"))
     first = hits.where("open and whole").groupBy("fp", "span").agg(F.min(F.struct("_k", "_j", "start", "windows")).alias("m"))
     first = first.select("m._k", "m._j", F.struct("m.start", "m.windows", "fp", F.lit(2).alias("weight")).alias("p"))
-    asked = single.union(first).groupBy("_k", "_j").agg(F.collect_list("p").alias("parts"))
-    texts = rows.select("_k", "_j", "_text").join(asked, ["_k", "_j"])
-    windows = materialize(_windows(texts, width), "windows")
-    seen = windows.groupBy("fp", "window").agg(F.sum("weight").alias("w")).where("w > 1").select("fp", "window")
-    more = windows.where("weight = 1").join(seen, ["fp", "window"]).select("_k", "_j", F.col("pos").alias("start"), F.lit(1).alias("windows"))
-    cover = hits.where("whole").select("_k", "_j", "start", "windows").union(more).groupBy("_k", "_j").agg(F.collect_list(F.struct("start", "windows")).alias("cover"))
+    # Sets: rows equal in id and text find the same.
+    asked = single.union(first).groupBy("_k", "_j").agg(F.collect_set("p").alias("parts"))
+    texts = rows.select("_k", "_j", "_text").join(asked, ["_k", "_j"]).dropDuplicates(["_k", "_j"])
+    more = _repeated(_windows(texts, width)).select("_k", "_j", F.col("pos").alias("start"), F.lit(1).alias("windows"))
+    cover = hits.where("whole").select("_k", "_j", "start", "windows").union(more).groupBy("_k", "_j").agg(F.collect_set(F.struct("start", "windows")).alias("cover"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text"):
