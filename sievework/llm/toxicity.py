@@ -61,56 +61,79 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 5e-5,
     return w, np.cumsum(np.concatenate((theta[:1], np.exp(theta[1:]))))
 
 
+def _marks(code: np.ndarray, row: np.ndarray, toxic: np.ndarray, names: int) -> tuple[np.ndarray, np.ndarray]:
+    """(z, rows) of each word: how far its log-odds between toxic and clean rows stand out, and in how many rows it is."""
+    n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
+    a = np.bincount(code[toxic[row]], minlength=names)
+    c = np.bincount(code[~toxic[row]], minlength=names)
+    odds = np.log((a + 0.5) / (n_toxic - a + 0.5)) - np.log((c + 0.5) / (n_clean - c + 0.5))
+    return odds / np.sqrt(1 / (a + 0.5) + 1 / (n_toxic - a + 0.5) + 1 / (c + 0.5) + 1 / (n_clean - c + 0.5)), a + c
+
+
+def severities(code: np.ndarray, row: np.ndarray, toxic: np.ndarray, fold: np.ndarray, names: int) -> np.ndarray:
+    """Grades for rows that are only labelled toxic or not: 0 for clean ones; for toxic ones 2 if they hold more marking words than
+    the median toxic row, else 1. Which words mark a row is learned from the rows of the other fold."""
+    found = np.zeros(len(toxic), np.int64)
+    for f in (0, 1):
+        own, other = fold[row] == f, fold != f
+        if toxic[other].any() and not toxic[other].all():
+            kept = np.flatnonzero(other)
+            place = np.full(len(toxic), -1)
+            place[kept] = np.arange(len(kept))
+            z, _ = _marks(code[~own], place[row[~own]], toxic[kept], names)
+            found += np.bincount(row[own & (z[code] > 2.5)], minlength=len(toxic))
+    return np.where(toxic, 1 + (found > np.median(found[toxic])), 0)
+
+
 def train(words: pa.ListArray, labels: np.ndarray, features: int = 2000, least: int = 3) -> Ordinal | None:
-    """From each row's distinct words and whether it is toxic, 0 or 1. Toxic rows get grade 1 or, with more of the words that
-    mark toxic rows than the median toxic row, grade 2. Features: the words in least rows or more whose log-odds between toxic
-    and clean stand out most."""
-    if len(set(labels.tolist())) < 2:
+    """From each row's distinct words and its label. Labels over 1 are grades as they stand; labels of 0 and 1 only are graded by
+    severities(). Features: of the words in `least` rows or more, the `features` ones whose log-odds between toxic and clean stand
+    out most; a bound of the model's size, as the sample's is, that further words of a sample this small hardly add to."""
+    toxic = labels > 0
+    if toxic.all() or not toxic.any():
         return None
     coded = pc.dictionary_encode(words.flatten())
     code, names = coded.indices.to_numpy(), coded.dictionary
     row = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy())
-    n_toxic, n_clean = int(labels.sum()), int((1 - labels).sum())
-    a = np.bincount(code[labels[row] == 1], minlength=len(names))
-    c = np.bincount(code[labels[row] == 0], minlength=len(names))
-    odds = np.log((a + 0.5) / (n_toxic - a + 0.5)) - np.log((c + 0.5) / (n_clean - c + 0.5))
-    z = odds / np.sqrt(1 / (a + 0.5) + 1 / (n_toxic - a + 0.5) + 1 / (c + 0.5) + 1 / (n_clean - c + 0.5))
-    often = np.flatnonzero(a + c >= least)
+    z, rows = _marks(code, row, toxic, len(names))
+    often = np.flatnonzero(rows >= least)
     chosen = sorted((-abs(float(z[i])), names[int(i)].as_py(), int(i)) for i in often[np.argsort(-np.abs(z[often]), kind="stable")[: 2 * features]])[:features]
     place = np.full(len(names), -1)
     place[[i for _, _, i in chosen]] = np.arange(len(chosen))
     known = place[code] >= 0
     x = np.zeros((len(words), len(chosen)), np.float32)
     x[row[known], place[code[known]]] = 1
-    strength = np.bincount(row[z[code] > 2.5], minlength=len(words))
-    middle = np.median(strength[labels == 1])
-    grade = labels * (1 + (strength > middle))
-    grades = int(grade.max()) + 1
-    w, cut = fit_ordinal(x, grade, grades)
+    grade = severities(code, row, toxic, np.arange(len(words)) % 2, len(names)) if labels.max() == 1 else labels
+    # Grades that no row has don't get a threshold.
+    grade = np.unique(grade, return_inverse=True)[1]
+    w, cut = fit_ordinal(x, grade, int(grade.max()) + 1)
     return Ordinal({word: float(w[k]) for k, (_, word, _) in enumerate(chosen)}, cut.tolist())
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 2500) -> Ordinal | None:
-    """Train on at most `most` toxic and twice as many clean labelled rows, those of least id hash. Only chosen ids are
-    broadcast (their number is bounded by `most`), only the words of chosen rows come to the driver."""
-    own = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
+    """Train on at most `most` toxic and twice as many clean labelled rows, those of least id hash; labels are whole numbers of 0
+    (clean) or more, null or negative ones are none, and an id labelled twice has its highest. Only chosen ids are broadcast
+    (their number is bounded by `most`), only the words of chosen rows come to the driver; of an id that docs repeat, one text."""
+    label = F.col(label_col).cast("int")
+    own = labels.where((label >= 0) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_y"))
     own = own.withColumn("_h", F.xxhash64(F.col("_id").cast("string")))
-    pick = [own.where(F.col("_y") == y).orderBy("_h", "_id").limit(n) for y, n in ((1, most), (0, 2 * most))]
+    pick = [own.where(which).orderBy("_h", "_id").limit(n) for which, n in (("_y > 0", most), ("_y = 0", 2 * most))]
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(pick[0].union(pick[1])), "_id").where(F.col("_text").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text"):
             words = [sorted(tokens(t)) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), pa.array(words, pa.list_(pa.string())), batch.column("_y").cast(pa.int32())], ["id", "words", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), pa.array(words, pa.list_(pa.string())), batch.column("_y").cast(pa.int32()), batch.column("_t")], ["id", "words", "y", "t"])
 
-    got = chosen.select("_id", "_text", "_y").mapInArrow(run, "id string, words array<string>, y int").toArrow()
+    found = chosen.select("_id", "_text", "_y", F.xxhash64("_text").alias("_t")).mapInArrow(run, "id string, words array<string>, y int, t long")
+    got = found.groupBy("id", "y").agg(F.min_by("words", "t").alias("words")).toArrow()
     got = got.sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
     return train(got["words"].chunk(0), got["y"].to_numpy().astype(np.int64)) if got.num_rows else None
 
 
 def predict(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, severity (the expected grade), p_toxic (of any grade over 0). Null and blank texts, and all texts where nothing
-    was learned, get 0 for both."""
+    """id_col, severity (the expected grade), p_toxic (of any grade over 0), for every row, of null and repeated ids too. Null and
+    blank texts, and all texts where nothing was learned, get 0 for both. Whole texts are read, and no other column."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +151,14 @@ def predict(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text
 
 
 def clean_only(docs: DataFrame, model: Ordinal | None, limit: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose probability of being toxic is at most limit: a map over the rows, no shuffle."""
+    """The rows of docs, all columns whatever their names, whose p_toxic is at most limit, as predict() has it: a map over the
+    rows, no shuffle. Null and blank texts stay."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
-            texts = pc.fill_null(batch.column(names.index(text_col)), "").to_pylist()
-            score = [sum(model.weights[w] for w in sorted(model.weights.keys() & tokens(t))) for t in texts]
-            yield batch.filter(pa.array(_sigmoid(np.array(score) - model.thresholds[0]) <= limit))
+            found = [tokens(t) for t in pc.fill_null(batch.column(names.index(text_col)), "").to_pylist()]
+            score = np.array([sum(model.weights[w] for w in sorted(model.weights.keys() & t)) for t in found])
+            yield batch.filter(pa.array((_sigmoid(score - model.thresholds[0]) <= limit) | np.array([not t for t in found])))
 
     return docs.mapInArrow(run, docs.schema) if model else docs
