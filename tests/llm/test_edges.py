@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from sievework.llm import language_id, mixing, packing, pii, quality, simhash, substrings, toxicity, urls, vectors
 from sievework.llm.queries import tokenizer_path
 
@@ -45,8 +44,17 @@ OPERATORS = {
 def test_odd_and_empty_tables(name, odd, empty):
     assert OPERATORS[name](empty).count() == 0
     out = OPERATORS[name](odd).collect()
-    want = {"simhash": 10, "drawn": None, "packing": None}.get(name, 11)
-    assert want is None or len(out) == want
+    if name == "drawn":
+        taken = {repr(r["doc_id"]): 0 for r in out}
+        for r in out:
+            taken[repr(r["doc_id"])] += len((r["text"] or "").split())
+        want = {}
+        for r in mixing.mixed(odd, depth=3).collect():
+            want[repr(r["doc_id"])] = want.get(repr(r["doc_id"]), 0) + r["taken"]
+        assert {k: v for k, v in taken.items() if v} == {k: v for k, v in want.items() if v}
+        assert out[0].asDict().keys() == set(odd.columns) and {(r["_text"], r["bucket"]) for r in out} == {("clash", 1)}
+    elif name != "packing":
+        assert len(out) == 11
     if name == "packing":
         assert {r["doc_id"] for r in out} == {1, 2, 3, 4, 5, 6, 7, 8, 9, None}
 
@@ -80,8 +88,7 @@ def test_simhash_links_join_large_buckets(spark):
     base = rng.getrandbits(64)
     fps = {base ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(3))) for _ in range(300)} | {rng.getrandbits(64) for _ in range(50)}
     fps = sorted(f - (1 << 64) if f >= 1 << 63 else f for f in (f % (1 << 64) for f in fps))
-    reps = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, node long")
-    links = [(r["a"], r["b"]) for r in simhash.links(reps, small=8).collect()]
+    reps = spark.createDataFrame([([f], i) for i, f in enumerate(fps)], "fp array<long>, node long")
     up = list(range(len(fps)))
 
     def top(i):
@@ -97,7 +104,10 @@ def test_simhash_links_join_large_buckets(spark):
         return [top(i) for i in range(len(fps))]
 
     every = [(a, b) for a in range(len(fps)) for b in range(a) if ((fps[a] ^ fps[b]) % (1 << 64)).bit_count() <= 3]
-    assert classes(links) == classes(every) and len(links) < 20 * len(fps)
+    # Small buckets at once, one by one, and in pairs of tiles.
+    for small, tile in ((32, 20_000), (2, 20_000), (2, 9)):
+        links = [(r["a"], r["b"]) for r in simhash.links(reps, small=small, tile=tile).collect()]
+        assert classes(links) == classes(every) and len(links) < 20 * len(fps)
 
 
 def test_vectors_with_tiles_copies_and_odd_rows(spark):
@@ -116,7 +126,7 @@ def test_vectors_with_tiles_copies_and_odd_rows(spark):
         got = {r["vec_id"]: r for r in vectors.linked(df, tile=tile).collect()}
         assert len(got) == len(rows)
         found = sum(got[i]["n_links"] for i in want)
-        assert found >= 0.9 * sum(want.values()) and all(got[i]["n_links"] <= n for i, n in want.items())
+        assert found >= 0.98 * sum(want.values()) and all(got[i]["n_links"] <= n for i, n in want.items())
         assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (300, 301, 302, 303, 305))
         assert got[304]["component_id"] == 0 and not got[304]["kept"]
     assert vectors.linked(df.limit(0)).count() == 0
@@ -189,22 +199,13 @@ def test_url_rules_and_reputation(spark):
     pages = [(1, "http://a.net/x"), (2, "http://example.net/en/1?q"), (3, None), (4, "no scheme"), (5, "https://U.Bad.com#f"), (6, "http://org/fr/"), (7, "http://x.example.com/de/"), (8, "http://notnet/")]
     pages += [(i, "http://w.bad.com/p") for i in range(100, 160)] + [(i, "http://fine.org/p") for i in range(200, 260)]
     df = spark.createDataFrame(pages, "page_id long, url string")
-    outcomes = spark.createDataFrame([(i, True) for i in range(100, 160)] + [(i, False) for i in range(200, 260)], "page_id long, bad boolean")
-    got = {r["page_id"]: r for r in urls.filtered(df, outcomes, urls.RULES).collect()}
+    bad = F.when(F.col("page_id").between(100, 159), True).when(F.col("page_id").between(200, 259), False)
+    got = {r["page_id"]: r for r in urls.filtered(df, bad, urls.RULES).collect()}
     assert [(got[i]["host"], got[i]["path"], got[i]["rule"]) for i in (1, 2, 3, 4, 5)] == [("a.net", "/x", "net/"), ("example.net", "/en/1", "example.net/en/"), ("", "", None), ("", "", None), ("u.bad.com", "", None)]
     assert [got[i]["verdict"] for i in (1, 2, 6, 7, 8, 100, 200)] == ["block", "allow", "allow", "block", "allow", "block", "allow"]
-    assert urls.filtered(df.limit(0), outcomes.limit(0), urls.RULES).count() == 0
-
-
-def test_pipeline_stages_against_their_operators(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    clean = corpus_pipeline.drop_toxic(spark, docs, sf_dir)
-    assert clean.columns == docs.columns and 0 < clean.count() < docs.count()
-    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
-    groups = simhash.near_duplicates(docs).collect()
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r["component_id"] for r in groups})
-    mix = corpus_pipeline.mix_sources(spark, docs, sf_dir)
-    words = mix.groupBy("doc_id").agg(F.sum(mixing.size_of(F.col("text"))).alias("n"))
-    want = {r["doc_id"]: r["taken"] for r in mixing.mixed(docs).collect() if r["taken"]}
-    assert {r["doc_id"]: r["n"] for r in words.collect() if r["n"]} == want
-    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    # A host without outcomes is judged by its domain.
+    assert got[5]["verdict"] == "block" and got[5]["bad_rate"] > 0.8
+    odd = df.union(df.where("page_id = 100")).union(spark.createDataFrame([(None, "http://fine.org/p")], df.schema)).withColumn("host", F.lit("clash")).withColumn("bad", F.lit(1))
+    again = urls.filtered(odd, bad, urls.RULES).collect()
+    assert len(again) == len(pages) + 2 and [r["verdict"] for r in again if r["page_id"] == 100] == ["block", "block"]
+    assert urls.filtered(df.limit(0), bad, urls.RULES).count() == 0
