@@ -1,8 +1,14 @@
-"""What two analyte labels say of their chemistry, and whether that forbids taking them for the same. All expressions stay in the JVM."""
+"""What two analyte labels say of their chemistry, and whether that forbids taking them for the same.
+
+A label is read twice: as marks (numbers, words and signs, a blank between any two) and as words (numbers and words alone). A
+table says which stretches of either stand for which property; another says which properties of two labels must agree, and how.
+All expressions stay in the JVM.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,121 +25,116 @@ GLYCOSIDES = ("glucoside", "galactoside", "rhamnoside", "rutinoside", "xyloside"
 LEAST_SIMILARITY, LEAST_LEXICAL, LEAST_OVERLAP = 0.72, 0.72, 0.50
 
 
-def _found(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-
-
-def _shown(words: Sequence[str], text: Column, whole: bool = False) -> Column:
-    """Those of words that text holds, anywhere or as whole words."""
-    held = lambda w: text.rlike(rf"\b{w}\b") if whole else text.contains(w)
-    return F.array_compact(F.array(*(F.when(held(w), F.lit(w)) for w in words)))
-
-
-def _set(*arrays: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.concat(*arrays)))
-
-
-def numbers(label: Column) -> Column:
-    """Explicit numbers of structure: chain:bonds(:omega) of fatty acids, vitamers of B, D, E and K, menaquinones."""
-    text = F.replace(F.lower(F.coalesce(label, F.lit(""))), F.lit("ω"), F.lit("omega"))
-    acid = r"(\d{1,2})\s*:\s*(\d{1,2})(?:\s*(?:n|omega)\s*-?\s*(\d+))?"
-    acids = F.transform(_found(text, acid), lambda m: F.concat_ws(":", F.lit("fatty_acid"), *(F.regexp_extract(m, acid, g) for g in (1, 2, 3))))
-    vitamer = r"\b(?:vitamin\s*)?([bdek])\s*-?\s*(\d+)\b"
-    vitamers = F.transform(_found(text, vitamer), lambda m: F.concat_ws(":", F.lit("vitamer"), F.regexp_extract(m, vitamer, 1), F.regexp_extract(m, vitamer, 2)))
-    quinones = F.transform(_found(text, r"\bmenaquinone\s*-?\s*(\d+)\b", 1), lambda n: F.concat(F.lit("menaquinone:"), n))
-    return _set(acids, vitamers, quinones)
-
-
-def forms(label: Column) -> Column:
-    return _shown(FORMS, F.regexp_replace(ascii_label_key(label), r"\bcis\s+trans\s+(?:unspecified|not specified)\b", ""), whole=True)
-
-
-def isomer_states(label: Column) -> Column:
-    """cis, trans, conjugated, unspecified: of labels that name a chain; others have none."""
-    text = ascii_label_key(label)
-    states = {
-        "cis": r"\b(?:cis|c|\d+\s+\d+c|\d+z)\b",
-        "trans": r"\b(?:trans|t|\d+\s+\d+t|\d+e)\b",
-        "conjugated": r"conjugated|\bcla\b",
-        "unspecified": "undifferentiated|unspecified|isomeric",
-    }
-    several = F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(s)) for s, p in states.items())))
-    open_ = text.rlike(r"\bcis\s+trans\s+(?:unspecified|not specified)\b")
-    none = F.array().cast("array<string>")
-    return F.when(~text.rlike(r"\b\d{1,2}\s+\d{1,2}(?:[ct])?\b"), none).when(open_, F.array(F.lit("unspecified"))).otherwise(several)
-
-
-def locants(label: Column) -> Column:
-    """Positions such as 3,4-d, 11- and 9z."""
-    text = F.lower(F.coalesce(label, F.lit("")))
-    found = [_found(text, p) for p in (r"\b\d+(?:\s*,\s*\d+)+\s*-[a-z]", r"\b\d+\s*-(?=[a-z])", r"\b\d+[ez](?=-)")]
-    return F.transform(_set(*found), lambda m: F.regexp_replace(m, r"\s+", ""))
-
-
-def aglycone(label: Column) -> Column:
-    """The name before a glycoside's number; null if the label shows neither."""
-    text = ascii_label_key(label)
-    name = F.regexp_extract(text, r"\b([a-z]+)\s+\d+(?:\s+o)?\s+[a-z]", 1)
-    return F.when((F.size(_shown(GLYCOSIDES, text)) > 0) & (name != ""), name)
-
-
-def positions(label: Column) -> Column:
-    """[6]-name and o-, m-, p-coumaric."""
-    text = F.lower(F.coalesce(label, F.lit("")))
-    bracket = F.transform(_found(text, r"\[\d+\]\s*-\s*[a-z]+"), lambda m: F.regexp_replace(m, r"\s+", ""))
-    return _set(bracket, _found(text, r"\b([omp])\s*-\s*coumaric\b", 1))
-
-
-def vitamers(label: Column) -> Column:
-    return _shown(VITAMERS, F.replace(ascii_label_key(label), F.lit("pyridoxin"), F.lit("pyridoxine")))
+class Sign(NamedTuple):
+    """A stretch of a label that stands for a value of a property. $1 in value is the stretch's first group; blanks go."""
+
+    property: str
+    view: str
+    stretch: str
+    value: str
+
+
+#: Signs of structure, written over the views with a blank between any two parts.
+SIGNS = (
+    Sign("number", "marks", r"(\d\d?) : (\d\d?) (?:(?:n|omega) (?:- )?(\d+) )?", "fatty_acid:$1:$2:$3"),
+    Sign("number", "marks", r"(?<!\d )([bdek]) (?:- )?(\d+) ", "vitamer:$1:$2"),
+    Sign("number", "marks", r"menaquinone (?:- )?(\d+) ", "menaquinone:$1"),
+    Sign("locant", "marks", r"(\d+(?: , \d+)+ - [a-z])[a-z]* ", "$1"),
+    Sign("locant", "marks", r"(\d+ -) (?=[a-z])", "$1"),
+    Sign("locant", "marks", r"(\d+ [ez]) (?=- )", "$1"),
+    Sign("position", "marks", r"(\[ \d+ \] - [a-z]+) ", "$1"),
+    Sign("position", "marks", r"([omp]) - (?=coumaric )", "$1"),
+    Sign("isomer", "words", r"cis |c (?!\d)|\d+ z ", "cis"),
+    Sign("isomer", "words", r"trans |t (?!\d)|\d+ e ", "trans"),
+    Sign("isomer", "words", r"(?:\S*conjugated\S*|cla) ", "conjugated"),
+    Sign("isomer", "words", r"\S*(?:undifferentiated|unspecified|isomeric)\S* ", "unspecified"),
+)
+#: Both states named and neither meant; a chain's two numbers, without which no state of isomers is one.
+_OPEN, _CHAIN = r" cis trans (?:unspecified|not specified) ", r" \d\d? \d\d? "
+
+
+class Contrast(NamedTuple):
+    """A reason to refuse two labels: how the values of a property stand to each other."""
+
+    property: str
+    relation: str
+    reason: str
+
+
+#: Fixed values, in order: the first contrast that holds is the reason.
+CONTRASTS = (
+    Contrast("number", "disjoint", "different_explicit_structural_or_vitamer_signature"),
+    Contrast("number", "both but unequal", "aggregate_or_different_explicit_structural_definition"),
+    Contrast("expression", "unequal", "different_calculated_or_nutritional_expression"),
+    Contrast("scaffold", "disjoint", "different_explicit_chemical_scaffold"),
+    Contrast("vitamer", "unequal", "different_explicit_vitamer_chemical_form"),
+    Contrast("form", "disjoint", "different_explicit_chemical_form"),
+    Contrast("form", "unequal", "under_or_over_specified_chemical_form"),
+    Contrast("state", "disjoint", "different_explicit_fatty_acid_isomer_state"),
+    Contrast("state", "first only", "source_is_more_specific_fatty_acid_isomer"),
+    Contrast("state", "second only", "target_is_more_specific_fatty_acid_isomer"),
+    Contrast("glycoside", "unequal", "different_glycoside_or_acylated_form"),
+    Contrast("aglycone", "disjoint", "different_glycoside_aglycone"),
+    Contrast("locant", "unequal", "different_explicit_positional_isomer"),
+    Contrast("position", "unequal", "different_explicit_small_molecule_position"),
+)
+RELATIONS = {
+    "disjoint": lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b),
+    "both but unequal": lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & (a != b),
+    "unequal": lambda a, b: a != b,
+    "first only": lambda a, b: (F.size(a) > 0) & (F.size(b) == 0),
+    "second only": lambda a, b: (F.size(b) > 0) & (F.size(a) == 0),
+}
+
+
+def views(label: Column) -> dict[str, Column]:
+    """A label's marks and words, each with a blank before, behind and between."""
+    marks = F.regexp_extract_all(F.replace(F.lower(F.coalesce(label, F.lit(""))), F.lit("ω"), F.lit("omega")), F.lit(r"\d+|[a-z]+|[^\sa-z\d]"), F.lit(0))
+    words = F.regexp_extract_all(ascii_label_key(label), F.lit(r"\d+|[a-z]+"), F.lit(0))
+    return {name: F.concat(F.lit(" "), F.concat_ws(" ", x), F.lit(" ")) for name, x in (("marks", marks), ("words", words))}
+
+
+def _values(sign: Sign, text: Column) -> Column:
+    found = F.regexp_extract_all(text, F.lit(rf"(?<= )(?:{sign.stretch})"), F.lit(0))
+    if "$" not in sign.value:
+        return F.when(F.size(found) > 0, F.array(F.lit(sign.value))).otherwise(F.array().cast("array<string>"))
+    # A stretch on its own has nothing before or behind it to be looked at.
+    own = re.sub(r"\(\?(?:<!|=)[^)]*\)", "", sign.stretch)
+    return F.transform(found, lambda m: F.regexp_replace(F.regexp_replace(m, f"^(?:{own})$", sign.value), " ", ""))
+
+
+def properties(label: Column) -> dict[str, Column]:
+    """Of each property, the sorted values that a label shows."""
+    view = views(label)
+    closed = F.regexp_replace(view["words"], _OPEN, " ")
+    listed = {"form": (FORMS, closed, " "), "expression": (EXPRESSIONS, view["words"], ""), "scaffold": (SCAFFOLDS, view["words"], ""), "glycoside": (GLYCOSIDES, view["words"], ""),
+              "vitamer": (VITAMERS, F.replace(view["words"], F.lit("pyridoxin"), F.lit("pyridoxine")), "")}
+    out = {name: F.array_compact(F.array(*(F.when(text.contains(edge + w + edge), F.lit(w)) for w in words))) for name, (words, text, edge) in listed.items()}
+    for name in dict.fromkeys(s.property for s in SIGNS):
+        out[name] = F.concat(*(_values(s, view[s.view]) for s in SIGNS if s.property == name))
+    nothing = F.array().cast("array<string>")
+    out["isomer"] = F.when(~view["words"].rlike(_CHAIN), nothing).when(view["words"].rlike(_OPEN), F.array(F.lit("unspecified"))).otherwise(out["isomer"])
+    out["state"] = F.array_remove(out["isomer"], "unspecified")
+    name = F.regexp_extract(view["words"], r" ([a-z]+) \d+ (?:o )?[a-z]", 1)
+    out["aglycone"] = F.when((F.size(out["glycoside"]) > 0) & (name != ""), F.array(name)).otherwise(nothing)
+    return {name: F.array_sort(F.array_distinct(x)) for name, x in out.items()}
 
 
 def name_variants(label: Column) -> Column:
     """Keys of a label as it is, without parentheses, before its first comma, and with two parts swapped; of 3 characters at least."""
-    raw = F.trim(F.coalesce(label, F.lit("")))
+    raw = F.coalesce(label, F.lit(""))
     parts = F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda p: p != "")
-    first = F.when(F.size(parts) > 0, F.element_at(parts, 1))
-    swapped = F.when(F.size(parts) == 2, F.concat_ws(" ", F.element_at(parts, 2), F.element_at(parts, 1)))
-    shown = F.array_compact(F.array(raw, F.trim(F.regexp_replace(raw, r"\s*\([^)]*\)", "")), first, swapped))
+    swapped = F.when(F.size(parts) == 2, F.array_join(F.reverse(parts), " "))
+    shown = F.array_compact(F.array(raw, F.regexp_replace(raw, r"\s*\([^)]*\)", ""), F.get(parts, F.lit(0)), swapped))
     return F.array_sort(F.array_distinct(F.filter(F.transform(shown, ascii_label_key), lambda k: F.length(k) >= 3)))
 
 
-def _any(a: Column) -> Column:
-    return F.size(a) > 0
-
-
-def _apart(a: Column, b: Column) -> Column:
-    return _any(a) & _any(b) & ~F.arrays_overlap(a, b)
-
-
-def _unlike(a: Column, b: Column) -> Column:
-    return F.array_sort(a) != F.array_sort(b)
-
-
 def identity_verdict(a: Column, b: Column, exact: Column, similarity: Column, lexical: Column, overlap: Column) -> Column:
     """Struct of accepted and reason: whether a may be a lead for b. Two labels whose chemistry differs are refused, however similar."""
-    n, form, isomer, loc, small = ((f(a), f(b)) for f in (numbers, forms, isomer_states, locants, positions))
-    expression, scaffold, glycoside = ((_shown(words, ascii_label_key(a)), _shown(words, ascii_label_key(b))) for words in (EXPRESSIONS, SCAFFOLDS, GLYCOSIDES))
-    vitamer = vitamers(a), vitamers(b)
-    exactly = tuple(F.array_remove(s, "unspecified") for s in isomer)
-    refusals = [
-        (_apart(*n), "different_explicit_structural_or_vitamer_signature"),
-        (_any(n[0]) & _any(n[1]) & _unlike(*n), "aggregate_or_different_explicit_structural_definition"),
-        (_unlike(*expression), "different_calculated_or_nutritional_expression"),
-        (_apart(*scaffold), "different_explicit_chemical_scaffold"),
-        (_unlike(*vitamer), "different_explicit_vitamer_chemical_form"),
-        (_apart(*form), "different_explicit_chemical_form"),
-        (_unlike(*form), "under_or_over_specified_chemical_form"),
-        (_apart(*exactly), "different_explicit_fatty_acid_isomer_state"),
-        (_any(exactly[0]) & ~_any(exactly[1]), "source_is_more_specific_fatty_acid_isomer"),
-        (_any(exactly[1]) & ~_any(exactly[0]), "target_is_more_specific_fatty_acid_isomer"),
-        (_unlike(*glycoside), "different_glycoside_or_acylated_form"),
-        (F.coalesce(aglycone(a) != aglycone(b), F.lit(False)), "different_glycoside_aglycone"),
-        (_unlike(*loc), "different_explicit_positional_isomer"),
-        (_unlike(*small), "different_explicit_small_molecule_position"),
-    ]
-    refused = first_reason(refusals)
-    support = (lexical >= LEAST_LEXICAL) & (overlap >= LEAST_OVERLAP)
-    accepted = first_reason([(exact, "exact_name_or_registered_alias"), (_any(n[0]) & _any(n[1]), "matching_explicit_structural_signature"), ((similarity >= LEAST_SIMILARITY) & support, "strong_name_similarity_with_shared_identity_tokens")])
-    weak = F.when(similarity >= LEAST_SIMILARITY, "semantic_similarity_without_identity_bearing_name_evidence").otherwise("semantic_score_below_review_threshold")
+    of_a, of_b = properties(a), properties(b)
+    refused = first_reason([(RELATIONS[c.relation](of_a[c.property], of_b[c.property]), c.reason) for c in CONTRASTS])
+    near, shared = similarity >= LEAST_SIMILARITY, (lexical >= LEAST_LEXICAL) & (overlap >= LEAST_OVERLAP)
+    leads = [(exact, "exact_name_or_registered_alias"), (F.arrays_overlap(of_a["number"], of_b["number"]), "matching_explicit_structural_signature"), (near & shared, "strong_name_similarity_with_shared_identity_tokens")]
+    accepted = first_reason(leads)
+    weak = F.when(near, "semantic_similarity_without_identity_bearing_name_evidence").otherwise("semantic_score_below_review_threshold")
     return F.struct((refused.isNull() & accepted.isNotNull()).alias("accepted"), F.coalesce(refused, accepted, weak).alias("reason"))
