@@ -60,9 +60,23 @@ def shard_quotas(leaves: DataFrame, quotas: DataFrame, depth: int, seed: str) ->
 _NONE = "(none)"
 
 
-def _number(text: Column, digits: int) -> Column:
-    """The number that the first hexadecimal digits of a SHA-256 stand for; the same in any engine."""
-    return F.conv(F.substring(F.sha2(text, 256), 1, digits), 16, 10).cast("long")
+#: A prime under 2^31: products of two numbers below it, and sums with a third, are whole numbers of 64 bits.
+PRIME = 2147483647
+
+
+def _place(b: Column) -> Column:
+    """Of block b in its shard's permutation: 62 bits, two polynomials of b modulo PRIME with a row's own coefficients, six numbers
+    of its hash. Arithmetic alone, so that it costs little for each block and any engine gives the same."""
+
+    def poly(i: int) -> Column:
+        x, y, z = (F.col("coefficients")[i + j] for j in range(3))
+        return ((x * b + y) % PRIME * b + z) % PRIME
+
+    return poly(0) * PRIME + poly(3)
+
+
+def _coefficients() -> Column:
+    return F.array(*(F.conv(F.substring("h", 13 + 8 * i, 8), 16, 10).cast("long") % PRIME for i in range(6)))
 
 
 def _depth(docs: DataFrame, depth: int | None) -> int:
@@ -85,7 +99,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str, source_col: str, *mor
     """row, id, source, size, h (a hash of id, source and text) and more, for each of docs; row is a number that no other row has,
     once this is written."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit(_NONE)) for c in (id_col, source_col, text_col)]
-    h = F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 24)
+    h = F.sha2(F.concat_ws("|", *parts), 256)
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), h.alias("h"), *more)
 
 
@@ -105,23 +119,23 @@ def _planned(rows: DataFrame, depth: int, block: int, seed: str) -> tuple[DataFr
     plan = materialize(plan.withColumn("quota", F.when(F.col("source_size") > 0, F.floor(F.col("n") * rest / F.col("source_size") + 0.5)).otherwise(0).cast("long")), "plan", few_files=True)
     quotas = materialize(shard_quotas(leaves, plan.select("source", "quota"), depth, seed).toDF("_s", "_shard", "quota"), "quotas", few_files=True)
 
-    def place(b: Column) -> Column:
-        """Of a block in its shard's permutation: a hash of it, so blocks of equal rows tie and are told apart by their row."""
-        return F.struct(_number(F.concat_ws("|", F.lit(seed), "h", b.cast("string")), 15).alias("p"), F.col("row").alias("r"), b.alias("b"))
-
-    blocks = F.transform(F.sequence(F.lit(0), n - 1), place)
-    spread = rows.where("size > 0").select("source", shard.alias("shard"), F.explode(blocks).alias("at"))
+    # A struct is ordered by its place, and where blocks of equal rows tie, by row.
+    at = lambda b: F.struct(_place(b).alias("p"), F.col("row").alias("r"), b.alias("b"))
+    blocks = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / block) - 1)
+    spread = rows.where("size > 0").select("source", shard.alias("shard"), "row", _coefficients().alias("coefficients"), F.explode(blocks).alias("b")).select("source", "shard", at(F.col("b")).alias("at"))
     ranked = spread.withColumn("k", F.row_number().over(Window.partitionBy("source", "shard").orderBy("at")))
     met = ranked.join(quotas, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_shard"))).where(F.col("k") <= F.col("quota"))
     last = materialize(met.groupBy("_s", "_shard").agg(F.max("at").alias("last")), "last", few_files=True)
     cuts = quotas.select("_s", "_shard").join(last.toDF("_t", "_u", "last"), F.col("_s").eqNullSafe(F.col("_t")) & (F.col("_shard") == F.col("_u")), "left")
     cuts = cuts.join(plan.select("source", "source_size", "target", "passes"), F.col("_s").eqNullSafe(F.col("source"))).select("_s", "_shard", "source_size", "target", "passes", "last")
-    chosen = F.when((F.col("size") > 0) & F.col("last").isNotNull(), F.transform(F.filter(blocks, lambda x: x <= F.col("last")), lambda x: x.b)).otherwise(F.array().cast("array<int>"))
+    last = F.col("last")
+    before = lambda b: (_place(b) < last["p"]) | ((_place(b) == last["p"]) & (F.struct(F.col("row"), b) <= F.struct(last["r"], last["b"])))
+    chosen = F.when((F.col("size") > 0) & last.isNotNull(), F.filter(blocks, before)).otherwise(F.array().cast("array<long>"))
     return materialize(cuts, "cuts", few_files=True), chosen
 
 
 def _met(rows: DataFrame, cuts: DataFrame, depth: int) -> DataFrame:
-    return rows.withColumn("shard", _shard(depth)).join(cuts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_shard")))
+    return rows.withColumn("shard", _shard(depth)).withColumn("coefficients", _coefficients()).join(cuts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_shard")))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", depth: int | None = None, block: int = 16, seed: str = "mix") -> DataFrame:
@@ -160,7 +174,8 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     cuts, chosen = _planned(rows.select("row", "source", "size", "h"), depth, block, seed)
     text = F.col(f"doc.`{text_col}`")
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("chosen", lambda b: F.slice(words, b * block + 1, F.lit(block)))), " ")
+    # An array of one element, so that a text is split once and not again for each block.
+    cut = F.array_join(F.flatten(F.transform(F.array(words), lambda w: F.flatten(F.transform("chosen", lambda b: F.slice(w, (b * block + 1).cast("int"), F.lit(block)))))), " ")
     whole = F.array_repeat(text, F.col("passes").cast("int"))
     part = F.when(F.size("chosen") == 0, F.array().cast("array<string>")).when(F.size("chosen") * block >= F.col("size"), F.array(text)).otherwise(F.array(cut))
     met = _met(rows, cuts, depth).withColumn("chosen", chosen)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .laws import hypergeometric_sql
+from .mixing import PRIME
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -39,6 +40,11 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NO
 """
 
 
+def _poly(i: int) -> str:
+    x, y, z = (f"(concat('0x', h[{13 + 8 * j}:{20 + 8 * j}])::BIGINT % {PRIME})" for j in range(i, i + 3))
+    return f"((({x} * b + {y}) % {PRIME} * b + {z}) % {PRIME})"
+
+
 def mixing(depth: int = 8, block: int = 16) -> str:
     """The splitting tree as a chain of common tables, a level each, and each shard's blocks in their permuted order."""
     none = "'(none)'"
@@ -52,7 +58,7 @@ b{level} AS MATERIALIZED (SELECT a.source, a.node, quota, CASE WHEN n > 0 THEN {
 n{level + 1} AS (SELECT source, 2 * node AS node, drawn AS quota FROM b{level} UNION ALL SELECT source, 2 * node + 1, quota - drawn FROM b{level})"""
         )
     return f"""
-WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, sha256(concat_ws('|', coalesce(doc_id::VARCHAR, {none}), coalesce(source, {none}), coalesce(text, {none})))[1:24] AS h FROM documents),
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, sha256(concat_ws('|', coalesce(doc_id::VARCHAR, {none}), coalesce(source, {none}), coalesce(text, {none}))) AS h FROM documents),
 r AS MATERIALIZED (SELECT *, concat('0x', h[1:12])::BIGINT % {1 << depth} AS shard, ceil(size / {block})::BIGINT AS blocks FROM d),
 leaves AS MATERIALIZED (SELECT source, shard, sum(blocks)::BIGINT AS blocks FROM r GROUP BY ALL),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, sum(blocks)::BIGINT AS n FROM r GROUP BY 1),
@@ -62,7 +68,7 @@ e AS (SELECT *, (1.5 * (SELECT sum(source_size) FROM s)::DOUBLE - cb) / ((SELECT
 t AS (SELECT source, source_size, n, least(cap, coalesce((SELECT min_by(level, j) FROM e WHERE level * w <= cap) * w, cap))::DOUBLE AS target FROM e),
 plan AS MATERIALIZED (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS passes, CASE WHEN source_size > 0 THEN floor(n * (target - floor(target / source_size) * source_size) / source_size + 0.5) ELSE 0 END::BIGINT AS quota FROM t),
 {','.join(levels)},
-x AS (SELECT doc_id, h, source, shard, size, b, row_number() OVER (PARTITION BY source, shard ORDER BY concat('0x', sha256(concat_ws('|', 'mix', h, b))[1:15])::BIGINT, doc_id, b) AS k
+x AS (SELECT doc_id, h, source, shard, size, b, row_number() OVER (PARTITION BY source, shard ORDER BY {_poly(0)} * {PRIME} + {_poly(3)}, doc_id, b) AS k
   FROM (SELECT *, unnest(generate_series(0, blocks - 1)) AS b FROM r WHERE size > 0)),
 p AS (SELECT doc_id, h, sum(least({block}, size - b * {block}))::BIGINT AS words FROM x JOIN n{depth} q ON x.source IS NOT DISTINCT FROM q.source AND x.shard = q.node WHERE k <= q.quota GROUP BY ALL)
 SELECT r.doc_id, size, plan.source_size, target, (passes * size + coalesce(words, 0))::BIGINT AS taken, shard FROM r JOIN plan ON r.source IS NOT DISTINCT FROM plan.source LEFT JOIN p ON r.doc_id = p.doc_id AND r.h = p.h
