@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalogs, cells, evidence, intake, parsing, resolution, splits  # noqa: F401
+from .plans import annotations, catalogs, cells, evidence, intake, parsing, resolution, splits  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 

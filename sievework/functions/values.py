@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import ascii_label_key
@@ -98,6 +100,14 @@ def parse_dagger(raw: Column, annotated: Column | None = None) -> Column:
     return F.struct(number.alias("number"), status.alias("status"), estimated.alias("estimated"))
 
 
+def parsed(df: DataFrame, column: str, parse: Callable[[Column], Column], name: str = "s") -> DataFrame:
+    """df with name, what parse() makes of column: worked out once for each distinct text, of which tables of values hold few, and
+    met again by a join that Spark makes a broadcast where these are small. For columns of mostly different texts call parse()."""
+    texts = df.select(F.col(column).alias("_x")).distinct()
+    known = texts.select("_x", parse(F.col("_x")).alias(name))
+    return df.join(known, F.col(column).eqNullSafe(F.col("_x")), "left").drop("_x")
+
+
 def bounded_mass(value: Column, slack: float = 1e-6) -> Column:
     """A mass in g per 100 g, a rounding error over 100 taken back."""
     return F.when((value > 100) & (value <= 100 + slack), F.lit(100.0)).otherwise(value)

@@ -11,23 +11,30 @@ from .relational import first_by, require_unique
 from .stats import tolerant_distinct
 
 
-def select_records(df: DataFrame, keys: Sequence[str], sources: Sequence[str], value: str = "value", source: str = "source_key", tier: str = "quality_tier", sample: str = "sample_count", id_col: str = "measurement_id") -> tuple[DataFrame, DataFrame]:
+def select_records(
+    df: DataFrame, keys: Sequence[str], sources: Sequence[str], value: str = "value", source: str = "source_key", tier: str = "quality_tier", sample: str = "sample_count", id_col: str = "measurement_id", check_ids: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """(winners, audit). The winner of a cell: best source by precedence, then tier, then largest sample, then id.
 
-    Raises on an unlisted source, an id held twice, or a value that isn't in [0, 100].
+    An unlisted source or a value that isn't in [0, 100] fails the job that reads it. With check_ids, an id held twice raises at
+    once, at the price of a shuffle of all ids.
     """
     if not sources or len(sources) != len(set(sources)):
         raise ValueError("sources must be given once each")
-    bad = df.where(~F.col(source).isin(*sources) | F.col(source).isNull() | F.col(value).isNull() | ~F.col(value).between(0, 100)).limit(1).collect()
-    if bad:
-        raise ValueError(f"a source without precedence or a value out of bounds: {bad[0].asDict()}")
-    require_unique(df, [id_col], "measurements")
-    rank = F.array_position(F.array(*map(F.lit, sources)), F.col(source))
+    if check_ids:
+        require_unique(df, [id_col], "measurements")
+    fine = F.coalesce(F.col(source).isin(*sources) & F.col(value).between(0, 100), F.lit(False))
+    told = F.concat(F.lit("a source without precedence or a value out of bounds: "), F.to_json(F.struct(source, value, id_col)))
+    rank = F.when(fine, F.array_position(F.array(*map(F.lit, sources)), F.col(source))).otherwise(F.raise_error(told).cast("long"))
     quality = F.coalesce(F.element_at(F.create_map(*(x for i, t in enumerate("ABCD") for x in (F.lit(t), F.lit(i)))), F.col(tier)), F.lit(99))
-    winners = first_by(df, keys, rank, quality, F.greatest(F.coalesce(F.col(sample), F.lit(0)), F.lit(0)).desc(), F.col(id_col))
-    audit = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("candidates"), F.countDistinct(source).alias("candidate_sources"), F.min(value).alias("low"), F.max(value).alias("high"))
+    size = F.greatest(F.coalesce(F.col(sample), F.lit(0)), F.lit(0))
+    winners = first_by(df, keys, rank, quality, size.desc(), F.col(id_col))
+    # The least of structs is the first record by the same order, found by partial aggregation: one shuffle, of a row for each
+    # cell and task.
+    first = F.min(F.struct(rank.alias("r"), quality.alias("q"), (-size).alias("s"), F.col(id_col).alias("id"), F.col(source).alias("source"), F.col(value).alias("value")))
+    audit = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("candidates"), F.size(F.collect_set(source)).cast("long").alias("candidate_sources"), F.min(value).alias("low"), F.max(value).alias("high"), first.alias("_m"))
     audit = audit.withColumn("disagreement", F.col("low") != F.col("high"))
-    return winners, audit.join(winners.select(*keys, F.col(id_col).alias("selected_id"), F.col(source).alias("selected_source"), F.col(value).alias("selected_value")), list(keys))
+    return winners, audit.select(*keys, "candidates", "candidate_sources", "low", "high", "disagreement", F.col("_m.id").alias("selected_id"), F.col("_m.source").alias("selected_source"), F.col("_m.value").alias("selected_value"))
 
 
 def summarise(df: DataFrame, keys: Sequence[str], value: str = "value", source: str = "source_key") -> DataFrame:
@@ -64,11 +71,11 @@ def nested_median(df: DataFrame, levels: Sequence[Sequence[str]], value: str = "
 
 def summary(df: DataFrame, axis: str, source: str, value: str = "value") -> DataFrame:
     """Statistics of each axis, overall (source null, level `axis`) and by source, in one pass over grouping sets."""
-    df.createOrReplaceTempView("_summary")
     return df.sparkSession.sql(
         f"""SELECT {axis}, {source}, CASE WHEN grouping({source}) = 1 THEN 'axis' ELSE 'source' END AS level, count(*) AS n, count_if({value} = 0) AS zeros, count_if({value} > 0) AS positives,
                    min({value}) AS low, percentile({value}, 0.25) AS q1, median({value}) AS median, percentile({value}, 0.75) AS q3, max({value}) AS high, avg({value}) AS mean, stddev_samp({value}) AS sd
-            FROM _summary GROUP BY GROUPING SETS (({axis}), ({axis}, {source}))"""
+            FROM {{rows}} GROUP BY GROUPING SETS (({axis}), ({axis}, {source}))""",
+        rows=df,
     )
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import materialize
+
 
 def require_columns(df: DataFrame, columns: Sequence[str], name: str = "table") -> DataFrame:
     missing = sorted(set(columns) - set(df.columns))
@@ -91,5 +93,18 @@ def filled_forward(df: DataFrame, keys: Sequence[str], order: str, column: str,
 
 
 def dense_index(df: DataFrame, key: str, index: str = "index", first: int = 1) -> DataFrame:
-    """The distinct keys in order, numbered; meant for vocabularies, whose size a single ordered task can hold."""
-    return df.select(key).where(F.col(key).isNotNull()).distinct().withColumn(index, (F.row_number().over(Window.orderBy(key)) - 1 + first).cast("long"))
+    """The distinct keys in order, numbered: by their place in a range of keys and the sizes of the ranges before."""
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_one", F.lit(1).cast("long"))
+    return running_total(keys, key, "_one").select(key, (F.col("running") - 1 + first).alias(index))
+
+
+def running_total(counts: DataFrame, value: str, n: str, keys: Sequence[str] = ()) -> DataFrame:
+    """counts with running: n summed over values up to each, within keys. A window in each of many ranges of values, and the few
+    ranges' own sums before it, so that no task orders all values, of a hot key either. Values are different within keys."""
+    ranged = materialize(counts.repartitionByRange(value, *keys).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = ranged.groupBy(*keys, "_p").agg(F.sum(n).alias("_s"))
+    before = before.withColumn("_before", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_s")).drop("_s")
+    before = before.withColumnsRenamed({c: f"_b{i}" for i, c in enumerate((*keys, "_p"))})
+    own = F.sum(n).over(Window.partitionBy(*keys, "_p").orderBy(value))
+    match = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate((*keys, "_p"))]
+    return ranged.withColumn("_own", own).join(before, reduce(Column.__and__, match)).withColumn("running", F.col("_own") + F.col("_before")).select(*counts.columns, "running")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
 from ..tables import materialize
+from .relational import dense_index
 
 
 def name_groups(df: DataFrame, key: Column, item: str) -> DataFrame:
@@ -24,9 +27,9 @@ def within_name_pairs(df: DataFrame, key: str, item: str) -> DataFrame:
 
 def band_candidates(names: DataFrame, name: str, width: int = 4) -> DataFrame:
     """(a, b): each distinct name with the `width` names before it in order."""
-    w = Window.orderBy(name)
-    rows = names.select(name).distinct().select(F.col(name).alias("b"), F.array(*(F.lag(name, i).over(w) for i in range(1, width + 1))).alias("_p"))
-    return rows.select(F.explode("_p").alias("a"), "b").where(F.col("a").isNotNull())
+    ranked = materialize(dense_index(names, name, "_r"), "ranks")
+    later = ranked.select(F.col(name).alias("a"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.col("_r") + i)).alias("_r"))
+    return later.join(ranked.withColumnRenamed(name, "b"), "_r").select("a", "b")
 
 
 def token_block_candidates(left: DataFrame, right: DataFrame, id_col: str, words: str, least: float = 0.5) -> DataFrame:
@@ -58,18 +61,56 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(queries: DataFrame, base: DataFrame, id_col: str, vector: str, k: int, blocks: int = 8) -> DataFrame:
-    """query, neighbour, similarity, rank: the k most similar others of each query, ties by id.
+def nearest(queries: DataFrame, base: DataFrame, id_col: str, vector: str, k: int, block: int = 10_000) -> DataFrame:
+    """query, neighbour, similarity, rank: the k most similar others of each query by cosine, ties by id; ids are whole numbers and
+    vectors of one length. Rows of null vectors are left out.
 
-    Blocked: base is dealt to `blocks` parts, the queries meet every part, and each keeps its k best before the final rank, so
-    that what is shuffled is queries x blocks x k rows. Meant for a stated set of queries against all rows.
+    Blocked: both sides are dealt to blocks of about `block` rows, every two blocks meet in a task as one product of matrices, and
+    each keeps its k best for a query before the final rank, so that what is ranked is queries x blocks x k rows. Meant for a
+    stated set of queries against all rows.
     """
-    base = base.select(F.col(id_col).alias("neighbour"), F.col(vector).alias("_vb")).withColumn("_block", F.pmod(F.xxhash64("neighbour"), F.lit(blocks)))
-    asked = queries.select(F.col(id_col).alias("query"), F.col(vector).alias("_vq")).withColumn("_block", F.explode(F.array(*(F.lit(i).cast("long") for i in range(blocks)))))
-    pairs = asked.join(base, "_block").where("query <> neighbour").select("query", "neighbour", "_block", F.round(cosine(F.col("_vq"), F.col("_vb")), 9).alias("similarity"))
-    order = [F.desc("similarity"), F.col("neighbour")]
-    first = pairs.withColumn("_rn", F.row_number().over(Window.partitionBy("query", "_block").orderBy(*order))).where(F.col("_rn") <= k)
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k).select("query", "neighbour", "similarity", "rank")
+    sides = [df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")) for df in (queries, base)]
+    n_q, n_b = (max(1, -(-df.count() // block)) for df in sides)
+    asked = sides[0].withColumn("q", F.pmod(F.xxhash64("id"), F.lit(n_q))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_b - 1).cast("long"))))
+    known = sides[1].withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_b))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table({"query": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        if not len(left) or not len(right):
+            return none
+        a, b = (_unit(t["v"]) for t in (left, right))
+        ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
+        order = np.argsort(ids_b, kind="stable")
+        b, ids_b = b[order], ids_b[order]
+        parts = []
+        for at in range(0, len(a), 256):
+            own = np.round(a[at : at + 256] @ b.T, 9)
+            own[ids_a[at : at + 256, None] == ids_b] = -np.inf
+            # Ids rise along a row, so a stable sort gives the smaller id of equals.
+            top = np.argsort(-own, axis=1, kind="stable")[:, :k]
+            score = np.take_along_axis(own, top, axis=1)
+            fine = score > -np.inf
+            parts.append(pa.table({"query": np.repeat(ids_a[at : at + 256], fine.sum(axis=1)), "neighbour": ids_b[top[fine]], "similarity": score[fine]}))
+        return pa.concat_tables(parts)
+
+    met = asked.groupBy("q", "b").cogroup(known.groupBy("q", "b")).applyInArrow(best, "query long, neighbour long, similarity double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "neighbour", "similarity", "rank")
+
+
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    v = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def nearest_both_ways(sources: DataFrame, targets: DataFrame, id_col: str, vector: str, of_source: int, of_target: int) -> DataFrame:
+    """source, target, similarity, from_source, from_target: each source's of_source best targets and each target's of_target best
+    sources; a source that is nearer to others may still be the best that a target has."""
+    own = nearest(sources, targets, id_col, vector, of_source).select(F.col("query").alias("source"), F.col("neighbour").alias("target"), "similarity", F.lit(True).alias("s"))
+    back = nearest(targets, sources, id_col, vector, of_target).select(F.col("neighbour").alias("source"), F.col("query").alias("target"), "similarity", F.lit(False).alias("s"))
+    both = own.unionByName(back).groupBy("source", "target").agg(F.max("similarity").alias("similarity"), F.max("s").alias("from_source"), F.max(~F.col("s")).alias("from_target"))
+    return both
 
 
 def name_grams(key: Column, low: int = 3, high: int = 5) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -38,25 +38,34 @@ def sample_for_review(df: DataFrame, risky: Column, key: Column, one_in: int = 1
     return df.where(risky | (hash_bucket(key, one_in) == 0))
 
 
-def holdout_families(sizes: dict[str, int], target: int) -> list[str]:
-    """Families in hash order, each taken if it fits, that fill the target exactly; raises if they don't."""
-    import hashlib
-
+def holdout_families(sizes: Iterable[tuple[str, int]], target: int) -> list[str]:
+    """Of families in order with their sizes, each taken if it fits, those that fill the target exactly; raises if they don't. Reads
+    no further than needed."""
     taken, room = [], target
-    for name in sorted(sizes, key=lambda f: hashlib.sha256(str(f).encode()).hexdigest()):
-        if sizes[name] <= room:
+    for name, size in sizes:
+        if size <= room:
             taken.append(name)
-            room -= sizes[name]
+            room -= size
+        if not room:
+            break
     if room:
         raise ValueError(f"hash order leaves {room} of {target} unfilled")
     return taken
 
 
 def family_holdout(df: DataFrame, family: str, target: int) -> DataFrame:
-    """df with partition; only family sizes come to the driver."""
-    sizes = {r[family]: r["n"] for r in df.where(F.col(family).isNotNull()).groupBy(family).agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = holdout_families(sizes, target)
-    return df.withColumn("partition", F.when(F.col(family).isin(*chosen), "validation").otherwise("train"))
+    """df with partition. Families are put in hash order by Spark and read one by one until the target is full, so the driver holds
+    only those taken, which meet the rows by a join."""
+    sizes = df.where(F.col(family).isNotNull()).groupBy(family).agg(F.count(F.lit(1)).alias("n")).orderBy(hash_order(F.col(family).cast("string")), family)
+    chosen = holdout_families(((r[family], r["n"]) for r in sizes.toLocalIterator()), target)
+    return _placed(df, family, chosen, "validation", "train")
+
+
+def _placed(df: DataFrame, key: str, chosen: Sequence, inside: str, outside: str) -> DataFrame:
+    """df with partition, by whether a row's key is among those chosen."""
+    kind = df.schema[key].dataType.simpleString()
+    named = df.sparkSession.createDataFrame([(c,) for c in chosen], f"_c {kind}").withColumn("_in", F.lit(True))
+    return df.join(named, F.col(key) == F.col("_c"), "left").withColumn("partition", F.when(F.col("_in"), inside).otherwise(outside)).drop("_c", "_in")
 
 
 def cover_groups(support: dict[str, dict[str, int]], totals: dict[str, int], least_test: int, least_train: int) -> list[str]:
@@ -89,7 +98,7 @@ def test_cover(df: DataFrame, group: str, axis: str, item: str, least_test: int,
         support.setdefault(r[group], {})[r[axis]] = r["n"]
         totals[r[axis]] = totals.get(r[axis], 0) + r["n"]
     chosen = cover_groups(support, totals, least_test, least_train)
-    return df.withColumn("partition", F.when(F.col(group).isin(*chosen), "test").otherwise("train") if chosen else F.lit("train"))
+    return _placed(df, group, chosen, "test", "train")
 
 
 def family_masks(cells: DataFrame, item: str, family: str, visibilities: Sequence[float] = (0.1, 0.3, 0.5, 0.7)) -> DataFrame:

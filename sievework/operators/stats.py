@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import running_total
+
 
 def quantile(c: Column, p: float) -> Column:
     """Exact, linear between neighbours; never an approximation."""
@@ -90,21 +92,27 @@ def pooled_effect(df: DataFrame, keys: Sequence[str], value: str, standard_error
     v, se = F.col(value), standard_error / (1 + F.col(value))
     w = F.when(se > 0, 1 / (se * se))
     rows = best.select(*keys, v.alias("_v"), F.log1p(v).alias("_y"), w.alias("_w"), F.greatest(F.coalesce(weight, F.lit(1.0)), F.lit(1.0)).alias("_n"), F.col(source).alias("_s"))
-    first = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count("_w").alias("_k"), F.sum("_w").alias("_sw"), F.sum(F.col("_w") * F.col("_y")).alias("_swy"), F.sum(F.col("_w") ** 2).alias("_sw2"),
-        F.countDistinct("_s").alias("sources"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.avg("_v").alias("mean"), F.median("_v").alias("median"),
+    # The window has dealt the rows by key, so this is one shuffle of one scan. Medians hold a cell's values too.
+    stats = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count("_w").alias("_k"), F.sum("_w").alias("_sw"), F.sum(F.col("_w") * F.col("_y")).alias("_swy"), F.sum(F.col("_w") ** 2).alias("_sw2"), F.sum("_n").alias("_sn"),
+        F.size(F.collect_set("_s")).cast("long").alias("sources"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.avg("_v").alias("mean"), F.median("_v").alias("median"),
+        F.sort_array(F.collect_list(F.struct("_y", "_n", "_w"))).alias("_rows"),
     )
-    mean = F.col("_swy") / F.col("_sw")
-    second = rows.join(first, list(keys)).groupBy(*keys).agg(F.sum(F.col("_w") * (F.col("_y") - mean) ** 2).alias("_q"))
-    stats = first.join(second, list(keys))
+    total = lambda f: F.aggregate("_rows", F.lit(0.0), lambda s, r: s + F.coalesce(f(r), F.lit(0.0)))
+    stats = stats.withColumn("_q", total(lambda r: r["_w"] * (r["_y"] - F.col("_swy") / F.col("_sw")) ** 2))
     c = F.col("_sw") - F.col("_sw2") / F.col("_sw")
     tau2 = F.when(c > 0, F.greatest(F.lit(0.0), (F.col("_q") - (F.col("_k") - 1)) / c)).otherwise(0.0)
     i2 = F.when((F.col("_k") >= 2) & (F.col("n") > 1), F.when(F.col("_q") > 0, F.greatest(F.lit(0.0), (F.col("_q") - (F.col("_k") - 1)) / F.col("_q"))).otherwise(0.0))
     stats = stats.withColumn("_tau2", tau2).withColumn("i2", i2)
-    random = 1 / (1 / F.col("_w") + F.col("_tau2"))
-    third = rows.join(stats.select(*keys, "_tau2"), list(keys)).groupBy(*keys).agg((F.sum(random * F.col("_y")) / F.sum(random)).alias("_center"))
-    middle = weighted_median(rows, keys, "_y", "_n").withColumnRenamed("weighted_median", "_middle")
-    out = stats.join(third, list(keys)).join(middle, list(keys))
+    random = lambda r: 1 / (1 / r["_w"] + F.col("_tau2"))
+
+    def reach(s: Column, r: Column) -> Column:
+        """The first value at which the summed weights are half of all."""
+        done = s["c"] + r["_n"]
+        return F.struct(done.alias("c"), F.when(s["y"].isNull() & (done >= 0.5 * F.col("_sn")), r["_y"]).otherwise(s["y"]).alias("y"))
+
+    middle = F.aggregate("_rows", F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("y")), reach, lambda s: s["y"])
+    out = stats.withColumn("_center", F.when(F.col("_k") >= 2, total(lambda r: random(r) * r["_y"]) / total(random))).withColumn("_middle", middle)
     ratio = F.when(F.col("low") > 0, F.col("high") / F.col("low"))
     conflict = (F.col("sources") >= 2) & (F.col("low") == 0) & (F.col("high") > 0)
     review = (F.col("n") > 1) & (F.coalesce(F.col("i2") > 0.75, F.lit(False)) | F.coalesce((F.col("sources") >= 2) & (ratio > 3), F.lit(False)) | conflict)
@@ -113,11 +121,13 @@ def pooled_effect(df: DataFrame, keys: Sequence[str], value: str, standard_error
     return out.select(*keys, F.when(~review, center).alias("value"), F.when(review, "review").otherwise("accepted").alias("status"), method.alias("method"), "n", "sources", "mean", "median", "low", "high", "i2", ratio.alias("ratio"), conflict.alias("zero_conflict"))
 
 
-def ecdf(df: DataFrame, value: str) -> DataFrame:
-    """value, n, share at or below it. Counts by value first, so that the running sum is over distinct values."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    running = F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return counts.select(value, "n", (running / F.sum("n").over(Window.partitionBy())).alias("share"))
+def ecdf(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, value, n, share at or below it, within keys. Counts by value first, so that the running sum is over distinct values."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    out = running_total(counts, value, "n", keys)
+    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_t"))
+    out = out.join(totals, list(keys)) if keys else out.crossJoin(F.broadcast(totals))  # one row
+    return out.select(*keys, value, "n", (F.col("running") / F.col("_t")).alias("share"))
 
 
 def average_rank(c: str, keys: Sequence[str]) -> Column:

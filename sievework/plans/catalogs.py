@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import units, values
 from ..functions.ids import code_text
 from ..operators import catalog
+from .parsing import RAW, raw_values
 from .registry import m, measurements, query, table
 
 
@@ -34,11 +35,11 @@ def requirement_evidence(spark, sf):
     return catalog.requirement_evidence(wanted, "c_custkey", "ids", table(spark, sf, "orders"), "o_orderkey", F.col("o_totalprice") > 250000)
 
 
-@query(m("SELECT p_type, s AS source_key, coalesce(n, 0) AS n FROM (SELECT DISTINCT p_type FROM part) CROSS JOIN (SELECT DISTINCT source_key AS s FROM m) LEFT JOIN (SELECT p_type AS t, source_key AS k, count(*) AS n FROM m JOIN part ON food_id = p_partkey WHERE value > 49.5 AND price > 90000 GROUP BY ALL) ON t = p_type AND k = s"))
+@query(m("SELECT p_partkey AS food_id, s AS source_key, coalesce(n, 0) AS n FROM part CROSS JOIN (SELECT DISTINCT source_key AS s FROM m) LEFT JOIN (SELECT food_id AS t, source_key AS k, count(*) AS n FROM m GROUP BY ALL) ON t = p_partkey AND k = s"))
 def gap_grid(spark, sf):
     df = measurements(spark, sf)
-    seen = df.where("value > 49.5 AND price > 90000").join(table(spark, sf, "part"), F.col("food_id") == F.col("p_partkey")).groupBy("p_type", "source_key").agg(F.count(F.lit(1)).alias("n"))
-    return catalog.gap_grid(table(spark, sf, "part").select("p_type").distinct(), "p_type", df, "source_key", seen)
+    seen = df.groupBy("food_id", "source_key").agg(F.count(F.lit(1)).alias("n"))
+    return catalog.gap_grid(table(spark, sf, "part").select(F.col("p_partkey").alias("food_id")), "food_id", df, "source_key", seen)
 
 
 @query("SELECT p_name AS key, count(*) AS axes, 'catalogue' AS origin FROM part GROUP BY 1 UNION ALL SELECT n_name, 0, 'seed' FROM nation")
@@ -60,16 +61,16 @@ def observed_axes(spark, sf):
     return catalog.observed_axes(table(spark, sf, "part").withColumnRenamed("p_partkey", "food_id"), "food_id", measurements(spark, sf), F.col("value") > 48, 2)
 
 
-@query(m("""+ c AS (SELECT DISTINCT axis_id, food_id, source_key FROM m WHERE value > 40), t AS (SELECT axis_id, source_key, count(DISTINCT food_id) AS test FROM c GROUP BY ALL),
+@query(m("""+ c AS (SELECT DISTINCT axis_id, food_id, source_key FROM m), t AS (SELECT axis_id, source_key, count(DISTINCT food_id) AS test FROM c GROUP BY ALL),
 r AS (SELECT t.axis_id, t.source_key, t.test, (SELECT count(DISTINCT food_id) FROM c WHERE c.axis_id = t.axis_id AND c.source_key <> t.source_key) AS remaining FROM t)
 SELECT *, CASE WHEN test >= 300 AND remaining >= 1000 THEN 'holdout_test' WHEN remaining >= 1000 THEN 'train_only' ELSE 'insufficient' END AS role FROM r"""))
 def holdout_roles(spark, sf):
-    return catalog.holdout_roles(measurements(spark, sf).where("value > 40"), "axis_id", "food_id", "source_key", 1000, 300)
+    return catalog.holdout_roles(measurements(spark, sf), "axis_id", "food_id", "source_key", 1000, 300)
 
 
-@query(m("SELECT p_partkey AS food_id, p_name FROM part ANTI JOIN (SELECT food_id FROM m WHERE value > 49) ON food_id = p_partkey"))
+@query(m("SELECT p_partkey AS food_id, p_name FROM part ANTI JOIN (SELECT food_id FROM m WHERE axis_id = 'NF') ON food_id = p_partkey"))
 def foods_without_axis(spark, sf):
-    return catalog.without_axis(table(spark, sf, "part").selectExpr("p_partkey AS food_id", "p_name"), "food_id", measurements(spark, sf).where("value > 49"))
+    return catalog.without_axis(table(spark, sf, "part").selectExpr("p_partkey AS food_id", "p_name"), "food_id", measurements(spark, sf).where("axis_id = 'NF'"))
 
 
 @query("SELECT p_size::VARCHAR AS number, string_agg(DISTINCT p_type, ';' ORDER BY p_type) AS concepts, count(DISTINCT p_type) AS n FROM part GROUP BY 1 HAVING n > 1")
@@ -107,9 +108,9 @@ def common_cells(spark, sf):
     return catalog.common_cells(measurements(spark, sf), ["food_id", "axis_id"], "source_key", ["s0", "s1"], "value")
 
 
-@query(m("""+ o AS (SELECT food_id, axis_id, any_value(value) AS v FROM m WHERE price > 60000 GROUP BY ALL HAVING count(*) = 1) SELECT food_id, sum(v) AS total, sum(v) BETWEEN 60 AND 110 AS plausible FROM o WHERE axis_id IN ('AF', 'NO') GROUP BY 1 HAVING count(*) = 2"""))
+@query(m("""+ o AS (SELECT concat_ws('/', food_id, profile_id, sample_count) AS food_id, axis_id, any_value(value) AS v FROM m GROUP BY ALL HAVING count(*) = 1) SELECT food_id, sum(v) AS total, sum(v) BETWEEN 60 AND 110 AS plausible FROM o WHERE axis_id IN ('AF', 'NO') GROUP BY 1 HAVING count(*) = 2"""))
 def mass_balance(spark, sf):
-    return catalog.mass_balance(measurements(spark, sf).where("price > 60000"), "food_id", "axis_id", "value", ["AF", "NO"], 60, 110)
+    return catalog.mass_balance(measurements(spark, sf).withColumn("food_id", F.concat_ws("/", "food_id", "profile_id", "sample_count")), "food_id", "axis_id", "value", ["AF", "NO"], 60, 110)
 
 
 @query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'request' WHEN s_acctbal < 3000 THEN 'download' ELSE 'none' END AS action FROM supplier")
@@ -123,7 +124,6 @@ def closeness(spark, sf):
     return table(spark, sf, "part").select("p_partkey", values.is_close(p, F.lit(1000.0), 0.01).alias("near"), F.round(values.relative_difference(p, F.lit(1000.0)), 9).alias("difference"))
 
 
-@query("SELECT unit, CASE unit WHEN 'kcal' THEN 'energy' WHEN 'IU/g' THEN 'activity' WHEN '% dry' THEN 'fraction' WHEN 'dry mg' THEN 'dry_weight' WHEN 'g/100 ml' THEN 'volume' WHEN 'mg' THEN 'mass' ELSE 'unknown' END AS modality FROM (SELECT unnest(['kcal','IU/g','% dry','dry mg','g/100 ml','mg','x']) AS unit)")
+@query(f"""SELECT DISTINCT unit, CASE WHEN unit = 'kcal' THEN 'energy' WHEN unit = 'IU' THEN 'activity' WHEN unit = '%' THEN 'fraction' WHEN unit = 'g/100 ml' THEN 'volume' ELSE 'mass' END AS modality FROM ({RAW})""")
 def unit_modalities(spark, sf):
-    rows = spark.createDataFrame([(u,) for u in ("kcal", "IU/g", "% dry", "dry mg", "g/100 ml", "mg", "x")], "unit string")
-    return rows.select("unit", units.unit_modality(F.col("unit")).alias("modality"))
+    return raw_values(spark, sf).select("unit").distinct().select("unit", units.unit_modality(F.col("unit")).alias("modality"))

@@ -16,7 +16,7 @@ _RANK = "list_position(['s3','s0','s5','s1','s4','s2'], source_key)"
 a AS (SELECT food_id, axis_id, count(*) AS candidates, count(DISTINCT source_key) AS candidate_sources, min(value) AS low, max(value) AS high FROM m GROUP BY ALL)
 SELECT a.*, low <> high AS disagreement, measurement_id AS selected_id, source_key AS selected_source, value AS selected_value FROM a JOIN w USING (food_id, axis_id) WHERE rn = 1"""))
 def cell_select(spark, sf):
-    return cells.select_records(measurements(spark, sf), _CELL, _SOURCES)[1]
+    return cells.select_records(measurements(spark, sf), _CELL, _SOURCES, check_ids=False)[1]
 
 
 @query(m("""+ g AS (SELECT food_id, axis_id, count(*) AS n, count(DISTINCT source_key) AS sources, min(value) AS low, median(value) AS median, max(value) AS high, count(DISTINCT value) AS distinct_values FROM m GROUP BY ALL)
@@ -27,7 +27,8 @@ def cell_summary_conflict(spark, sf):
     return out.withColumn("span", F.round("span", 9)).withColumn("distinct_values", F.col("distinct_values").cast("long"))
 
 
-@query(m("""+ r AS (SELECT *, min(quality_tier) OVER (PARTITION BY food_id, axis_id) AS best FROM m),
+#: SQL of pooled values of the records of a table; the select list ends with the columns of a profile.
+POOLED = """r AS (SELECT *, min(quality_tier) OVER (PARTITION BY food_id, axis_id) AS best FROM {rows}),
 b AS (SELECT food_id, axis_id, value AS v, ln(1 + value) AS y, CASE WHEN ratio > 0 THEN 1 / pow(ratio / (1 + value), 2) END AS w, greatest(sample_count, 1) AS wt, source_key FROM r WHERE quality_tier = best),
 f AS (SELECT food_id, axis_id, count(*) AS n, count(w) AS k, sum(w) AS sw, sum(w * y) AS swy, sum(w * w) AS sw2, count(DISTINCT source_key) AS sources, min(v) AS low, max(v) AS high, avg(v) AS mean, median(v) AS median FROM b GROUP BY ALL),
 q AS (SELECT food_id, axis_id, sum(w * pow(y - swy / sw, 2)) AS q FROM b JOIN f USING (food_id, axis_id) GROUP BY ALL),
@@ -37,7 +38,10 @@ o AS (SELECT food_id, axis_id, y, sum(wt) OVER (PARTITION BY food_id, axis_id OR
 d AS (SELECT food_id, axis_id, min(y) AS mid FROM o WHERE run >= 0.5 * tot GROUP BY ALL),
 x AS (SELECT *, n > 1 AND (coalesce(i2 > 0.75, false) OR coalesce(sources >= 2 AND high / nullif(low, 0) > 3, false) OR (sources >= 2 AND low = 0 AND high > 0)) AS review FROM s JOIN t USING (food_id, axis_id) JOIN d USING (food_id, axis_id))
 SELECT food_id, axis_id, CASE WHEN NOT review THEN round(CASE WHEN n = 1 THEN low WHEN k >= 2 THEN exp(c) - 1 ELSE exp(mid) - 1 END, 6) END AS value, CASE WHEN review THEN 'review' ELSE 'accepted' END AS status,
-CASE WHEN n = 1 THEN 'single_record' WHEN k >= 2 THEN 'random_effects' ELSE 'weighted_median' END AS method, n, sources, round(mean, 6) AS mean, median, low, high, round(i2, 6) AS i2, round(high / nullif(low, 0), 6) AS ratio, sources >= 2 AND low = 0 AND high > 0 AS zero_conflict FROM x"""))
+CASE WHEN n = 1 THEN 'single_record' WHEN k >= 2 THEN 'random_effects' ELSE 'weighted_median' END AS method, n, sources, round(mean, 6) AS mean, median, low, high, round(i2, 6) AS i2, round(high / nullif(low, 0), 6) AS ratio, sources >= 2 AND low = 0 AND high > 0 AS zero_conflict FROM x"""
+
+
+@query(m("+ " + POOLED.format(rows="m")))
 def heterogeneity_aggregate(spark, sf):
     df = measurements(spark, sf)
     out = stats.pooled_effect(df, _CELL, "value", F.when(F.col("ratio") > 0, F.col("ratio")), F.col("sample_count").cast("double"), "source_key", "ABCD", "quality_tier")
@@ -120,11 +124,11 @@ def equal_source_weights(spark, sf):
     return cells.equal_source_weights(measurements(spark, sf), _CELL, "source_key", "profile_id").select("measurement_id", F.round("weight", 12).alias("weight"))
 
 
-@query(m("""+ o AS (SELECT axis_id, count(DISTINCT food_id) AS observed FROM m WHERE value > 45 GROUP BY 1),
-c AS (SELECT axis_id, count(DISTINCT food_id) AS capable FROM (SELECT DISTINCT axis_id, source_key FROM m WHERE value > 45) JOIN (SELECT DISTINCT source_key, food_id FROM m WHERE value > 45) USING (source_key) GROUP BY 1)
+@query(m("""+ o AS (SELECT axis_id, count(DISTINCT food_id) AS observed FROM m GROUP BY 1),
+c AS (SELECT axis_id, count(DISTINCT food_id) AS capable FROM (SELECT DISTINCT axis_id, source_key FROM m) JOIN (SELECT DISTINCT source_key, food_id FROM m) USING (source_key) GROUP BY 1)
 SELECT axis_id, observed, capable, round(observed / capable, 9) AS coverage, CASE WHEN observed >= 100 AND observed / capable >= 0.4 THEN 'train_and_evaluate' WHEN observed >= 100 THEN 'train_only' ELSE 'insufficient_support' END AS role FROM o JOIN c USING (axis_id)"""))
 def capability_coverage(spark, sf):
-    out = cells.capability_coverage(measurements(spark, sf).where("value > 45"), "axis_id", "source_key", "food_id")
+    out = cells.capability_coverage(measurements(spark, sf), "axis_id", "source_key", "food_id")
     return out.withColumn("role", cells.training_role(F.col("coverage"), F.col("observed"), 100, 0.4)).withColumn("coverage", F.round("coverage", 9))
 
 
@@ -140,16 +144,16 @@ def source_coverage(spark, sf):
     return measurements(spark, sf).groupBy("source_key").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("food_id").alias("foods"), F.countDistinct("axis_id").alias("axes"), F.count_if(F.col("ratio") == 0).alias("zeros"), F.count_if(F.col("quality_tier").isin("A", "B")).alias("strict_tier"))
 
 
-@query(m("SELECT p_partkey, p_name, coalesce(axes, 0) AS axes, coalesce(sources, 0) AS sources FROM part LEFT JOIN (SELECT food_id, count(DISTINCT axis_id) AS axes, count(DISTINCT source_key) AS sources FROM m WHERE value > 48 GROUP BY 1) ON p_partkey = food_id"))
+@query(m("SELECT p_partkey, p_name, coalesce(axes, 0) AS axes, coalesce(sources, 0) AS sources FROM part LEFT JOIN (SELECT food_id, count(DISTINCT axis_id) AS axes, count(DISTINCT source_key) AS sources FROM m GROUP BY 1) ON p_partkey = food_id"))
 def food_coverage(spark, sf):
-    seen = measurements(spark, sf).where("value > 48").groupBy("food_id").agg(F.countDistinct("axis_id").alias("axes"), F.countDistinct("source_key").alias("sources"))
+    seen = measurements(spark, sf).groupBy("food_id").agg(F.countDistinct("axis_id").alias("axes"), F.countDistinct("source_key").alias("sources"))
     return table(spark, sf, "part").join(seen, F.col("p_partkey") == F.col("food_id"), "left").select("p_partkey", "p_name", F.coalesce("axes", F.lit(0)).alias("axes"), F.coalesce("sources", F.lit(0)).alias("sources"))
 
 
-@query(m("SELECT axis_id, value, n, round(sum(n) OVER (PARTITION BY axis_id ORDER BY value) / sum(n) OVER (PARTITION BY axis_id), 9) AS share FROM (SELECT axis_id, value, count(*) AS n FROM m WHERE axis_id = 'NO' GROUP BY ALL)"))
+@query(m("SELECT axis_id, value, n, round(sum(n) OVER (PARTITION BY axis_id ORDER BY value) / sum(n) OVER (PARTITION BY axis_id), 9) AS share FROM (SELECT axis_id, value, count(*) AS n FROM m GROUP BY ALL)"))
 def ecdf(spark, sf):
-    out = stats.ecdf(measurements(spark, sf).where("axis_id = 'NO'"), "value")
-    return out.select(F.lit("NO").alias("axis_id"), "value", "n", F.round("share", 9).alias("share"))
+    out = stats.ecdf(measurements(spark, sf), "value", ["axis_id"])
+    return out.select("axis_id", "value", "n", F.round("share", 9).alias("share"))
 
 
 @query("SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY ALL")

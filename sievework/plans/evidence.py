@@ -15,8 +15,7 @@ _STAGED = f"""SELECT measurement_id, CASE source_key WHEN 's0' THEN 'usda_sr_leg
 
 
 def _staged(spark, sf):
-    measurements(spark, sf).createOrReplaceTempView("m")
-    return spark.sql(_STAGED)
+    return spark.sql(_STAGED.replace("FROM m", "FROM {m}"), m=measurements(spark, sf))
 
 
 @query(m(f"""+ s AS ({_STAGED}), o AS (SELECT *, source_key IN ('usda_sr_legacy', 'cnf', 'foodb') AS t, source_reference AS r, method_expression AS d, CASE WHEN source_key = 'foodb' THEN method_expression || '; ' ELSE source_reference || '; ' || method_expression END AS g FROM s),
@@ -69,12 +68,12 @@ def transfer_blocks(spark, sf):
     return evidence.transfer_blocks(c, "id", "partition", "f", lineages, "l")
 
 
-@query("""WITH r AS (SELECT p_name AS g, CASE WHEN p_partkey % 4 > 0 THEN concat('T', length(p_type), '_', p_size) ELSE '' END AS term FROM part WHERE p_partkey % 6 < 3), one AS (SELECT g, min(term) AS child FROM r WHERE term <> '' GROUP BY 1 HAVING count(DISTINCT term) = 1),
+@query("""WITH r AS (SELECT concat(p_name, '/', p_brand) AS g, CASE WHEN p_partkey % 4 > 0 THEN concat('T', length(p_type), '_', p_size) ELSE '' END AS term FROM part), one AS (SELECT g, min(term) AS child FROM r WHERE term <> '' GROUP BY 1 HAVING count(DISTINCT term) = 1),
 e AS (SELECT DISTINCT concat('T', length(p_type), '_', p_size) AS child, concat('T', length(p_type), '_', p_size // 2) AS parent FROM part), h AS (SELECT child AS parent, string_agg(g, ';' ORDER BY g) AS parent_groups FROM one GROUP BY 1)
 SELECT g AS child_group, child, parent, coalesce(parent_groups, '') AS parent_groups, parent_groups IS NOT NULL AS in_snapshot FROM one JOIN e USING (child) LEFT JOIN h USING (parent)""")
 def hierarchy_edges(spark, sf):
     part = table(spark, sf, "part")
-    rows = part.where("p_partkey % 6 < 3").selectExpr("p_name AS g", "CASE WHEN p_partkey % 4 > 0 THEN concat('T', length(p_type), '_', p_size) ELSE '' END AS term")
+    rows = part.selectExpr("concat(p_name, '/', p_brand) AS g", "CASE WHEN p_partkey % 4 > 0 THEN concat('T', length(p_type), '_', p_size) ELSE '' END AS term")
     parents = part.selectExpr("concat('T', length(p_type), '_', p_size) AS child", "concat('T', length(p_type), '_', p_size div 2) AS parent")
     return evidence.hierarchy_edges(rows, "g", "term", parents, "child", "parent")
 
@@ -103,10 +102,10 @@ def similar_names(spark, sf):
     return resolve.similar_names(names, "id", "key").withColumns({c: F.round(c, 6) for c in ("similarity", "word_overlap")})
 
 
-@query(m("""+ d AS (SELECT axis_id, food_id, round(avg(value) - 25, 1) AS d FROM m WHERE food_id < 300 GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY axis_id ORDER BY abs(d)) + (count(*) OVER (PARTITION BY axis_id, abs(d)) - 1) / 2 AS r FROM d)
+@query(m("""+ d AS (SELECT axis_id, food_id, round(avg(value) - 25, 1) AS d FROM m GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY axis_id ORDER BY abs(d)) + (count(*) OVER (PARTITION BY axis_id, abs(d)) - 1) / 2 AS r FROM d)
 SELECT axis_id, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS r_plus, round(avg(d), 6) AS mean_difference FROM r GROUP BY 1"""))
 def paired_signed_rank(spark, sf):
-    df = measurements(spark, sf).where("food_id < 300").groupBy("axis_id", "food_id").agg(F.round(F.avg("value") - 25, 1).alias("d"))
+    df = measurements(spark, sf).groupBy("axis_id", "food_id").agg(F.round(F.avg("value") - 25, 1).alias("d"))
     return evaluate.signed_rank(df, ["axis_id"], "d").select("axis_id", "n", "r_plus", F.round("mean_difference", 6).alias("mean_difference"))
 
 

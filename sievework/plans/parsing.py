@@ -9,48 +9,47 @@ from ..operators import gates, relational
 from .registry import m, measurements, query, table
 
 #: One raw text for each order line, in turn of every kind.
-_RAW = """SELECT concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, cast(l_shipdate AS date), cast(round(l_extendedprice*100) AS bigint)) AS id, CASE l_partkey % 10 WHEN 0 THEN cast(cast(l_quantity AS int) AS varchar(20)) WHEN 1 THEN concat('<', cast(cast(l_quantity AS int) AS varchar(20)))
+RAW = """SELECT concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, cast(l_shipdate AS date), cast(round(l_extendedprice*100) AS bigint)) AS id, CASE l_partkey % 10 WHEN 0 THEN cast(cast(l_quantity AS int) AS varchar(20)) WHEN 1 THEN concat('<', cast(cast(l_quantity AS int) AS varchar(20)))
 WHEN 2 THEN 'Trace' WHEN 3 THEN concat(cast(cast(l_quantity AS int) AS varchar(20)), '-', cast(cast(l_quantity AS int) + 5 AS varchar(20))) WHEN 4 THEN '0' WHEN 5 THEN 'N/A' WHEN 6 THEN concat('(', cast(cast(l_quantity AS int) AS varchar(20)), ')') WHEN 7 THEN concat(cast(cast(l_quantity AS int) AS varchar(20)), ',5') WHEN 8 THEN '-' ELSE NULL END AS raw,
 CASE l_suppkey % 9 WHEN 0 THEN 'mg/100 g' WHEN 1 THEN 'g' WHEN 2 THEN 'kcal' WHEN 3 THEN 'µg/100g' WHEN 4 THEN 'g/100 ml' WHEN 5 THEN 'mg/g nitrogen' WHEN 6 THEN '%' WHEN 7 THEN 'IU' ELSE 'mg/serving' END AS unit FROM lineitem"""
 
 
-def _raw(spark, sf):
-    table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
-    return spark.sql(_RAW)
+def raw_values(spark, sf):
+    return spark.sql(RAW.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf, "lineitem"))
 
 
-@query(f"""WITH r AS ({_RAW}), v AS (SELECT id, raw, try_cast(replace(raw, ',', '.') AS DOUBLE) AS num FROM r)
+@query(f"""WITH r AS ({RAW}), v AS (SELECT id, raw, try_cast(replace(raw, ',', '.') AS DOUBLE) AS num FROM r)
 SELECT id, CASE WHEN raw IS NULL OR raw IN ('N/A', '-') THEN 'missing' WHEN starts_with(raw, '<') THEN 'below_limit' WHEN raw = 'Trace' THEN 'trace' WHEN contains(raw, '-') THEN 'range_only' WHEN num = 0 THEN 'explicit_zero' WHEN num IS NOT NULL THEN 'observed' ELSE 'invalid' END AS value_status,
 CASE WHEN raw NOT LIKE '%-%' AND raw NOT LIKE '<%' THEN num END AS numeric_value, CASE WHEN raw LIKE '%-%' AND raw <> '-' THEN split_part(raw, '-', 1)::DOUBLE END AS parsed_min, CASE WHEN raw LIKE '%-%' AND raw <> '-' THEN split_part(raw, '-', 2)::DOUBLE END AS parsed_max,
 coalesce(num = 0, false) AS is_explicit_zero, coalesce(raw LIKE '<%' OR raw = 'Trace', false) AS is_censored, coalesce(raw LIKE '%-%' AND raw <> '-', false) AS is_range_only, CASE WHEN raw LIKE '<%' THEN raw[2:]::DOUBLE END AS censor_limit FROM v""")
 def parse_value(spark, sf):
-    return _raw(spark, sf).select("id", values.parse_value(F.col("raw")).alias("s")).select("id", "s.*")
+    return values.parsed(raw_values(spark, sf), "raw", values.parse_value).select("id", "s.*")
 
 
-@query(f"""WITH r AS ({_RAW}) SELECT id, try_cast(replace(trim(raw, '()'), ',', '.') AS DOUBLE) AS number,
+@query(f"""WITH r AS ({RAW}) SELECT id, try_cast(replace(trim(raw, '()'), ',', '.') AS DOUBLE) AS number,
 CASE WHEN raw IS NULL OR raw IN ('N/A', '-') THEN 'missing_or_not_reported' WHEN raw = 'Trace' OR raw LIKE '<%' THEN 'trace_or_censored' WHEN raw LIKE '%-%' THEN 'unparsed_non_numeric' WHEN raw LIKE '(%' THEN 'bracketed_or_parenthesized_estimate' WHEN raw = '0' THEN 'explicit_zero' ELSE 'observed' END AS status,
 coalesce(raw NOT LIKE '(%' AND raw NOT LIKE '%-%' AND try_cast(replace(raw, ',', '.') AS DOUBLE) IS NOT NULL, false) AS usable FROM r""")
 def parse_bracketed_value(spark, sf):
-    return _raw(spark, sf).select("id", values.parse_bracketed(F.col("raw")).alias("s")).select("id", "s.*")
+    return values.parsed(raw_values(spark, sf), "raw", values.parse_bracketed).select("id", "s.*")
 
 
-@query(f"""WITH r AS ({_RAW}) SELECT id, CASE WHEN raw NOT LIKE '%,%' THEN try_cast(trim(raw, '()') AS DOUBLE) END AS number, coalesce(raw LIKE '(%', false) AS estimated,
+@query(f"""WITH r AS ({RAW}) SELECT id, CASE WHEN raw NOT LIKE '%,%' THEN try_cast(trim(raw, '()') AS DOUBLE) END AS number, coalesce(raw LIKE '(%', false) AS estimated,
 CASE WHEN raw IS NULL THEN 'missing_blank' WHEN raw = '-' THEN 'unmeasured_dash' WHEN raw LIKE '%,%' OR try_cast(trim(raw, '()') AS DOUBLE) IS NULL THEN 'unparsed_requires_review' WHEN raw LIKE '(%' THEN 'estimated_positive' WHEN raw = '0' THEN 'reported_zero_censored_or_nondetect' ELSE 'reported_positive_origin_unresolved' END AS status FROM r""")
 def parse_dagger_value(spark, sf):
-    return _raw(spark, sf).select("id", values.parse_dagger(F.col("raw")).alias("s")).select("id", "s.*")
+    return values.parsed(raw_values(spark, sf), "raw", values.parse_dagger).select("id", "s.*")
 
 
-@query(f"""WITH r AS (SELECT DISTINCT unit FROM ({_RAW})) SELECT unit, CASE unit WHEN 'mg/100 g' THEN 1e-3 WHEN 'µg/100g' THEN 1e-6 END::DOUBLE AS factor,
+@query(f"""WITH r AS (SELECT DISTINCT unit FROM ({RAW})) SELECT unit, CASE unit WHEN 'mg/100 g' THEN 1e-3 WHEN 'µg/100g' THEN 1e-6 END::DOUBLE AS factor,
 CASE unit WHEN 'mg/100 g' THEN 'converted_exact_mass' WHEN 'µg/100g' THEN 'converted_exact_mass' WHEN 'g' THEN 'missing_denominator' WHEN 'kcal' THEN 'excluded_energy' WHEN 'g/100 ml' THEN 'requires_density_conversion' WHEN 'mg/g nitrogen' THEN 'requires_nitrogen_or_protein_conversion' WHEN '%' THEN 'excluded_relative_fraction' WHEN 'IU' THEN 'excluded_biological_equivalent' ELSE 'requires_portion_conversion' END AS status,
 CASE unit WHEN 'mg/100 g' THEN 1e-3 WHEN 'µg/100g' THEN 1e-6 WHEN 'g' THEN 1.0 WHEN 'g/100 ml' THEN 1.0 WHEN 'mg/g nitrogen' THEN 1e-3 WHEN 'mg/serving' THEN 1e-3 END::DOUBLE AS grams FROM r""")
 def normalize_unit(spark, sf):
-    return _raw(spark, sf).select("unit").distinct().select("unit", units.normalize_unit(F.col("unit")).alias("s"), units.mass_factor(F.col("unit")).alias("grams")).select("unit", "s.factor", "s.status", "grams")
+    return raw_values(spark, sf).select("unit").distinct().select("unit", units.normalize_unit(F.col("unit")).alias("s"), units.mass_factor(F.col("unit")).alias("grams")).select("unit", "s.factor", "s.status", "grams")
 
 
-@query(f"""WITH r AS ({_RAW}), v AS (SELECT id, unit, CASE WHEN raw NOT LIKE '%-%' AND raw NOT LIKE '<%' THEN try_cast(replace(raw, ',', '.') AS DOUBLE) END * CASE unit WHEN 'mg/100 g' THEN 1e-3 WHEN 'µg/100g' THEN 1e-6 END AS x FROM r)
+@query(f"""WITH r AS ({RAW}), v AS (SELECT id, unit, CASE WHEN raw NOT LIKE '%-%' AND raw NOT LIKE '<%' THEN try_cast(replace(raw, ',', '.') AS DOUBLE) END * CASE unit WHEN 'mg/100 g' THEN 1e-3 WHEN 'µg/100g' THEN 1e-6 END AS x FROM r)
 SELECT id, round(x, 12) AS g_per_100g, coalesce(x BETWEEN 0 AND 100, false) AS eligible FROM v""")
 def apply_value_and_unit(spark, sf):
-    raw = _raw(spark, sf)
+    raw = raw_values(spark, sf)
     factors = raw.select("unit").distinct().select("unit", units.normalize_unit(F.col("unit")).factor.alias("factor"))
     x = values.bounded_mass(values.parse_value(F.col("raw")).numeric_value * F.col("factor"))
     return raw.join(factors, "unit").select("id", F.round(x, 12).alias("g_per_100g"), F.coalesce(x.between(0, 100), F.lit(False)).alias("eligible"))

@@ -32,8 +32,7 @@ MEASUREMENTS = """SELECT concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_line
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    return spark.sql(MEASUREMENTS)
+    return spark.sql(MEASUREMENTS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
 
 
 def m(sql: str) -> str:

@@ -20,11 +20,11 @@ def lineage_join_checked(spark, sf):
     return lines.groupBy("r_name", "n_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
 
 
-@query("""WITH a AS (SELECT concat('k', s_suppkey % 150) AS code, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS name, s_nationkey AS nation FROM supplier WHERE s_suppkey < 60),
+@query("""WITH a AS (SELECT concat('k', s_suppkey % 150) AS code, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS name, s_nationkey AS nation FROM supplier),
 b AS (SELECT concat('k', n_nationkey * 4) AS code, n_name AS name, n_regionkey AS region FROM nation)
 SELECT coalesce(a.code, b.code) AS code, coalesce(nullif(a.name, ''), b.name) AS name, nation, region, CASE WHEN a.code IS NULL THEN 'right' WHEN b.code IS NULL THEN 'left' ELSE 'both' END AS origin FROM a FULL JOIN b ON a.code = b.code""")
 def outer_registry_merge(spark, sf):
-    a = table(spark, sf, "supplier").where("s_suppkey < 60").selectExpr("concat('k', s_suppkey % 150) AS code", "CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS name", "s_nationkey AS nation")
+    a = table(spark, sf, "supplier").selectExpr("concat('k', s_suppkey % 150) AS code", "CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS name", "s_nationkey AS nation")
     b = table(spark, sf, "nation").selectExpr("concat('k', n_nationkey * 4) AS code", "n_name AS name", "n_regionkey AS region")
     return relational.outer_merge(a, b, "code", ["name"]).select("code", "name", "nation", "region", "origin")
 
@@ -36,10 +36,10 @@ def semi_anti(spark, sf):
 
 
 @query("""SELECT r_name, p AS o_orderpriority, coalesce(n, 0) AS n FROM region CROSS JOIN (SELECT DISTINCT o_orderpriority AS p FROM orders) LEFT JOIN
-(SELECT r_name AS r, o_orderpriority AS op, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_totalprice > 490000 GROUP BY ALL) ON r = r_name AND op = p""")
+(SELECT r_name AS r, o_orderpriority AS op, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL) ON r = r_name AND op = p""")
 def cross_product_grid(spark, sf):
     t = lambda n: table(spark, sf, n)
-    seen = t("orders").where("o_totalprice > 490000").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    seen = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     grid = t("region").select("r_name").crossJoin(t("orders").select("o_orderpriority").distinct())
     return relational.reindexed(seen.groupBy("r_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n")), grid, {"n": 0})
 
@@ -60,9 +60,9 @@ def name_band_similarity(spark, sf):
     return pairs.select("a", "b", F.round(text.composite_similarity(F.col("a"), F.col("b")), 6).alias("score"), F.lit(False).alias("automatic_merge"))
 
 
-@query("WITH a AS (SELECT p_partkey, p_name FROM part WHERE p_partkey < 400) SELECT x.p_name, x.p_partkey AS a, y.p_partkey AS b FROM a x JOIN a y ON x.p_name = y.p_name AND x.p_partkey < y.p_partkey")
+@query("WITH a AS (SELECT p_partkey, p_name FROM part) SELECT x.p_name, x.p_partkey AS a, y.p_partkey AS b FROM a x JOIN a y ON x.p_name = y.p_name AND x.p_partkey < y.p_partkey")
 def within_name_pairs(spark, sf):
-    return resolve.within_name_pairs(table(spark, sf, "part").where("p_partkey < 400"), "p_name", "p_partkey")
+    return resolve.within_name_pairs(table(spark, sf, "part"), "p_name", "p_partkey")
 
 
 @query("""WITH n AS (SELECT min(p_partkey) AS id, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part GROUP BY p_name, p_type)
@@ -105,10 +105,10 @@ def facet_union_find(spark, sf):
     return graph.constrained_groups(part.join(label, "p_partkey"), "p_partkey", "p_type", "label", "p_name")
 
 
-@query("""WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey BETWEEN 1 AND 1500), a(child, ancestor, distance) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT a.child, e.parent, distance + 1 FROM a JOIN e ON a.ancestor = e.child WHERE distance < 4)
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey > 0), a(child, ancestor, distance) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT a.child, e.parent, distance + 1 FROM a JOIN e ON a.ancestor = e.child WHERE distance < 4)
 SELECT child, ancestor, min(distance)::INT AS distance FROM a GROUP BY 1, 2""")
 def ontology_ancestors(spark, sf):
-    e = table(spark, sf, "part").where("p_partkey BETWEEN 1 AND 1500").selectExpr("p_partkey AS child", "p_partkey div 3 AS parent")
+    e = table(spark, sf, "part").where("p_partkey > 0").selectExpr("p_partkey AS child", "p_partkey div 3 AS parent")
     return graph.ancestors(e, "child", "parent", 4)
 
 
@@ -126,12 +126,12 @@ def stable_ids(spark, sf):
     return table(spark, sf, "part").select("p_partkey", sid.alias("stable_id"), ids.hash_bucket(F.col("p_name"), 5).alias("fold"), ids.shard(sid).alias("shard"))
 
 
-@query("""WITH v AS (SELECT DISTINCT p_partkey AS id, axis_id, max(value) OVER (PARTITION BY p_partkey, axis_id) AS v FROM part JOIN (SELECT l_partkey, concat(l_returnflag, l_linestatus) AS axis_id, l_quantity AS value FROM lineitem) ON l_partkey = p_partkey WHERE p_partkey < 300),
-p AS (SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_name = y.p_name AND x.p_partkey < y.p_partkey WHERE y.p_partkey < 300)
+@query("""WITH v AS (SELECT DISTINCT p_partkey AS id, axis_id, max(value) OVER (PARTITION BY p_partkey, axis_id) AS v FROM part JOIN (SELECT l_partkey, concat(l_returnflag, l_linestatus) AS axis_id, l_quantity AS value FROM lineitem) ON l_partkey = p_partkey),
+p AS (SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_name = y.p_name AND x.p_partkey < y.p_partkey)
 SELECT a, b, count(*) AS shared, count_if(abs(l.v - r.v) <= 0.05 * greatest(l.v, r.v))::BIGINT AS agreeing FROM p JOIN v l ON l.id = a JOIN v r ON r.id = b AND r.axis_id = l.axis_id GROUP BY 1, 2""")
 def shared_axis_agreement(spark, sf):
-    part = table(spark, sf, "part").where("p_partkey < 300")
-    values = measurements(spark, sf).where("food_id < 300").groupBy(F.col("food_id").alias("id"), "axis_id").agg(F.max("value").alias("v"))
+    part = table(spark, sf, "part")
+    values = measurements(spark, sf).groupBy(F.col("food_id").alias("id"), "axis_id").agg(F.max("value").alias("v"))
     pairs = resolve.within_name_pairs(part, "p_name", "p_partkey").select("a", "b")
     return resolve.agreement(pairs, values, "id", "axis_id", "v")
 
@@ -143,9 +143,9 @@ def embedding_topk(spark, sf):
     return resolve.nearest(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 5)
 
 
-@query(m("SELECT DISTINCT food_id, p_partkey FROM m JOIN part ON food_id = p_partkey OR sample_count = p_partkey WHERE measurement_id < '2'"))
+@query(m("SELECT food_id, p_partkey FROM m JOIN part ON food_id = p_partkey UNION SELECT food_id, p_partkey FROM m JOIN part ON sample_count = p_partkey"))
 def multi_key_lookup(spark, sf):
-    facts = measurements(spark, sf).where("measurement_id < '2'").withColumn("n", F.col("sample_count").cast("long"))
+    facts = measurements(spark, sf).withColumn("n", F.col("sample_count").cast("long"))
     return relational.lookup_any(facts, table(spark, sf, "part"), [("food_id", "p_partkey"), ("n", "p_partkey")], "food_id", "p_partkey")
 
 
@@ -166,9 +166,9 @@ def set_difference(spark, sf):
     return part.select("p_partkey", "p_name").subtract(part.where("p_size > 10").select("p_partkey", "p_name"))
 
 
-@query("SELECT n_of AS sources, count(*) AS foods FROM (SELECT food_id, count(DISTINCT source_key) AS n_of FROM (SELECT l_partkey AS food_id, concat('s', l_suppkey % 6) AS source_key FROM lineitem WHERE l_quantity > 47) GROUP BY 1) GROUP BY 1")
+@query("SELECT n_of AS sources, count(*) AS foods FROM (SELECT food_id, count(DISTINCT source_key) AS n_of FROM (SELECT l_partkey AS food_id, concat('s', l_suppkey % 6) AS source_key FROM lineitem) GROUP BY 1) GROUP BY 1")
 def exactly_k_sources(spark, sf):
-    wide = relational.to_wide(measurements(spark, sf).where("value > 47"), ["food_id"], "source_key", [f"s{i}" for i in range(6)], F.first(F.lit(1)), 0)
+    wide = relational.to_wide(measurements(spark, sf), ["food_id"], "source_key", [f"s{i}" for i in range(6)], F.first(F.lit(1)), 0)
     return wide.select(sum(F.col(f"s{i}") for i in range(6)).cast("long").alias("sources")).groupBy("sources").agg(F.count(F.lit(1)).alias("foods"))
 
 

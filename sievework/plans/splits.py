@@ -61,12 +61,11 @@ def hidden_family(spark, sf):
     return split.hidden_family(measurements(spark, sf), "food_id", "axis_id")
 
 
-_PRED = "SELECT axis_id, food_id, source_key, value AS y, avg(value) OVER (PARTITION BY food_id) AS p, median(value) OVER (PARTITION BY axis_id) AS b FROM m WHERE food_id < 200"
+_PRED = "SELECT axis_id, food_id, source_key, value AS y, avg(value) OVER (PARTITION BY food_id) AS p, median(value) OVER (PARTITION BY axis_id) AS b FROM m"
 
 
 def _predictions(spark, sf):
-    measurements(spark, sf).createOrReplaceTempView("m")
-    return spark.sql(_PRED)
+    return spark.sql(_PRED.replace("FROM m", "FROM {m}"), m=measurements(spark, sf))
 
 
 _METRICS = f"""+ p AS ({_PRED}), r AS (SELECT *, rank() OVER (PARTITION BY axis_id ORDER BY y) + (count(*) OVER (PARTITION BY axis_id, y) - 1) / 2 AS ry, rank() OVER (PARTITION BY axis_id ORDER BY p) + (count(*) OVER (PARTITION BY axis_id, p) - 1) / 2 AS rp FROM p),
@@ -142,11 +141,10 @@ def vocabulary_index(spark, sf):
 
 @query(m("SELECT food_id, (sum(n) OVER (ORDER BY food_id) - n)::BIGINT AS start, (sum(n) OVER (ORDER BY food_id))::BIGINT AS stop FROM (SELECT food_id, count(*) AS n FROM m GROUP BY 1)"))
 def token_offsets(spark, sf):
-    from pyspark.sql import Window
+    from ..operators.relational import running_total
 
     n = measurements(spark, sf).groupBy("food_id").agg(F.count(F.lit(1)).alias("n"))
-    stop = F.sum("n").over(Window.orderBy("food_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return n.select("food_id", (stop - F.col("n")).alias("start"), stop.alias("stop"))
+    return running_total(n, "food_id", "n").select("food_id", (F.col("running") - F.col("n")).alias("start"), F.col("running").alias("stop"))
 
 
 @query()
@@ -177,7 +175,7 @@ def sequential_prediction(spark, sf):
     """Hidden axes predicted order by order: the predictions of one order are context of the next only once it is done."""
     from ..tables import materialize
 
-    cells = measurements(spark, sf).where("food_id < 400").groupBy("food_id", "axis_id").agg(F.median("value").alias("value"))
+    cells = measurements(spark, sf).groupBy("food_id", "axis_id").agg(F.median("value").alias("value"))
     masks = split.sequential_masks(cells, "food_id", "axis_id")
     context = cells.join(masks, ["food_id", "axis_id"], "left_anti")
     center = materialize(cells.groupBy("axis_id").agg(F.median("value").alias("center")), "center", few_files=True)

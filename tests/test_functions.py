@@ -87,9 +87,9 @@ def test_vetoed_unions_keep_facets_apart(spark):
 
 
 def test_holdout_fills_exactly_or_raises():
-    assert sum({"a": 3, "b": 2, "c": 1}[f] for f in split.holdout_families({"a": 3, "b": 2, "c": 1}, 6)) == 6
+    assert sum({"a": 3, "b": 2, "c": 1}[f] for f in split.holdout_families([("a", 3), ("b", 2), ("c", 1)], 6)) == 6
     with pytest.raises(ValueError):
-        split.holdout_families({"a": 4}, 3)
+        split.holdout_families([("a", 4)], 3)
 
 
 def test_masks_never_hide_all(spark):
