@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, slug
+from ..functions.text import ascii_label_key, blank_to_null, slug
 from .relational import require_unique
 
 
@@ -48,3 +48,13 @@ def targets(table: DataFrame, columns: Sequence[str], suffix: str = "_pct") -> D
 
     known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     return table.withColumns({c: share(c) for c in columns} | {f"{c}_mask": known(c) for c in columns})
+
+
+def word_weights(df: DataFrame, id_col: str, label: Column) -> DataFrame:
+    """id_col, word, weight: each label's words by count times ln((1 + labels) / (1 + labels with it)) + 1, scaled to length one.
+    The sparse matrix stays long; the number of labels is one row."""
+    words = df.select(id_col, F.explode(F.split(ascii_label_key(label), " ")).alias("word")).where("word <> ''").groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("_tf"))
+    holding = words.groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
+    every = words.agg(F.countDistinct(id_col).alias("_n"))
+    weighed = words.join(holding, "word").join(F.broadcast(every)).withColumn("_w", F.col("_tf") * (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1))
+    return weighed.select(id_col, "word", (F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))).alias("weight"))

@@ -149,27 +149,35 @@ def token_offsets(spark, sf):
 
 @query()
 def forest_baseline(spark, sf):
-    """A forest of 20 trees on size and price, trained on four fifths: rows only, as no other engine grows the same trees."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    x = measurements(spark, sf).join(table(spark, sf, "part"), F.col("food_id") == F.col("p_partkey")).selectExpr("food_id", "axis_id", "value", "double(p_size) AS p_size", "p_retailprice")
-    x = VectorAssembler(inputCols=["p_size", "p_retailprice"], outputCol="features").transform(x)
-    model = RandomForestRegressor(labelCol="value", numTrees=20, maxDepth=5, seed=7).fit(x.where("food_id % 5 > 0"))
-    return model.transform(x.where("food_id % 5 = 0")).groupBy("axis_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("prediction") - F.col("value"))).alias("mae"))
+    """A forest of 20 trees for each axis, on size, price, what the item's other axes show and whether they show it: rows only, as
+    no other engine grows the same trees."""
+    df = measurements(spark, sf)
+    cells = df.groupBy("food_id", "axis_id").agg(F.avg("value").alias("value"))
+    items = table(spark, sf, "part").selectExpr("p_partkey AS food_id", "double(p_size) AS size", "p_retailprice AS price")
+    return evaluate.forests(cells, "food_id", "axis_id", "value", items, ["size", "price"], F.col("food_id") % 5 > 0)
 
 
 @query()
 def principal_components(spark, sf):
-    """The first four principal components of the training vectors, and every vector's place on them."""
+    """The first 32 principal components of the training vectors, and every vector's place on them."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     e = table(spark, sf, "embeddings").where("embedding IS NOT NULL").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = PCA(k=4, inputCol="features", outputCol="p").fit(e.where("vec_id % 5 > 0"))
+    model = PCA(k=32, inputCol="features", outputCol="p").fit(e.where("vec_id % 5 > 0"))
     return model.transform(e).select("vec_id", F.transform(vector_to_array("p"), lambda v: F.round(F.abs(v), 6)).alias("place"))
 
 
+@query("""WITH w AS (SELECT p_partkey, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS word FROM part), t AS (SELECT p_partkey, word, count(*) AS tf FROM w WHERE word <> '' GROUP BY ALL),
+i AS (SELECT word, ln((1 + (SELECT count(DISTINCT p_partkey) FROM t)) / (1 + count(*))) + 1 AS idf FROM t GROUP BY 1), v AS (SELECT p_partkey, word, tf * idf AS w FROM t JOIN i USING (word))
+SELECT p_partkey, word, round(w / sqrt(sum(w * w) OVER (PARTITION BY p_partkey)), 9) AS weight FROM v""")
+def word_weights(spark, sf):
+    from ..operators.features import word_weights
+
+    part = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("label"))
+    return word_weights(part, "p_partkey", F.col("label")).withColumn("weight", F.round("weight", 9))
+
+
 @query()
 def sequential_prediction(spark, sf):
     """Hidden axes predicted order by order: the predictions of one order are context of the next only once it is done."""

@@ -42,11 +42,11 @@ def write_manifest(values: dict, path: str) -> None:
     file.write_text(json.dumps(_plain(values), indent=1, sort_keys=True, allow_nan=False))
 
 
-def write_sharded(df: DataFrame, path: str, shard: Column) -> DataFrame:
+def write_sharded(df: DataFrame, path: str, shard: Column, parts: int = 4) -> DataFrame:
     """JSON lines in a folder for each shard; returns the counts by shard. Rows of a shard are dealt together first, so that it is
-    one file or a few."""
+    a file for each of `parts` tasks, however hot it is."""
     rows = df.withColumn("shard", shard)
-    rows.repartition("shard").write.mode("errorifexists").partitionBy("shard").json(path, compression="gzip")
+    rows.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts))).repartition("shard", "_part").drop("_part").write.mode("errorifexists").partitionBy("shard").json(path, compression="gzip")
     return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -89,14 +89,52 @@ def package(folder: str, out: str) -> dict:
 def append_record(spark: SparkSession, path: str, row: dict, key: str) -> None:
     """A row more in a ledger of JSON lines; a key that is there already raises."""
     df = spark.createDataFrame([row])
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path) and not spark.read.json(path).where(F.col(key) == row[key]).isEmpty():
+    if _exists(spark, path) and not spark.read.json(path).where(F.col(key) == row[key]).isEmpty():
         raise ValueError(f"{row[key]} is in the ledger already")
     df.coalesce(1).write.mode("append").json(path)
 
 
-def markdown_table(df: DataFrame, limit: int = 200) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(limit).collect()
+def markdown_table(df: DataFrame, most: int = 200) -> str:
+    """A small result as a Markdown table; one of over `most` rows is an error, as a report doesn't end unseen."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of over {most} rows")
     lines = [" | ".join(df.columns), " | ".join("---" for _ in df.columns), *(" | ".join("" if v is None else str(v) for v in r) for r in rows)]
     return "\n".join(f"| {x} |" for x in lines)
+
+
+def review_queue(items: DataFrame, decided: DataFrame, key: str, path: str) -> DataFrame:
+    """Items without a decision, as CSV with empty columns for one, and a table of the files' sizes and hashes beside them, which
+    is returned. An existing queue raises."""
+    open_ = items.join(decided.select(key), key, "left_anti").select("*", *(F.lit("").alias(c) for c in ("decision", "reviewer", "note")))
+    write_csv(open_, f"{path}/queue")
+    written = artifacts(items.sparkSession, f"{path}/queue", "part-*").select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
+    written.coalesce(1).write.mode("errorifexists").json(f"{path}/hashes")
+    return items.sparkSession.read.schema("file string, bytes long, sha256 string").json(f"{path}/hashes")
+
+
+def freeze(panel: DataFrame, key: str, path: str) -> DataFrame:
+    """The frozen copy of a panel at path: made on the first call, and on later ones the same or an error. What counts is the
+    panel's content, a hash over its rows in order of key; a folder with only one of panel and manifest is an error."""
+    from ..operators.relational import require_unique
+
+    spark = panel.sparkSession
+    require_unique(panel, [key], "the panel")
+    columns = sorted(panel.columns)
+    digest = lambda df: df.select(key, F.sha2(F.to_json(F.struct(*columns)), 256).alias("h")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), "h"))), lambda x: x["h"]), ""), 256)).first()[0]
+    there = [_exists(spark, f"{path}/{part}") for part in ("panel", "manifest")]
+    if any(there) and not all(there):
+        raise FileExistsError(f"half of a frozen panel: {path}")
+    own = digest(panel)
+    if not all(there):
+        panel.coalesce(1).write.parquet(f"{path}/panel")
+        spark.createDataFrame([(own, panel.count())], "sha256 string, n long").coalesce(1).write.json(f"{path}/manifest")
+    frozen = spark.read.parquet(f"{path}/panel")
+    if spark.read.json(f"{path}/manifest").first()["sha256"] != own or digest(frozen.select(*panel.columns)) != own:
+        raise ValueError("the frozen panel is another one")
+    return frozen
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
