@@ -1,13 +1,15 @@
-"""Files of many kinds to DataFrames. Small workbooks and archives are parsed by the driver; everything else by Spark's readers."""
+"""Files of many kinds to DataFrames: by Spark's readers, and where these know no format, a task for each file."""
 
 from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,44 +66,85 @@ def read_tags(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("tag").agg(F.min_by("description", "i").alias("description"))
 
 
-def sheet_rows(spark: SparkSession, path: str, sheet: str | int = 0, header: int | None = 0) -> DataFrame:
-    """A workbook's sheet, all as text: pandas on the driver (needs an Excel engine installed)."""
-    import pandas as pd
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _cells(content: bytes, sheet: str | None) -> Iterator[tuple[str, int, int, str]]:
+    """(sheet, row, column, text) of a workbook's cells that hold something; rows and columns from 0. One sheet, or all."""
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        members = set(z.namelist())
+        read = lambda name: ElementTree.fromstring(z.read(name)) if name in members else None
+        text = lambda e: "".join(t.text or "" for t in e.iter(f"{_SHEET}t"))
+        shared = [text(e) for e in (read("xl/sharedStrings.xml") if "xl/sharedStrings.xml" in members else ())]
+        targets = {e.get("Id"): e.get("Target") for e in read("xl/_rels/workbook.xml.rels")}
+        for entry in read("xl/workbook.xml").iter(f"{_SHEET}sheet"):
+            name = entry.get("name")
+            if sheet not in (None, name):
+                continue
+            target = targets[entry.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id")]
+            for cell in read(target.lstrip("/") if target.startswith("/") else f"xl/{target}").iter(f"{_SHEET}c"):
+                letters, number = re.fullmatch(r"([A-Z]+)([0-9]+)", cell.get("r")).groups()
+                column = 0
+                for c in letters:
+                    column = 26 * column + ord(c) - 64
+                value = cell.find(f"{_SHEET}v")
+                found = text(cell) if cell.get("t") == "inlineStr" else None if value is None else shared[int(value.text)] if cell.get("t") == "s" else value.text
+                if found:
+                    yield name, int(number) - 1, column - 1, found
+
+
+def sheet_cells(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """path, sheet, row, col, text of the cells of all workbooks at path: a task for each file, none on the driver. What a layout
+    means is told from these by joins: see sheet_rows(), unstacked_headers() and component_names()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                rows = [(p, *cell) for cell in _cells(content, sheet)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["path", "sheet", "row", "col", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, sheet string, row int, col int, text string")
 
-    return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet, header=header, dtype=str).astype(object).where(lambda x: x.notna(), None))
 
+def sheet_rows(cells: DataFrame, header: int = 0) -> DataFrame:
+    """path, sheet, row and a column for each text of the header row, as text. Names must be the same in all files and once each."""
+    names = cells.where(F.col("row") == header).select("col", "text").distinct().orderBy("col").collect()
+    if len({r["col"] for r in names}) < len(names) or len({r["text"] for r in names}) < len(names):
+        raise ValueError("headers that differ between files, or one that is there twice")
+    wide = cells.where(F.col("row") > header).groupBy("path", "sheet", "row").pivot("col", [r["col"] for r in names]).agg(F.first("text"))
+    return wide.withColumnsRenamed({str(r["col"]): r["text"] for r in names})
 
-def unstacked_headers(rows: Sequence[Sequence[str | None]], header_rows: int, ids: int) -> list[tuple[str, ...]]:
-    """Long rows (ids..., each header row's text, value) of a wide table whose first header_rows rows are headers; blank cells go."""
-    heads, out = rows[:header_rows], []
-    for row in rows[header_rows:]:
-        for c in range(ids, len(row)):
-            if row[c] not in (None, ""):
-                out.append((*row[:ids], *(h[c] for h in heads), row[c]))
-    return out
 
+def unstacked_headers(cells: DataFrame, header_rows: int, ids: int) -> DataFrame:
+    """path, sheet, row, ids (array), heads (array), text: a wide table whose first header_rows rows are headers, long; blank cells go."""
+    place = ["path", "sheet"]
+    heads = cells.where((F.col("row") < header_rows) & (F.col("col") >= ids)).groupBy(*place, "col").agg(F.map_from_entries(F.collect_list(F.struct("row", "text"))).alias("_h"))
+    names = cells.where((F.col("row") >= header_rows) & (F.col("col") < ids)).groupBy(*place, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("_n"))
+    values = cells.where((F.col("row") >= header_rows) & (F.col("col") >= ids)).join(heads, [*place, "col"], "left").join(names, [*place, "row"], "left")
+    in_turn = lambda m, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.try_element_at(F.col(m), i))
+    return values.select(*place, "row", in_turn("_n", ids).alias("ids"), in_turn("_h", header_rows).alias("heads"), "text")
 
-def component_rows(rows: Sequence[Sequence[str | None]], marker: str = "Component") -> dict[str, str]:
-    """code to name from a dictionary sheet: below the row whose first cell is the marker; a code with two names raises."""
-    at = next((i for i, r in enumerate(rows) if (r[0] or "").strip() == marker), None)
-    if at is None:
-        raise ValueError(f"no row begins with {marker}")
-    out: dict[str, str] = {}
-    for r in rows[at + 1 :]:
-        code, name = (r[0] or "").strip(), (r[1] or "").strip()
-        if code and out.setdefault(code, name) != name:
-            raise ValueError(f"{code} is both {out[code]} and {name}")
-    return out
+
+def component_names(cells: DataFrame, marker: str = "Component") -> DataFrame:
+    """code, name of a dictionary sheet: its first two columns below the row that begins with the marker. A code of two names is an
+    error, and so is a sheet without the marker."""
+    place = ["path", "sheet"]
+    begin = cells.where((F.col("col") == 0) & (F.trim("text") == marker)).groupBy(*place).agg(F.min("row").alias("_at"))
+    rows = cells.where("col < 2").join(begin, place, "left")
+    told = F.raise_error(F.concat(F.lit(f"no row begins with {marker}: "), F.col("path"))).cast("boolean")
+    below = rows.where(F.when(F.col("_at").isNull(), told).otherwise(F.col("row") > F.col("_at"))).groupBy(*place, "row").pivot("col", [0, 1]).agg(F.first(F.trim("text")))
+    named = below.where("`0` IS NOT NULL").groupBy(F.col("0").alias("code")).agg(F.min("1").alias("name"), F.max("1").alias("_last"))
+    twice = F.raise_error(F.concat(F.lit("a code of two names: "), F.col("code"))).cast("boolean")
+    return named.where(F.when(F.col("name") != F.col("_last"), twice).otherwise(F.lit(True))).drop("_last")
 
 
 def zip_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """path, member, content (text) of the archives' members that match a regular expression: a task for each archive."""
 
     def open_zip(batches):
-        import re
-
-        import pyarrow as pa
-
         for batch in batches:
             rows = {"path": [], "member": [], "content": []}
             for p, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
@@ -134,15 +177,20 @@ def artifacts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def array_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """i, j, value of the numbers in a saved matrix: missing ones are absent."""
-    import numpy as np
+    """path, i, j, value of the numbers in saved matrices of that name: missing ones are absent. A task for each file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-    with np.load(path) as z:
-        a = z[name]
-    i, j = np.nonzero(~np.isnan(a))
-    import pandas as pd
+        for batch in batches:
+            for p, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with np.load(io.BytesIO(content)) as z:
+                    a = z[name].astype(float)
+                for at in range(0, len(a), 4096):
+                    i, j = np.nonzero(~np.isnan(a[at : at + 4096]))
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(i)), pa.array(i + at), pa.array(j), pa.array(a[i + at, j])], ["path", "i", "j", "value"])
 
-    return spark.createDataFrame(pd.DataFrame({"i": i, "j": j, "value": a[i, j].astype(float)}))
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, i long, j long, value double")
 
 
 def links(pages: DataFrame, id_col: str, html: str) -> DataFrame:
