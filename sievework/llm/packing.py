@@ -11,23 +11,29 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize, pieces, word_arrays
 
 #: Entries that a worker's tables of words and of their parts keep before they start afresh.
-_MOST_WORDS, _MOST_PARTS = 150_000, 400_000
-#: Words of which the tokenizer's own splitting rule can be followed here: ASCII and Latin-1 letters, no special token.
-_PLAIN = re.compile(r"(?!.*<\|)[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+_MOST_WORDS, _MOST_PARTS = 50_000, 400_000
+#: Words of which the tokenizer's own splitting rule can be followed here: ASCII and Latin-1 letters, no special token. Those with
+#: an apostrophe are split one by one, all others at once by the kinds of their bytes.
+_PLAIN, _SIMPLE = r"^[\x21-\x7eÀ-ÖØ-öø-ÿ]+$", r"^[\x21-\x26\x28-\x7eÀ-ÖØ-öø-ÿ]+$"
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Kinds of bytes of lower-cased plain words: 1 letters (bytes over 127 are parts of letters), 2 digits, 3 others.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[ord("a") : ord("z") + 1] = _KIND[128:] = 1
+_KIND[ord("0") : ord("9") + 1] = 2
 
 
 class _Words:
-    """Token ids, as little-endian unsigned 32-bit bytes, of words between white space: looked up, or made by tokenizers.
+    """Token ids, as little-endian unsigned 32-bit numbers, of words between white space: looked up, or made by tokenizers.
 
-    A tokenizer that lower-cases, splits words into parts by _PARTS and ends each part's last token with </w> is asked for new
-    parts only, many at once; any other one, and words that aren't plain, for whole words.
+    A tokenizer that lower-cases, splits words into runs of letters, single digits and runs of others, and ends each part's last
+    token with </w> is asked for new parts only, many at once; any other one, and words that aren't plain, for whole words.
     """
 
     def __init__(self, path: str):
@@ -40,42 +46,71 @@ class _Words:
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 2000):
-            some = parts[at : at + 2000]
+    def _of_parts(self, names: list[str]) -> list[bytes]:
+        known = self.parts
+        new = [p for p in names if p not in known]
+        if len(known) + len(new) > _MOST_PARTS:
+            self.parts = known = {}
+            new = names
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
             ids = self._encode(" ".join(some))
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(some):
                 cuts = [0, *ends.tolist()]
-                self.parts.update((p, ids[a:z].tobytes()) for p, a, z in zip(some, cuts, cuts[1:], strict=False))
-            else:
-                self.parts.update((p, self._encode(p).tobytes()) for p in some)
-
-    def ids(self, keys: list[bytes]) -> list[bytes]:
-        new = [k for k in keys if k not in self.words]
-        if len(self.words) + len(new) > _MOST_WORDS:
-            self.words, new = {}, keys
-        if len(self.parts) > _MOST_PARTS:
-            self.parts = {}
-        split: dict[bytes, list[str]] = {}
-        for k in new:
-            word = k.decode()
-            if self.by_parts and _PLAIN.fullmatch(word):
-                split[k] = _PARTS.findall(word.lower())
+                known.update((p, ids[a:z].tobytes()) for p, a, z in zip(some, cuts, cuts[1:], strict=False))
             else:
-                self.words[k] = self._encode(word).tobytes()
-        self._learn(list({p: None for parts in split.values() for p in parts if p not in self.parts}))
-        known = self.parts
-        for k, parts in split.items():
-            self.words[k] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
-        own = self.words
-        return [own[k] for k in keys]
+                known.update((p, self._encode(p).tobytes()) for p in some)
+        return [known[p] for p in names]
+
+    def _one_by_one(self, words: list[str], plain: list[bool]) -> list[bytes]:
+        if len(self.words) > _MOST_WORDS:
+            self.words = {}
+        for word, simple in zip(words, plain, strict=True):
+            if word not in self.words:
+                self.words[word] = b"".join(self._of_parts(_PARTS.findall(word.lower()))) if simple else self._encode(word).tobytes()
+        return [self.words[w] for w in words]
+
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, length): word i has the ids from first[i] on."""
+        words = words.cast(pa.large_string())
+        special = pc.match_substring(words, "<|")
+        plain = pc.and_not(pc.match_substring_regex(words, _PLAIN), special) if self.by_parts else pa.array(np.zeros(len(words), bool))
+        simple = pc.and_(plain, pc.match_substring_regex(words, _SIMPLE))
+        at, odd = (np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (simple, pc.invert(simple)))
+        first, length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        # All simple words' bytes in a row: a part begins with a word, where the kind changes, and at each digit.
+        low = pc.utf8_lower(words.take(pa.array(at)))
+        edges = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1] if len(low) else np.zeros(1, np.int64)
+        data = np.frombuffer(low.buffers()[2], np.uint8)[edges[0] : edges[-1]] if edges[-1] > edges[0] else np.empty(0, np.uint8)
+        ends = edges[1:] - edges[0]
+        kind = _KIND[data]
+        begins = np.concatenate((np.ones(min(1, len(kind)), bool), (kind[1:] != kind[:-1]) | (kind[1:] == 2)))
+        begins[ends[:-1]] = True
+        starts = np.flatnonzero(begins)
+        parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data))
+        coded = pc.dictionary_encode(parts)
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        found = self._of_parts(coded.dictionary.to_pylist())
+        flat, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n = size[code]
+        sums = np.concatenate(([0], np.cumsum(n)))
+        ids = flat[np.repeat((np.cumsum(size) - size)[code] - sums[:-1], n) + np.arange(sums[-1])]
+        cut = sums[np.concatenate(([0], np.searchsorted(starts, ends)))]
+        first[at], length[at] = cut[:-1], np.diff(cut)
+        if len(odd):
+            rest = pa.array(odd)
+            own = self._one_by_one(words.take(rest).to_pylist(), plain.take(rest).to_pylist())
+            length[odd] = np.fromiter(map(len, own), np.int64, len(own)) // 4
+            first[odd] = len(ids) + np.cumsum(length[odd]) - length[odd]
+            ids = np.concatenate((ids, np.frombuffer(b"".join(own), "<u4")))
+        return ids, first, length
 
 
 @cache
@@ -98,11 +133,8 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         for batch in pieces(batches, "_text", 2 << 20):
             starts, codes, distinct = word_arrays(batch.column("_text"))
             gc.disable()  # many small objects and no cycles among them
-            ids = words.ids(distinct.cast(pa.large_binary()).to_pylist())
+            flat, first, lens = words.ids(distinct)
             gc.enable()
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            first = np.cumsum(lens) - lens
             n = lens[codes]
             ends = np.cumsum(n)
             own = flat[np.repeat(first[codes] - (ends - n), n) + np.arange(int(n.sum()))]

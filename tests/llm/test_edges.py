@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,7 +179,11 @@ def test_packing_solver_is_near_the_bound_and_gapless():
 def test_words_by_parts_equal_whole_words():
     words = packing._Words(tokenizer_path())
     odd_words = ["Don't", "it's!!", "a<|endoftext|>b", "naïve", "ÀÉ,x", "x²", "éa", "İstanbul", "don''s", "'S'T", "日本語", "ß", "Erßä", "'sx'lly", "1234a"]
-    assert words.ids([w.encode() for w in odd_words]) == [words._encode(w).tobytes() for w in odd_words]
+    rng = random.Random(3)
+    odd_words += ["".join(rng.choice("abzAZ09'.,-<|>éÉß×") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    for own in (odd_words, odd_words[:1], [], ["x'x"], odd_words[::-1]):
+        ids, first, length = words.ids(pa.array(own, pa.large_string()))
+        assert [ids[a : a + n].tolist() for a, n in zip(first, length, strict=True)] == [words._encode(w).tolist() for w in own]
 
 
 def test_ordinal_thresholds_rise_and_grades_follow():
