@@ -33,11 +33,24 @@ def band_candidates(names: DataFrame, name: str, width: int = 4) -> DataFrame:
 
 
 def token_block_candidates(left: DataFrame, right: DataFrame, id_col: str, words: str, least: float = 0.5) -> DataFrame:
-    """(a, b, similarity) of pairs that share a word and whose Jaccard similarity is least or more. Always candidates."""
-    a = left.select(F.col(id_col).alias("a"), F.col(words).alias("_wa"))
-    b = right.select(F.col(id_col).alias("b"), F.col(words).alias("_wb"))
-    met = a.withColumn("_t", F.explode("_wa")).join(b.withColumn("_t", F.explode("_wb")), "_t").where("a < b").dropDuplicates(["a", "b"])
-    return met.select("a", "b", jaccard(F.col("_wa"), F.col("_wb")).alias("similarity")).where(F.col("similarity") >= least)
+    """(a, b, similarity) of pairs that share a word and whose Jaccard similarity is least or more. Always candidates.
+
+    Exact: of n words in order of rarity, two sets of that similarity share one among the first n - ceil(least n) + 1 of each, so
+    only these are joined on and the most frequent words seldom meet. Pairs of ids move; words are fetched for them after.
+    """
+    sides = {"a": left, "b": right}
+    every = left.select(words).unionByName(right.select(words)).select(F.explode(words).alias("_t"))
+    df = materialize(every.groupBy("_t").agg(F.count(F.lit(1)).alias("_df")), "words", few_files=True)
+
+    def fronts(name: str) -> DataFrame:
+        rows = sides[name].select(F.col(id_col).alias(name), F.explode(words).alias("_t")).join(df, "_t")
+        ranked = rows.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("_df", "_t"))).alias("_w"))
+        n = F.size("_w")
+        return ranked.select(name, F.explode(F.slice("_w", F.lit(1), n - F.ceil(least * n).cast("int") + 1)).alias("_x")).select(name, F.col("_x._t").alias("_t"))
+
+    met = fronts("a").join(fronts("b"), "_t").where("a < b").select("a", "b").distinct()
+    full = met.join(left.select(F.col(id_col).alias("a"), F.col(words).alias("_wa")), "a").join(right.select(F.col(id_col).alias("b"), F.col(words).alias("_wb")), "b")
+    return full.select("a", "b", jaccard(F.col("_wa"), F.col("_wb")).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def by_alias(items: DataFrame, item: str, alias: str, index: DataFrame, target: str, index_alias: str) -> DataFrame:
