@@ -30,9 +30,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
     """df, written as a table in the shared folder and read again: cuts lineage, and outlives lost executors. few_files: as one
-    file for each core of the cluster, for tables of narrow rows that rounds of a loop write again and again."""
+    file for each core of the cluster, for tables of narrow rows that rounds of a loop write again and again. Zstandard makes texts
+    and ids a third smaller than Spark's default, in no more time."""
     path = new_path(df.sparkSession, name)
-    (df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)) if few_files else df).write.parquet(path)
+    (df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)) if few_files else df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
