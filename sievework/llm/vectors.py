@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import component_ids, dealt, discard, hook, materialize, tiled, tiles
+from .shared import buckets, component_ids, dealt, discard, grouped, hook, materialize, tiled, tiles
 
 #: Bits of a table's key, and coordinates that a sketch keeps, in steps of 1 / _STEPS.
 _BITS, _KEPT, _STEPS = 16, 8, 63
@@ -79,19 +79,29 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _near_sketch(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.RecordBatch]:
+def _near_sketch(batches: Iterator[pa.RecordBatch], most: float, small: int = 32) -> Iterator[pa.RecordBatch]:
     """The rows of each bucket whose sketch is within `most` of another's: all rows that have a near vector there, and a few more."""
-    names = ["key", "lo", "hi", "own", "node"]
-    for table, left, right in tiles(batches):
+    names, limit = ["key", "lo", "hi", "own", "node"], (most * _STEPS) ** 2
+    for table in grouped(batches, "key"):
         s = np.ascontiguousarray(table.column("sketch").to_numpy()).view(np.int8).reshape(-1, _KEPT).astype(np.float32)
-        length = (s * s).sum(axis=1)
+        first, size, sides = buckets(table)
+        some = (size <= small) & np.array([left is right for left, right in sides], bool)
+        member, bucket = np.repeat(some, size), np.repeat(np.arange(len(size)), size)
         near = np.zeros(len(s), bool)
-        for at in range(0, len(left), _BLOCK):
-            i = left[at : at + _BLOCK]
-            close = length[i, None] + length[right] - 2 * (s[i] @ s[right].T) <= (most * _STEPS) ** 2
-            close &= i[:, None] != right
-            near[i] |= close.any(axis=1)
-            near[right] |= close.any(axis=0)
+        # Small buckets all at once: each row against the one o rows on.
+        for o in range(1, int(size[some].max(initial=1))):
+            i = np.flatnonzero(member[:-o] & (bucket[o:] == bucket[:-o]))
+            i = i[((s[i] - s[i + o]) ** 2).sum(axis=1) <= limit]
+            near[i] = near[i + o] = True
+        length = (s * s).sum(axis=1)
+        for b in np.flatnonzero(~some):
+            left, right = (first[b] + side for side in sides[b])
+            for at in range(0, len(left), _BLOCK):
+                i = left[at : at + _BLOCK]
+                close = length[i, None] + length[right] - 2 * (s[i] @ s[right].T) <= limit
+                close &= i[:, None] != right
+                near[i] |= close.any(axis=1)
+                near[right] |= close.any(axis=0)
         if near.any():
             yield from table.select(names).filter(pa.array(near)).combine_chunks().to_batches()
 
@@ -165,8 +175,8 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 codes = pa.array(list(quantisers[int(n)].codes(u)), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*part.columns, codes, pa.array(quantisers[int(n)].sketch(u))], [*part.schema.names, "codes", "sketch"])
 
-    grouped = good.groupBy("_a", "_b").agg(F.min("_id").alias("real"), F.count(F.lit(1)).alias("copies"), F.first("_v").alias("_v")).withColumn("node", F.monotonically_increasing_id())
-    classes = materialize(grouped.mapInArrow(encode, f"_a long, _b long, real long, copies long, _v array<{kind}>, node long, codes array<long>, sketch long"), "vectors")
+    merged = good.groupBy("_a", "_b").agg(F.min("_id").alias("real"), F.count(F.lit(1)).alias("copies"), F.first("_v").alias("_v")).withColumn("node", F.monotonically_increasing_id())
+    classes = materialize(merged.mapInArrow(encode, f"_a long, _b long, real long, copies long, _v array<{kind}>, node long, codes array<long>, sketch long"), "vectors")
     per, length = 64 // _BITS, F.size("_v").cast("long") * F.lit(1 << 48)
     keys = [F.expr(f"{t}L * {1 << 32}L + (shiftrightunsigned(codes[{t // per}], {_BITS * (t % per)}) & {(1 << _BITS) - 1}L)") + length for t in range(per * rotations)]
     spread = classes.select("node", "sketch", F.explode(F.array(*keys)).alias("key"))
