@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, oracles, packing, pii, quality, simhash, substrings, toxicity, urls, vectors
+from . import language_id, mixing, negatives, oracles, packing, pii, quality, search, sharding, simhash, substrings, toxicity, urls, vectors
 
 #: The key of the pseudonyms that the queries make. A deployment gives its own.
 SECRET = "sievework"
@@ -71,12 +71,30 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in steps of 1 / 256; labels of every seventh id are the next one's."""
+    v = F.col("embedding")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").where(finite).select("vec_id", label.alias("label"), F.transform(v, lambda x: F.floor(256 * x.cast("double"))).alias("vector"))
+    return negatives.mined(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.placed(_table(spark, sf_dir, "documents"), shards=16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(search.indexed(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_language_id, op2_pii, op3_vectors, op4_mixing, op5_substrings, op6_toxicity, op7_simhash, op8_quality, op9_urls, op10_packing]
+    own = [op1_language_id, op2_pii, op3_vectors, op4_mixing, op5_substrings, op6_toxicity, op7_simhash, op8_quality, op9_urls, op10_packing, op11_negatives, op12_sharding, op13_search]
     return {f.__name__: f for f in own} | {"pipeline": partial(corpus_pipeline.run)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_vectors": oracles.VECTORS, "op4_mixing": oracles.mixing(), "op5_substrings": oracles.SUBSTRINGS, "op8_quality": oracles.QUALITY, "op9_urls": urls.SQL}
+    return {"op3_vectors": oracles.VECTORS, "op4_mixing": oracles.mixing(), "op5_substrings": oracles.SUBSTRINGS, "op8_quality": oracles.QUALITY, "op9_urls": urls.SQL, "op11_negatives": negatives.SQL, "op12_sharding": sharding.sql(), "op13_search": search.SQL}
