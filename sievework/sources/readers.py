@@ -95,18 +95,23 @@ def _cells(content: bytes, sheet: str | None) -> Iterator[tuple[str, int, int, s
                     yield name, int(number) - 1, column - 1, found
 
 
+def _read_books(batches: Iterator[pa.RecordBatch], sheet: str | None) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for p, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            rows = [(p, *cell) for cell in _cells(content, sheet)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["path", "sheet", "row", "col", "text"])
+
+
 def sheet_cells(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """path, sheet, row, col, text of the cells of all workbooks at path: a task for each file, none on the driver. What a layout
-    means is told from these by joins: see sheet_rows(), unstacked_headers() and component_names()."""
+    means is told from these by joins: see layouts.read(), sheet_rows(), unstacked_headers() and component_names()."""
+    return cells_of(spark.read.format("binaryFile").load(path), sheet)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = [(p, *cell) for cell in _cells(content, sheet)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["path", "sheet", "row", "col", "text"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, sheet string, row int, col int, text string")
+def cells_of(books: DataFrame, sheet: str | None = None) -> DataFrame:
+    """sheet_cells() of workbooks (path, content) that are in a table already."""
+    return books.select("path", "content").mapInArrow(lambda b: _read_books(b, sheet), "path string, sheet string, row int, col int, text string")
 
 
 def sheet_rows(cells: DataFrame, header: int = 0) -> DataFrame:

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import math
+import re
 import zipfile
+from collections.abc import Iterator
+from itertools import groupby
 from pathlib import Path
+from xml.sax.saxutils import escape, quoteattr
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -103,6 +109,84 @@ def markdown_table(df: DataFrame, most: int = 200) -> str:
     return "\n".join(f"| {x} |" for x in lines)
 
 
+_SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_LINK = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PART = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+
+
+def _reference(row: int, col: int) -> str:
+    letters = ""
+    col += 1
+    while col:
+        col, at = divmod(col - 1, 26)
+        letters = chr(65 + at) + letters
+    return f"{letters}{row + 1}"
+
+
+def _book(sheets: dict[str, list[tuple[int, int, str]]]) -> bytes:
+    """A workbook's bytes: cells of (row, column, text) by sheet, numbers as numbers and all else as text of its own."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{_PART}.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("[Content_Types].xml", f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{_PART}.sheet.main+xml"/>{kinds}</Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{_LINK}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        names = "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_SHEET}" xmlns:r="{_LINK}"><sheets>{names}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="rId{i}" Type="{_LINK}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        for i, cells in enumerate(sheets.values(), 1):
+            with z.open(f"xl/worksheets/sheet{i}.xml", "w") as f:
+                f.write(f'<worksheet xmlns="{_SHEET}"><sheetData>'.encode())
+                for row, group in groupby(sorted(cells), key=lambda c: c[0]):
+                    f.write(f'<row r="{row + 1}">'.encode())
+                    for _, col, text in group:
+                        number = re.fullmatch(r"-?(0|[1-9]\d{0,14})(\.\d+)?", text)
+                        body = f"><v>{text}</v>" if number else f' t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is>'
+                        f.write(f'<c r="{_reference(row, col)}"{body}</c>'.encode())
+                    f.write(b"</row>")
+                f.write(b"</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def workbooks(cells: DataFrame) -> DataFrame:
+    """path, content: an .xlsx file for each path of cells (path, sheet, row, col, text), rows and columns from 0; blank cells are
+    absent, sheets in order of name. A book is made by one task: its format bounds it, and a table too large for one is no report.
+    readers.cells_of() reads these back; save_files() makes them files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"path": [path], "content": [_book(sheets)]})
+
+        path, sheets = None, {}
+        for batch in batches:
+            for p, sheet, row, col, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != path and sheets:
+                    yield made()
+                    sheets = {}
+                path = p
+                sheets.setdefault(sheet, []).append((row, col, text))
+        if sheets:
+            yield made()
+
+    rows = cells.where(F.col("text").isNotNull()).select("path", "sheet", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("text").cast("string").alias("text"))
+    return rows.repartition("path").sortWithinPartitions("path", "sheet", "row", "col").mapInArrow(run, "path string, content binary")
+
+
+def save_files(files: DataFrame, folder: str) -> int:
+    """Each row (path, content) as a file of that name in folder, wherever Spark can write; one that is there is an error. Files go
+    through the driver one at a time: for reports, not for data."""
+    spark, n = files.sparkSession, 0
+    for r in files.toLocalIterator():
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{r['path']}")
+        stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, False)
+        try:
+            stream.write(r["content"])
+        finally:
+            stream.close()
+        n += 1
+    return n
+
+
 def review_queue(items: DataFrame, decided: DataFrame, key: str, path: str) -> DataFrame:
     """Items without a decision, as CSV with empty columns for one, and a table of the files' sizes and hashes beside them, which
     is returned. An existing queue raises."""
