@@ -228,7 +228,7 @@ def ranked(index: Index, items: DataFrame, k: int = 50, id_col: str = "item_id",
     for (b,) in entries.select("_block").distinct().orderBy("_block").toLocalIterator():
         asked, numbered = _asked(entries.where(F.col("_block") == b).select("item", "item_id", "term", "w").toArrow())
         hits = index.postings.select("row", "id", "m", "terms", "tf", "impacts").mapInArrow(lambda x, a=asked, n=numbered: _searched(a, n, k, x), "item long, item_id long, score long, doc_id long, row long")
-        found.append(materialize(hits, "hits", few_files=True))
+        found.append(materialize(hits, "hits"))
     if not found:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     hits = found[0]
