@@ -7,13 +7,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..tables import materialize
 from .stats import average_rank
 
 
@@ -119,30 +116,3 @@ def signed_rank(df: DataFrame, keys: Sequence[str], difference: str, least: int
     exact = (F.col("n") <= most_exact) & (F.col("_z") == 0) & (F.col("_ties") == 0)
     p = F.when((F.col("n") < least) | (F.col("_max") <= 1e-8), 1.0).otherwise(_chance_of_less("n", "r_plus", center, spread, exact))
     return out.select(*keys, "n", "r_plus", "mean_difference", p.alias("p"))
-
-
-def forest_features(cells: DataFrame, item: str, axis: str, value: str, axes: Sequence[str], hidden: str, items: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """items with features: their own columns, then each axis but the hidden one, 0 where it isn't seen, and whether it is."""
-    seen = [a for a in axes if a != hidden]
-    wide = cells.where(F.col(axis).isin(*seen)).groupBy(item).pivot(axis, seen).agg(F.first(value)) if seen else cells.select(item).distinct()
-    out = items.join(wide, item, "left")
-    parts = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in (*columns, *seen)] + [F.col(f"`{a}`").isNotNull().cast("double") for a in seen]
-    return out.select(item, array_to_vector(F.array(*parts)).alias("features"))
-
-
-def forests(cells: DataFrame, item: str, axis: str, value: str, items: DataFrame, columns: Sequence[str], train: Column, trees: int = 20, depth: int = 5, most_axes: int = 500) -> DataFrame:
-    """axis, n, mae: a forest for each axis, trained on the items of `train` that have it and judged on the others. A panel's axes
-    are few, each is a job of its own; over most_axes of them are an error."""
-    axes = sorted(r[0] for r in cells.select(axis).distinct().limit(most_axes + 1).collect())
-    if len(axes) > most_axes:
-        raise ValueError(f"over {most_axes} axes")
-    out = None
-    for a in axes:
-        own = cells.where(F.col(axis) == a).select(item, F.col(value).alias("_y")).join(forest_features(cells, item, axis, value, axes, a, items, columns), item)
-        own = materialize(own.select("*", train.alias("_train")), "forest")
-        if own.where("_train").isEmpty():
-            continue
-        model = RandomForestRegressor(labelCol="_y", numTrees=trees, maxDepth=depth, seed=7).fit(own.where("_train"))
-        judged = model.transform(own.where("NOT _train")).agg(F.lit(a).alias(axis), F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("prediction") - F.col("_y"))).alias("mae"))
-        out = judged if out is None else out.unionByName(judged)
-    return cells.sparkSession.createDataFrame([], f"{axis} string, n long, mae double") if out is None else out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import evaluate, resolve, split
+from ..operators import evaluate, resolve, split, trees
 from .registry import m, measurements, query, table
 
 _HASH = "concat('0x', sha256({0})[1:8])::BIGINT"
@@ -149,12 +149,41 @@ def token_offsets(spark, sf):
 
 @query()
 def forest_baseline(spark, sf):
-    """A forest of 20 trees for each axis, on size, price, what the item's other axes show and whether they show it: rows only, as
-    no other engine grows the same trees."""
-    df = measurements(spark, sf)
-    cells = df.groupBy("food_id", "axis_id").agg(F.avg("value").alias("value"))
-    items = table(spark, sf, "part").selectExpr("p_partkey AS food_id", "double(p_size) AS size", "p_retailprice AS price")
-    return evaluate.forests(cells, "food_id", "axis_id", "value", items, ["size", "price"], F.col("food_id") % 5 > 0)
+    """A forest of 20 trees for each axis, all grown at once, on an embedding, size, price, what the item's other axes show and
+    whether they show it, a third of the items with an axis masked: rows only, as no other engine grows the same trees."""
+    cells = measurements(spark, sf).groupBy("food_id", "axis_id").agg(F.avg("value").alias("value"))
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("food_id"), F.slice("embedding", 1, 8).alias("vector"))
+    items = table(spark, sf, "part").selectExpr("p_partkey AS food_id", "double(p_size) AS size", "p_retailprice AS price").join(vectors, "food_id", "left")
+    masked = cells.where("food_id % 3 = 0 AND axis_id = 'NO'").select("food_id", "axis_id")
+    out = trees.forests(cells, "food_id", "axis_id", "value", items, ["size", "price"], F.col("food_id") % 5 > 0, masked=masked, vector="vector")
+    return out.withColumn("mae", F.round("mae", 9))
+
+
+_TREE_ROWS = "SELECT p_partkey AS item, l_returnflag || l_linestatus AS axis, sum(l_quantity)::BIGINT AS y, max(p_size)::DOUBLE AS f0, max(p_partkey % 7)::DOUBLE AS f1 FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL"
+
+
+def _level(rows: str, name: str) -> str:
+    """The best split of each axis and node, by least squares over all values of both features."""
+    return f"""{name}h AS (SELECT axis, node, f, x, count(*) AS n, sum(y)::BIGINT AS s FROM (SELECT axis, node, 0 AS f, f0 AS x, y FROM {rows} UNION ALL SELECT axis, node, 1, f1, y FROM {rows}) GROUP BY ALL),
+{name}c AS (SELECT *, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER v AS nt, sum(s) OVER v AS st FROM {name}h WINDOW w AS (PARTITION BY axis, node, f ORDER BY x ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY axis, node, f)),
+{name}g AS (SELECT *, sl::DOUBLE * sl::DOUBLE / nl + (st - sl)::DOUBLE * (st - sl)::DOUBLE / (nt - nl) AS gain FROM {name}c WHERE nl >= 3 AND nt - nl >= 3),
+{name} AS (SELECT axis, node, f, x AS cut FROM {name}g WHERE gain > st::DOUBLE * st::DOUBLE / nt * (1 + 1e-12) QUALIFY row_number() OVER (PARTITION BY axis, node ORDER BY gain DESC, f, x) = 1)"""
+
+
+@query(f"""WITH r0 AS (SELECT *, 1 AS node FROM ({_TREE_ROWS})), {_level("r0", "a")}, r1 AS (SELECT r.* EXCLUDE (node), CASE WHEN a.f IS NULL THEN r.node ELSE 2 * r.node + CASE WHEN CASE a.f WHEN 0 THEN f0 ELSE f1 END > a.cut THEN 1 ELSE 0 END END AS node FROM r0 r LEFT JOIN a USING (axis, node)),
+{_level("(SELECT * FROM r1 WHERE node > 1)", "b")}, r2 AS (SELECT r.* EXCLUDE (node), CASE WHEN b.f IS NULL THEN r.node ELSE 2 * r.node + CASE WHEN CASE b.f WHEN 0 THEN f0 ELSE f1 END > b.cut THEN 1 ELSE 0 END END AS node FROM r1 r LEFT JOIN b USING (axis, node)),
+n AS (SELECT axis, node, y FROM r0 UNION ALL SELECT axis, node, y FROM r1 WHERE node > 1 UNION ALL SELECT axis, node, y FROM r2 WHERE node > 3)
+SELECT axis, node, any_value(s.f) AS feature, any_value(s.cut) AS cut, count(*) AS n, round(sum(y) / count(*), 9) AS mean FROM n LEFT JOIN (SELECT * FROM a UNION ALL SELECT * FROM b) s USING (axis, node) GROUP BY ALL""")
+def axis_trees(spark, sf):
+    """A tree of two levels for each axis, all grown at once, without bagging: the same splits as exact ones."""
+    lines, parts = table(spark, sf, "lineitem"), table(spark, sf, "part").selectExpr("p_partkey AS item", "array(double(p_size), double(p_partkey % 7)) AS features")
+    cells = lines.groupBy(F.col("l_partkey").alias("item"), F.concat("l_returnflag", "l_linestatus").alias("name")).agg(F.sum("l_quantity").cast("long").alias("y"))
+    names = sorted(r[0] for r in cells.select("name").distinct().collect())
+    cuts = trees.cut_points(parts, "features", 128)
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("name")) - 1
+    rows = trees.binned(parts, "features", cuts, ["item"]).join(cells.select("item", place.alias("axis"), "y"), "item")
+    forest = trees.grow(rows.select("axis", F.xxhash64("item").alias("key"), "y", "bins"), names, cuts, trees=1, depth=2, bagged=False)
+    return trees.node_table(spark, forest).select("axis", "node", "feature", "cut", "n", F.round("mean", 9).alias("mean"))
 
 
 @query()

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators import annotate, evaluate, panels, relational
+from sievework.operators import annotate, panels, relational
 
 
 def test_roles_in_their_order(spark):
@@ -94,10 +94,3 @@ def test_running_totals_and_indexes(spark):
         assert r["running"] == total[r["k"]]
     names = spark.createDataFrame([("c",), ("a",), (None,), ("b",), ("a",)], "n string")
     assert sorted(tuple(r) for r in relational.dense_index(names, "n").collect()) == [("a", 1), ("b", 2), ("c", 3)]
-
-
-def test_forest_features_leave_the_hidden_axis_out(spark):
-    cells = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 3.0)], "i int, x string, v double")
-    items = spark.createDataFrame([(1, 9.0), (2, 8.0)], "i int, s double")
-    got = {r["i"]: r["features"].toArray().tolist() for r in evaluate.forest_features(cells, "i", "x", "v", ["a", "b"], "a", items, ["s"]).collect()}
-    assert got == {1: [9.0, 2.0, 1.0], 2: [8.0, 0.0, 0.0]}
