@@ -38,27 +38,38 @@ def sample_for_review(df: DataFrame, risky: Column, key: Column, one_in: int = 1
     return df.where(risky | (hash_bucket(key, one_in) == 0))
 
 
-def holdout_families(sizes: Iterable[tuple[str, int]], target: int) -> list[str]:
-    """Of families in order with their sizes, each taken if it fits, those that fill the target exactly; raises if they don't. Reads
-    no further than needed."""
+def first_fit(sizes: Iterable[tuple[str, int]], target: int, smallest: int = 1) -> tuple[list[str], int]:
+    """Of families in order with their sizes, each taken that still fits; and how much of the target stays empty. Reads no further
+    than until less is left than the smallest family has."""
     taken, room = [], target
     for name, size in sizes:
         if size <= room:
             taken.append(name)
             room -= size
-        if not room:
+        if room < smallest:
             break
+    return taken, room
+
+
+def holdout_families(sizes: Iterable[tuple[str, int]], target: int) -> list[str]:
+    """first_fit() where it fills the target exactly; else an error."""
+    taken, room = first_fit(sizes, target)
     if room:
         raise ValueError(f"hash order leaves {room} of {target} unfilled")
     return taken
 
 
-def family_holdout(df: DataFrame, family: str, target: int) -> DataFrame:
-    """df with partition. Families are put in hash order by Spark and read one by one until the target is full, so the driver holds
-    only those taken, which meet the rows by a join."""
-    sizes = df.where(F.col(family).isNotNull()).groupBy(family).agg(F.count(F.lit(1)).alias("n")).orderBy(hash_order(F.col(family).cast("string")), family)
-    chosen = holdout_families(((r[family], r["n"]) for r in sizes.toLocalIterator()), target)
-    return _placed(df, family, chosen, "validation", "train")
+def family_holdout(df: DataFrame, family: str, target: int, exact: bool = True) -> DataFrame:
+    """df with partition and unfilled. Families are put in hash order by Spark and read one by one until no other fits, so the driver
+    holds only those taken, which meet the rows by a join. Families are never split: exact, a target that whole families in this
+    order don't fill is an error; else unfilled says by how much."""
+    counted = df.where(F.col(family).isNotNull()).groupBy(family).agg(F.count(F.lit(1)).alias("n"))
+    smallest = counted.agg(F.min("n")).first()[0] or 1
+    sizes = counted.orderBy(hash_order(F.col(family).cast("string")), family)
+    chosen, room = first_fit(((r[family], r["n"]) for r in sizes.toLocalIterator()), target, smallest)
+    if room and exact:
+        raise ValueError(f"hash order leaves {room} of {target} unfilled")
+    return _placed(df, family, chosen, "validation", "train").withColumn("unfilled", F.lit(room).cast("long"))
 
 
 def _placed(df: DataFrame, key: str, chosen: Sequence, inside: str, outside: str) -> DataFrame:

@@ -15,6 +15,6 @@ def test_gap_grid_has_every_source(spark):
 
 def test_values_of_every_unit_stay(spark, sf_dir, monkeypatch):
     raw = spark.range(10_500).select("id", F.lit("5").alias("raw"), F.when(F.col("id") == 0, "mg/100 g").otherwise(F.concat(F.lit("unit "), "id")).alias("unit"))
-    monkeypatch.setattr(parsing, "_raw", lambda spark, sf: raw)
+    monkeypatch.setattr(parsing, "raw_values", lambda spark, sf: raw)
     out = parsing.apply_value_and_unit(spark, sf_dir)
     assert (out.count(), out.where("id = 0").first()["g_per_100g"]) == (10_500, 0.005)
