@@ -187,7 +187,8 @@ def mined(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int
     some = rows.withColumn("_h", F.xxhash64("id", "v")).where(F.pmod("_h", F.lit(1 << 20)) < portion)
     drawn = some.withColumn("_r", F.row_number().over(Window.partitionBy("n").orderBy("_h", "id"))).where(F.col("_r") <= sample).select("v").toArrow()["v"].to_pylist()
     # A product is at most the square of the longest vector's length, so below 2^52 a double holds every partial sum.
-    spaces = {s["n"]: _learn(np.array([x for x in drawn if len(x) == s["n"]], float).reshape(-1, s["n"]), s["longest"], pivots, s["longest"] < 2.0**52) for s in stats}
+    samples = {s["n"]: [x for x in drawn if len(x) == s["n"]] for s in stats}
+    spaces = {s["n"]: _learn(np.array(samples[s["n"]], float).reshape(len(samples[s["n"]]), s["n"]), s["longest"], pivots, s["longest"] < 2.0**52) for s in stats}
 
     def keyed(batches: Iterator[pa.RecordBatch], ask: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
