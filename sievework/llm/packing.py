@@ -304,11 +304,13 @@ def packed(rows: DataFrame, id_col: str = "doc_id", capacity: int = 4096, per_bu
     Only the histogram of lengths comes to the driver (at most capacity rows), and only placements by length go back (their
     number is bounded by the lengths too, so they are broadcast). A piece finds its place by its rank among those of its
     length: by its place in a bucket of about per_bucket pieces, plus the sizes of the buckets before, so that a very common
-    length is many tasks' work. Repeated rows are pieces of their own. Ranks are found without the ids, which move once, to
-    meet their place by a number that no two rows share.
+    length is many tasks' work, whatever ids its rows have. Repeated rows and rows of null ids are pieces of their own; an empty
+    table gives an empty result; further columns stay, whatever their names, but for a sequence_id or offset of their own, which
+    the new ones replace. Ranks are found without the ids, which move once, to meet their place by a number that no two rows share.
     """
-    columns = rows.columns
-    rows = materialize(rows.withColumn("_crc", F.crc32("ids")).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    columns = [c for c in rows.columns if c not in ("sequence_id", "offset")]
+    rows = rows.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), "length", F.col(f"`{id_col}`").alias("id"), "piece", F.crc32("ids").alias("crc"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "pieces")
     spark = rows.sparkSession
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     placements, _ = solve(histogram, capacity)
@@ -317,13 +319,13 @@ def packed(rows: DataFrame, id_col: str = "doc_id", capacity: int = 4096, per_bu
         by_length.setdefault(p[0], []).append(p[1:])
     table = spark.createDataFrame([(k, sorted(v)) for k, v in by_length.items()], "length long, at array<struct<lo long, hi long, seq long, off long, per long>>")
     buckets = max(1, -(-sum(histogram.values()) // per_bucket))
-    keyed = rows.select("_row", id_col, "piece", "length", "_crc").withColumn("_b", F.pmod(F.xxhash64(F.col(id_col).cast("string"), "piece"), F.lit(buckets)))
+    keyed = rows.select("row", "id", "piece", "length", "crc").withColumn("_b", F.pmod(F.xxhash64(F.col("id").cast("string"), "piece", "crc", "row"), F.lit(buckets)))
     ahead = keyed.groupBy(F.col("length").alias("_l"), F.col("_b").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
     ahead = ahead.withColumn("_ahead", F.sum("_n").over(Window.partitionBy("_l").orderBy("_c").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n"))
-    rank = F.row_number().over(Window.partitionBy("length", "_b").orderBy(F.col(id_col), "piece", "_crc")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "_b").orderBy("id", "piece", "crc", "row")) - 1
     ranked = keyed.withColumn("_r", rank).join(ahead.drop("_n"), (F.col("length") == F.col("_l")) & (F.col("_b") == F.col("_c"))).withColumn("_r", F.col("_r") + F.col("_ahead"))
     found = ranked.join(F.broadcast(table), "length").withColumn("_p", F.filter("at", lambda p: (p.lo <= F.col("_r")) & (F.col("_r") < p.hi))[0])
     k = F.col("_r") - F.col("_p.lo")
     seq = F.col("_p.seq") + F.floor(k / F.col("_p.per")).cast("long")
     off = F.col("_p.off") + (k % F.col("_p.per")) * F.col("length")
-    return rows.drop("_crc").join(found.select("_row", seq.alias("sequence_id"), off.alias("offset")), "_row").select(*columns, "sequence_id", "offset")
+    return rows.select("row", "doc").join(found.select("row", seq.alias("sequence_id"), off.alias("offset")), "row").select("doc.*", "sequence_id", "offset")

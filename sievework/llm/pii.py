@@ -200,7 +200,7 @@ def _secret(key: bytes, m: re.Match) -> str:
         part = value[at : at + _CHUNK]
         out += _by_places(key, tweak, part, places[at : at + _CHUNK])
         tweak = "secret|" + hmac.digest(key, f"{tweak}|{part}".encode(), "sha256").hex()
-    return out
+    return out + m.string[m.end("secret") : m.end()]
 
 
 def _ranges(month: int, day: int) -> tuple[int, int, int, int]:
@@ -243,19 +243,50 @@ def _date(key: bytes, m: re.Match) -> str | None:
     return sep.join(str(x).rjust(len(old), "0") for x, old in zip(order, parts, strict=True))
 
 
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+
+def _worded(key: bytes, m: re.Match) -> str | None:
+    """A date whose month is an English word, whole or its first three letters: the pseudonym is its other forms' too."""
+    word = m["month"]
+    month = next(i for i, name in enumerate(_MONTHS, 1) if name.startswith(word.lower()[:3]))
+    try:
+        new = _new_date(key, date(int(m["year"]), month, int(m["day"])))
+    except ValueError:
+        return None
+    name = _MONTHS[new.month - 1] if len(word) > 3 or word.lower() == "may" else _MONTHS[new.month - 1][:3]
+    name = name.upper() if word.isupper() else name.capitalize() if word[0].isupper() else name
+    put = {"month": name, "day": str(new.day).rjust(len(m["day"]), "0"), "year": str(new.year).rjust(4, "0")}
+    out, at = "", m.start()
+    for part in sorted(put, key=m.start):
+        out, at = out + m.string[at : m.start(part)] + put[part], m.end(part)
+    return out + m.string[at : m.end()]
+
+
+#: A name that says that a secret follows, alone or as a part of a longer name, and what stands between them.
+_NAMED = r"(?:(?<![A-Za-z0-9])|(?<=[a-z])(?=[TSPA]))(?i:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key)(?:[_-]?(?i:key|value|token|secret))?(?![A-Za-z0-9])[\"']?\s*[=:]\s*"
+_MONTH = r"(?P<month>(?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?))"
+
 #: In order; what one has replaced isn't seen by the next.
 _KINDS = [
     ("email", re.compile(r"(?P<local>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63})@(?P<domain>(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})"), _email),
-    ("secret", re.compile(r"(?i:\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9_+/=-]{8,})"), _secret),
-    ("secret", re.compile(r"(?<![A-Za-z0-9])(?P<secret>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?![A-Za-z0-9])"), _secret),
+    ("secret", re.compile(rf"{_NAMED}(?P<quote>[\"'])(?P<secret>[^\"'\n]{{6,}})(?P=quote)"), _secret),
+    ("secret", re.compile(rf"{_NAMED}(?=[^\s\"'<>]*[^a-z\s\"'<>]|[^\s\"'<>]{{8}})(?P<secret>[^\s\"'<>]{{5,}}[^\s\"'<>.,;:!?)\]}}])"), _secret),
+    ("secret", re.compile(r"(?i:(?<![A-Za-z0-9])bearer\s+)(?=[A-Za-z._~+/=-]*\d)(?P<secret>[A-Za-z0-9._~+/=-]{8,})"), _secret),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])(?P<secret>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)?|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?![A-Za-z0-9])"), _secret),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), _iban),
     ("date", re.compile(r"(?<![\w.+-])(?:\d{4}(?P<sep>[-/.])\d{1,2}(?P=sep)\d{1,2})(?![\w-]|\.\d)"), _date),
     ("date", re.compile(r"(?<![\w.+-])(?:\d{1,2}(?P<sep>[-/.])\d{1,2}(?P=sep)\d{4})(?![\w-]|\.\d)"), _date),
+    ("date", re.compile(rf"(?<![\w.+-])(?P<day>\d{{1,2}})(?:st|nd|rd|th)?\.? (?:of )?{_MONTH}\.?,? (?P<year>\d{{4}})(?!\w)"), _worded),
+    ("date", re.compile(rf"(?<!\w){_MONTH}\.? (?P<day>\d{{1,2}})(?:st|nd|rd|th)?,? (?P<year>\d{{4}})(?!\w)"), _worded),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn),
     ("ip", re.compile(r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"), _ip),
     ("ip6", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,7}(?::|[0-9A-Fa-f]{1,4})(?::?[0-9A-Fa-f]{1,4}){0,6}(?![\w:]|\.\d)"), _ip6),
     ("card", re.compile(r"(?<![\w+])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\w)"), _card),
     ("phone", re.compile(r"(?<![\w.+-])(?P<code>\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"), _phone),
+    ("phone", re.compile(r"(?<![\w.+-])(?P<code>00[1-9]\d{0,2}[ .-])(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"), _phone),
+    ("phone", re.compile(r"(?<![\w.+-])(?P<code>1[ .-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"), _phone),
+    ("phone", re.compile(r"(?<![\w.+-])(?P<code>0)[1-9]\d{1,4}[ /-]\d{5,8}(?![\w-]|\.\d)"), _phone),
     ("phone", re.compile(r"(?<![\w.+-])(?P<code>)(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w)"), _phone),
 ]
 _MARKS = (*_DIGITS, "@")

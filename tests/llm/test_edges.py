@@ -214,3 +214,11 @@ def test_url_rules_and_reputation(spark):
     again = urls.filtered(odd, bad, urls.RULES).collect()
     assert len(again) == len(pages) + 2 and [r["verdict"] for r in again if r["page_id"] == 100] == ["block", "block"]
     assert urls.filtered(df.limit(0), bad, urls.RULES).count() == 0
+
+
+def test_packing_keeps_columns_of_all_names_and_parts_rows_of_one_id(spark):
+    rows = [(None, 0, 0, 7, [1] * 7, i, -1, -2, "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, n array<int>, _row int, sequence_id int, _crc int, row string").withColumn("ids", F.encode(F.lit("abcdefg" * 4), "utf-8")).drop("n")
+    out = packing.packed(df, capacity=28, per_bucket=10).collect()
+    assert sorted(r["_row"] for r in out) == list(range(60)) and {(r["_crc"], r["row"]) for r in out} == {(-2, "x")}
+    assert len({(r["sequence_id"], r["offset"]) for r in out}) == 60 and len({r["sequence_id"] for r in out}) == 15 and "sequence_id" in out[0].asDict()

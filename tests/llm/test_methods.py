@@ -111,6 +111,23 @@ def test_dates_keep_their_form_and_their_links():
     assert out("2023-02-30") == "2023-02-30" and int(out("2024-02-29")[8:]) > 12
 
 
+def test_secrets_by_their_names_whatever_their_characters():
+    for text in ("auth_token=abcdefgh12345678", "client_secret: s3cr3tvalue99", "DB_PASSWORD=correcthorse1", "access_token = 'abcd1234efgh'", "password: P@ssw0rd!xyz", "password=hunter2", "token=eyJhbGciOi9.eyJzdWIiOjEyMzQ.SflKxwRJSMeK",
+                 "Authorization: Bearer abc.def123.ghi", "passphrase: correct-horse-battery", "sk-abcdef0123456789abcd", 'clientSecret: "x y z 1 2" next', "1-800-555-1234", "030 1234567", "0049 30 1234567", "(555) 123-4567"):
+        new, n = pii.pseudonymise(text, KEY)
+        assert n == 1 and new != text and len(new) == len(text) and [c.isalnum() for c in new] == [c.isalnum() for c in text], text
+        assert not {w for w in re.findall(r"\w{5,}", new.partition("=")[2] or new.partition(": ")[2]) if w.lower() != "bearer"} & set(re.findall(r"\w{5,}", text))
+    for text in ("the secret: garden is", "Tokens: a", "password: short", "the password is secret.", "keys and tokens: many", "May 4 people", "12 March", "0 12345678"):
+        assert pii.pseudonymise(text, KEY) == (text, 0)
+
+
+def test_dates_in_words_are_linked_with_their_other_forms():
+    out = lambda t: pii.pseudonymise(t, KEY)[0]
+    year, month, day = map(int, out("1999-03-04").split("-"))
+    names = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+    assert out("4 March 1999") == f"{day} {names[month - 1]} {year}" and out("on MAR 04, 1999!") == f"on {names[month - 1][:3].upper()} {day:02d}, {year}!" and out("31 February 2001") == "31 February 2001"
+
+
 def test_addresses_of_eight_groups():
     text = "2001:0db8:85a3:0000:0000:8a2e:0370:7334 and 2001:db8:85a3::8a2e:370:7334 but std::vector, 12:30:45, ::1"
     new, n = pii.pseudonymise(text, KEY)

@@ -14,6 +14,7 @@ from sievework.llm import mixing, pii, queries, toxicity
 @pytest.fixture(scope="module")
 def stages(spark, sf_dir):
     """The input of each stage, as run() hands it on."""
+    spark.conf.set("spark.sievework.pseudonym.key", queries.SECRET)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = [docs]
     for name, stage in corpus_pipeline.STAGES:
@@ -155,3 +156,10 @@ def test_odd_rows_empty_tables_and_clashes(spark, sf_dir, odd, at):
     # Without n_chars and with only the columns that the stages read.
     few = stage(spark, odd.select("doc_id", "text", "source"), sf_dir)
     assert few.count() == len(rows)
+
+
+def test_without_a_key_runs_are_not_linked(spark, odd, monkeypatch):
+    spark.conf.unset("spark.sievework.pseudonym.key")
+    texts = [{r["text"] for r in corpus_pipeline.hide_personal_data(spark, odd.where("doc_id = 5"), "").collect()} for _ in range(2)]
+    assert texts[0] != texts[1]
+    spark.conf.set("spark.sievework.pseudonym.key", queries.SECRET)
