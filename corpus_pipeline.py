@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import mixing, packing, pii, simhash, toxicity
-from sievework.llm.queries import SECRET, tokenizer_path
+from sievework.llm.queries import tokenizer_path
 from sievework.llm.shared import materialize
 
 
@@ -23,8 +25,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by pseudonyms of the same format; n_chars, where there is one, follows the text. The
-    key is the session's spark.sievework.pseudonym.key; without one, the demonstration key of the queries."""
-    out = pii.pseudonymised(docs, spark.conf.get("spark.sievework.pseudonym.key", SECRET), count_col=_unused(docs, "n_pii"))
+    key is the session's spark.sievework.pseudonym.key; without one, a random key of this run, which is kept nowhere: then equal
+    values are linked within the run and nobody can undo them."""
+    key = spark.conf.get("spark.sievework.pseudonym.key", None) or secrets.token_hex(32)
+    out = pii.pseudonymised(docs, key, count_col=_unused(docs, "n_pii"))
     new = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return out.withColumns(new).select(*docs.columns)
 
