@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import annotations, audits, catalogs, cells, databases, evidence, intake, parsing, releases, resolution, splits, structures, workbooks  # noqa: F401
+from .plans import annotations, audits, catalogs, cells, databases, evidence, intake, national, parsing, releases, resolution, splits, structures, workbooks  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 
