@@ -134,21 +134,6 @@ def nutritional_role(tag: Column, name: Column, group: Column) -> Column:
     return out
 
 
-def name_caution(source: Column, target: Column) -> Column:
-    """What in two names may hide that they are not the same analyte: other numbers, an unequal sign of handedness, a leading place."""
-    a, b = ascii_label_key(source), ascii_label_key(target)
-    numbers = lambda k: F.array_sort(F.array_distinct(F.regexp_extract_all(k, F.lit(r"[0-9]+"), F.lit(0))))
-    handed = lambda k: k.rlike(r"\b[dl] [a-z]")
-    placed = lambda k: k.rlike(r"^[0-9]{1,2} +[a-z]")
-    found = F.concat_ws(
-        " | ",
-        F.when((F.size(numbers(a)) > 0) & (F.size(numbers(b)) > 0) & (numbers(a) != numbers(b)), "numeric_form_or_homologue_differs"),
-        F.when(handed(a) != handed(b), "stereochemical_form_not_confirmed"),
-        F.when(placed(a) | placed(b), "positional_or_isomeric_form_not_confirmed"),
-    )
-    return F.when(found == "", "none_detected_from_name_only").otherwise(found)
-
-
 # Units of mass, after ascii_label_key().
 MASS_UNITS = ("g", "mg", "ug", "kg", "ng", "mcg", "gram", "milligram", "microgram")
 

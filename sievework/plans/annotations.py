@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import annotate, panels, resolve
+from ..operators import annotate, identity, panels, resolve
 from ..operators.relational import dense_index
 from .cells import POOLED
 from .registry import m, measurements, query, table
@@ -60,7 +60,8 @@ _LABELLED = "c_mktsegment AS own, c_mktsegment || CASE WHEN c_custkey % 4 = 0 TH
 CASE WHEN tag = '' THEN 'name' ELSE 'tag' END AS basis, 'none_detected_from_name_only' AS caution FROM (SELECT c_custkey, {_LABELLED} FROM customer)""")
 def nutritional_roles(spark, sf):
     rows = spark.sql(f"SELECT c_custkey, {_LABELLED} FROM {{customer}}", customer=table(spark, sf, "customer"))
-    return rows.select("c_custkey", annotate.nutritional_role(F.col("tag"), F.col("name"), F.col("grp")).alias("r"), annotate.name_caution(F.col("name"), F.col("own")).alias("caution")).select("c_custkey", "r.*", "caution")
+    named = rows.select("name", "own").distinct().withColumn("caution", identity.name_caution(F.col("name"), F.col("own")))
+    return rows.join(named, ["name", "own"]).select("c_custkey", annotate.nutritional_role(F.col("tag"), F.col("name"), F.col("grp")).alias("r"), "caution").select("c_custkey", "r.*", "caution")
 
 
 @query("SELECT c_custkey, CASE WHEN n_nationkey IS NULL THEN '' ELSE n_nationkey::VARCHAR END AS registry_ids, CASE WHEN n_nationkey IS NULL THEN 'unmatched_requires_review' ELSE 'exact_title_candidate' END AS status FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND c_custkey % 3 > 0")

@@ -78,16 +78,19 @@ def hierarchy_edges(spark, sf):
     return evidence.hierarchy_edges(rows, "g", "term", parents, "child", "parent")
 
 
-_LABELS = ["18:2 n-6", "C18:2 n6", "18:3 n-3", "Vitamin B6", "Vitamin B12, total", "alpha Tocopherol", "Tocopherol, alpha", "3,4-dicaffeoylquinic acid", "Cyanidin 3-O-glucoside", "Delphinidin 3-O-glucoside", "Carbohydrate, by difference", "Carbohydrate, total", "16:1 cis", "16:1", "Iron", "Iron, Fe", "o-coumaric acid", "p-coumaric acid"]
+_LABELS = """CASE p_partkey % 8 WHEN 0 THEN concat(16 + 2 * (p_size % 3), ':', p_size % 4, ' n-', 3 + 3 * (p_size % 2), CASE p_size % 5 WHEN 0 THEN ' cis' WHEN 1 THEN ' t' ELSE '' END) WHEN 1 THEN concat('Vitamin B', p_size % 12, CASE WHEN p_size % 7 = 0 THEN ', total' ELSE '' END)
+WHEN 2 THEN concat(element_at(array('alpha', 'beta', 'gamma', ''), cast(1 + p_size % 4 AS int)), ' Tocopherol') WHEN 3 THEN concat(p_size % 5, ',', p_size % 5 + 1, '-dicaffeoylquinic acid') WHEN 4 THEN concat(element_at(array('Cyanidin', 'Delphinidin'), cast(1 + p_size % 2 AS int)), ' 3-O-', element_at(array('glucoside', 'galactoside', 'rutinoside'), cast(1 + p_size % 3 AS int)))
+WHEN 5 THEN concat('Carbohydrate', element_at(array('', ', total', ', by difference', ', available'), cast(1 + p_size % 4 AS int))) WHEN 6 THEN concat(element_at(array('o', 'm', 'p'), cast(1 + p_size % 3 AS int)), '-coumaric acid') ELSE concat(p_type, ', ', p_brand) END"""
 
 
 @query()
 def label_identity(spark, sf):
-    """Every label of a small list against every other; similarity and overlap stand for what a candidate search would bring."""
-    labels = spark.createDataFrame([(i, t) for i, t in enumerate(_LABELS)], "i int, label string")
-    pairs = labels.selectExpr("i AS a", "label AS x").join(labels.selectExpr("i AS b", "label AS y"), F.expr("a < b"))
-    exact = F.arrays_overlap(identity.name_variants(F.col("x")), identity.name_variants(F.col("y")))
-    return pairs.select("a", "b", identity.identity_verdict(F.col("x"), F.col("y"), exact, F.lit(0.8), F.lit(0.8), F.lit(0.6)).alias("v")).select("a", "b", "v.*")
+    """The distinct labels of parts against the others of their kind; similarity and overlap stand for what a candidate search would
+    bring. Each label is read once."""
+    labels = table(spark, sf, "part").selectExpr("p_partkey % 8 AS kind", f"{_LABELS} AS label").distinct().withColumn("r", identity.read_label(F.col("label")))
+    pairs = labels.select("kind", F.col("label").alias("a"), F.col("r").alias("ra")).join(labels.select("kind", F.col("label").alias("b"), F.col("r").alias("rb")), "kind").where("a < b")
+    exact = F.arrays_overlap(identity.name_variants(F.col("a")), identity.name_variants(F.col("b")))
+    return pairs.select("a", "b", identity.verdict(F.col("ra"), F.col("rb"), exact, F.lit(0.8), F.lit(0.8), F.lit(0.6)).alias("v")).select("a", "b", "v.*")
 
 
 @query("""WITH n AS (SELECT min(p_partkey) AS id, lower(p_name || ' ' || p_type || ' ' || p_brand) AS key FROM part GROUP BY p_name, p_type, p_brand), w AS (SELECT id, unnest(string_split(key, ' ')) AS w FROM n), p AS (SELECT id, ' ' || w || ' ' AS w FROM w WHERE w <> ''),

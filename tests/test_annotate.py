@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators import annotate, panels, relational
+from sievework.operators import annotate, identity, panels, relational
 
 
 def test_roles_in_their_order(spark):
@@ -44,7 +44,7 @@ def test_nutritional_roles(spark):
     df = spark.createDataFrame(rows, "t string, n string, g string, want string")
     assert all(r["role"] == r["want"] for r in df.select("want", annotate.nutritional_role(F.col("t"), F.col("n"), F.col("g"))["role"].alias("role")).collect())
     pairs = [("18 2 acid", "18 3 acid", "numeric_form_or_homologue_differs"), ("L-alanine", "alanine", "stereochemical_form_not_confirmed"), ("3 hydroxy", "hydroxy", "positional_or_isomeric_form_not_confirmed"), ("iron", "iron", "none_detected_from_name_only")]
-    got = spark.createDataFrame(pairs, "a string, b string, want string").select("want", annotate.name_caution(F.col("a"), F.col("b")).alias("c")).collect()
+    got = spark.createDataFrame(pairs, "a string, b string, want string").select("want", identity.name_caution(F.col("a"), F.col("b")).alias("c")).collect()
     assert all(r["want"] == r["c"] or r["want"] in r["c"] for r in got)
     units = [("mg", ["g"], "both_report_mass_units; conversion_not_performed_here"), ("", ["g"], "unit_not_stated_in_one_or_both_catalogues"), ("IU", ["iu"], "same_raw_unit"), ("IU", ["g"], "unit_or_expression_review_required"), ("g", None, "unit_not_stated_in_one_or_both_catalogues")]
     assert all(r["w"] == r["r"] for r in spark.createDataFrame(units, "u string, o array<string>, w string").select("w", annotate.unit_relation(F.col("u"), F.col("o")).alias("r")).collect())

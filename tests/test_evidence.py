@@ -101,6 +101,32 @@ def test_labels_that_differ_in_chemistry(spark, a, b, accepted, reason):
     assert tuple(df.select(verdict.alias("v")).select("v.*").first()) == (accepted, reason)
 
 
+def test_labels_of_a_table_by_plain_sets(spark, sf_dir):
+    from sievework.plans.evidence import label_identity
+
+    rows = label_identity(spark, sf_dir).collect()
+    assert len(rows) > 500 and len({r["reason"] for r in rows}) > 8
+
+    def refused(a, b):
+        for aspect, relations, reason in identity.REASONS:
+            x, y = set(a[aspect]), set(b[aspect])
+            how = "same" if x == y else "first" if not y else "second" if not x else "overlaps" if x & y else "differs"
+            if how in relations:
+                return reason
+
+    for r in rows:
+        want = refused(identity.reading(r["a"]), identity.reading(r["b"]))
+        assert r["accepted"] == (want is None) and (want is None or r["reason"] == want)
+
+
+def test_labels_are_read_token_by_token():
+    said = identity.reading("(9Z)-Octadecenoic acid 18:1 n-9, cis/trans unspecified")
+    assert said["signature"] == ["chain 18:1:9"] and said["locant"] == ["9z"] and said["state"] == [] and said["form"] == []
+    assert identity.reading("ω-3 (20:5ω3)")["signature"] == ["chain 20:5:3"] and identity.reading("Menaquinone-7")["signature"] == ["menaquinone 7"]
+    assert identity.reading("vitamin b-12 or B 6")["signature"] == ["vitamin b12", "vitamin b6"] and identity.reading("[6]-Gingerol")["position"] == ["[6]-gingerol"]
+    assert identity.reading("18:2 conjugated")["state"] == ["conjugated"] and identity.reading("cis")["state"] == [] and identity.reading(None)["numbers"] == []
+
+
 def test_scores_decide_only_where_chemistry_allows(spark):
     df = spark.createDataFrame([("Iron", "Iron salt", 0.9), ("Iron", "Iron salt", 0.5), ("alpha carotene", "beta carotene", 1.0), (None, "", 0.9)], "a string, b string, s double")
     v = identity.identity_verdict(F.col("a"), F.col("b"), F.lit(None).cast("boolean"), F.col("s"), F.lit(0.8), F.lit(0.5))
