@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,20 +46,36 @@ def masked_mse(df: DataFrame, keys: Sequence[str], true: str, predicted: str, ma
     return df.groupBy(*keys).agg((F.sum(F.col(mask) * (F.col(true) - F.col(predicted)) ** 2) / (F.sum(mask) + 1e-8)).alias("masked_mse"))
 
 
+def _weights(clusters: np.ndarray, replicates: int) -> np.ndarray:
+    """How often each replicate draws each cluster: by a Poisson law of mean one, from the cluster's hash and the replicate."""
+    x = clusters.view(np.uint64)[:, None] + (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    chances = np.exp(-1) / np.cumprod(np.maximum(1, np.arange(9)))
+    return np.searchsorted(np.cumsum(chances), (x ^ (x >> np.uint64(31))) / 2.0**64, side="right").astype(float)
+
+
 def cluster_interval(df: DataFrame, cluster: str, axis: str, error: str, replicates: int = 200, seed: str = "b") -> DataFrame:
     """low, high: 95 % interval of the macro mean error, clusters drawn again with Poisson weights by hash.
 
-    Rows are first summed by cluster and axis, so replicates multiply those sums only.
+    Rows are first summed by cluster and axis; a task multiplies its sums by their clusters' weights of all replicates at once, and
+    returns a row of sums for each of its batches' axes, so replicates multiply neither rows nor hashes.
     """
-    sums = df.groupBy(cluster, axis).agg(F.sum(error).alias("_e"), F.count(F.lit(1)).alias("_n"))
-    rows = sums.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col(cluster).cast("string"), "rep"), 256), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    weight, chance, total = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(1, 9):
-        total += chance
-        weight = F.when(u >= total, k).otherwise(weight)
-        chance /= k
-    by_axis = rows.withColumn("_w", weight).groupBy("rep", axis).agg((F.sum(F.col("_w") * F.col("_e")) / F.nullif(F.sum(F.col("_w") * F.col("_n")), F.lit(0))).alias("_m"))
+    sums = df.groupBy(cluster, axis).agg(F.sum(error).cast("double").alias("e"), F.count(F.lit(1)).cast("double").alias("n"))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column("axis").dictionary_encode()
+            place, e, n = coded.indices.to_numpy(zero_copy_only=False), batch.column("e").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(zero_copy_only=False)
+            w = _weights(batch.column("key").to_numpy(), replicates)
+            out = np.zeros((2, len(coded.dictionary), replicates))
+            np.add.at(out[0], place, w * e[:, None])
+            np.add.at(out[1], place, w * n[:, None])
+            yield pa.RecordBatch.from_arrays([coded.dictionary, *(pa.array(list(x), pa.list_(pa.float64())) for x in out)], ["axis", "we", "wn"])
+
+    keyed = sums.where("e IS NOT NULL").select(F.col(axis).cast("string").alias("axis"), F.xxhash64(F.lit(seed), F.col(cluster)).alias("key"), "e", "n")
+    parts = keyed.mapInArrow(drawn, "axis string, we array<double>, wn array<double>").select("axis", F.posexplode(F.arrays_zip("we", "wn")).alias("rep", "s"))
+    by_axis = parts.groupBy("rep", "axis").agg((F.sum("s.we") / F.nullif(F.sum("s.wn"), F.lit(0.0))).alias("_m"))
     return by_axis.groupBy("rep").agg(F.avg("_m").alias("_m")).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
 
 

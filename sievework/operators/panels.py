@@ -95,18 +95,21 @@ def composition_checks(values: DataFrame, food: str, tag: str, value: str, sums:
     return out
 
 
-def repaired_support(support: DataFrame, group: str, axis: str, counts: Sequence[tuple[str, int]], assignment: DataFrame) -> DataFrame:
+def repaired_support(support: DataFrame, group: str, axis: str, counts: Sequence[tuple[str, int]], assignment: DataFrame, most: int = 1_000_000) -> DataFrame:
     """group, partition, moved: validation groups given back to the training side until each axis has as much of every count there
     as asked (counts: column, least). The axis of fewest groups that lacks most goes first; of its groups the one that gives most of
     what any axis lacks, of equals the last by name. An error where no group is left to give.
 
-    Sums by group and axis come to the driver: groups are names, not rows, and each move depends on those before.
+    Sums by group and axis come to the driver, as each move depends on those before: over `most` of them, or of groups, are an error.
     """
     columns, least = [c for c, _ in counts], [n for _, n in counts]
-    placed = {r[0]: r[1] for r in assignment.select(group, "partition").collect()}
+    placed = {r[0]: r[1] for r in assignment.select(group, "partition").limit(most + 1).collect()}
     gives: dict[str, dict[str, list[int]]] = {}
     holders: dict[str, list[str]] = {}
-    for r in support.groupBy(group, axis).agg(*(F.sum(c).alias(c) for c in columns)).collect():
+    sums = support.groupBy(group, axis).agg(*(F.sum(c).alias(c) for c in columns)).limit(most + 1).collect()
+    if max(len(sums), len(placed)) > most:
+        raise ValueError(f"over {most} groups, or sums of groups and axes")
+    for r in sums:
         gives.setdefault(r[group], {})[r[axis]] = [r[c] for c in columns]
         holders.setdefault(r[axis], []).append(r[group])
     missing = {a: list(least) for a in holders}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,9 +100,12 @@ def cover_groups(support: dict[str, dict[str, int]], totals: dict[str, int], lea
     return chosen
 
 
-def test_cover(df: DataFrame, group: str, axis: str, item: str, least_test: int, least_train: int) -> DataFrame:
-    """df with partition test or train; counts by group and axis come to the driver."""
-    counts = df.groupBy(group, axis).agg(F.countDistinct(item).alias("n")).collect()
+def test_cover(df: DataFrame, group: str, axis: str, item: str, least_test: int, least_train: int, most: int = 1_000_000) -> DataFrame:
+    """df with partition test or train. Counts by group and axis come to the driver, as each choice depends on those before; over
+    `most` of them are an error."""
+    counts = df.groupBy(group, axis).agg(F.countDistinct(item).alias("n")).limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"over {most} counts of groups and axes")
     support: dict[str, dict[str, int]] = {}
     totals: dict[str, int] = {}
     for r in counts:
@@ -116,23 +119,25 @@ def family_masks(cells: DataFrame, item: str, family: str, visibilities: Sequenc
     """item, visibility, hidden (sorted families): of an item's families, those whose cell counts sum nearest to what is to be
     hidden (of equal ones the smaller sum), never all. Subset sums by item."""
     counts = cells.groupBy(item, family).agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(F.col(family).cast("string").alias("f"), "n"))).alias("parts"))
     kind = cells.schema[item].dataType.simpleString()
 
-    def hide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(family)
-        total, reach = int(pdf["n"].sum()), {0: ()}
-        for f, n in zip(pdf[family], pdf["n"], strict=True):
-            for s, names in list(reach.items()):
-                reach.setdefault(s + int(n), (*names, f))
-        rows = []
-        for v in visibilities:
-            want = total * (1 - v)
-            sums = [s for s in reach if 0 < s < total]
-            if sums:
-                rows.append((pdf[item].iloc[0], v, sorted(reach[min(sums, key=lambda s: (abs(s - want), s))])))
-        return pd.DataFrame(rows, columns=[item, "visibility", "hidden"])
-
-    return counts.groupBy(item).applyInPandas(hide, f"{item} {kind}, visibility double, hidden array<string>")
+    def hide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, shown, hidden = [], [], []
+            for at, parts in enumerate(batch.column("parts").to_pylist()):
+                total, reach = sum(p["n"] for p in parts), {0: ()}
+                for p in parts:
+                    for s, names in list(reach.items()):
+                        reach.setdefault(s + p["n"], (*names, p["f"]))
+                sums = [s for s in reach if 0 < s < total]
+                for v in visibilities if sums else ():
+                    place.append(at)
+                    shown.append(v)
+                    hidden.append(sorted(reach[min(sums, key=lambda s: (abs(s - total * (1 - v)), s))]))
+            yield pa.RecordBatch.from_arrays([batch.column(item).take(pa.array(place, pa.int64())), pa.array(shown, pa.float64()), pa.array(hidden, pa.list_(pa.string()))], [item, "visibility", "hidden"])
+
+    return rows.mapInArrow(hide, f"{item} {kind}, visibility double, hidden array<string>")
 
 
 def leave_one_family_out(cells: DataFrame, item: str, family: str) -> DataFrame:

@@ -72,13 +72,14 @@ def token_block_jaccard(spark, sf):
     return resolve.token_block_candidates(n, n, "id", "w").withColumn("similarity", F.round("similarity", 9))
 
 
-@query("""WITH i AS (SELECT p_brand AS target, lower(p_name) AS alias FROM part WHERE p_partkey % 37 = 0 UNION SELECT p_brand, lower(p_type) FROM part WHERE p_partkey = 5),
-q AS (SELECT DISTINCT p_name AS item FROM part), h AS (SELECT item, count(DISTINCT target) AS n, min(target) AS t FROM q JOIN i ON lower(item) = alias GROUP BY 1)
+@query("""WITH i AS (SELECT DISTINCT p_brand AS target, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS alias FROM part), q AS (SELECT p_name AS item FROM part UNION SELECT p_type FROM part),
+h AS (SELECT item, count(DISTINCT target) AS n, min(target) AS t FROM q JOIN i ON trim(regexp_replace(lower(item), '[^a-z0-9]+', ' ', 'g')) = alias GROUP BY 1)
 SELECT item, CASE WHEN n = 1 THEN 'mapped' WHEN n > 1 THEN 'ambiguous' ELSE 'unmapped' END AS status, CASE WHEN n = 1 THEN t END AS target FROM q LEFT JOIN h USING (item)""")
 def alias_mapping(spark, sf):
+    """All names and types of parts against an index of all names: brands that a name alone has are its target."""
     part = table(spark, sf, "part")
-    index = part.where("p_partkey % 37 = 0").select(F.col("p_brand").alias("target"), text.ascii_label_key(F.col("p_name")).alias("key")).union(part.where("p_partkey = 5").select("p_brand", text.ascii_label_key(F.col("p_type"))))
-    items = part.select(F.col("p_name").alias("item"), text.ascii_label_key(F.col("p_name")).alias("alias")).distinct()
+    index = part.select(F.col("p_brand").alias("target"), text.ascii_label_key(F.col("p_name")).alias("key")).distinct()
+    items = part.select(F.col("p_name").alias("item")).union(part.select("p_type")).distinct().withColumn("alias", text.ascii_label_key(F.col("item")))
     return resolve.by_alias(items, "item", "alias", index, "target", "key")
 
 
@@ -186,5 +187,5 @@ def food_text(spark, sf):
 
 @query()
 def unicode_keys(spark, sf):
-    words = table(spark, sf, "documents").select(F.explode(F.split(F.substring_index("text", "\n", 1), " ")).alias("word")).distinct()
+    words = table(spark, sf, "documents").select(F.explode(F.split("text", r"\s+")).alias("word")).distinct()
     return words.select("word", text.label_key(F.col("word")).alias("label_key"), text.name_key(F.col("word")).alias("name_key"))

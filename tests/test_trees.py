@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from sievework.operators import trees
+from sievework.operators import evaluate, trees
 
 
 def plain(x, y, least, depth, node=1):
@@ -63,3 +63,17 @@ def test_features_leave_masked_cells_out(spark):
     masked = spark.createDataFrame([(1, "a")], "i int, x string")
     got = {r["i"]: r["features"] for r in trees.assembled(items, "i", ["s"], cells, "x", "v", ["a", "b"], masked, "e").collect()}
     assert got == {1: [0, 0, 9, 0, 2, 0, 1], 2: [0, 0, 8, 3, 0, 1, 0], 3: [2, 3, 0, 0, 0, 0, 0]}
+
+
+def test_clusters_are_drawn_as_wholes(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(c), "ab"[int(c + i) % 2], float(rng.random())) for c in range(40) for i in range(3)]
+    df = spark.createDataFrame(rows, "c long, axis string, e double").repartition(3)
+    keys = {r["c"]: r["k"] for r in df.select("c", F.xxhash64(F.lit("b"), F.col("c")).alias("k")).distinct().collect()}
+    w = {c: evaluate._weights(np.array([k]), 50)[0] for c, k in keys.items()}
+    means = []
+    for rep in range(50):
+        own = [(sum(w[c][rep] * e for c, a, e in rows if a == axis), sum(w[c][rep] for c, a, _ in rows if a == axis)) for axis in "ab"]
+        means.append(np.mean([s / n for s, n in own if n]))
+    got = evaluate.cluster_interval(df, "c", "axis", "e", 50).first()
+    assert np.allclose([got["low"], got["high"]], np.percentile(means, [2.5, 97.5])) and abs(np.mean(list(w.values())) - 1) < 0.1
