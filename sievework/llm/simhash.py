@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buckets, component_ids, grouped, hook, materialize, mixed, pieces, tiled
+from .shared import buckets, component_ids, dealt, discard, grouped, hook, materialize, mixed, pieces, tiled, tiles
 
 #: Bits of shingles unpacked at once, in 64-bit words.
 _BLOCK = 1 << 16
@@ -39,23 +39,52 @@ class Scheme:
 
 #: All pairs within 3 of 64 bits.
 EXACT = Scheme()
-#: Shingles of five words at a similarity of 0.8: such texts' shingle counts have a cosine of 0.89, an angle of 27 degrees, and
-#: differ in 15.2 % of bits, 78 of 512 on average; 95 is two standard deviations more. Of 32 blocks of 16 bits they share one
-#: with a probability of 91 %, at a similarity of 0.85 of 98 %, at 0.9 of 99.9 %.
-SIMILAR = Scheme(k=5, words=8, distance=95, blocks=32, agree=1)
 
 
-def _fingerprint(text: bytes, k: int, words: int, digest) -> bytes:
+@dataclass(frozen=True)
+class Similar:
+    """How texts are found whose sets of k-word shingles have a Jaccard similarity of `least` or more.
+
+    Fingerprints of 64 * words bits over a text's distinct shingles. At a similarity of 0.8 their cosine is 0.89, an angle of 27
+    degrees, and 78 of 512 bits differ on average, with a deviation of 8. Those within `distance` bits, four deviations more,
+    are candidates, compared by their sets; those within `certain` bits, 3.6 deviations less, are links as they are. They meet
+    in tables whose keys are two bytes: each byte and the next, and `further` ones of bytes of different words. Of 48 they share
+    one with a probability of 97 % at 0.8 and 99.8 % at 0.85. Sets of over `kept` shingles are compared by their least hashes
+    up to the largest that both have, which are a sample of the union by hash, of `kept` or more: a deviation of 0.4 % at most.
+    """
+
+    least: float = 0.8
+    k: int = 5
+    words: int = 8
+    distance: int = 110
+    certain: int = 48
+    further: int = 16
+    kept: int = 8192
+
+    def tables(self) -> list[tuple[int, int]]:
+        n = 8 * self.words
+        return [(i, i + 1) for i in range(0, n, 2)] + [(2 * i, (2 * i + n // 2 + 1) % n) for i in range(self.further)]
+
+
+SIMILAR = Similar()
+
+
+def _shingles(text: bytes, k: int, digest) -> np.ndarray:
+    """The hash of each k-word shingle; of the whole sequence if it is shorter."""
     tokens = text.lower().split()
     if not tokens:
-        return bytes(8 * words)
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(k, len(tokens))
     n = len(tokens) - k + 1
     spans = map(slice, starts[:n].tolist(), ends[k - 1 :].tolist())
-    hashes = np.fromiter(map(digest, map(joined.__getitem__, spans)), "<u8", n)
+    return np.fromiter(map(digest, map(joined.__getitem__, spans)), "<u8", n)
+
+
+def _fingerprint(hashes: np.ndarray, words: int) -> bytes:
+    n = len(hashes)
     ones = np.zeros(64 * words, np.int64)
     for lo in range(0, n, _BLOCK // words):
         part = hashes[lo : lo + _BLOCK // words]
@@ -76,7 +105,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         digest = partial(xxhash.xxh64_intdigest, seed=42)
         for batch in pieces(batches, "_text"):
             texts = pc.fill_null(batch.column("_text"), "").cast(pa.binary()).to_pylist()
-            flat = np.frombuffer(b"".join(_fingerprint(t, scheme.k, scheme.words, digest) for t in texts), "<i8")
+            flat = np.frombuffer(b"".join(_fingerprint(_shingles(t, scheme.k, digest), scheme.words) for t in texts), "<i8")
             lists = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * scheme.words, pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), lists], ["_id", "fp"])
 
@@ -159,10 +188,10 @@ def links(reps: DataFrame, scheme: Scheme = EXACT, tile: int = 20_000, small: in
 
 
 def _classes(fps: DataFrame, id_of: Column, scheme: Scheme) -> DataFrame:
-    """fp, component_id, label for each distinct fingerprint: the smallest id of its component, and a number of the component."""
+    """fp, component_id for each distinct fingerprint: the smallest id of its component."""
     reps = fps.groupBy("fp").agg(F.min(id_of).alias("real")).withColumn("node", F.monotonically_increasing_id())
     reps = materialize(reps, "classes")
-    return reps.join(component_ids(reps, links(reps, scheme)), "node").select("fp", "component_id", "label")
+    return reps.join(component_ids(reps, links(reps, scheme)), "node").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = EXACT) -> DataFrame:
@@ -178,15 +207,176 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(_classes(fps, F.col("_i"), scheme), "fp").select(F.col("_i").alias(id_col), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = SIMILAR) -> DataFrame:
-    """docs' rows, all columns whatever their names: of each component of near-duplicates the document of smallest id (null ids
-    last, then by a hash of the text) stays. Rows equal in id and text are one document, of which any row stays. Blank and null
-    texts are one component. Texts move once, to meet the keys that stay."""
+def _sets(rows: DataFrame, scheme: Similar) -> DataFrame:
+    """key, fp, grams: the fingerprint of a text's distinct shingles, and the least 32-bit hashes of these in order."""
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = partial(xxhash.xxh64_intdigest, seed=42)
+        for batch in pieces(batches, "text"):
+            prints, grams = [], []
+            for text in pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist():
+                hashes = np.unique(_shingles(text, scheme.k, digest))
+                prints.append(_fingerprint(hashes, scheme.words))
+                grams.append(np.unique(hashes.astype(np.uint32).view(np.int32))[: scheme.kept])
+            flat = pa.array(np.frombuffer(b"".join(prints), "<i8"))
+            fps = pa.ListArray.from_arrays(np.arange(len(prints) + 1, dtype=np.int32) * scheme.words, flat)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), fps, pa.array(grams, pa.list_(pa.int32()))], ["key", "fp", "grams"])
+
+    return rows.select("key", "text").mapInArrow(run, f"key {kind}, fp array<long>, grams array<int>")
+
+
+def _words(table: pa.Table) -> np.ndarray:
+    return np.ascontiguousarray(table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(table), -1))
+
+
+def _first_met(fp: np.ndarray, a: np.ndarray, b: np.ndarray, tables: list[tuple[int, int]]) -> np.ndarray:
+    """Which of the pairs share no key of these (earlier) tables."""
+    if not tables or not len(a):
+        return np.ones(len(a), bool)
+    parts = fp.view(np.uint8)
+    same = parts[a] == parts[b]
+    left, right = map(list, zip(*tables, strict=True))
+    return ~(same[:, left] & same[:, right]).any(axis=1)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], scheme: Similar, small: int) -> Iterator[pa.RecordBatch]:
+    """Certain links (other, at), which join what all such links of a bucket join; and the rows (key, lo, hi, own) that are
+    within the distance of a row there that certain links don't join with them and that no earlier table holds with them."""
+    tables = scheme.tables()
+    for table in grouped(batches, "key"):
+        fp, key = _words(table), table.column("key").to_numpy()
+        first, size, sides = buckets(table)
+        some = size <= small
+        some &= np.array([left is right for left, right in sides], bool)
+        member, bucket = np.repeat(some, size), np.repeat(np.arange(len(size)), size)
+        root, near, loose = np.arange(len(fp)), np.zeros(len(fp), bool), []
+
+        def flag(x: np.ndarray, y: np.ndarray) -> None:
+            """Rows of pairs in different groups that meet here first; pairs are of one table each run of keys."""
+            apart = root[x] != root[y]  # noqa: B023
+            x, y = x[apart], y[apart]
+            number = key[x] >> 48  # noqa: B023
+            for t in np.unique(number).tolist():
+                i, j = x[number == t], y[number == t]
+                new = _first_met(fp, i, j, tables[:t])  # noqa: B023
+                near[i[new]] = near[j[new]] = True  # noqa: B023
+
+        for o in range(1, int(size[some].max(initial=1))):
+            i = np.flatnonzero(member[:-o] & (bucket[o:] == bucket[:-o]))
+            far = np.bitwise_count(fp[i] ^ fp[i + o]).sum(axis=1)
+            hook(root, i[far <= scheme.certain], i[far <= scheme.certain] + o)
+            i = i[(far > scheme.certain) & (far <= scheme.distance)]
+            loose.append((i, i + o))
+        big = np.flatnonzero(~some)
+        for b in big:
+            left, right = (first[b] + side for side in sides[b])
+            x, y = _linked(fp, [left] if sides[b][0] is sides[b][1] else [left, right], scheme.certain)
+            hook(root, x, y)
+        for x, y in loose:
+            flag(x, y)
+        for b in big:
+            left, right = (first[b] + side for side in sides[b])
+            groups, counts = np.unique(root[right], return_counts=True)
+            if not len(left) or not len(right) or (len(groups) == 1 and (root[left] == groups[0]).all()):
+                continue
+            # The largest group needs no look at itself.
+            main = groups[counts.argmax()]
+            for one, all_of in ((left[root[left] != main], right), *(() if left is right else ((left[root[left] == main], right[root[right] != main]),))):
+                for at in one.tolist():
+                    others = all_of[np.bitwise_count(fp[all_of] ^ fp[at]).sum(axis=1) <= scheme.distance]
+                    flag(np.full(len(others), at), others)
+        own = np.flatnonzero(root != np.arange(len(root)))
+        node = table.column("node").to_numpy()
+        at, n = np.flatnonzero(near), len(own)
+        # Links, then rows; each has nulls where the other has its columns.
+        columns = [pa.concat_arrays([pa.nulls(n, kind), pa.array(table.column(c).to_numpy()[at], kind)]) for c, kind in _PLACE]
+        nodes = pa.array(np.concatenate((node[own], node[at])))
+        yield pa.RecordBatch.from_arrays([*columns, nodes, pa.concat_arrays([pa.array(node[root[own]]), pa.nulls(len(at), pa.int64())])], [*(c for c, _ in _PLACE), "node", "at"])
+
+
+_PLACE = [("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("own", pa.int32())]
+
+
+def _similar(grams: list[np.ndarray], at: int, others: np.ndarray, scheme: Similar) -> np.ndarray:
+    """Which of the others' sets are similar to that of `at`."""
+    own, out = grams[at], np.zeros(len(others), bool)
+    for n, o in enumerate(others.tolist()):
+        a, b = own, grams[o]
+        ends = [x[-1] for x in (a, b) if len(x) == scheme.kept]
+        if ends:
+            a, b = (x[: np.searchsorted(x, min(ends), "right")] for x in (a, b))
+        if min(len(a), len(b)) >= scheme.least * max(len(a), len(b)):
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out[n] = both >= scheme.least * (len(a) + len(b) - both) - 1e-9
+    return out
+
+
+def _verified(batches: Iterator[pa.RecordBatch], scheme: Similar) -> Iterator[pa.RecordBatch]:
+    """Links between the rows of a bucket that are similar by their sets, enough to join what all of them join."""
+    tables = scheme.tables()
+    for table, left, right in tiles(batches, 1 << 12):
+        fp, node = _words(table), table.column("node").to_numpy()
+        label = table.column("label").to_numpy()
+        column = table.column("grams").combine_chunks()
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        grams = [flat[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False)]
+        number = int(table.column("key")[0].as_py()) >> 48
+        root = np.unique(label, return_index=True, return_inverse=True)
+        root = root[1][root[2]].astype(np.int64)
+        start = root.copy()
+        for at in left.tolist():
+            rest = right[right > at] if left is right else right
+            rest = rest[root[rest] != root[at]]
+            rest = rest[np.bitwise_count(fp[rest] ^ fp[at]).sum(axis=1) <= scheme.distance]
+            rest = rest[_first_met(fp, np.full(len(rest), at), rest, tables[:number])]
+            got = rest[_similar(grams, at, rest, scheme)]
+            hook(root, np.full(len(got), at), got)
+        own = np.flatnonzero(root != start)
+        if len(own):
+            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], ["a", "b"])
+
+
+def similar_labels(fps: DataFrame, scheme: Similar = SIMILAR, tile: int = 4000, small: int = 32) -> DataFrame:
+    """fp, label for each distinct fingerprint of fps (key, fp, grams): a number of what links of similar sets connect.
+
+    Equal fingerprints are one class, whose set is that of its least key. A bucket of over `tile` classes is dealt to pairs of
+    tiles. Sets are fetched for classes alone that a bucket brings near one which certain links don't join them with.
+    """
+    reps = fps.groupBy("fp").agg(F.min("key").alias("key")).withColumn("node", F.monotonically_increasing_id())
+    reps = materialize(reps, "classes")
+    byte = lambda b: f"(shiftrightunsigned(fp[{b // 8}], {8 * (b % 8)}) & 255L)"
+    keys = [F.expr(f"{t}L * {1 << 48}L + {byte(a)} * 256L + {byte(b)}") for t, (a, b) in enumerate(scheme.tables())]
+    spread = reps.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
+    met = tiled(spread, tile).mapInArrow(lambda b: _candidates(b, scheme, small), "key long, lo int, hi int, own int, node long, at long")
+    met = materialize(met, "met", few_files=True)
+    certain = met.where("at is not null").select(F.col("node").alias("a"), F.col("at").alias("b")).distinct()
+    labels = materialize(component_ids(reps.select("node", F.lit(0).alias("real")), certain).select("node", "label"), "labels")
+    loose = met.where("at is null").drop("at").join(labels, "node")
+    place = ["key", "lo", "hi"]
+    mixed_places = loose.groupBy(*place).agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x < _y").select(*place)
+    waiting = loose.join(mixed_places, place).join(reps.select("node", "fp", F.col("key").alias("of")), "node")
+    sets = fps.select(F.col("key").alias("of"), F.col("fp").alias("_fp"), "grams")
+    sets = sets.join(waiting.select("of").distinct(), "of", "left_semi").dropDuplicates(["of"]).select("of", "grams")
+    fetched = waiting.join(sets, "of").select(*place, "own", "node", "label", "fp", "grams")
+    found = materialize(dealt(fetched).mapInArrow(lambda b: _verified(b, scheme), "a long, b long"), "similar", few_files=True)
+    out = materialize(component_ids(reps.select("node", F.lit(0).alias("real")), certain.union(found)).select("node", "label"), "groups")
+    discard(labels)
+    discard(found)
+    discard(met)
+    return reps.join(out, "node").select("fp", "label")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Similar = SIMILAR) -> DataFrame:
+    """docs' rows, all columns whatever their names: of each group that links between similar texts (sets of five-word shingles
+    with a Jaccard similarity of 0.8 or more) connect, the document of smallest id (null ids last, then by a hash of the text)
+    stays. Rows equal in id and text are one document, of which any row stays. Blank and null texts are one group. Texts move
+    once, to meet the keys that stay. An empty table gives an empty one."""
     key = [F.xxhash64(F.lit(n), F.col(id_col).isNull(), id_col, text_col).alias(x) for n, x in ((1, "a"), (2, "b"))]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.struct(F.col(id_col).cast("long").alias("id"), *key).alias("key"))
-    fps = materialize(fingerprints(rows.select("key", F.col(f"doc.`{text_col}`").alias("text")), "key", "text", scheme), "fingerprints")
-    known = fps.join(_classes(fps, F.col("key.id"), scheme), "fp")
-    best = known.groupBy("label").agg(F.min(F.struct(F.col("key.id").isNull().alias("none"), "key.id", "key.a", "key.b")).alias("m"))
+    number = F.col(id_col).cast("long")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.struct(number.isNull().alias("none"), number.alias("id"), *key).alias("key"))
+    fps = materialize(_sets(rows.select("key", F.col(f"doc.`{text_col}`").alias("text")), scheme), "fingerprints")
+    best = fps.select("key", "fp").join(similar_labels(fps, scheme), "fp").groupBy("label").agg(F.min("key").alias("m"))
     stay = best.select(F.col("m.a").alias("_a"), F.col("m.b").alias("_b"))
     out = rows.withColumn("_a", F.col("key.a")).withColumn("_b", F.col("key.b")).join(stay, ["_a", "_b"]).dropDuplicates(["_a", "_b"])
     return out.select("doc.*")
