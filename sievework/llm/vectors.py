@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .shared import buckets, component_ids, dealt, discard, grouped, hook, materialize, tiled, tiles
 
-#: Bits of a table's key, and coordinates that a sketch keeps, in steps of 1 / _STEPS.
-_BITS, _KEPT, _STEPS = 16, 8, 63
+#: Coordinates that a sketch keeps, in steps of 1 / _STEPS.
+_KEPT, _STEPS = 8, 63
 #: Vectors compared with others at once.
 _BLOCK = 1024
 
@@ -68,6 +68,53 @@ def learn(sample: np.ndarray, rotations: int, rounds: int = 30, seed: int = 3) -
     return Quantiser(mean, axes, turns)
 
 
+def _made_pairs(units: np.ndarray, least: float, most: int = 1000, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Vectors of the sample and made ones whose cosine with them is `least`: moved at random, along differences of the sample's
+    vectors, and along both such that they are as far from its mean as before, which is where fewest bits agree."""
+    rng = np.random.default_rng(seed)
+    u = units[rng.permutation(len(units))[:most]]
+    mean, s = units.mean(axis=0), (1 - least**2) ** 0.5
+    out = []
+    for move in (rng.normal(size=u.shape), units[rng.integers(len(units), size=len(u))] - units[rng.integers(len(units), size=len(u))]):
+        for stay in (False, True):
+            d = move - (move * u).sum(axis=1, keepdims=True) * u
+            fine = np.ones(len(u), bool)
+            if stay:
+                m = mean - (u @ mean)[:, None] * u
+                length = np.linalg.norm(m, axis=1)
+                share = (u @ mean) * (1 - least) / np.maximum(s * length, 1e-300)
+                fine = (np.abs(share) < 1) & (length > 1e-9)
+                m = m / np.maximum(length, 1e-300)[:, None]
+                d = d - (d * m).sum(axis=1, keepdims=True) * m
+            size = np.linalg.norm(d, axis=1)
+            fine &= size > 1e-9
+            d = d / np.maximum(size, 1e-300)[:, None]
+            if stay:
+                d = np.clip(share, -1, 1)[:, None] * m + np.sqrt(np.maximum(0, 1 - share**2))[:, None] * d
+            if fine.any():
+                out.append((u[fine], least * u[fine] + s * d[fine]))
+    return out
+
+
+def _fields(codes: np.ndarray, bits: int) -> np.ndarray:
+    """The keys of each code's tables."""
+    codes = np.ascontiguousarray(codes)
+    return codes.view(np.uint16 if bits == 16 else np.uint8).reshape(len(codes), -1)
+
+
+def fitted(units: np.ndarray, least: float, rotations: int, reach: float) -> tuple[Quantiser, int]:
+    """A quantiser and the bits of its tables' keys: the first of `rotations`, twice and four times as many with keys of 16 bits,
+    and `rotations` with keys of 8, at which at least `reach` of each kind of made pairs at the threshold meet. 0 bits if none
+    does: then one table holds all, and whatever is near is found."""
+    pairs = _made_pairs(units, least)
+    for turns, bits in ((rotations, 16), (2 * rotations, 16), (4 * rotations, 16), (rotations, 8)):
+        quantiser = learn(units, turns)
+        met = [(_fields(quantiser.codes(a), bits) == _fields(quantiser.codes(b), bits)).any(axis=1).mean() for a, b in pairs]
+        if min(met, default=1.0) >= reach:
+            return quantiser, bits
+    return learn(units, 1, rounds=0), 0
+
+
 def _valid(v: Column) -> Column:
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return F.coalesce(fine, F.lit(False))
@@ -106,12 +153,12 @@ def _near_sketch(batches: Iterator[pa.RecordBatch], most: float, small: int = 32
             yield from table.select(names).filter(pa.array(near)).combine_chunks().to_batches()
 
 
-def _near(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _near(batches: Iterator[pa.RecordBatch], least: float, bits: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """node, links, root of each vector that a bucket links: how many vectors it finds there that no earlier table's bucket holds
     too, and one that it is connected with."""
     for table, left, right in tiles(batches, 1 << 13):
         v, codes = unit(_matrix(table.column("_v"))), _matrix(table.column("codes"))
-        keys = np.ascontiguousarray(codes).view(np.uint16).reshape(len(v), -1)
+        keys = _fields(codes, bits[v.shape[1]])
         node, copies = (table.column(c).to_numpy() for c in ("node", "copies"))
         earlier = (int(table.column("key")[0].as_py()) >> 32) & 0xFFFF
         links, root = np.zeros(len(v), np.int64), np.arange(len(v))
@@ -133,7 +180,7 @@ def _near(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(node[got]), pa.array(links[got]), pa.array(node[root[got]])], ["node", "links", "root"])
 
 
-def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, rotations: int = 6, tile: int = 20_000, sample: int = 4096, most_lengths: int = 64) -> DataFrame:
+def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, rotations: int = 6, reach: float = 0.95, tile: int = 20_000, sample: int = 4096, most_lengths: int = 64) -> DataFrame:
     """id_col (long), n_links, component_id, kept for every row.
 
     Rows whose vector is null, zero, or has null or non-finite components link with nothing; vectors of different lengths don't
@@ -142,7 +189,9 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     An empty table gives an empty result; further columns are not read.
 
     For each length, codes are fitted on about `sample` vectors of least hash, and every vector is indexed: two meet if 16 bits
-    that stand together in a code are equal, in 4 tables for each rotation. Tables are shuffled without vectors, with a sketch
+    that stand together in a code are equal, in 4 tables for each rotation. Where vectors are in a narrow cone, pairs at the
+    threshold differ in many bits: then there are more rotations, or keys of 8 bits in 8 tables for each, as many as `reach` of
+    pairs made at the threshold meet in; and if none of that reaches it, all vectors are compared, tile by tile. Tables are shuffled without vectors, with a sketch
     of 8 bytes, whose distance is a bound of the true one, so that what it leaves out is never a link. Only vectors with a
     near sketch in a bucket are fetched there, and their cosines taken in double precision. A bucket returns a row for each
     linked vector (how many it found first, and one that it is connected with), not the pairs; one of over `tile` vectors is
@@ -164,7 +213,8 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         share = F.when(F.size("_v") == n, min(1 << 20, 4 * sample * (1 << 20) // m + 1)).otherwise(share)
     some = good.withColumn("_h", F.xxhash64("_a", "_id")).where(F.pmod("_h", F.lit(1 << 20)) < share)
     drawn = some.withColumn("_r", F.row_number().over(Window.partitionBy(F.size("_v")).orderBy("_h", "_a"))).where(F.col("_r") <= sample).select("_v").toArrow()["_v"].to_pylist()
-    quantisers = {n: learn(unit(np.array([x for x in drawn if len(x) == n])), rotations) for n in lengths}
+    fits = {n: fitted(unit(np.array([x for x in drawn if len(x) == n])), least, rotations, reach) for n in lengths}
+    quantisers, bits = {n: q for n, (q, _) in fits.items()}, {n: b for n, (_, b) in fits.items()}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,15 +227,18 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
     merged = good.groupBy("_a", "_b").agg(F.min("_id").alias("real"), F.count(F.lit(1)).alias("copies"), F.first("_v").alias("_v")).withColumn("node", F.monotonically_increasing_id())
     classes = materialize(merged.mapInArrow(encode, f"_a long, _b long, real long, copies long, _v array<{kind}>, node long, codes array<long>, sketch long"), "vectors")
-    per, length = 64 // _BITS, F.size("_v").cast("long") * F.lit(1 << 48)
-    keys = [F.expr(f"{t}L * {1 << 32}L + (shiftrightunsigned(codes[{t // per}], {_BITS * (t % per)}) & {(1 << _BITS) - 1}L)") + length for t in range(per * rotations)]
-    spread = classes.select("node", "sketch", F.explode(F.array(*keys)).alias("key"))
+    length, keys = F.size("_v").cast("long") * F.lit(1 << 48), F.array(F.lit(0).cast("long"))
+    for width, turns in {(b, len(q.turns)) for q, b in fits.values() if b}:
+        per = 64 // width
+        own = [F.expr(f"{t}L * {1 << 32}L + (shiftrightunsigned(codes[{t // per}], {width * (t % per)}) & {(1 << width) - 1}L)") for t in range(per * turns)]
+        keys = F.when(F.size("_v").isin([n for n, (q, b) in fits.items() if (b, len(q.turns)) == (width, turns)]), F.array(*own)).otherwise(keys)
+    spread = classes.select("node", "sketch", length.alias("_l"), F.explode(keys).alias("key")).select("node", "sketch", (F.col("key") + F.col("_l")).alias("key"))
     # The rounding of two sketches adds at most sqrt(8) steps.
     bound = (2 - 2 * least) ** 0.5 + _KEPT**0.5 / _STEPS + 1e-9
     flagged = tiled(spread, tile).mapInArrow(lambda b: _near_sketch(b, bound), "key long, lo int, hi int, own int, node long")
     flagged = materialize(flagged, "flagged", few_files=True)
     fetched = flagged.join(classes.select("node", "copies", "codes", "_v"), "node").select("key", "lo", "hi", "own", "node", "copies", "codes", "_v")
-    found = materialize(dealt(fetched).mapInArrow(lambda b: _near(b, least), "node long, links long, root long"), "links", few_files=True)
+    found = materialize(dealt(fetched).mapInArrow(lambda b: _near(b, least, bits), "node long, links long, root long"), "links", few_files=True)
     discard(flagged)
     totals = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = component_ids(classes, found.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -169,10 +169,10 @@ def test_vectors_of_null_ids_other_lengths_and_repeated_ids(spark):
         vectors.linked(df, most_lengths=2)
 
 
-@pytest.mark.parametrize("common", [0.0, 3.0])
+@pytest.mark.parametrize("common", [0.0, 1.0, 1.83, 3.0])
 def test_recall_of_pairs_at_the_threshold(spark, common):
-    """Pairs of a cosine just over 0.95, in general place and in a narrow cone about a large common mean, where unrelated vectors
-    are similar too and few of the pairs share bits: what is found there is right, but far from all (the README has figures)."""
+    """Pairs of a cosine just over 0.95, in general place and in cones about a common mean, where unrelated vectors have cosines
+    of about 0.5, 0.77 and 0.9 and the pairs share fewer bits."""
     rng = np.random.default_rng(8)
     mean = rng.normal(size=64)
     mean *= common / np.linalg.norm(mean)
@@ -187,7 +187,7 @@ def test_recall_of_pairs_at_the_threshold(spark, common):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {r["vec_id"]: r["n_links"] for r in vectors.linked(df).collect()}
     assert all(got[i] <= near[i].sum() for i in range(len(x)))
-    assert sum(got.values()) >= (0.97 if not common else 0.1) * near.sum()
+    assert sum(got.values()) >= 0.95 * near.sum()
 
 
 def test_an_index_grown_in_batches_and_opened_again(spark):
