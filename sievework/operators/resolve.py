@@ -117,13 +117,80 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def nearest_both_ways(sources: DataFrame, targets: DataFrame, id_col: str, vector: str, of_source: int, of_target: int) -> DataFrame:
+def _at_least(own: np.ndarray, k: int) -> np.ndarray:
+    """For each row a bound that its k best reach: the k-th of the maxima of groups of its columns; -inf where there are fewer than k."""
+    n, columns = own.shape
+    if columns < k:
+        return np.full(n, -np.inf)
+    wide = max(1, columns // max(4 * k, 64))
+    tops = own[:, : columns // wide * wide].reshape(n, wide, -1).max(axis=1)
+    return np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k]
+
+
+def _best_of_pairs(left: pa.Table, right: pa.Table, of_left: int, of_right: int, tile: int = 2500) -> pa.Table:
+    """query, neighbour, similarity, own: for each row of left its of_left most similar rows of right (own), and for each row of
+    right its of_right ones of left, ties by id; no row with itself. One product of matrices serves both."""
+    parts = []
+    (a, ids_a), (b, ids_b) = (_by_id(t) for t in (left, right))
+    kept: dict[bool, list[tuple[np.ndarray, ...]]] = {True: [], False: []}
+    least = {True: np.full(len(a), -np.inf), False: np.full(len(b), -np.inf)}
+    for i in range(0, len(a), tile):
+        for j in range(0, len(b), tile):
+            own = a[i : i + tile] @ b[j : j + tile].T
+            if np.isin(ids_a[i : i + tile], ids_b[j : j + tile]).any():
+                own[ids_a[i : i + tile, None] == ids_b[j : j + tile]] = -np.inf
+            for mine, product, at, other, k in ((True, own, i, j, of_left), (False, np.ascontiguousarray(own.T), j, i, of_right)):
+                bound = least[mine][at : at + tile]
+                np.maximum(bound, _at_least(product, k), out=bound)
+                # What rounds to the same similarity as the k-th best is a tie.
+                row, col = np.nonzero((product >= bound[:, None] - 2e-9) & (product > -np.inf))
+                kept[mine].append((row + at, col + other, product[row, col]))
+    for mine, ids, others, k in ((True, ids_a, ids_b, of_left), (False, ids_b, ids_a, of_right)):
+        row, col, score = (np.concatenate(x) for x in zip(*kept[mine], strict=True)) if kept[mine] else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        some = score >= least[mine][row] - 2e-9
+        row, col, score = row[some], col[some], np.round(score[some], 9)
+        # Both sides are in order of ids.
+        order = np.lexsort((col, -score, row))
+        row, col, score = row[order], col[order], score[order]
+        fine = np.arange(len(row)) - np.searchsorted(row, row) < k
+        parts.append(pa.table({"query": ids[row[fine]], "neighbour": others[col[fine]], "similarity": score[fine], "own": np.full(int(fine.sum()), mine)}))
+    return pa.concat_tables(parts)
+
+
+def _by_id(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors of length one, ids) in order of ids; vectors that have no direction are left out."""
+    if not len(table):
+        return np.empty((0, 0)), np.empty(0, np.int64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        v = _unit(table["v"])
+    ids = table["id"].to_numpy()
+    fine = np.flatnonzero(np.isfinite(v).all(axis=1))
+    fine = fine[np.argsort(ids[fine], kind="stable")]
+    return v[fine], ids[fine]
+
+
+def nearest_both_ways(sources: DataFrame, targets: DataFrame, id_col: str, vector: str, of_source: int, of_target: int, block: int = 10_000) -> DataFrame:
     """source, target, similarity, from_source, from_target: each source's of_source best targets and each target's of_target best
-    sources; a source that is nearer to others may still be the best that a target has."""
-    own = nearest(sources, targets, id_col, vector, of_source).select(F.col("query").alias("source"), F.col("neighbour").alias("target"), "similarity", F.lit(True).alias("s"))
-    back = nearest(targets, sources, id_col, vector, of_target).select(F.col("neighbour").alias("source"), F.col("query").alias("target"), "similarity", F.lit(False).alias("s"))
-    both = own.unionByName(back).groupBy("source", "target").agg(F.max("similarity").alias("similarity"), F.max("s").alias("from_source"), F.max(~F.col("s")).alias("from_target"))
-    return both
+    sources; a source that is nearer to others may still be the best that a target has. Ids are whole numbers, and vectors of one
+    length; those that are null, zero or not finite are left out.
+
+    All pairs are compared: blocked as in nearest(), but each pair once for both directions.
+    """
+    sides = [df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")) for df in (sources, targets)]
+    n_s, n_t = (max(1, -(-df.count() // block)) for df in sides)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = sides[0].withColumn("s", F.pmod(F.xxhash64("id"), F.lit(n_s))).withColumn("t", every(n_t))
+    right = sides[1].withColumn("t", F.pmod(F.xxhash64("id"), F.lit(n_t))).withColumn("s", every(n_s))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        return _best_of_pairs(a, b, of_source, of_target)
+
+    met = left.groupBy("s", "t").cogroup(right.groupBy("s", "t")).applyInArrow(best, "query long, neighbour long, similarity double, own boolean")
+    rank = F.row_number().over(Window.partitionBy("own", "query").orderBy(F.desc("similarity"), "neighbour"))
+    kept = met.withColumn("_r", rank).where(F.col("_r") <= F.when(F.col("own"), of_source).otherwise(of_target))
+    source, target = (F.when(F.col("own"), F.col(x)).otherwise(F.col(y)) for x, y in (("query", "neighbour"), ("neighbour", "query")))
+    both = kept.groupBy(source.alias("source"), target.alias("target"))
+    return both.agg(F.max("similarity").alias("similarity"), F.max("own").alias("from_source"), F.max(~F.col("own")).alias("from_target"))
 
 
 def name_grams(key: Column, low: int = 3, high: int = 5) -> Column:

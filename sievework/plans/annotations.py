@@ -152,7 +152,7 @@ def repaired_support(spark, sf):
     return panels.repaired_support(support, "block", "axis_id", [("seen", int(most[0] * 0.6)), ("high", int(most[1] * 0.6))], assignment)
 
 
-_BOTH = """WITH v AS (SELECT a.vec_id AS source, b.vec_id AS target, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE b.vec_id % 100 = 0),
+_BOTH = """WITH v AS (SELECT a.vec_id AS source, b.vec_id AS target, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY similarity DESC, target) AS x, row_number() OVER (PARTITION BY target ORDER BY similarity DESC, source) AS y FROM v)
 SELECT source, target, similarity, x <= 3 AS from_source, y <= 20 AS from_target FROM r WHERE x <= 3 OR y <= 20"""
 
@@ -160,7 +160,7 @@ SELECT source, target, similarity, x <= 3 AS from_source, y <= 20 AS from_target
 @query(_BOTH)
 def bidirectional_candidates(spark, sf):
     e = table(spark, sf, "embeddings")
-    return resolve.nearest_both_ways(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 3, 20)
+    return resolve.nearest_both_ways(e, e, "vec_id", "embedding", 3, 20)
 
 
 @query(m("+ f AS (SELECT food_id, row_number() OVER (ORDER BY food_id) - 1 AS row FROM (SELECT DISTINCT food_id FROM m)), a AS (SELECT axis_id, row_number() OVER (ORDER BY axis_id) - 1 AS col FROM (SELECT DISTINCT axis_id FROM m)) SELECT row, col, median(value) AS value FROM m JOIN f USING (food_id) JOIN a USING (axis_id) GROUP BY ALL"))

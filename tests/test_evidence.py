@@ -1,10 +1,14 @@
 """Admission, bibliography, chemistry of labels, links to validation and model tables, case by case."""
 
 import itertools
+import math
+import operator
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from sievework import catalogue
 from sievework.operators import evaluate, evidence, features, identity, resolve
 
 RECORD = {
@@ -171,3 +175,26 @@ def test_features(spark):
     assert (t[0].a_pct, t[0].a_pct_mask, t[1].a_pct, t[1].b_mask) == (pytest.approx(0.4054651), True, 0.0, False)
     with pytest.raises(Exception, match="negative target"):
         features.targets(spark.createDataFrame([(-1.0,)], "a double"), ["a"]).collect()
+
+
+@pytest.mark.parametrize("block", [10_000, 40])
+def test_nearest_both_ways_against_all_pairs(spark, block):
+    """Copies, ties, and vectors without a direction; some rows are on both sides."""
+    pick = random.Random(3)
+    rows = [(i, [float(pick.randint(-2, 2)) for _ in range(4)]) for i in range(130)] + [(200 + i, [1.0, 1.0, 0.0, 2.0]) for i in range(30)] + [(300, None), (301, [0.0] * 4), (302, [float("nan"), 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    for few in (df, df.where("id % 3 = 0"), df.where("id > 1000"), df.where("id = 5")):
+        targets = [r["id"] for r in few.collect()]
+        known = {i: v for i, v in rows if v and any(v) and not any(map(math.isnan, v))}
+        near = {(a, b): round(sum(map(operator.mul, known[a], known[b])) / math.hypot(*known[a]) / math.hypot(*known[b]), 9) + 0.0 for a in known for b in targets if b in known and a != b}
+        own = {(a, b) for a in known for b in sorted((b for x, b in near if x == a), key=lambda b: (-near[a, b], b))[:3]}
+        back = {(a, b) for b in targets if b in known for a in sorted((a for a, y in near if y == b), key=lambda a: (-near[a, b], a))[:20]}
+        got = {(r["source"], r["target"]): (r["similarity"], r["from_source"], r["from_target"]) for r in resolve.nearest_both_ways(df, few, "id", "v", 3, 20, block).collect()}
+        assert got == {p: (near[p], p in own, p in back) for p in own | back}
+
+
+def test_all_vectors_are_searched_both_ways(spark, sf_dir):
+    rows = catalogue.queries()["bidirectional_candidates"](spark, sf_dir)
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    got = rows.agg(F.count_if("from_source"), F.count_if("from_target"), F.count_distinct("source"), F.count_distinct("target")).first()
+    assert tuple(got) == (3 * n, 20 * n, n, n)
