@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..tables import discard, materialize, new_path, shared_folder
 
-__all__ = ["components", "discard", "materialize", "new_path", "shared_folder", "pieces", "word_arrays", "word_hashes", "rows_of", "mixed", "grouped", "hook", "component_ids", "buckets", "dealt", "tiled", "tiles"]
+__all__ = ["components", "discard", "materialize", "new_path", "shared_folder", "give_back", "pieces", "word_arrays", "word_hashes", "rows_of", "mixed", "grouped", "hook", "component_ids", "buckets", "dealt", "tiled", "tiles"]
 
 #: The characters between words: space, and tab to carriage return. bytes.split() and Arrow's ASCII split part at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _give_back() -> None:
-    """Return freed memory to the system at a task's end, as workers live on between tasks."""
+def give_back() -> None:
+    """Return freed memory to the system: at a task's end, as workers live on between tasks, and where a process has little."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -38,7 +38,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if hi > lo:
                 yield batch.slice(lo, hi - lo)
-    _give_back()
+    give_back()
 
 
 def word_arrays(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -377,6 +377,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.struct(number.isNull().alias("none"), number.alias("id"), *key).alias("key"))
     fps = materialize(_sets(rows.select("key", F.col(f"doc.`{text_col}`").alias("text")), scheme), "fingerprints")
     best = fps.select("key", "fp").join(similar_labels(fps, scheme), "fp").groupBy("label").agg(F.min("key").alias("m"))
-    stay = best.select(F.col("m.a").alias("_a"), F.col("m.b").alias("_b"))
+    # All that is needed further on is two numbers a document; sets are about as large as the texts.
+    stay = materialize(best.select(F.col("m.a").alias("_a"), F.col("m.b").alias("_b")), "stay")
+    discard(best)
     out = rows.withColumn("_a", F.col("key.a")).withColumn("_b", F.col("key.b")).join(stay, ["_a", "_b"]).dropDuplicates(["_a", "_b"])
     return out.select("doc.*")

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces
+from .shared import give_back, pieces
 
 _TOKEN = re.compile(r"[^\W_]+")
 #: Letters of beginnings.
@@ -79,13 +79,15 @@ def severities(code: np.ndarray, row: np.ndarray, toxic: np.ndarray, fold: np.nd
     the median toxic row, else 1. Which words mark a row is learned from the rows of the other fold."""
     found = np.zeros(len(toxic), np.int64)
     for f in (0, 1):
-        own, other = fold[row] == f, fold != f
+        other = fold != f
+        own = ~other[row]
         if toxic[other].any() and not toxic[other].all():
             kept = np.flatnonzero(other)
-            place = np.full(len(toxic), -1)
+            place = np.full(len(toxic), -1, np.int32)
             place[kept] = np.arange(len(kept))
             z, _ = _marks(code[~own], place[row[~own]], toxic[kept], names)
-            found += np.bincount(row[own & (z[code] > _STANDS_OUT + 0.5)], minlength=len(toxic))
+            own &= (z > _STANDS_OUT + 0.5)[code]
+            found += np.bincount(row[own], minlength=len(toxic))
     return np.where(toxic, 1 + (found > np.median(found[toxic])), 0)
 
 
@@ -98,16 +100,19 @@ def train(words: pa.ListArray, labels: np.ndarray, features: int = 2000, least:
         return None
     coded = pc.dictionary_encode(words.flatten())
     code, names = coded.indices.to_numpy(), coded.dictionary
-    row = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy())
+    row = np.repeat(np.arange(len(words), dtype=np.int32), pc.list_value_length(words).to_numpy())
+    grade = severities(code, row, toxic, np.arange(len(words)) % 2, len(names)) if labels.max() == 1 else labels
     z, rows = _marks(code, row, toxic, len(names))
     often = np.flatnonzero((rows >= least) & (np.abs(z) >= _STANDS_OUT))
-    chosen = sorted((-abs(float(z[i])), names[int(i)].as_py(), int(i)) for i in often[np.argsort(-np.abs(z[often]), kind="stable")[: 2 * features]])[:features]
-    place = np.full(len(names), -1)
+    most = np.sort(np.abs(z[often]))[-features:][:1]
+    chosen = sorted((-abs(float(z[i])), names[int(i)].as_py(), int(i)) for i in often[np.abs(z[often]) >= most])[:features]
+    place = np.full(len(names), -1, np.int32)
     place[[i for _, _, i in chosen]] = np.arange(len(chosen))
-    known = place[code] >= 0
+    known = np.flatnonzero(place[code] >= 0)
+    at = row[known], place[code[known]]
+    del row, known
     x = np.zeros((len(words), len(chosen)), np.float32)
-    x[row[known], place[code[known]]] = 1
-    grade = severities(code, row, toxic, np.arange(len(words)) % 2, len(names)) if labels.max() == 1 else labels
+    x[at] = 1
     # Grades that no row has don't get a threshold.
     grade = np.unique(grade, return_inverse=True)[1]
     w, cut = fit_ordinal(x, grade, int(grade.max()) + 1)
@@ -131,8 +136,21 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     found = chosen.select("_id", "_text", "_y", F.xxhash64("_text").alias("_t")).mapInArrow(run, "id string, words array<string>, y int, t long")
     got = found.groupBy("id", "y").agg(F.min_by("words", "t").alias("words")).toArrow()
-    got = got.sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
-    return train(got["words"].chunk(0), got["y"].to_numpy().astype(np.int64)) if got.num_rows else None
+    if not got.num_rows:
+        return None
+    order = pc.sort_indices(got, [("id", "ascending"), ("y", "ascending")])
+    y = got["y"].take(order).to_numpy().astype(np.int64)
+    # The driver lives on and has little memory: words become numbers before rows are put in order, and what is freed goes back.
+    coded = pc.dictionary_encode(pc.list_flatten(got["words"])).unify_dictionaries().combine_chunks()
+    ends = np.concatenate(([0], np.cumsum(pc.list_value_length(got["words"]).to_numpy()))).astype(np.int32)
+    del got
+    give_back()
+    words = pa.ListArray.from_arrays(ends, coded).take(order)
+    del coded
+    model = train(words, y)
+    del words
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

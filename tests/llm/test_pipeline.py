@@ -1,14 +1,19 @@
 """Each stage of the pipeline against a plain version of it, on its own input and on odd rows."""
 
 import hashlib
+import tracemalloc
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sievework.llm import mixing, pii, queries, toxicity
+from sievework.tables import shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -169,3 +174,31 @@ def test_without_a_key_runs_are_not_linked(spark, odd, monkeypatch):
     texts = [{r["text"] for r in corpus_pipeline.hide_personal_data(spark, odd.where("doc_id = 5"), "").collect()} for _ in range(2)]
     assert texts[0] != texts[1]
     spark.conf.set("spark.sievework.pseudonym.key", queries.SECRET)
+
+
+def test_near_duplicates_leave_no_sets_behind(spark, stages, sf_dir):
+    """Sets of shingles are about as large as the texts: later stages would need the disk for both."""
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    out = corpus_pipeline.drop_near_duplicates(spark, stages[1], sf_dir)
+    left = {p.name.partition("-")[0] for p in set(folder.iterdir()) - before}
+    assert "stay" in left and not left & {"fingerprints", "classes", "groups"}
+    assert whole(out) == whole(stages[2])
+
+
+def test_the_driver_learns_toxicity_in_little_memory():
+    """Bytes for each word of the sample at the most; what train() has chosen doesn't depend on the order of the dictionary."""
+    rng = np.random.default_rng(0)
+    labels = (np.arange(4000) % 3 == 0).astype(np.int64)
+    bad = (labels[:, None] > 0) & ((np.arange(4000)[:, None] + np.arange(20)) % 4 > 0)
+    rows = [[f"bad{k}" for k in np.flatnonzero(b)] + [f"w{k}" for k in np.unique(r)] for b, r in zip(bad, rng.integers(0, 20_000, (4000, 500)), strict=True)]
+    words = pa.array(rows, pa.list_(pa.string()))
+    tracemalloc.start()
+    model = toxicity.train(words, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(words.flatten())
+    codes = {w: i for i, w in enumerate(sorted({w for r in rows for w in r}, reverse=True))}
+    coded = pa.DictionaryArray.from_arrays(pa.array([codes[w] for r in rows for w in r], pa.int32()), pa.array(list(codes)))
+    again = toxicity.train(pa.ListArray.from_arrays(words.offsets, coded), labels)
+    assert again.weights == model.weights and again.thresholds == model.thresholds
