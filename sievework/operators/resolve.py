@@ -129,26 +129,31 @@ def _at_least(own: np.ndarray, k: int) -> np.ndarray:
 
 def _best_of_pairs(left: pa.Table, right: pa.Table, of_left: int, of_right: int, tile: int = 2500) -> pa.Table:
     """query, neighbour, similarity, own: for each row of left its of_left most similar rows of right (own), and for each row of
-    right its of_right ones of left, ties by id; no row with itself. One product of matrices serves both."""
+    right its of_right ones of left, ties by id; no row with itself. One product of matrices serves both. It is in single precision
+    and only says which pairs can't be among the best, by more than its error; similarities are taken in double precision."""
     parts = []
     (a, ids_a), (b, ids_b) = (_by_id(t) for t in (left, right))
+    rough_a, rough_b = a.astype(np.float32), b.astype(np.float32)
+    # Twice the error of either of two sums of products, and what rounds to the same similarity.
+    slack = np.float32(4 * (a.shape[1] + 4) * 2.0**-24 + 2e-9)
     kept: dict[bool, list[tuple[np.ndarray, ...]]] = {True: [], False: []}
-    least = {True: np.full(len(a), -np.inf), False: np.full(len(b), -np.inf)}
+    least = {True: np.full(len(a), -np.inf, np.float32), False: np.full(len(b), -np.inf, np.float32)}
     for i in range(0, len(a), tile):
         for j in range(0, len(b), tile):
-            own = a[i : i + tile] @ b[j : j + tile].T
+            own = rough_a[i : i + tile] @ rough_b[j : j + tile].T
             if np.isin(ids_a[i : i + tile], ids_b[j : j + tile]).any():
                 own[ids_a[i : i + tile, None] == ids_b[j : j + tile]] = -np.inf
             for mine, product, at, other, k in ((True, own, i, j, of_left), (False, np.ascontiguousarray(own.T), j, i, of_right)):
                 bound = least[mine][at : at + tile]
                 np.maximum(bound, _at_least(product, k), out=bound)
-                # What rounds to the same similarity as the k-th best is a tie.
-                row, col = np.nonzero((product >= bound[:, None] - 2e-9) & (product > -np.inf))
+                row, col = np.nonzero(product >= np.maximum(bound - slack, np.float32(-2))[:, None])
                 kept[mine].append((row + at, col + other, product[row, col]))
-    for mine, ids, others, k in ((True, ids_a, ids_b, of_left), (False, ids_b, ids_a, of_right)):
-        row, col, score = (np.concatenate(x) for x in zip(*kept[mine], strict=True)) if kept[mine] else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        some = score >= least[mine][row] - 2e-9
-        row, col, score = row[some], col[some], np.round(score[some], 9)
+    for mine, x, y, ids, others, k in ((True, a, b, ids_a, ids_b, of_left), (False, b, a, ids_b, ids_a, of_right)):
+        row, col, score = (np.concatenate(c) for c in zip(*kept.pop(mine), strict=True)) if kept[mine] else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+        some = score >= least[mine][row] - slack
+        row, col = row[some], col[some]
+        score = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", x[row[at : at + 50_000]], y[col[at : at + 50_000]]) for at in range(0, len(row), 50_000))])
+        score = np.round(score, 9)
         # Both sides are in order of ids.
         order = np.lexsort((col, -score, row))
         row, col, score = row[order], col[order], score[order]
@@ -169,7 +174,7 @@ def _by_id(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return v[fine], ids[fine]
 
 
-def nearest_both_ways(sources: DataFrame, targets: DataFrame, id_col: str, vector: str, of_source: int, of_target: int, block: int = 10_000) -> DataFrame:
+def nearest_both_ways(sources: DataFrame, targets: DataFrame, id_col: str, vector: str, of_source: int, of_target: int, block: int = 20_000) -> DataFrame:
     """source, target, similarity, from_source, from_target: each source's of_source best targets and each target's of_target best
     sources; a source that is nearer to others may still be the best that a target has. Ids are whole numbers, and vectors of one
     length; those that are null, zero or not finite are left out.
