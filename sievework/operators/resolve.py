@@ -117,13 +117,15 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _at_least(own: np.ndarray, k: int) -> np.ndarray:
-    """For each row a bound that its k best reach: the k-th of the maxima of groups of its columns; -inf where there are fewer than k."""
-    n, columns = own.shape
-    if columns < k:
-        return np.full(n, -np.inf)
-    wide = max(1, columns // max(4 * k, 64))
-    tops = own[:, : columns // wide * wide].reshape(n, wide, -1).max(axis=1)
+def _at_least(own: np.ndarray, k: int, axis: int) -> np.ndarray:
+    """For each row (axis 1) or column (axis 0) a bound that its k best reach: the k-th of the maxima of groups of its entries; -inf
+    where there are fewer than k."""
+    n, across = own.shape[axis], own.shape[1 - axis]
+    if n < k:
+        return np.full(across, -np.inf, own.dtype)
+    wide = max(1, n // max(4 * k, 64))
+    used = n // wide * wide
+    tops = own[:, :used].reshape(across, wide, -1).max(axis=1) if axis else np.ascontiguousarray(own[:used].reshape(wide, -1, across).max(axis=0).T)
     return np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k]
 
 
@@ -143,11 +145,13 @@ def _best_of_pairs(left: pa.Table, right: pa.Table, of_left: int, of_right: int,
             own = rough_a[i : i + tile] @ rough_b[j : j + tile].T
             if np.isin(ids_a[i : i + tile], ids_b[j : j + tile]).any():
                 own[ids_a[i : i + tile, None] == ids_b[j : j + tile]] = -np.inf
-            for mine, product, at, other, k in ((True, own, i, j, of_left), (False, np.ascontiguousarray(own.T), j, i, of_right)):
+            for mine, at, k in ((True, i, of_left), (False, j, of_right)):
                 bound = least[mine][at : at + tile]
-                np.maximum(bound, _at_least(product, k), out=bound)
-                row, col = np.nonzero(product >= np.maximum(bound - slack, np.float32(-2))[:, None])
-                kept[mine].append((row + at, col + other, product[row, col]))
+                np.maximum(bound, _at_least(own, k, int(mine)), out=bound)
+                enough = np.maximum(bound - slack, np.float32(-2))
+                found = np.flatnonzero(own >= (enough[:, None] if mine else enough))
+                x, y = np.divmod(found, own.shape[1])
+                kept[mine].append((x + i, y + j, own.ravel()[found]) if mine else (y + j, x + i, own.ravel()[found]))
     for mine, x, y, ids, others, k in ((True, a, b, ids_a, ids_b, of_left), (False, b, a, ids_b, ids_a, of_right)):
         row, col, score = (np.concatenate(c) for c in zip(*kept.pop(mine), strict=True)) if kept[mine] else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
         some = score >= least[mine][row] - slack
