@@ -19,10 +19,36 @@ def name_groups(df: DataFrame, key: Column, item: str) -> DataFrame:
     return df.withColumn("key", key).groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(item).alias("first_item"), F.array_join(F.array_sort(F.collect_set(F.col(item).cast("string"))), ";").alias("items"))
 
 
-def within_name_pairs(df: DataFrame, key: str, item: str) -> DataFrame:
-    """(a, b), a < b, of each name's items. For names of many items use star edges instead: graph.groups()."""
-    left, right = df.select(key, F.col(item).alias("a")), df.select(key, F.col(item).alias("b"))
-    return left.join(right, key).where("a < b")
+#: Items in a tile of a name, and pairs of tiles in a task.
+_TILE, _TILE_PAIRS = 1024, 32
+
+
+def _tile_pairs(members: DataFrame, key: str, item: str, tile: int) -> DataFrame:
+    """key, _one (whether the tiles are the same one), _a, _b: each pair of tiles of a key. members has key, item and _m, what a
+    tile holds of an item. A key's items are dealt by hash to as many tiles as it takes, so a task holds two tiles of a key, however
+    many items have it; null keys and items have no pairs."""
+    rows = members.where(F.col(key).isNotNull() & F.col(item).isNotNull())
+    held = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_n"))
+    rows = rows.join(held, key).withColumn("_t", F.pmod(F.xxhash64(F.col(item), F.lit(7)), F.col("_n")).cast("int"))
+    tiles = materialize(rows.groupBy(key, "_n", "_t").agg(F.collect_list("_m").alias("_a")), "tiles")
+    # Tiles are small and their pairs many, so tasks are counted by pairs of tiles; Spark would join partitions by their bytes.
+    n = tiles.agg(F.sum(F.col("_n") - F.col("_t"))).first()[0] or 0
+    tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // _TILE_PAIRS)
+    left = tiles.select(key, "_a", F.col("_t").alias("_s"), F.explode(F.sequence("_t", F.col("_n") - 1)).alias("_t")).repartition(tasks, key, "_s", "_t")
+    right = tiles.select(key, F.col("_a").alias("_b"), "_t", F.explode(F.sequence(F.lit(0), "_t")).alias("_s")).repartition(tasks, key, "_s", "_t")
+    return left.join(right.hint("merge"), [key, "_s", "_t"]).select(key, (F.col("_s") == F.col("_t")).alias("_one"), "_a", "_b")
+
+
+def within_name_pairs(df: DataFrame, key: str, item: str, tile: int = _TILE) -> DataFrame:
+    """(key, a, b), a < b, of each name's items. For names of many items use star edges instead: graph.groups(). The rows are as many
+    as there are pairs, and are made where they are read: what is shuffled are tiles of items, n^2 / tile of them for a name of n."""
+    pairs = _tile_pairs(df.select(key, F.col(item).alias("_m"), item), key, item, tile)
+    # The pairs inside a tile are those of each item with the later ones; transform() keeps the two explosions apart, so that no
+    # more than a tile's rows wait at a time.
+    own = pairs.where("_one").withColumn("_a", F.array_sort("_a"))
+    own = own.select(key, F.posexplode(F.transform("_a", lambda x: x)).alias("_i", "a"), F.col("_a").alias("_b")).select(key, "a", F.explode(F.slice("_b", F.col("_i") + 2, F.size("_b"))).alias("b")).where("a < b")
+    two = pairs.where("NOT _one").select(key, F.explode(F.transform("_a", lambda x: x)).alias("a"), "_b").select(key, "a", F.explode("_b").alias("b"))
+    return own.unionByName(two.select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
 def band_candidates(names: DataFrame, name: str, width: int = 4) -> DataFrame:

@@ -198,3 +198,13 @@ def test_all_vectors_are_searched_both_ways(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
     got = rows.agg(F.count_if("from_source"), F.count_if("from_target"), F.count_distinct("source"), F.count_distinct("target")).first()
     assert tuple(got) == (3 * n, 20 * n, n, n)
+
+
+def test_pairs_of_a_name_by_tiles(spark):
+    # Three items to a tile: most pairs are of two tiles, some ids stand twice, and one name is null.
+    rows = [(f"n{i % 3}", i) for i in range(60)] + [("n0", 0), ("n9", 99), (None, 7)]
+    df = spark.createDataFrame(rows, "name string, id long")
+    want = sorted((n, a, b) for n, a in rows for m, b in rows if n is not None and n == m and a < b)
+    assert sorted(tuple(r) for r in resolve.within_name_pairs(df, "name", "id", tile=3).collect()) == want
+    texts = df.select("name", F.concat(F.lit("i"), "id").alias("id"))
+    assert resolve.within_name_pairs(texts, "name", "id", tile=3).where("a < b").count() == len(want)
