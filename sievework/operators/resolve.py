@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
 from ..tables import materialize
-from .relational import dense_index
+from .relational import dense_index, duplicates
 
 
 def name_groups(df: DataFrame, key: Column, item: str) -> DataFrame:
@@ -269,10 +269,73 @@ def similar_names(names: DataFrame, id_col: str, key: str, least: float = 0.78,
     return both.withColumn("_rn", F.row_number().over(best)).where((F.col("_rn") <= k) & (F.col("word_overlap") >= overlap)).select("a", "b", "similarity", "word_overlap").distinct()
 
 
-def agreement(pairs: DataFrame, values: DataFrame, item: str, axis: str, value: str, tolerance: float = 0.05) -> DataFrame:
-    """a, b, shared axes and those whose values are within tolerance of each other, relative to the larger."""
-    l = values.select(F.col(item).alias("a"), axis, F.col(value).alias("_x"))
-    r = values.select(F.col(item).alias("b"), axis, F.col(value).alias("_y"))
-    top = F.greatest(F.abs("_x"), F.abs("_y"))
-    close = (top == 0) | (F.abs(F.col("_x") - F.col("_y")) <= tolerance * top)
-    return pairs.join(l, "a").join(r, ["b", axis]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.count_if(close).alias("agreeing"))
+def name_agreement(df: DataFrame, key: str, item: str, values: DataFrame, axis: str, value: str, tolerance: float = 0.05, tile: int = _TILE) -> DataFrame:
+    """a, b, shared axes and those whose values are within tolerance of each other, relative to the larger, of each name's items, a < b
+    (ids are whole numbers). values has a row for each item and axis, its item in the column that df names so; a pair that shares no axis has no row.
+
+    An item's values go with it into its tile, and a pair of tiles is compared at once, so neither pairs nor what they share are
+    shuffled. Only where items are in df more than once are pairs added up.
+    """
+    own = values.where(F.col(axis).isNotNull()).groupBy(item).agg(F.collect_list(F.struct(F.col(axis).cast("string").alias("x"), F.col(value).cast("double").alias("v"))).alias("_p"))
+    members = df.select(key, item).join(own, item).select(key, item, F.struct(F.col(item).cast("long").alias("id"), F.col("_p").alias("p")).alias("_m"))
+    pairs = _tile_pairs(members, key, item, tile)
+
+    def read(tile_: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        lists = tile_.field("p")
+        cells = lists.flatten()
+        numbers = cells.field("v")
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        return tile_.field("id").to_numpy(), row, numbers.is_valid().to_numpy(zero_copy_only=False), cells.field("x"), numbers.fill_null(0).to_numpy()
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one = batch.column("_one").to_pylist()
+            sides = [batch.column(c) for c in ("_a", "_b")]
+            for at, same in enumerate(one):
+                yield from _tile_agreement(*(read(x.slice(at, 1).flatten()) for x in sides), same, tolerance)
+
+    found = pairs.select("_one", "_a", "_b").mapInArrow(compared, "a long, b long, shared int, agreeing int")
+    out = found.select("a", "b", F.col("shared").cast("long").alias("shared"), F.col("agreeing").cast("long").alias("agreeing"))
+    if duplicates(df.where(F.col(key).isNotNull() & F.col(item).isNotNull()), [item]).isEmpty():
+        return out
+    return out.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.sum("agreeing").alias("agreeing"))
+
+
+def _tile_agreement(a: tuple, b: tuple, same: bool, tolerance: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of two tiles (ids, row, whether a number is there, axis, number), or of one with itself, that share an axis."""
+    axes = pa.concat_arrays([a[3], b[3]]).dictionary_encode()
+    codes, width = axes.indices.to_numpy(), len(axes.dictionary)
+
+    def wide(side: tuple, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        held, x = np.zeros((width, len(side[0])), np.float32), np.full((width, len(side[0])), np.nan)
+        told = np.zeros(held.shape, bool)
+        held[own, side[1]] = 1
+        told[own[side[2]], side[1][side[2]]] = True
+        x[own[side[2]], side[1][side[2]]] = side[4][side[2]]
+        return held, x, told
+
+    (held_a, x_a, told_a), (held_b, x_b, told_b) = wide(a, codes[: len(a[3])]), wide(b, codes[len(a[3]) :])
+    # Compared in blocks that a core's cache holds. Where a number isn't there, x is NaN and nothing is near; a number that is
+    # itself none is, as in SQL, above all others and equal to itself.
+    none = np.isnan(x_a[told_a]).any() or np.isnan(x_b[told_b]).any()
+    both = np.flatnonzero(told_a.any(1) & told_b.any(1))
+    near_a, near_b, kind = tolerance * np.abs(x_a), tolerance * np.abs(x_b), np.int8 if len(both) < 128 else np.int32
+    for begin in range(0, len(a[0]), 32):
+        rows = slice(begin, begin + 32)
+        shared = (held_a[:, rows].T @ held_b).astype(np.int32)
+        agreeing, apart, limit, close = np.zeros(shared.shape, kind), np.empty(shared.shape), np.empty(shared.shape), np.empty(shared.shape, bool)
+        with np.errstate(invalid="ignore"):
+            for k in both:
+                np.subtract(x_a[k, rows, None], x_b[k], out=apart)
+                np.abs(apart, out=apart)
+                np.maximum(near_a[k, rows, None], near_b[k], out=limit)
+                np.less_equal(apart, limit, out=close)
+                if none:
+                    close |= np.isnan(limit)
+                    close &= told_a[k, rows, None] & told_b[k]
+                agreeing += close.view(np.int8)
+        ids_a, ids_b = a[0][rows, None], b[0]
+        out = [np.minimum(ids_a, ids_b), np.maximum(ids_a, ids_b), shared, agreeing.astype(np.int32)]
+        kept = (shared > 0) & (ids_a < ids_b) if same else shared > 0
+        out = [x.ravel() if kept.all() else x[kept] for x in out]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b", "shared", "agreeing"])

@@ -132,9 +132,8 @@ p AS (SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_n
 SELECT a, b, count(*) AS shared, count_if(abs(l.v - r.v) <= 0.05 * greatest(l.v, r.v))::BIGINT AS agreeing FROM p JOIN v l ON l.id = a JOIN v r ON r.id = b AND r.axis_id = l.axis_id GROUP BY 1, 2""")
 def shared_axis_agreement(spark, sf):
     part = table(spark, sf, "part")
-    values = measurements(spark, sf).groupBy(F.col("food_id").alias("id"), "axis_id").agg(F.max("value").alias("v"))
-    pairs = resolve.within_name_pairs(part, "p_name", "p_partkey").select("a", "b")
-    return resolve.agreement(pairs, values, "id", "axis_id", "v")
+    values = measurements(spark, sf).groupBy(F.col("food_id").alias("p_partkey"), "axis_id").agg(F.max("value").alias("v"))
+    return resolve.name_agreement(part, "p_name", "p_partkey", values, "axis_id", "v")
 
 
 @query("""SELECT * FROM (SELECT a.vec_id AS query, b.vec_id AS neighbour, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity,

@@ -5,6 +5,7 @@ import math
 import operator
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +209,18 @@ def test_pairs_of_a_name_by_tiles(spark):
     assert sorted(tuple(r) for r in resolve.within_name_pairs(df, "name", "id", tile=3).collect()) == want
     texts = df.select("name", F.concat(F.lit("i"), "id").alias("id"))
     assert resolve.within_name_pairs(texts, "name", "id", tile=3).where("a < b").count() == len(want)
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_agreement_by_tiles(spark, twice):
+    rng = np.random.default_rng(0)
+    rows = [(f"n{i % 3}", i) for i in range(60)] + [("n0", 3)] * twice
+    special = [0.0, -1.0, float("nan"), float("inf"), None]
+    cells = [(i, f"x{x}", special[rng.integers(5)] if rng.random() < 0.2 else float(rng.integers(90, 110))) for i in range(70) for x in range(6) if rng.random() < 0.6]
+    df, values = spark.createDataFrame(rows, "name string, id long"), spark.createDataFrame(cells, "id long, axis string, v double")
+    l, r = values.selectExpr("id AS a", "axis", "v AS x"), values.selectExpr("id AS b", "axis", "v AS y")
+    near = F.coalesce(F.expr("abs(x - y) <= 0.05 * greatest(abs(x), abs(y))") & F.expr("x IS NOT NULL AND y IS NOT NULL"), F.lit(False))
+    pairs = df.selectExpr("name", "id AS a").join(df.selectExpr("name", "id AS b"), "name").where("a < b")
+    want = pairs.join(l, "a").join(r, ["b", "axis"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.count_if(near).alias("agreeing"))
+    got = resolve.name_agreement(df, "name", "id", values, "axis", "v", tile=3)
+    assert got.dtypes == want.dtypes and sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
