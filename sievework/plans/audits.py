@@ -17,23 +17,28 @@ _TAGS = [("main", 1, 23, "NA", ""), ("main", 2, 28, "FE", ""), ("main", 3, 43, "
 _RULES = [footnotes.Footnote("†は規定法による測定値", "verified", marker="†"), *footnotes.NOTES[1:]]
 
 
+#: Parts in an edition, whose tables are a book each.
+_EDITION = 4000
+
+
 def _noted(spark, sf) -> footnotes.Noted:
-    """Three workbooks of parts: the main table lacks every seventh part, and the others have half or a third of them."""
-    parts = table(spark, sf, "part").selectExpr("p_partkey AS p", "p_name AS name", f"{_NOTE} AS note")
+    """Three workbooks of the parts of each edition: the main table lacks every seventh part, and the others have half or a third of them."""
+    parts = table(spark, sf, "part").selectExpr("p_partkey AS p", "p_name AS name", f"{_NOTE} AS note", f"p_partkey DIV {_EDITION} AS edition")
     lines = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p"), F.col("l_linenumber").alias("k")).agg(F.max("l_quantity").cast("int").alias("q"))
     cells = None
     for t, where, first, last, shown in (("main", "p % 7 > 0", 12, 61, _TOKEN), ("organic_acids", "p % 2 = 0", 6, 6, _TOKEN.replace(_FULL, "CASE p % 4 WHEN 0 THEN cast(q AS string) ELSE cast(q + 1 AS string) END").replace("'0'", "'0.0'")), ("fatty_acids_relative", "p % 3 = 0", 6, 6, _TOKEN)):
-        rows = parts.where(where).withColumn("row", F.expr(f"cast({first} - 1 + row_number() OVER (ORDER BY p) AS int)") if t != "main" else F.expr("cast(11 + row_number() OVER (ORDER BY p) AS int)"))
-        wide = rows.select("row", F.posexplode(F.array(F.expr("cast(p % 18 AS string)"), F.expr("lpad(cast(p % 100000 AS string), 5, '0')"), F.lit(None), F.col("name"))).alias("col", "text"))
-        wide = wide.unionByName(rows.selectExpr("row", f"{last} AS col", "note AS text"))
+        rows = parts.where(where).withColumn("row", F.expr(f"cast({first} - 1 + row_number() OVER (PARTITION BY edition ORDER BY p) AS int)"))
+        wide = rows.select("edition", "row", F.posexplode(F.array(F.expr("cast(p % 18 AS string)"), F.expr("lpad(cast(p % 100000 AS string), 5, '0')"), F.lit(None), F.col("name"))).alias("col", "text"))
+        wide = wide.unionByName(rows.selectExpr("edition", "row", f"{last} AS col", "note AS text"))
         own = spark.createDataFrame([(k, col) for name, k, col, _, _ in _TAGS if name == t], "k int, col int")
-        wide = wide.unionByName(rows.join(lines, "p").join(F.broadcast(own), "k").selectExpr("row", "col", f"{shown} AS text"))
+        wide = wide.unionByName(rows.join(lines, "p").join(F.broadcast(own), "k").selectExpr("edition", "row", "col", f"{shown} AS text"))
         tag_row = first - 1 if t == "main" else first - 2
-        heads = [(tag_row, col, tag) for name, _, col, tag, _ in _TAGS if name == t] + [(tag_row + 1, col, u) for name, _, col, _, u in _TAGS if name == t and u] + [(3, col, f"name of {tag}") for name, _, col, tag, _ in _TAGS if name == t]
-        wide = wide.unionByName(spark.createDataFrame(heads, "row int, col int, text string")).withColumn("path", F.lit(t)).withColumn("sheet", F.lit("whole"))
+        heads = [(tag_row, col, tag) for name, _, col, tag, _ in _TAGS if name == t] + [(tag_row + 1, col, u) for name, _, col, _, u in _TAGS if name == t and u] + [(3, col, f"name of {tag}") for name, _, col, tag, _ in _TAGS if name == t] + [(3, last, "notes")]
+        heads = F.broadcast(spark.createDataFrame(heads, "row int, col int, text string"))
+        wide = wide.unionByName(rows.select("edition").distinct().join(heads)).selectExpr(f"concat('{t}-', edition) AS path", "'whole' AS sheet", "row", "col", "text")
         cells = wide if cells is None else cells.unionByName(wide)
     books = materialize(writers.workbooks(cells), "books")
-    back = readers.cells_of(books).withColumn("table", F.col("path"))
+    back = readers.cells_of(books).withColumns({"table": F.regexp_extract("path", "^(.*)-[^-]*$", 1), "edition": F.regexp_extract("path", "-([^-]*)$", 1)})
     return footnotes.read(materialize(back, "cells"), [t for t in footnotes.TABLES if t.name in ("main", "organic_acids", "fatty_acids_relative")], _RULES)
 
 

@@ -108,15 +108,18 @@ def _must(condition: Column, message: str, *parts: Column) -> Column:
 
 
 def read(cells: DataFrame, tables: Sequence[NotedTable] = tuple(TABLES), notes: Sequence[Footnote] = tuple(NOTES)) -> Noted:
-    """Components, values and foods of cells (table, path, row, col, text), rows and columns from 0.
+    """Components, values and foods of cells (table, path, row, col, text and, where tables come in several editions, edition), rows
+    and columns from 0.
 
     A food is a row whose column 1 holds five digits; its note is in its sheet's last column. A value is a food's cell in a tagged
     column, blank cells too. Notes are matched once for each food and meet its cells in one join; markers are looked for in the
     cells. A value keeps its token; its status is of the dagger vocabulary. candidate: a positive value of unresolved origin, a
-    mass of at most 100 g per 100 g. A food twice in a table, a table without tags or foods, and a mass in a unit that isn't
-    known are errors.
+    mass of at most 100 g per 100 g. Ids tell foods of one edition apart. A food twice in an edition's table, a table without tags
+    or foods, and a mass in a unit that isn't known are errors.
     """
     spark = cells.sparkSession
+    if "edition" not in cells.columns:
+        cells = cells.withColumn("edition", F.lit(""))
     spec = spark.createDataFrame([(t.name, t.tag_row, t.basis, *t.name_rows, [u for u in t.units]) for t in tables], "table string, tag_row int, basis string, name_from int, name_to int, units array<struct<unit: string, lo: int, hi: int>>")
     texts = cells.select("text").distinct().withColumn("_t", _compatible("text"))
     at = cells.join(texts, "text").withColumn("text", F.col("_t")).drop("_t").join(F.broadcast(spec), "table")
@@ -132,13 +135,13 @@ def read(cells: DataFrame, tables: Sequence[NotedTable] = tuple(TABLES), notes:
     width = at.groupBy("table", "path").agg(F.max("col").alias("_last"))
     rows = at.join(width, ["table", "path"]).where("row > tag_row")
     pick = lambda c: F.max(F.when(F.col("col") == c, F.col("text")))
-    foods = rows.where((F.col("col") < 4) | (F.col("col") == F.col("_last"))).groupBy("table", "path", "row").agg(pick(0).alias("food_group_id"), pick(1).alias("food_id"), pick(3).alias("original_food_name"), F.coalesce(pick(F.col("_last")), F.lit("")).alias("source_note"))
+    foods = rows.where((F.col("col") < 4) | (F.col("col") == F.col("_last"))).groupBy("table", "edition", "path", "row").agg(pick(0).alias("food_group_id"), pick(1).alias("food_id"), pick(3).alias("original_food_name"), F.coalesce(pick(F.col("_last")), F.lit("")).alias("source_note"))
     foods = foods.where(F.col("food_id").rlike(r"^\d{5}$")).withColumn("food_group_id", F.lpad(F.coalesce("food_group_id", F.lit("")), 2, "0"))
     note = F.col("source_note")
     foods = foods.withColumns({"foreign_source_note": note.rlike(FOREIGN), "recipe_or_estimation_note": note.rlike(ESTIMATED), "referenced_food_ids": F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(note, F.lit(r"(?<!\d)(\d{5})(?!\d)"), F.lit(1)))), ";"), "_effects": _effects(F.col("food_id"), note, notes)})
-    twice = foods.groupBy("table", "food_id").agg(F.count(F.lit(1)).alias("_n"))
-    foods = foods.join(twice, ["table", "food_id"]).where(_must(F.col("_n") == 1, "a food twice in a table:", F.col("table"), F.col("food_id"))).drop("_n")
-    values = foods.select("table", "path", "row", "food_id", "_effects").join(columns.select("table", "path", "col", "tag", "unit", "basis", "modality", "factor", "component_key"), ["table", "path"])
+    twice = foods.groupBy("table", "edition", "food_id").agg(F.count(F.lit(1)).alias("_n"))
+    foods = foods.join(twice, ["table", "edition", "food_id"]).where(_must(F.col("_n") == 1, "a food twice in a table:", F.col("table"), F.col("food_id"))).drop("_n")
+    values = foods.select("table", "edition", "path", "row", "food_id", "_effects").join(columns.select("table", "path", "col", "tag", "unit", "basis", "modality", "factor", "component_key"), ["table", "path"])
     values = values.join(at.select("table", "path", "row", "col", "text"), ["table", "path", "row", "col"], "left").withColumn("token", F.coalesce("text", F.lit(""))).drop("text")
     mine = F.filter("_effects", lambda e: ((e["tag"] == "") | (e["tag"] == F.col("tag"))) & ((e["marker"] == "") | F.endswith("token", e["marker"])))
     values = values.withColumn("_effects", mine)
@@ -154,12 +157,12 @@ def read(cells: DataFrame, tables: Sequence[NotedTable] = tuple(TABLES), notes:
         "candidate": F.coalesce((F.col("value_status") == "reported_positive_origin_unresolved") & (F.col("g_per_100g") > 0) & (F.col("g_per_100g") <= 100), F.lit(False)),
         "invalid_mass": F.coalesce((F.col("g_per_100g") < 0) | (F.col("g_per_100g") > 100), F.lit(False)),
     })
-    listed = columns.select("table", "component_key", "tag", "name", "unit", "basis", "modality", "factor")
+    listed = columns.select("table", "component_key", "tag", "name", "unit", "basis", "modality", "factor").distinct()
     return Noted(listed, values.drop("_effects", "_s", "_token", "_v", "factor", "path"), foods.drop("_effects", "path"))
 
 
 def repeated(values: DataFrame) -> DataFrame:
-    """The cells that several tables hold: food_id, component_key, tables, variants of token, number and status, review_type. What
+    """The cells that several tables hold, of one edition or of several: food_id, component_key, tables, variants of token, number and status, review_type. What
     differs in number comes before what differs in status, and that before what differs in form alone."""
     seen = values.groupBy("food_id", "component_key").agg(F.count(F.lit(1)).alias("n_tables"), F.countDistinct("token").alias("tokens"), F.countDistinct("numeric_value").alias("numbers"), F.countDistinct("value_status").alias("statuses"), F.array_join(F.array_sort(F.collect_set("table")), ";").alias("tables"))
     kind = F.when(F.col("numbers") > 1, "different_numeric_values").when(F.col("statuses") > 1, "different_origin_or_missingness_notation").when(F.col("tokens") > 1, "formatting_only_difference").otherwise("identical_repeated_record")
@@ -167,13 +170,13 @@ def repeated(values: DataFrame) -> DataFrame:
 
 
 def audited(noted: Noted, main: str = "main") -> tuple[DataFrame, DataFrame]:
-    """values with conflict (its tables disagree in number or status) and in_main (its food is in the main table); and foods that
-    only other tables have, which wait for an official identity."""
-    known = noted.foods.where(F.col("table") == main).select("food_id").distinct().withColumn("_m", F.lit(True))
+    """values with conflict (its tables disagree in number or status) and in_main (its food is in its edition's main table); and
+    foods that only other tables have, which wait for an official identity."""
+    known = noted.foods.where(F.col("table") == main).select("edition", "food_id").distinct().withColumn("_m", F.lit(True))
     clash = repeated(noted.values).where(F.col("review_type").isin("different_numeric_values", "different_origin_or_missingness_notation")).select("food_id", "component_key", F.lit(True).alias("_c"))
-    values = noted.values.join(clash, ["food_id", "component_key"], "left").join(known, "food_id", "left")
+    values = noted.values.join(clash, ["food_id", "component_key"], "left").join(known, ["edition", "food_id"], "left")
     values = values.withColumn("conflict", F.col("_c").isNotNull()).withColumn("in_main", F.col("_m").isNotNull()).drop("_c", "_m")
-    return values, noted.foods.join(known, "food_id", "left_anti")
+    return values, noted.foods.join(known, ["edition", "food_id"], "left_anti")
 
 
 def candidates(values: DataFrame) -> DataFrame:
