@@ -28,6 +28,6 @@ def same_as_sql(spark, folder, name):
     assert table(df.columns, df.collect()) == table(names, rel.fetchall())
 
 
-@pytest.mark.parametrize("name", ["footnote_queue", "footnoted_axis_proposals", "footnoted_cells"])
+@pytest.mark.parametrize("name", ["footnote_queue", "footnoted_axis_proposals", "footnoted_cells", "repeated_cell_reviews"])
 def test_footnoted_tables_of_several_editions(spark, far_keys, name):
     same_as_sql(spark, far_keys, name)
