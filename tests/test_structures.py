@@ -168,3 +168,16 @@ def test_footnotes_change_what_they_are_about(spark):
         footnotes.read(book([foods[0], foods[0]]), own).foods.collect()
     with pytest.raises(Exception, match="unknown unit"):
         footnotes.read(book(foods), [footnotes.NotedTable("main", 11, "100g_edible_food", (1, 9), (("cup", 4, 9),))]).values.collect()
+
+
+def test_long_sheets_of_rows(spark):
+    heads = ["COUNTRY", "code", "efsaprodcode2_recoded", "level1", "level2", "level3", "NUTRIENT_ID", "NUTRIENT_TEXT", "UNIT", "LEVEL"]
+    row = ["AT", "A1", "Bread", "g", "s", None, "7", "Calcium (Ca)", "Milligram", "30"]
+    # Books whose columns stand in different orders, one with a column that no one asks for and one with a header twice.
+    books = {"a": [heads, row, [*row[:9], None]], "b": [["x", *heads[::-1]], [None, *row[::-1]], ["y", "31", *row[8::-1]]], "c": [[*heads, "LEVEL"], [*row, "5"], [*row[:9], None, "5"]]}
+    rows = spark.createDataFrame([(p, "COMPO7", at, list(x)) for p, rs in books.items() for at, x in enumerate(rs)], "path string, sheet string, row int, texts array<string>")
+    back = readers.rows_of(writers.row_workbooks(rows))
+    assert sorted((r["path"], r["row"], dict(zip(r["cols"], r["texts"], strict=True))) for r in back.collect()) == sorted((p, at, {c: t for c, t in enumerate(x) if t is not None}) for p, rs in books.items() for at, x in enumerate(rs))
+    out = layouts.read_long_rows(back)
+    assert sorted((r["path"], r["row"], r["raw_value"]) for r in out.measurements.collect()) == [("a", 1, "30"), ("a", 2, ""), ("b", 1, "30"), ("b", 2, "31"), ("c", 1, "5"), ("c", 2, "5")]
+    assert out.foods.count() == 1 and [(r["source_component_id"], r["component"], r["unit"]) for r in out.components.collect()] == [("7", "Calcium (Ca)", "Milligram")]
