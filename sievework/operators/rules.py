@@ -31,15 +31,15 @@ def first_rule(items: DataFrame, id_col: str, keys: DataFrame, rules: Sequence[R
     """items with rule and the rules' outcome columns. keys (id_col, key) are the items' own; an item that no rule covers is an
     error, so a list that ends in a rule without conditions covers all.
 
-    A key that very many items have is a skewed key of the join with the rules' few keys, which Spark broadcasts; what matches is
-    counted by item and rule in partial aggregates.
+    The rules' few keys are broadcast, so that of the items' keys, repeats included, only those that a rule asks for are shuffled; what
+    matches is counted by item and rule in partial aggregates.
     """
     spark = items.sparkSession
     names = sorted({c for r in rules for c in r.outcome})
     conditions = [(i, g, k) for i, r in enumerate(rules) for g, group in enumerate(r.all_of) for k in group] + [(i, _NONE, k) for i, r in enumerate(rules) for k in r.none_of]
     table = spark.createDataFrame(conditions, "rule int, clause int, key string")
     outcomes = spark.createDataFrame([(i, r.name, len(r.all_of), *(r.outcome.get(c) for c in names)) for i, r in enumerate(rules)], ", ".join(["_at int", "rule string", "_need int", *(f"`{c}` string" for c in names)]))
-    hits = keys.select(id_col, "key").distinct().join(table, "key").groupBy(id_col, "rule").agg(F.countDistinct(F.when(F.col("clause") != _NONE, F.col("clause"))).alias("met"), F.max(F.col("clause") == _NONE).alias("barred"))
+    hits = keys.select(id_col, "key").join(F.broadcast(table), "key").groupBy(id_col, "rule").agg(F.countDistinct(F.when(F.col("clause") != _NONE, F.col("clause"))).alias("met"), F.max(F.col("clause") == _NONE).alias("barred"))
     # A rule without conditions holds unless it is barred: it is tried for every item.
     free = [i for i, r in enumerate(rules) if not r.all_of]
     need = F.element_at(F.array(*(F.lit(len(r.all_of)) for r in rules)), F.col("rule") + 1)
@@ -107,9 +107,13 @@ FAMILIES = [
 def families(items: DataFrame, id_col: str, tag: str, name: str, role: str) -> DataFrame:
     """items with rule and family: which group of components one belongs to, told from its tag, name and role by FAMILIES."""
     t, key = F.upper(F.trim(F.coalesce(tag, F.lit("")))), ascii_label_key(F.col(name))
-    rows = items.withColumn("_tag_or_label", F.when(t != "", t).otherwise(stable_id("label", key))).withColumn("_tag_or_word", F.when(t != "", t).otherwise(F.split(key, " ")[0]))
-    keys = label_keys(rows, id_col, tag, name, FAMILIES, {"role": F.col(role)})
-    return first_rule(rows, id_col, keys, FAMILIES, ("_tag_or_label", "_tag_or_word")).drop("_tag_or_label", "_tag_or_word")
+    # Told once for each tag, name and role, of which many items have the same.
+    items = items.withColumn("_kind", F.to_json(F.struct(F.col(tag).alias("t"), F.col(name).alias("n"), F.col(role).alias("r"))))
+    rows = items.select("_kind", tag, name, role).dropDuplicates(["_kind"])
+    rows = rows.withColumn("_tag_or_label", F.when(t != "", t).otherwise(stable_id("label", key))).withColumn("_tag_or_word", F.when(t != "", t).otherwise(F.split(key, " ")[0]))
+    keys = label_keys(rows, "_kind", tag, name, FAMILIES, {"role": F.col(role)})
+    found = first_rule(rows, "_kind", keys, FAMILIES, ("_tag_or_label", "_tag_or_word")).select("_kind", "rule", "family")
+    return items.join(found, "_kind").drop("_kind")
 
 
 def _status(name: str, status: str, note: str, all_of: Sequence[Sequence[str]] = (), none_of: Sequence[str] = (), action: str = "reporting_annotation_only") -> Rule:

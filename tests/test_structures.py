@@ -181,3 +181,13 @@ def test_long_sheets_of_rows(spark):
     out = layouts.read_long_rows(back)
     assert sorted((r["path"], r["row"], r["raw_value"]) for r in out.measurements.collect()) == [("a", 1, "30"), ("a", 2, ""), ("b", 1, "30"), ("b", 2, "31"), ("c", 1, "5"), ("c", 2, "5")]
     assert out.foods.count() == 1 and [(r["source_component_id"], r["component"], r["unit"]) for r in out.components.collect()] == [("7", "Calcium (Ca)", "Milligram")]
+
+
+def test_families_are_told_once_for_each_kind(spark, monkeypatch):
+    seen, label_keys = [], rules.label_keys
+    monkeypatch.setattr(rules, "label_keys", lambda items, *more: seen.append(items.count()) or label_keys(items, *more))
+    names = spark.createDataFrame([("FE", "Iron, total", "micronutrient_mineral"), (None, "Iron, total", "micronutrient_mineral"), ("", "Protein", None)], "tag string, name string, role string")
+    items = spark.range(500).crossJoin(names).withColumn("id", F.monotonically_increasing_id())
+    out = rules.families(items, "id", "tag", "name", "role")
+    assert sorted((r["family"], r["count"]) for r in out.groupBy("family").count().collect()) == [("mineral:FE", 500), ("mineral:iron", 500), ("protein_and_amino_acid_family", 500)]
+    assert seen == [3] and out.columns == ["id", "tag", "name", "role", "rule", "family"]
