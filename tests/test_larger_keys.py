@@ -36,7 +36,7 @@ def test_footnoted_tables_of_several_editions(spark, far_keys, name):
     same_as_sql(spark, far_keys, name)
 
 
-@pytest.mark.parametrize("name", ["afcd_bundle", "cofid_bundle"])
+@pytest.mark.parametrize("name", ["afcd_bundle", "cofid_bundle", "dictionary_axes"])
 def test_sheets_of_several_books(spark, far_keys, name, monkeypatch):
     made, workbooks = [], writers.workbooks
     monkeypatch.setattr(writers, "workbooks", lambda cells: made.append(cells.groupBy("path").agg(F.countDistinct("row").alias("n"))) or workbooks(cells))
